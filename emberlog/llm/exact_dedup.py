@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import ASCII_BLANKS, attach
+from emberlog.llm.common import ASCII_BLANKS, attach, fresh
 from emberlog.session import cut
 
 #: Runs that one merge brings together: four binomial rounds at once.
@@ -41,7 +41,7 @@ def tree_merge(rows: DataFrame, runs: int) -> DataFrame:
     return level.select("digest", "proof", F.col("best.doc_id").alias("keep_id"), F.col("best.row_id").alias("keep_row"), F.col("n").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
     """Decide for every document which of the equal ones stays.
 
     Texts are equal when identical without the characters space, tab, line feed, vertical tab, form feed and carriage
@@ -55,28 +55,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = cut(tree_merge(rows, (runs or 0) + 1), "groups")
     total = rows.count()
     key = F.concat_ws(":", "digest", "proof")
-    found = attach(rows.select("doc_id", "digest", "row_id", key.alias("key")), groups.where("group_size > 1").select(key.alias("key"), "keep_id", "keep_row", "group_size"), "key", "group_size", total)
+    found = attach(rows.select("doc_id", "digest", "row_id", *more, key.alias("key")), groups.where("group_size > 1").select(key.alias("key"), "keep_id", "keep_row", "group_size"), "key", "group_size", total)
     single = F.col("group_size").isNull()
     return found.select(
         "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (single | (F.col("row_id") == F.col("keep_row"))).alias("kept"), F.col("digest").alias("text_sha256"),
+        (single | (F.col("row_id") == F.col("keep_row"))).alias("kept"), F.col("digest").alias("text_sha256"), *more,
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns.
 
-    The kept ids are joined back by id; only rows whose id repeats with an equal text need a further dropDuplicates.
+    Rows are found again by id, digest and length; only where these repeat (rows read twice) one of them is picked.
     """
-    keep = cut(exact_dedup(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept"), "kept")
-    bare = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), ASCII_BLANKS, "")
+    sha, chars, nth, keep_id, keep_sha, keep_chars = (fresh(docs, x) for x in ("_sha", "_chars", "_nth", "_keep_id", "_keep_sha", "_keep_chars"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    named = docs.withColumns({sha: F.sha2(F.translate(text, ASCII_BLANKS, ""), 256), chars: F.char_length(text)})
+    found = exact_dedup(docs, id_col, text_col, more=("chars",))
+    keep = cut(found.groupBy(F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(keep_sha), F.col("chars").alias(keep_chars)).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept"), "kept")
 
     def of(wanted: DataFrame) -> DataFrame:
-        w = wanted.select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-        return docs.withColumn("_sha", F.sha2(bare, 256)).join(w, F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")), "left_semi")
+        same = F.col(id_col).cast("long").eqNullSafe(F.col(keep_id)) & (F.col(sha) == F.col(keep_sha)) & (F.col(chars) == F.col(keep_chars))
+        return named.join(wanted.select(keep_id, keep_sha, keep_chars), same, "left_semi")
 
     once = of(keep.where("n = 1"))
     if keep.where("n > 1").limit(1).count():
-        first = Window.partitionBy(id_col, "_sha").orderBy(F.char_length(text_col).desc())
-        once = once.unionByName(of(keep.where("n > 1")).withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth"))
+        again = of(keep.where("n > 1")).withColumn(nth, F.row_number().over(Window.partitionBy(id_col, sha).orderBy(chars)))
+        once = once.unionByName(again.where(F.col(nth) == 1).drop(nth))
     return once.select(*docs.columns)

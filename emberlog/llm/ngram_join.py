@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import attach
+from emberlog.llm.common import attach, fresh
 from emberlog.llm.shingles import sets_of, signatures
 from emberlog.operators.components import connected_components
 from emberlog.session import cut
@@ -254,6 +254,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that are linked with one of a smaller id."""
-    gone = cut(ngram_join(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone_id")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti").select(*docs.columns)
+    """docs without the documents that are linked with one of a smaller id. Rows of one id share that decision: they go
+    if one of them is linked so. Rows without an id stay."""
+    gone_id = fresh(docs, "_gone_id")
+    gone = cut(ngram_join(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left_anti").select(*docs.columns)

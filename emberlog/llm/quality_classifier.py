@@ -21,15 +21,16 @@ TEXT = ("symbols", "upper", "letters", "bangs", "bars", "word_length", "repeats"
 META = ("log_chars", "log_lines", "line_length", "duplicate_lines")
 
 
-def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """(doc_id, text_view, meta_view): vectors of the two views; each row's text is read once.
+def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: bool = False) -> DataFrame:
+    """(doc_id, text_view, meta_view): vectors of the two views; each row's text is read once. carry adds `row`, the whole input row.
 
     Text: shares of symbols, capitals and letters, word lengths, repeated words, and hashed word endings. Metadata:
     language and source (hashed), size, and the page's layout in lines.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), label(lang_col).alias("lang"), label(source_col).alias("source"))
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), label(lang_col).alias("lang"), label(source_col).alias("source"), *row)
     d = d.withColumn("w", words(F.col("t"))).withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(f"[^{BLANKS}]")))
     n, n_words, n_lines = (F.greatest(x, F.lit(1)) for x in (F.char_length("t"), F.size("w"), F.size("lines")))
     gone = lambda chars: n - F.greatest(F.char_length(F.translate("t", chars, "")), F.lit(0))
@@ -45,7 +46,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_
     d = HashingTF(inputCol="endings", outputCol="hashed", numFeatures=HASHED, binary=True).transform(d)
     d = HashingTF(inputCol="names", outputCol="named", numFeatures=256, binary=True).transform(d)
     d = VectorAssembler(inputCols=[*TEXT, "hashed"], outputCol="text_view").transform(d)
-    return VectorAssembler(inputCols=[*META, "named"], outputCol="meta_view").transform(d).select("doc_id", "text_view", "meta_view")
+    return VectorAssembler(inputCols=[*META, "named"], outputCol="meta_view").transform(d).select("doc_id", "text_view", "meta_view", *(["row"] if carry else []))
 
 
 def _logit(model: LogisticRegressionModel, df: DataFrame, view: str, out: str) -> DataFrame:
@@ -137,11 +138,22 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if model is None:
         one = F.lit(1.0)
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), one.alias("text_score"), one.alias("meta_score"), one.alias("score"), F.lit(True).alias("kept"))
-    f = features(docs, id_col, text_col, lang_col, source_col)
+    return _scored(features(docs, id_col, text_col, lang_col, source_col), model, threshold)
+
+
+def _scored(f: DataFrame, model: CoTrained, threshold: float, *more: str) -> DataFrame:
     z: dict[str, Column] = {}
     for v, m in (("text", model.text), ("meta", model.meta)):
         f = _logit(m, f, f"{v}_view", f"{v}_logit")
         z[v] = F.lit(model.calibration[v][0]) + F.lit(model.calibration[v][1]) * F.col(f"{v}_logit")
     p = lambda x: F.round(1 / (1 + F.exp(-x)), 6)
     both = F.lit(2.0) * (F.lit(model.shares["text"]) * z["text"] + F.lit(model.shares["meta"]) * z["meta"])
-    return f.select("doc_id", p(z["text"]).alias("text_score"), p(z["meta"]).alias("meta_score"), p(both).alias("score"), (p(both) >= threshold).alias("kept"))
+    return f.select("doc_id", p(z["text"]).alias("text_score"), p(z["meta"]).alias("meta_score"), p(both).alias("score"), (p(both) >= threshold).alias("kept"), *more)
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", threshold: float = 0.5, **options) -> DataFrame:
+    """The rows of docs that classify() keeps, with all their columns; each row is judged by itself, in one pass."""
+    model = train(docs, labels, id_col, text_col, lang_col, source_col, **options)
+    if model is None:
+        return docs
+    return _scored(features(docs, id_col, text_col, lang_col, source_col, carry=True), model, threshold, "row").where("kept").select("row.*")

@@ -92,7 +92,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = d.withColumn("at", at).where(F.size("at") > 0).withColumn("i", F.explode("at"))
     d = d.select("doc_id", "path", F.col("i").cast("long").alias("word"), F.get("w", F.col("i")).alias("x"), F.array_join(F.slice("w", F.greatest(F.lit(1), F.col("i") - 2), F.least(F.lit(3), F.col("i"))), " ").alias("ahead"))
     d = d.withColumn("value", F.regexp_replace(F.regexp_extract("x", VALUE, 1), "^[=./_-]+|[=./_-]+$", "")).where((F.length("value") >= 12) & F.col("value").rlike("[0-9]"))
-    return d.select("doc_id", "word", "value", F.concat_ws(" ", "ahead", F.substring_index("x", F.col("value"), 1)).alias("before"), "path")
+    return d.select("doc_id", "word", "value", F.concat_ws(" ", "ahead", F.expr("substring_index(x, value, 1)")).alias("before"), "path")
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", model: RandomForestClassificationModel | None = None) -> DataFrame:

@@ -44,6 +44,7 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
     check[0] = 0
     first_free, queue = 1, [(0, root)]
+    tried: dict[int, int] = {}  # by number of children: where the search for so many places goes on
     while queue:
         state, node = queue.pop()
         value[state] = node.get(-1, -1)
@@ -52,13 +53,17 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             continue
         while check[first_free] != -1:
             first_free += 1
-        at = max(1, first_free - int(codes[0]))
+        at = max(1, first_free - int(codes[0]), tried.get(len(codes), 0))
         while True:
-            if at + 256 >= len(check):
+            if at + 4096 + 256 >= len(check):
                 base, check, value = (np.concatenate((x, np.full(len(x), fill, np.int32))) for x, fill in ((base, 0), (check, -1), (value, -1)))
-            if (check[at + codes] == -1).all():
+            fits = np.flatnonzero((check[np.arange(at, at + 4096)[:, None] + codes] == -1).all(axis=1)) if len(codes) > 1 else np.flatnonzero(check[at + codes[0] : at + codes[0] + 4096] == -1)
+            if len(fits):
+                at += int(fits[0])
                 break
-            at += 1
+            at += 4096
+        if len(codes) > 1:
+            tried[len(codes)] = at
         base[state] = at
         check[at + codes] = state
         queue += [(at + int(c), node[int(c)]) for c in codes]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import words
+from emberlog.llm.common import fresh, words
 from emberlog.session import cut
 
 #: Weights dealt to the sources in code-point order, repeating.
@@ -81,10 +81,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it."""
+    """docs with each row as often as the mix takes it; rows that share an id are all taken as often as the one taken most."""
     id_col = options.get("id_col", "doc_id")
-    counts = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_copies"))
-    counts = counts.groupBy("_mix_id").agg(F.max("_copies").alias("_copies"))
-    found = docs.join(counts, F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")))
-    return found.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
-
+    mix_id, copies, nth = (fresh(docs, x) for x in ("_mix_id", "_copies", "_nth"))
+    counts = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias(mix_id)).agg(F.max("copies").alias(copies))
+    found = docs.join(counts, F.col(id_col).cast("long").eqNullSafe(F.col(mix_id)))
+    return found.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -54,6 +55,7 @@ def piece_counts(pre: DataFrame, model_json: str) -> DataFrame:
     model = pre.sparkSession.sparkContext.broadcast(model_json)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(model.value)
