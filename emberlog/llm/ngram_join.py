@@ -27,9 +27,10 @@ LEVELS = 6
 #: Cost of verifying a pair, in posting reads.
 VERIFY_COST = 24
 #: Frequent shingles that are broadcast for the global order (3 MB, at any corpus size), and shingles a task counts at once.
-FREQUENT, COUNTED = 200_000, 4_000_000
-#: Larger lists of documents with one shingle are compared in square blocks of this many documents.
-BLOCK = 96
+FREQUENT, COUNTED = 200_000, 1_000_000
+#: Lists of more than LIST documents with one shingle are compared in square blocks of at most so many documents and
+#: shingles (and one document more).
+LIST, BLOCK, BLOCK_SHINGLES = 96, 256, 200_000
 #: Bits of the broadcast filter for the documents whose sets are read again (4 MB); more documents only let more pass.
 FILTER_BITS = 25
 
@@ -161,6 +162,19 @@ def _linked_in_block(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _sets_of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(sig, shingles) of the given sets, made from the texts again. A broadcast filter of fixed size thins out what is
+    shuffled; the join decides."""
+    spark = texts.sparkSession
+    ids = cut(ids.toDF("sig").distinct(), "ids")
+    word = F.shiftright(F.col("sig").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6)
+    bits = ids.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63 as int))")).alias("bits")).toArrow()
+    wanted = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    wanted[bits.column(0).to_numpy()] = bits.column(1).to_numpy().astype(np.uint64)
+    chosen = texts.mapInArrow(_chosen_sets(spark.sparkContext.broadcast(wanted)), "sig long, shingles array<long>")
+    return chosen.groupBy("sig").agg(F.first("shingles").alias("shingles")).join(ids, "sig", "left_semi")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. Each pair moves one set; the other one is met where it lies."""
     one, two = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y"))
@@ -174,10 +188,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     1. Sizes and signatures of all sets; documents with equal sets become one.
     2. Prefixes in the order (frequency among tasks' counts, hash). Any order gives the same links; this one keeps
        common passages out of the prefixes. Prefix elements of one document only are dropped.
-    3. Each document is verified against the two documents that most of its prefix elements name as their centre (the
+    3. Each document is verified against up to two documents that many of its prefix elements name as their centre (the
        one with the element nearest the front). Large groups of near copies become one component here.
     4. All pairs of different components that share enough prefix elements for their level, and whose remaining
-       elements can still reach the similarity, are verified; lists over BLOCK documents in blocks.
+       elements can still reach the similarity, are verified; lists over LIST documents in blocks of bounded size.
     Nothing is capped: steps 3 and 4 differ only in the order of work.
 
     Words are runs without ASCII white space, A-Z lower-cased; fewer than five words form one shingle; null, empty and
@@ -195,30 +209,26 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     groups = cut(rows.where("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("size")), "groups")
     prefix = texts.mapInArrow(_prefixes(frequent), "sig long, sig2 long, n long, prefix array<long>").groupBy("sig", "sig2", "n").agg(F.first("prefix").alias("prefix"))
-    least = F.floor((NUM * F.col("n") + DEN - 1) / DEN)
-    posts = prefix.select("sig", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("level", F.greatest(F.lit(1), F.col("pos") - (F.col("n") - least)).cast("int"))
+    # a row of a list is narrow: shingle, document, and its size and place in one number
+    posts = prefix.select("sig", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "sig", (F.shiftleft("n", 32) + F.col("pos")).alias("place"))
     by_token = Window.partitionBy("token")
-    posts = posts.withColumns({"docs": F.count("*").over(by_token), "centre": F.min(F.struct("pos", "n", "sig")).over(by_token)["sig"]}).where("docs > 1")
-    posts = cut(posts, "posts")
-
-    word = F.shiftright(F.col("sig").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6)
-    bits = posts.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63 as int))")).alias("bits")).toArrow()
-    wanted = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    wanted[bits.column(0).to_numpy()] = bits.column(1).to_numpy().astype(np.uint64)
-    wanted = spark.sparkContext.broadcast(wanted)
-    ids = posts.select("sig").distinct()
-    sets = texts.mapInArrow(_chosen_sets(wanted), "sig long, shingles array<long>").groupBy("sig").agg(F.first("shingles").alias("shingles")).join(ids, "sig", "left_semi")
-    sets = cut(sets, "shingles")
+    posts = posts.withColumns({"docs": F.count("*").over(by_token), "pos": F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)), "n": F.shiftright("place", 32)})
+    posts = posts.withColumn("centre", F.min(F.struct("pos", "n", "sig")).over(by_token)).where("docs > 1")
+    least = F.floor((NUM * F.col("n") + DEN - 1) / DEN)
+    level = F.greatest(F.lit(1), F.col("pos") - (F.col("n") - least)).cast("int")
+    posts = cut(posts.select("token", "sig", "n", "pos", level.alias("level"), "docs", F.col("centre.sig").alias("centre"), F.col("centre.n").alias("centre_n")), "posts")
 
-    # step 3: the two centres that most of a document's elements name
-    votes = posts.where("sig <> centre").groupBy("sig", "centre").agg(F.count("*").alias("votes"))
+    # step 3: the two centres that most of a document's elements name. Only likely ones are tried: as many votes as the
+    # highest level asks for, and sizes that allow the similarity. Whatever this leaves out is met in step 4.
+    votes = posts.where("sig <> centre").where(DEN * F.least("n", "centre_n") >= NUM * F.greatest("n", "centre_n")).groupBy("sig", "centre").agg(F.count("*").alias("votes"), F.max("n").alias("n"))
+    votes = votes.where(F.col("votes") >= F.least(F.lit(LEVELS), F.floor((NUM * F.col("n") + DEN - 1) / DEN)))
     best = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("votes"), "centre"))
-    stars = votes.withColumn("nth", best).where("nth <= 2").select(F.col("sig").alias("a"), F.col("centre").alias("b"))
-    links = cut(_verified(stars, sets), "links")
+    stars = cut(votes.withColumn("nth", best).where("nth <= 2").select(F.col("sig").alias("a"), F.col("centre").alias("b")), "stars")
+    links = cut(_verified(stars, _sets_of_ids(texts, stars.select("a").union(stars.select("b")))), "links")
     comps = connected_components(links)
 
     # step 4
-    rest = posts.drop("centre", "docs").join(comps.withColumnRenamed("vertex", "sig"), "sig", "left").withColumn("comp", F.coalesce("component", "sig")).drop("component")
+    rest = posts.drop("centre", "centre_n", "docs").join(comps.withColumnRenamed("vertex", "sig"), "sig", "left").withColumn("comp", F.coalesce("component", "sig")).drop("component")
     rest = rest.withColumns({"low": F.min("comp").over(by_token), "high": F.max("comp").over(by_token), "docs": F.count("*").over(by_token)}).where("low <> high").drop("low", "high")
     rest = cut(rest, "rest")
     reads = [F.sum(F.when(F.col("level") <= k, F.col("docs"))) for k in range(1, LEVELS + 1)]
@@ -226,23 +236,27 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     least_n = F.floor((NUM * F.max("n") + DEN - 1) / DEN)
     own = rest.groupBy("sig").agg(costs.alias("costs"), least_n.alias("most")).select("sig", F.least(F.array_position("costs", F.array_min("costs")), "most").cast("int").alias("own"))
     use = rest.join(own, "sig").where("level <= own")
-    small, large = use.where(F.col("docs") <= BLOCK), use.where(F.col("docs") > BLOCK)
+    small, large = use.where(F.col("docs") <= LIST), use.where(F.col("docs") > LIST)
 
     l, r = (small.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("sig", "n", "pos", "level", "comp", "own"))) for x in "ab")
     pairs = l.join(r, "token").where("sig_a < sig_b and comp_a <> comp_b and greatest(level_a, level_b) <= least(own_a, own_b)").where(DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b"))
     pairs = pairs.groupBy(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).agg(F.count("*").alias("shared"), F.max(F.least("own_a", "own_b")).alias("own"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"))
     reach = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     pairs = pairs.where(F.col("shared") >= F.col("own")).where((NUM + DEN) * reach >= NUM * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-    more = _verified(pairs, sets)
-
-    nth = F.row_number().over(by_token.orderBy("comp", "sig")) - 1
-    large = cut(large.withColumn("block", F.floor(nth / BLOCK)).select("token", "block", "sig", "comp"), "large")
-    blocks = large.groupBy("token", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    other = blocks.select("token", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    met = blocks.join(other, "token").where("block <= block2 and not (low = high and low2 = high2 and low = low2)").select("token", "block", "block2")
+    pairs = cut(pairs, "pairs")
+
+    upto = by_token.orderBy("comp", "sig").rowsBetween(Window.unboundedPreceding, -1)
+    nth, held = F.count("*").over(upto), F.coalesce(F.sum("n").over(upto), F.lit(0))
+    large = cut(large.withColumn("block", F.floor(nth / BLOCK) + F.floor(held / BLOCK_SHINGLES)).select("token", "block", "sig", "comp", "n"), "large")
+    blocks = large.groupBy("token", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("few"), F.max("n").alias("many"))
+    other = blocks.select("token", *(F.col(c).alias(f"{c}2") for c in ("block", "low", "high", "few", "many")))
+    near = (DEN * F.col("many") >= NUM * F.col("few2")) & (DEN * F.col("many2") >= NUM * F.col("few"))
+    met = blocks.join(other, "token").where(near).where("block <= block2 and not (low = high and low2 = high2 and low = low2)").select("token", "block", "block2")
     sides = met.select("token", "block", F.col("block").alias("i"), F.col("block2").alias("j")).unionByName(met.where("block <> block2").select("token", F.col("block2").alias("block"), F.col("block").alias("i"), F.col("block2").alias("j")))
-    tasks = large.join(sides, ["token", "block"]).join(sets, "sig").select("token", "i", "j", "sig", "comp", "shingles")
-    more = more.unionByName(tasks.groupBy("token", "i", "j").applyInPandas(_linked_in_block, "a long, b long"))
+    sides = cut(large.join(sides, ["token", "block"]).select("token", "i", "j", "sig", "comp"), "sides")
+    sets = cut(_sets_of_ids(texts, pairs.select("a").union(pairs.select("b")).union(sides.select("sig"))), "shingles")
+    tasks = sides.join(sets, "sig").select("token", "i", "j", "sig", "comp", "shingles")
+    more = _verified(pairs, sets).unionByName(tasks.groupBy("token", "i", "j").applyInPandas(_linked_in_block, "a long, b long"))
     links = links.unionByName(cut(more, "more"))
 
     comps = connected_components(links).withColumnRenamed("vertex", "sig")
