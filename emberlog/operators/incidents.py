@@ -106,4 +106,4 @@ def triaged(incidents: DataFrame) -> DataFrame:
 
 
 def top_per(rows: DataFrame, keys: tuple[str, ...], *order: Column, k: int) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
