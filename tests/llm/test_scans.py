@@ -1,0 +1,142 @@
+"""Url filters, license and secret scans, and the pipeline."""
+
+from __future__ import annotations
+
+import re
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from emberlog.llm import license_scan, secret_scan, url_filters
+from emberlog.llm.license_scan import CONTAINMENT, SHINGLE, TEMPLATES, template_words, window_words
+
+
+def brute_url(pages, damping=0.85, rounds=12):
+    rules = [(h, p, v) for v, h, p in url_filters.RULES]
+    host, rule, links = {}, {}, defaultdict(int)
+    for k, (i, url, html) in enumerate(pages):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host[k] = "".join(c.lower() if c.isascii() else c for c in re.split("[/?#]", rest, maxsplit=1)[0])
+        path = re.split("[?#]", rest[len(host[k]) :], maxsplit=1)[0]
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (host[k] == h or host[k].endswith("." + h)) and path.startswith(p)]
+        rule[k] = max(fits)[1:] if fits else None
+        for x in re.findall(r"(?i)\b(?:href|src)\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s\"'<>]+)", html or ""):
+            dst = re.split("[/?#]", x.split("//", 1)[1], maxsplit=1)[0].lower()
+            if host[k] and dst and dst != host[k]:
+                links[host[k], dst] += 1
+    score = {}
+    for kind in ("allow", "block"):
+        e = dict(links) if kind == "allow" else {(b, a): n for (a, b), n in links.items()}
+        out, seed = defaultdict(int), defaultdict(float)
+        for (a, _), n in e.items():
+            out[a] += n
+        for k in host:
+            if rule[k] and rule[k][1] == kind and host[k]:
+                seed[host[k]] += 1
+        total = sum(seed.values()) or 1
+        seed = {h: n / total for h, n in seed.items()}
+        rank = dict(seed)
+        for _ in range(rounds if links else 0):
+            new = defaultdict(float)
+            for (a, b), n in e.items():
+                new[b] += damping * rank.get(a, 0) * n / out[a]
+            kept = sum(new.values())
+            for h, s in seed.items():
+                new[h] += s * (1 - kept)
+            rank = new
+        score[kind] = rank
+    return [(p[0], host[k], rule[k][0] if rule[k] else None, rule[k][1] if rule[k] else ("block" if score["block"].get(host[k], 0) > score["allow"].get(host[k], 0) + 1e-15 else "allow")) for k, p in enumerate(pages)]
+
+
+PAGES = [
+    (1, "http://a.org/x", '<a href="http://B.net/y">'), (2, "https://b.net/z?q#f", "<a href='//c.net/'>"), (3, "http://shop.com/de/1", "<a href=http://c.net/a>"), (4, "http://d.net/", '<a href="http://shop.com/x">'),
+    (5, "http://example.org/en/12", None), (6, "http://sub.example.org/en/2", ""), (7, None, "x"), (8, "no host", None), (9, "http://org/", ""), (10, "http://xorg/", ""), (11, "HTTP://Q.COM/fr/#a", ""), (11, "HTTP://Q.COM/fr/#a", ""), (None, "http://example.org/es/", ""), (12, "://", ""), (13, "http://c.net", ""),
+]
+
+
+def test_url_filter(spark):
+    got = url_filters.url_filter(spark.createDataFrame(PAGES, "page_id long, url string, html string"))
+    key = lambda x: tuple(str(v) for v in x)
+    assert sorted(map(key, got.select("page_id", "host", "rule", "verdict").collect())) == sorted(map(key, brute_url(PAGES)))
+    assert {r.path for r in got.where("page_id = 2").collect()} == {"/z"}
+
+
+def test_url_filter_without_pages_or_links(spark):
+    schema = "page_id long, url string, html string, rank double, verdict string"
+    assert url_filters.url_filter(spark.createDataFrame([], schema)).count() == 0
+    got = url_filters.url_filter(spark.createDataFrame([(1, "http://a.org/", None, 1.0, "z"), (2, "http://x.net/", None, 1.0, "z")], schema))
+    assert [r.verdict for r in got.orderBy("page_id").collect()] == ["allow", "allow"]
+
+
+def test_url_filter_on_all_pages(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = brute_url([tuple(r) for r in p.select("page_id", "url", "html").collect()])
+    got = url_filters.url_filter(p).select("page_id", "host", "rule", "verdict").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def brute_licenses(rows):
+    found = set()
+    for i, text in rows:
+        w = template_words(text or "")
+        for name, t in TEMPLATES:
+            tw = template_words(t)
+            need = {tuple(tw[k : k + SHINGLE]) for k in range(len(tw) - SHINGLE + 1)}
+            width, step = window_words(len(tw))
+            have = [tuple(w[k : k + SHINGLE]) for k in range(len(w) - SHINGLE + 1)]
+            last = max(0, -(-(len(w) - width) // step))
+            for g in range(last + 1):
+                if len(need & set(have[g * step : g * step + width - SHINGLE + 1])) / len(need) >= CONTAINMENT:
+                    found.add((i, name))
+                    break
+    return found
+
+
+def test_license_scan(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10**6 + k, f"start of text {t} and more words follow here") for k, (_, t) in enumerate(TEMPLATES)]
+    rows += [(10**6 + 50, None), (10**6 + 51, ""), (10**6 + 52, "MIT License"), (10**6 + 53, "word " * 5000 + TEMPLATES[3][1])]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.license) for r in got.collect()} == brute_licenses(rows)
+    assert license_scan.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_secret_forest_held_out(spark):
+    model = secret_scan.train(spark)
+    held = model.transform(secret_scan.vectors(secret_scan.labelled_findings(spark, 1500, "held out")))
+    assert held.agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0] >= 0.95
+    rows = [(1, "use token = ghp_a8Bc9dEf0GhI1jKl2MnO3pQr4StU5vWx6YzA now", None), (2, "see www.example.com/page/12345.html there", "s"), (3, None, "s"), (4, "", "s"), (5, "plain words only", "s")]
+    got = secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), model=model).collect()
+    assert {r.doc_id for r in got if r.is_secret} == {1}
+
+
+@pytest.fixture(scope="module")
+def pipe(spark, tmp_path_factory):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.01"
+    docs, out = spark.read.parquet(f"{d}/documents.parquet"), []
+    for k, (name, f) in enumerate(corpus_pipeline.STAGES):
+        path = str(tmp_path_factory.mktemp("pipe") / name)
+        f(spark, docs, d).write.parquet(path)
+        out.append((docs, docs := spark.read.parquet(path)))
+    return out
+
+
+def test_pipeline_stages(pipe):
+    from tests.llm.test_documents import BLANK, brute_components
+
+    columns = pipe[0][0].columns
+    for before, after in pipe[:-1]:
+        assert after.columns == columns and 0 < after.count()
+    rows = [[tuple(r) for r in x.select("doc_id", "text").collect()] for x, _ in pipe] + [None]
+    best = {}
+    for i, t in rows[1]:
+        k = BLANK.sub("", t or "")
+        best[k] = min(best.get(k, (1, 0)), (-len(t or ""), i))
+    assert sorted(i for i, _ in rows[2]) == sorted(i for _, i in best.values())
+    want = brute_components(rows[2])
+    assert sorted(i for i, _ in rows[3]) == sorted(i for i, (_, c) in want.items() if i == c)
+    last = pipe[-1][1]
+    assert last.count() == pipe[-1][0].count() and last.where("not exact").count() == 0
