@@ -68,7 +68,11 @@ def _shingles(w: Column) -> Column:
 
 def _bands(h: Column) -> Column:
     """(band, least hash) for each of the bands."""
-    return F.array(*(F.struct(F.lit(k).alias("band"), F.array_min(F.transform(h, lambda x, k=k: F.xxhash64(x, F.lit(k)))).alias("least")) for k in range(BANDS)))
+
+    def least(k: int) -> Column:
+        return F.array_min(F.transform(h, lambda x: F.xxhash64(x, F.lit(k))))
+
+    return F.array(*(F.struct(F.lit(k).alias("band"), least(k).alias("least")) for k in range(BANDS)))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
