@@ -22,12 +22,12 @@ REQUIRED = ("id", "level", "layer", "detection")
 
 
 def load_rules(folder: str) -> list[dict]:
-    """All rules of *.yml files below a folder, by path; a rule without a required key is an error."""
+    """All rules of *.yml files below a folder, by path, several to a file; a rule without a required key is an error."""
     import yaml
 
-    rules = [yaml.safe_load(p.read_text(encoding="utf-8")) for p in sorted(Path(folder).rglob("*.yml"))]
+    rules = [r for p in sorted(Path(folder).rglob("*.yml")) for r in yaml.safe_load_all(p.read_text(encoding="utf-8"))]
     for r in rules:
-        if missing := [k for k in (*REQUIRED,) if k not in r] or ("condition" not in r["detection"] and ["condition"]):
+        if missing := [k for k in REQUIRED if k not in r] or [k for k in ("condition",) if k not in r["detection"]]:
             raise ValueError(f"rule {r.get('id')}: no {', '.join(missing)}")
     return rules
 
@@ -69,7 +69,11 @@ def _field(df: DataFrame, name: str, value) -> Column:
     c = column_of(df, field)
     is_list = isinstance(df.select(c).schema[0].dataType, T.ArrayType)
     values = value if isinstance(value, list) else [value]
-    tests = [F.exists(c, lambda x, v=v: F.coalesce(_one(x, v, how), F.lit(False))) if is_list and v is not None else _one(c, v, how) for v in values]
+
+    def test(v) -> Column:
+        return F.exists(c, lambda x: F.coalesce(_one(x, v, how), F.lit(False))) if is_list and v is not None else _one(c, v, how)
+
+    tests = [test(v) for v in values]
     return reduce(Column.__and__ if "all" in mods else Column.__or__, (F.coalesce(t, F.lit(False)) for t in tests))
 
 
