@@ -236,15 +236,22 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     least_n = F.floor((NUM * F.max("n") + DEN - 1) / DEN)
     own = rest.groupBy("sig").agg(costs.alias("costs"), least_n.alias("most")).select("sig", F.least(F.array_position("costs", F.array_min("costs")), "most").cast("int").alias("own"))
     use = rest.join(own, "sig").where("level <= own")
+    use = cut(use, "use")
     small, large = use.where(F.col("docs") <= LIST), use.where(F.col("docs") > LIST)
 
     l, r = (small.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("sig", "n", "pos", "level", "comp", "own"))) for x in "ab")
     pairs = l.join(r, "token").where("sig_a < sig_b and comp_a <> comp_b and greatest(level_a, level_b) <= least(own_a, own_b)").where(DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b"))
+    # what two sets share lies before, at or after a shared element in both
+    most = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    pairs = pairs.where((NUM + DEN) * most >= NUM * (F.col("n_a") + F.col("n_b")))
     pairs = pairs.groupBy(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).agg(F.count("*").alias("shared"), F.max(F.least("own_a", "own_b")).alias("own"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"))
     reach = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     pairs = pairs.where(F.col("shared") >= F.col("own")).where((NUM + DEN) * reach >= NUM * (F.col("n_a") + F.col("n_b"))).select("a", "b")
     pairs = cut(pairs, "pairs")
 
+    # shingles of one passage have the same list; one of each such set of lists finds all its pairs
+    lists = large.groupBy("token").agg(F.count("*").alias("n_docs"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y"))
+    large = large.join(lists.groupBy("n_docs", "x", "y").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
     upto = by_token.orderBy("comp", "sig").rowsBetween(Window.unboundedPreceding, -1)
     nth, held = F.count("*").over(upto), F.coalesce(F.sum("n").over(upto), F.lit(0))
     large = cut(large.withColumn("block", F.floor(nth / BLOCK) + F.floor(held / BLOCK_SHINGLES)).select("token", "block", "sig", "comp", "n"), "large")
