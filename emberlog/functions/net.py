@@ -7,12 +7,13 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IPV4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
 ZONED = r"(Z|[+-]\d\d:?\d\d)$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical(texts: pd.Series) -> pd.Series:
     def one(t):
         try:
@@ -24,7 +25,7 @@ def _canonical(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_global_ip(texts: pd.Series) -> pd.Series:
     def one(t):
         try:
