@@ -92,11 +92,12 @@ def auth_events(src: DataFrame, year: int, month: int = 12) -> DataFrame:
     rows = rows.withColumn("msg", F.when(repeated != "", repeated).otherwise(F.col("msg")))
     msg, none = F.col("msg"), F.lit(None).cast("string")
     take = lambda p, i: F.nullif(F.regexp_extract(msg, p, i), F.lit("")) if i else none
-    pam = F.when(msg.rlike("^pam_unix.*" + PAM_USER), F.struct(F.concat(F.lit("session_"), F.regexp_extract(msg, PAM_USER, 1)).alias("event"), F.lit("info").alias("result"), F.regexp_extract(msg, PAM_USER, 2).alias("user"), none.alias("address"), none.alias("port"), none.alias("auth_method")))
-    pam = pam.when(msg.rlike("^pam_unix.*authentication failure"), F.struct(F.lit("pam_failure"), F.lit("failure"), key_values(msg)["user"], key_values(msg)["rhost"], none, none))
+    told = lambda *xs: F.struct(*(x.alias(n) for x, n in zip(xs, ("event", "result", "user", "address", "port", "auth_method"), strict=True)))
+    pam = F.when(msg.rlike("^pam_unix.*" + PAM_USER), told(F.concat(F.lit("session_"), F.regexp_extract(msg, PAM_USER, 1)), F.lit("info"), F.regexp_extract(msg, PAM_USER, 2), none, none, none))
+    pam = pam.when(msg.rlike("^pam_unix.*authentication failure"), told(F.lit("pam_failure"), F.lit("failure"), key_values(msg)["user"], key_values(msg)["rhost"], none, none))
     for programs, p, event, result, (u, a, port, how) in AUTH:
-        pam = pam.when(F.col("program").rlike(f"^(?:{programs})$") & msg.rlike(p), F.struct(F.lit(event), F.lit(result), take(p, u), take(p, a), take(p, port), take(p, how)))
-    rows = rows.withColumn("c", pam.otherwise(F.struct(F.lit("other"), F.lit("info"), none, none, none, none)))
+        pam = pam.when(F.col("program").rlike(f"^(?:{programs})$") & msg.rlike(p), told(F.lit(event), F.lit(result), take(p, u), take(p, a), take(p, port), take(p, how)))
+    rows = rows.withColumn("c", pam.otherwise(told(F.lit("other"), F.lit("info"), none, none, none, none)))
     rows = rows.select("file", "line_no", "ts", "host", "program", "pid", "c.*").withColumn("src_ip", canonical_ip(F.col("address")))
     return as_events(rows, "auth")
 
