@@ -419,3 +419,51 @@ def set_intersect(spark, sf_dir):
 @query("SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def set_except(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).subtract(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_custkey"))
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS incident_id, l_linenumber AS evidence_id, l_discount, unnest(list_distinct([l_partkey, l_suppkey])) AS ref FROM lineitem),
+o AS (SELECT l_orderkey AS incident_id, l_partkey AS ref, count(DISTINCT l_shipdate) AS places FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL)
+SELECT incident_id, evidence_id, count(places) AS n_known, count(*) - count(places) AS n_unknown, count(*) FILTER (places > 1) AS n_ambiguous,
+  CASE WHEN count(*) > count(places) OR max(places) > 1 THEN 0.0::DOUBLE ELSE max(l_discount) END AS contribution
+FROM c LEFT JOIN o USING (incident_id, ref) GROUP BY incident_id, evidence_id""")
+def citation_check(spark, sf_dir):
+    """Lines cite their part and supplier; the parts of an order's settled lines were observed."""
+    from emberlog.operators.decisions import citations
+
+    lines = table(spark, sf_dir, "lineitem")
+    cited = lines.select(F.col("l_orderkey").alias("incident_id"), F.col("l_linenumber").alias("evidence_id"), F.array("l_partkey", "l_suppkey").alias("refs"), F.col("l_discount").alias("contribution"))
+    return citations(cited, lines.where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("incident_id"), F.col("l_partkey").alias("ref"), F.col("l_shipdate").alias("location")))
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT p_brand, p_partkey, p_size, p_retailprice > 950 AS high, p_partkey > 100 AS undo, p_size = 1 AS must FROM part),
+q AS (SELECT p_partkey, p_partkey + 1 AS required FROM part WHERE p_size >= 40),
+h AS (SELECT p_brand, p_partkey, false AS req FROM c WHERE p_size > 30 OR must UNION SELECT h.p_brand, q.required, true FROM h JOIN q ON h.p_partkey = q.p_partkey JOIN c ON c.p_brand = h.p_brand AND c.p_partkey = q.required),
+k AS (SELECT p_brand, p_partkey, bool_and(req) AS req FROM h GROUP BY ALL),
+a0 AS (SELECT c.*, CASE WHEN must THEN 'mandatory' WHEN req THEN 'required' ELSE 'selected' END AS why, NOT must AND NOT req AS free FROM c JOIN k USING (p_brand, p_partkey)),
+a1 AS (SELECT * FROM a0 QUALIFY NOT (high AND free AND row_number() OVER (PARTITION BY p_brand ORDER BY high AND free DESC, p_size DESC, p_partkey) <= count(*) FILTER (high) OVER (PARTITION BY p_brand) - 1)),
+a2 AS (SELECT * FROM a1 QUALIFY NOT (NOT undo AND free AND row_number() OVER (PARTITION BY p_brand ORDER BY NOT undo AND free DESC, p_size DESC, p_partkey) <= count(*) FILTER (NOT undo) OVER (PARTITION BY p_brand) - 2))
+SELECT p_brand, p_partkey, why FROM a2 QUALIFY NOT (free AND row_number() OVER (PARTITION BY p_brand ORDER BY free DESC, p_size DESC, p_partkey) <= count(*) OVER (PARTITION BY p_brand) - 8)""")
+def action_selection(spark, sf_dir):
+    """Parts of a brand as actions: large ones selected, the smallest mandatory, the next key required by the largest."""
+    from emberlog.operators.decisions import chosen_actions
+
+    p = table(spark, sf_dir, "part")
+    candidates = p.select(
+        F.col("p_brand").alias("incident_id"), F.col("p_partkey").alias("template_id"), F.col("p_size").alias("priority"), F.when(F.col("p_retailprice") > 950, "HIGH").otherwise("LOW").alias("risk"),
+        (F.col("p_partkey") > 100).alias("reversible"), (F.col("p_size") == 1).alias("mandatory"),
+    )
+    selected = candidates.where("priority > 30").select("incident_id", "template_id")
+    requires = p.where("p_size >= 40").select(F.col("p_partkey").alias("template_id"), (F.col("p_partkey") + 1).alias("required"))
+    return chosen_actions(candidates, selected, requires).select(F.col("incident_id").alias("p_brand"), F.col("template_id").alias("p_partkey"), "why")
+
+
+@query()
+def keyword_techniques(spark, sf_dir):
+    """Documents as evidence: what they name in clauses that deny nothing."""
+    from emberlog.plans.keywords import evidence_hits
+
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("incident_id"), F.col("doc_id").alias("evidence_id"), F.lit("").alias("event_type"), F.col("text").alias("description"))
+    rules = [{"id": "licence", "words": ["license", "copyright"]}, {"id": "secret", "words": ["password", "secret", "token"], "commands": ["api_key"]}]
+    return evidence_hits(docs, rules).select("incident_id", "evidence_id", "technique_id", F.array_join("keywords", ",").alias("keywords"))
