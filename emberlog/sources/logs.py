@@ -58,8 +58,8 @@ def lines(spark: SparkSession, path: str, since: str | None = None) -> DataFrame
     Line numbers need a file's lines in order, so a file is one task, as a gz file is anyway; rotation bounds its size.
     Files are cut at line feeds only; a trailing carriage return goes.
     """
-    reader = spark.read.option("wholetext", True)
-    raw = (reader.option("modifiedAfter", since) if since else reader).text(f"{path}*").select(F.regexp_replace("_metadata.file_name", r"\.gz$", "").alias("file"), "value")
+    reader = spark.read
+    raw = (reader.option("modifiedAfter", since) if since else reader).text(f"{path}*", wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.gz$", "").alias("file"), "value")
     cut = raw.select("file", F.posexplode(F.split("value", "\n", -1)).alias("n", "line"))
     return cut.select("file", (F.col("n") + 1).cast("bigint").alias("line_no"), F.regexp_replace("line", r"\r$", "").alias("line")).where("line <> ''")
 
