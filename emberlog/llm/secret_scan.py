@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.common import words
 
-#: A candidate: the last long run of token characters in a word, with at least one digit.
-VALUE = r"([A-Za-z0-9+/_.=-]{12,})[^A-Za-z0-9]*$"
+#: A candidate: any whole run of 12 or more token characters with a digit (group 2), and what lies between it and the
+#: one before (group 1). = is no token character, so that NAME=VALUE gives the name to group 1.
+VALUE = r"(?s)(.*?)(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])([A-Za-z0-9+/_.-]{12,})"
+#: The end of user information in front of a password, as in scheme://user:
+USER_INFO = "://[^/@]*:$"
 #: Words that announce a secret, words that announce something else, and dictionary words (fixed values).
 SECRET_WORDS = "token|secret|password|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|auth|bearer"
 HARMLESS_WORDS = "sha1|sha256|md5|commit|hash|checksum|digest|uuid|guid|revision|version|build|page|order|phone|card|isbn|id"
@@ -30,7 +33,7 @@ def _share(x: Column, pattern: str) -> Column:
 
 
 def with_features(found: DataFrame) -> DataFrame:
-    """Add FEATURES to (value, before, path): before holds the word's own beginning and the words in front of it."""
+    """Add FEATURES to (value, before, path): before holds what candidates() puts in front of the value."""
     v, low, near = F.col("value"), F.lower("value"), F.lower("before")
     n = F.greatest(F.length(v), F.lit(1))
     count = lambda x, p: F.regexp_count(x, F.lit(p)) / n
@@ -39,9 +42,9 @@ def with_features(found: DataFrame) -> DataFrame:
         "digits": _share(v, "[0-9]+"), "upper": _share(v, "[A-Z]+"),
         "switches": count(v, "[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"), "case_switches": count(v, "[a-z](?=[A-Z])"),
         "bigrams": count(low, f"(?:{BIGRAMS})"), "covered": _share(low, DICTIONARY), "hex": F.when(low.rlike("^[0-9a-f]+$"), 1.0).otherwise(0.0),
-        "shape": F.when(v.rlike("^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abp]-.*|sk[-_].*)$"), 2.0).when(low.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), -1.0).when(v.rlike("^[0-9.+-]+$"), -2.0).when(v.rlike(r"[/.].*[/.]"), -3.0).otherwise(0.0),
+        "shape": F.when(v.rlike("^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abp]-.*|sk[-_].*)$"), 2.0).when(low.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), -1.0).when(v.rlike("^[0-9.+-]+$"), -2.0).when(v.rlike(r"[/.].*[/.]|^[0-9]{1,5}/"), -3.0).otherwise(0.0),
         "safe_path": F.when(F.lower("path").rlike(SAFE_PATHS), 1.0).otherwise(0.0),
-        "near_secret": F.when(near.rlike(rf"(?:{SECRET_WORDS})"), 1.0).otherwise(0.0), "near_harmless": F.when(near.rlike(rf"\b(?:{HARMLESS_WORDS})\b"), 1.0).otherwise(0.0),
+        "near_secret": F.when(near.rlike(rf"(?:{SECRET_WORDS})|{USER_INFO}"), 1.0).otherwise(0.0), "near_harmless": F.when(near.rlike(rf"\b(?:{HARMLESS_WORDS})\b"), 1.0).otherwise(0.0),
     })
 
 
@@ -55,6 +58,11 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, salt: str = "train
     plain = pick("plain", ["the and of", "is on with", "see also the", "of an was"])
     number = F.rpad(F.regexp_replace(h("d"), "[a-f]", ""), 16, "7")
     name = pick("name", ["userConfigValue", "page_index_test", "reportBuilderFile", "thetionanding", "order-number-of", "image_version_"])
+    joined = pick("joined", ["API_KEY=", "export OAUTH2_CLIENT_SECRET=", "--password=", '{"token":"', '","secret":"', "{'access_key':'", "https://x.io/cb?token=", "https://x.io/page?lang=en&api_key=", "id=7;pwd="])
+    harmless = pick("harmless", ["COMMIT=", "BUILD=", '{"sha256":"', '","commit":"', "https://x.io/cb?page=", "https://x.io/log?lang=en&order=", "checksum=", "id="])
+    dsn = pick("dsn", ["postgres://app:", "DATABASE_URL=mysql://root:", "redis://:", "https://bob:", "amqp://svc1:"])
+    host = F.concat(pick("db", ["db", "node", "cache", "mail"]), F.substring(number, 1, 2), pick("tld", [".example.com", ".internal.net", ".example.org/main"]))
+    password = F.concat(F.substring(F.lower(b64), 1, 6), F.substring(number, 1, 1), F.substring(b64, 8, 6))
     kinds = [  # value, words before, is a secret
         (F.substring(h("a"), 1, 32), own, 1), (F.substring(h("a"), 1, 40), own, 1), (F.substring(b64, 1, 40), own, 1), (F.substring(b64, 1, 24), own, 1),
         (F.concat(F.lit("AKIA"), F.upper(F.translate(F.substring(b64, 1, 16), "x", "Q"))), pick("e", ["token =", "key:", "the of", "was on"]), 1),
@@ -63,6 +71,11 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, salt: str = "train
         (F.concat(name, F.substring(number, 1, 3)), plain, 0), (F.concat(name, F.substring(number, 1, 2)), own, 0),
         (pick("fake", ["your_token_here_123", "example_password_1", "xxxxxxxxxxxx1234", "change-me-secret-99", "test_key_placeholder0"]), own, 0),
         (F.concat(F.lit("www.example.com/page/"), F.substring(number, 1, 4), F.lit(".html")), plain, 0), (F.concat(F.substring(number, 1, 2), F.lit("."), name, F.lit(".example.com")), plain, 0),
+        # joined, JSON, URL and DSN forms
+        (F.substring(h("a"), 1, 32), joined, 1), (F.substring(h("a"), 1, 40), joined, 1), (F.substring(b64, 1, 24), joined, 1), (password, joined, 1), (password, dsn, 1), (F.substring(b64, 1, 16), dsn, 1), (F.substring(h("a"), 1, 24), dsn, 1),
+        (F.substring(h("a"), 1, 40), harmless, 0), (h("a"), harmless, 0), (F.expr("uuid_text"), harmless, 0), (number, harmless, 0), (number, joined, 0), (F.concat(name, F.substring(number, 1, 2)), joined, 0),
+        (host, pick("at", ["@", "postgres://", "https://", "HOST="]), 0), (F.concat(F.substring(number, 1, 4), F.lit("/"), name), pick("port", ["http://localhost:", "https://x.io:", "redis://cache:"]), 0),
+        (pick("names", ["OAUTH2_CLIENT_SECRET", "S3_SECRET_ACCESS_KEY", "oauth2_client_token", "API_V2_PASSWORD"]), pick("e2", ["export", '{"', "", "https://x.io/cb?"]), 0),
     ]
     uuid = F.concat_ws("-", *(F.substring(h("u"), a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     kind = F.array(*(F.struct(v.alias("value"), b.alias("before"), F.lit(float(y)).alias("label")) for v, b, y in kinds))
@@ -81,9 +94,11 @@ def train(spark: SparkSession, findings: DataFrame | None = None) -> RandomFores
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """(doc_id, word, value, before, path): words that hold a run of 12 or more token characters with a digit.
+    """(doc_id, word, value, before, path): all runs of 12 or more token characters with a digit, several a word.
 
-    `word` is the word's number in its text; `before` the word's beginning up to the value and the three words in front.
+    `word` is the word's number in its text. `before` is, for a word's first value, the three words in front and the
+    word's beginning; for the next ones what lies between it and the value before, with that value where it is the name
+    (name=value, "name":"value"); in a list, where no name lies between, what was before the value before.
     """
     text = F.col(text_col).cast("string")
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
@@ -91,8 +106,18 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = F.filter(F.transform("w", lambda x, i: F.when((F.length(x) >= 12) & x.rlike("[0-9]"), i)), lambda i: i.isNotNull())
     d = d.withColumn("at", at).where(F.size("at") > 0).withColumn("i", F.explode("at"))
     d = d.select("doc_id", "path", F.col("i").cast("long").alias("word"), F.get("w", F.col("i")).alias("x"), F.array_join(F.slice("w", F.greatest(F.lit(1), F.col("i") - 2), F.least(F.lit(3), F.col("i"))), " ").alias("ahead"))
-    d = d.withColumn("value", F.regexp_replace(F.regexp_extract("x", VALUE, 1), "^[=./_-]+|[=./_-]+$", "")).where((F.length("value") >= 12) & F.col("value").rlike("[0-9]"))
-    return d.select("doc_id", "word", "value", F.concat_ws(" ", "ahead", F.expr("substring_index(x, value, 1)")).alias("before"), "path")
+    d = d.select("doc_id", "path", "word", "ahead", *(F.regexp_extract_all("x", F.lit(VALUE), F.lit(k)).alias(c) for k, c in ((1, "gaps"), (2, "runs")))).where(F.size("runs") > 0)
+
+    def add(told: Column, i: Column) -> Column:
+        gap = F.get("gaps", i)
+        own = F.when(gap.rlike("^[\"']?[=:]"), F.concat(F.get("runs", i - 1), gap)).otherwise(gap)
+        listed = ~own.rlike("[A-Za-z]") & own.rlike("[,;|]")
+        return F.concat(told, F.array(F.when(i == 0, F.concat_ws(" ", "ahead", gap)).when(listed, F.element_at(told, -1)).otherwise(own)))
+
+    told = F.aggregate(F.sequence(F.lit(0), F.size("runs") - 1), F.array().cast("array<string>"), add)
+    d = d.withColumn("told", told).select("doc_id", "path", "word", F.explode(F.arrays_zip("runs", "told")).alias("one"))
+    d = d.select("doc_id", "word", F.regexp_replace("one.runs", "^[./_-]+|[./_-]+$", "").alias("value"), F.col("one.told").alias("before"), "path")
+    return d.where((F.length("value") >= 12) & F.col("value").rlike("[0-9]"))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", model: RandomForestClassificationModel | None = None) -> DataFrame:

@@ -140,3 +140,20 @@ def test_pipeline_stages(pipe):
     assert sorted(i for i, _ in rows[3]) == sorted(i for i, (_, c) in want.items() if i == c)
     last = pipe[-1][1]
     assert last.count() == pipe[-1][0].count() and last.where("not exact").count() == 0
+
+
+def test_secrets_inside_words(spark):
+    hex40, hex32 = "9f8e64439e3e49cf46b2d7c90f3602a3d0b907ff", "24be64439e3e49cf46b2d7c90f3602a3"
+    rows = [
+        (1, f'{{"token":"{hex40}","user":"bob"}}', {hex40}), (2, f"https://x.io/cb?token={hex40}&lang=en", {hex40}), (3, "postgres://app:Tr0ub4dor9xyz@db.example.com/main", {"Tr0ub4dor9xyz"}),
+        (4, f"API_KEY={hex40}", {hex40}), (5, f'{{"secret":"{hex40}","commit":"{hex32}{hex32}"}}', {hex40}), (6, f"OAUTH2_CLIENT_SECRET={hex32}", {hex32}), (7, f'{{"tokens":["{hex40}","{hex32}"]}}', {hex40, hex32}),
+        (8, f'commit={hex40}', set()), (9, "http://localhost:8080/userConfigValue", set()), (10, "postgres://app:Tr0ub4dor9xyz@db12.example.com/main", {"Tr0ub4dor9xyz"}),
+    ]
+    docs = spark.createDataFrame([(i, t, "src1") for i, t, _ in rows], "doc_id long, text string, source string")
+    seen = {(r.doc_id, r.value): r.before for r in secret_scan.candidates(docs).collect()}
+    for i, _, want in rows:
+        assert want <= {v for k, v in seen if k == i}
+    assert seen[4, hex40] == " API_KEY=" and seen[6, hex32] == "OAUTH2_CLIENT_SECRET=" and seen[7, hex32] == ' {"tokens":["'
+    got = secret_scan.secret_scan(docs).where("is_secret").collect()
+    hashes = {spark.sql(f"select sha2('{v}', 256)").first()[0]: v for _, _, want in rows for v in want}
+    assert {(r.doc_id, hashes.get(r.value_sha256)) for r in got} == {(i, v) for i, _, want in rows for v in want}
