@@ -161,6 +161,12 @@ def link_equi(spark, sf_dir):
     return l.join(o, l.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", "o_custkey", "o_orderpriority")
 
 
+@query("SELECT l_orderkey, l_linenumber, o_custkey, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def link_equi_whole(spark, sf_dir):
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    return l.join(o, l.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", "o_custkey", "o_orderpriority")
+
+
 @query(f"WITH {E} SELECT a.event_id AS a, b.event_id AS b FROM e a JOIN e b ON a.user_id = b.user_id AND a.k = b.k WHERE a.event_type = 'error' AND b.event_type = 'view'")
 def link_flow_exact(spark, sf_dir):
     e = events(spark, sf_dir)
@@ -226,6 +232,11 @@ def components_general(spark, sf_dir):
     return connected_components(g)
 
 
+@query()  # recursive SQL takes the square of the vertices; the tests hold it against brute force
+def components_whole(spark, sf_dir):
+    return connected_components(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (-F.col("l_partkey")).alias("b")))
+
+
 @query(SESSIONS + "SELECT min(event_id) AS component, substr(sha1(string_agg(event_id::VARCHAR, '|' ORDER BY event_id::VARCHAR)), 1, 8) AS incident_id, count(*) AS member_count FROM b GROUP BY user_id, event_type, burst HAVING count(*) > 1")
 def incident_build(spark, sf_dir):
     m = incidents.members_of(_chain(spark, sf_dir))
@@ -273,6 +284,36 @@ def state_diff(spark, sf_dir):
     return queue.state_diff(found(e.where((F.col("at") < now) & (F.col("user_id") % 5 != 0))), state, at).select("incident_key", "emit", "max_member_count")
 
 
+#: Incidents by entity and process, of all events: those before the second cut are known, those since the first are news.
+STAGED = f"""{E}, i AS (SELECT *, concat_ws(':', user_id, k) AS incident_key FROM e), s AS (SELECT incident_key, max(us) AS end_at, count(*) AS n, min(user_id) AS u FROM i WHERE us < epoch_us(TIMESTAMP '{CUTS[1]}') GROUP BY 1),
+w AS (SELECT incident_key, max(us) AS end_at, count(*) AS n, min(user_id) AS u FROM i WHERE us >= epoch_us(TIMESTAMP '{CUTS[0]}') GROUP BY 1)"""
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = events(spark, sf_dir).withColumn("incident_key", F.concat_ws(":", F.col("user_id").cast("string"), F.col("k").cast("string")))
+    first, second = (F.unix_micros(F.lit(c).cast("timestamp")) for c in CUTS)
+    found = lambda rows: rows.groupBy("incident_key").agg(F.timestamp_micros(F.max("at")).alias("window_end"), F.count("*").alias("member_count"), F.min("user_id").alias("u"))
+    return found(e.where(F.col("at") < second)), found(e.where(F.col("at") >= first))
+
+
+@query(f"""WITH {STAGED} SELECT coalesce(w.incident_key, s.incident_key) AS incident_key, CASE WHEN w.n IS NULL THEN NULL WHEN s.n IS NULL THEN 'new' WHEN w.end_at > s.end_at OR w.n > s.n THEN 'update' ELSE 'silent' END AS emit, greatest(w.n, s.n) AS max_member_count FROM w FULL JOIN s ON w.incident_key = s.incident_key""")
+def state_diff_whole(spark, sf_dir):
+    known, news = _staged(spark, sf_dir)
+    at = F.lit(CUTS[1]).cast("timestamp")
+    return queue.state_diff(news, known.withColumnRenamed("member_count", "max_member_count").withColumn("last_seen", at), at).select("incident_key", "emit", "max_member_count")
+
+
+@query(f"""WITH {STAGED}, q AS (SELECT incident_key, CASE u % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'investigating' ELSE 'done' END AS status, n FROM s)
+SELECT coalesce(q.incident_key, w.incident_key) AS incident_key, CASE WHEN q.n IS NULL OR (w.n IS NOT NULL AND q.status = 'done') THEN 'pending' ELSE q.status END AS status, coalesce(w.n IS NOT NULL AND q.status = 'investigating', FALSE) AS has_update,
+coalesce(w.n, q.n) AS triage_score, CASE WHEN w.u % 5 = 0 THEN 'hold' ELSE 'investigate' END AS route FROM q FULL JOIN w ON q.incident_key = w.incident_key""")
+def queue_upsert_whole(spark, sf_dir):
+    (known, news), at = _staged(spark, sf_dir), F.lit("2024-02-01 00:00:00").cast("timestamp")
+    status = F.when(F.col("u") % 3 == 0, "pending").when(F.col("u") % 3 == 1, "investigating").otherwise("done")
+    q = known.select("incident_key", status.alias("status"), F.lit(False).alias("has_update"), F.col("member_count").alias("triage_score"), F.lit("investigate").alias("route"), at.alias("updated_at"))
+    c = news.select("incident_key", F.col("member_count").alias("triage_score"), F.when(F.col("u") % 5 == 0, "hold").otherwise("investigate").alias("route"))
+    return queue.upsert(q, c, at).drop("updated_at")
+
+
 QUEUE = "q AS (SELECT user_id::VARCHAR AS incident_key, CASE user_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'investigating' ELSE 'done' END AS status, FALSE AS has_update, count(*) AS triage_score, 'investigate' AS route FROM e WHERE user_id % 2 = 0 GROUP BY user_id), c AS (SELECT user_id::VARCHAR AS incident_key, count(*) FILTER (event_type = 'error') AS score, CASE WHEN user_id % 5 = 0 THEN 'hold' ELSE 'investigate' END AS route FROM e WHERE user_id % 7 < 4 GROUP BY user_id)"
 UPSERT = f"""{E}, {QUEUE}, n AS (SELECT coalesce(q.incident_key, c.incident_key) AS incident_key, CASE WHEN q.status IS NULL OR (c.score IS NOT NULL AND q.status = 'done') THEN 'pending' ELSE q.status END AS status,
 coalesce(c.score IS NOT NULL AND q.status = 'investigating', FALSE) AS has_update, coalesce(c.score, q.triage_score) AS triage_score, coalesce(c.route, q.route) AS route FROM q FULL JOIN c ON q.incident_key = c.incident_key)"""
