@@ -75,7 +75,16 @@ def _bands(h: Column) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("band"), least(k).alias("least")) for k in range(BANDS)))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+def rivals_of(templates: tuple[tuple[str, str], ...]) -> tuple[list[list[list[str]]], int]:
+    """For each template the words of its near twins: those of other licenses whose whole text matches it. Also the most
+    shingles that a twin has of its own, which may lie outside of a window that just reaches CONTAINMENT."""
+    w = [template_words(t) for _, t in templates]
+    shingles = [{tuple(x[i : i + SHINGLE]) for i in range(len(x) - SHINGLE + 1)} for x in w]
+    twins = [[j for j, b in enumerate(shingles) if templates[j][0] != templates[i][0] and len(a & b) >= CONTAINMENT * len(a)] for i, a in enumerate(shingles)]
+    return [[w[j] for j in js] for js in twins], max((len(shingles[j] - shingles[i]) for i, js in enumerate(twins) for j in js), default=0)
+
+
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, best: bool = False) -> DataFrame:
     """Find the licenses whose notices a text holds.
 
     A text's words are lower-case runs of letters and digits (with inner dots and hyphens); a notice matches if a
@@ -83,15 +92,21 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a text without any can't match. Null and empty texts, and texts of fewer than five words, match nothing. Repeated
     rows with the same id give one row for each license. Returns (doc_id, license, n_windows, containment, first_word),
     where n_windows counts the verified windows and first_word the words before the first one.
+
+    Near twins (GPL-2.0 and GPL-3.0 differ in one word) both match either text. With `best` a window counts only if no
+    twin has a higher containment at its place, so the line of one license gives no row for the other; of a line
+    that tells them in no way both stay.
     """
     spark = docs.sparkSession
     spec = []
+    rivals, spare = rivals_of(templates)
     for k, (name, text) in enumerate(templates):
         w = template_words(text)
-        spec.append((k, name, w, *window_words(len(w))))
-    t = spark.createDataFrame(spec, "template int, license string, words array<string>, width int, step int")
-    t = t.withColumn("need", F.array_distinct(_shingles(F.col("words"))))
-    bands = F.broadcast(t.select("template", "license", "need", "width", "step", F.explode(_bands(F.col("need"))).alias("b")).select("template", "license", "need", "width", "step", "b.*"))
+        spec.append((k, name, w, rivals[k] if best else [], *window_words(len(w))))
+    t = spark.createDataFrame(spec, "template int, license string, words array<string>, rivals array<array<string>>, width int, step int")
+    t = t.withColumn("need", F.array_distinct(_shingles(F.col("words")))).withColumn("rivals", F.transform("rivals", lambda x: F.array_distinct(_shingles(x))))
+    told = ("template", "license", "need", "rivals", "width", "step")
+    bands = F.broadcast(t.select(*told, F.explode(_bands(F.col("need"))).alias("b")).select(*told, "b.*"))
 
     any_anchor = anchors(templates)
     pattern = "|".join(re.escape(x) for x in any_anchor)
@@ -107,8 +122,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     last = F.greatest(F.lit(0), F.ceil((F.size("h") + SHINGLE - 1 - F.col("width")) / F.col("step"))).cast("int")
     near = F.array_distinct(F.flatten(F.transform("marks", lambda i: F.sequence(F.greatest(F.lit(0), F.ceil((i - F.col("width") + 1) / F.col("step")).cast("int")), F.greatest(F.least(last, F.floor(i / F.col("step")).cast("int")), F.least(last, F.greatest(F.lit(0), F.ceil((i - F.col("width") + 1) / F.col("step")).cast("int"))))))))
     g = d.select("doc_id", key, "width", "step", F.explode(near).alias("g"), "h")
-    g = g.withColumn("h", F.array_distinct(F.slice("h", F.col("g") * F.col("step") + 1, F.col("width") - SHINGLE + 1))).where(F.size("h") > 0)
-    hit = g.withColumn("b", F.explode(_bands(F.col("h")))).select("doc_id", key, "g", "width", "step", "h", "b.*")
+    start, size = F.col("g") * F.col("step") + 1, F.col("width") - SHINGLE + 1
+    low = F.greatest(F.lit(1), start - spare)
+    place = F.slice("h", low, start + size + spare - low) if best else F.lit(None).cast("array<bigint>")
+    g = g.withColumn("place", place).withColumn("h", F.array_distinct(F.slice("h", start, size))).where(F.size("h") > 0)
+    hit = g.withColumn("b", F.explode(_bands(F.col("h")))).select("doc_id", key, "g", "width", "step", "h", "place", "b.*")
     hit = hit.join(bands, ["width", "step", "band", "least"]).withColumn("containment", F.size(F.array_intersect("h", "need")) / F.size("need"))
-    hit = hit.where(F.col("containment") >= CONTAINMENT).groupBy("doc_id", "license", key, "width", "g", "template").agg(F.max("containment").alias("containment"), F.max(F.col("g") * F.col("step")).alias("at"))
+    part = lambda x: F.size(F.array_intersect("place", x)) / F.size(x)
+    hit = hit.where(F.col("containment") >= CONTAINMENT)
+    if best:
+        hit = hit.where(~F.exists("rivals", lambda x: part(x) > part(F.col("need"))))
+    hit = hit.groupBy("doc_id", "license", key, "width", "g", "template").agg(F.max("containment").alias("containment"), F.max(F.col("g") * F.col("step")).alias("at"))
     return hit.groupBy("doc_id", "license").agg(F.count("*").alias("n_windows"), F.round(F.max("containment"), 6).alias("containment"), F.min("at").cast("long").alias("first_word"))

@@ -33,7 +33,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+    return license_scan.license_scan(table(spark, sf_dir, "documents"), best=True)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,3 +157,20 @@ def test_secrets_inside_words(spark):
     got = secret_scan.secret_scan(docs).where("is_secret").collect()
     hashes = {spark.sql(f"select sha2('{v}', 256)").first()[0]: v for _, _, want in rows for v in want}
     assert {(r.doc_id, hashes.get(r.value_sha256)) for r in got} == {(i, v) for i, _, want in rows for v in want}
+
+
+def test_license_near_twins(spark, sf_dir, tmp_path):
+    from emberlog.llm.queries import queries
+
+    two, three = (next(t for n, t in TEMPLATES if n == name) for name in ("GPL-2.0", "GPL-3.0"))
+    rows, want = [], set()
+    for k in range(8):  # at every offset to the windows
+        ahead = "word " * k
+        for j, (text, names) in enumerate(((three, {"GPL-3.0"}), (two, {"GPL-2.0"}), (f"{three} {two}", {"GPL-2.0", "GPL-3.0"}), (f"{two} and more words follow {three} here", {"GPL-2.0", "GPL-3.0"}), (f"{three} more words follow", {"GPL-3.0"}))):
+            rows.append((10 * k + j, ahead + text))
+            want |= {(10 * k + j, n) for n in names}
+    rows.append((1000, f"{two.rsplit(' ', 1)[0]} and no more"))  # names no version: the twins stay equal
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.license) for r in queries()["op4_license_scan"](spark, str(tmp_path)).collect()}
+    assert {x for x in got if x[0] < 1000} == want
+    assert {n for i, n in got if i == 1000} == {"GPL-2.0", "GPL-3.0"}
