@@ -48,6 +48,23 @@ def canonical_ip(text: Column) -> Column:
     return F.when(t.rlike(IPV4), t).when(t.contains(":"), _canonical(t))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _canonical_all(lists: pd.Series) -> pd.Series:
+    def one(t):
+        try:
+            a = ipaddress.ip_address(t)
+        except ValueError:
+            return None
+        return str(a.ipv4_mapped) if a.version == 6 and a.ipv4_mapped else str(a)
+
+    return lists.map(lambda x: [one(t) for t in x], na_action="ignore")
+
+
+def canonical_ips(texts: Column) -> Column:
+    """canonical_ip of each element."""
+    return _canonical_all(F.transform(texts, bare_ip))
+
+
 def utc(text: Column) -> Column:
     """A timestamp from text with a zone; text without one gives null."""
     return F.when(text.rlike(ZONED), text.try_cast("timestamp"))

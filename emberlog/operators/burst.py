@@ -1,4 +1,4 @@
-"""Bursts of hits and their seeds."""
+"""Bursts of hits and their seeds."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Checks over windows of events and the ordering of what follows from them."""
+"""Checks over windows of events and the ordering of what follows from them."""
 
 from __future__ import annotations
 

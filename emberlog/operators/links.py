@@ -106,5 +106,26 @@ def graded(pairs: DataFrame, by: str, gap: Column) -> DataFrame:
     return g.withColumn("grade", grade)
 
 
+def missing_client_context(events: DataFrame) -> DataFrame:
+    """(raw_ref, grade, reason, candidates) for each http record without a forwarded client.
+
+    Web requests of the same method, path and status, whatever their address, in the narrowest of 1, 2 and 900 seconds
+    that has any: context_only, never more. Without one, unmatched.
+    """
+    cols = ("ld.method", "ld.path", "ld.status")
+    net = _side(events.where("ld.xff_status = 'missing' and ld.event_type = 'http'"), "network", "b", *cols)
+    pairs = range_join(net, _side(events, "web", "a", *cols), "at_b", "at_a", 900 * SECOND, tuple((f"{c}_b", f"{c}_a") for c in ("method", "path", "status")))
+    gap = F.abs(F.col("at_a") - F.col("at_b"))
+    step = F.when(gap <= SECOND, 1).when(gap <= 2 * SECOND, 2).otherwise(900)
+    near = pairs.groupBy(F.col("raw_ref_b").alias("raw_ref")).agg(F.min(step).alias("step"), F.collect_list(F.struct(step.alias("step"), F.col("raw_ref_a").alias("ref"))).alias("found"))
+    near = near.select("raw_ref", "step", F.array_sort(F.transform(F.filter("found", lambda x: x["step"] <= F.col("step")), lambda x: x["ref"])).alias("candidates"))
+    j = net.select(F.col("raw_ref_b").alias("raw_ref")).join(near, "raw_ref", "left")
+    label = F.when(F.col("step") == 1, "strong").when(F.col("step") == 2, "fallback").otherwise("long_delay")
+    many = F.when(F.size("candidates") == 1, "unique").otherwise("multiple")
+    reason = F.when(F.col("step").isNull(), "xff_missing_no_candidate").otherwise(F.concat(F.lit("xff_missing_exact_"), many, F.lit("_within_"), label, F.lit("_window")))
+    grade = F.when(F.col("step").isNull(), "unmatched").otherwise("context_only")
+    return j.select("raw_ref", grade.alias("grade"), reason.alias("reason"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
+
+
 def link_id(refs: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.array_distinct(refs)), "\0"), 256)

@@ -1,4 +1,5 @@
-"""Log readers: web access, auth syslog, audit bundles and network sensor records as one events table.
+"""Log readers: web access, auth syslog, audit bundles and network sensor records as one events table (S1 to S13; of S7 not the
+fields that ld has no place for: groups, actors, key types, old and new values).
 
 events: ts, layer, raw_ref (file:line), src_ip, pid, ppid, ld (struct). Lines that do not parse are left out.
 """
@@ -10,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.functions.net import canonical_ip, dash_null, key_values, path_and_query, unhex_text, utc
+from emberlog.functions.net import canonical_ip, canonical_ips, dash_null, key_values, path_and_query, unhex_text, utc
 
 #: Fields of ld and their types.
 FIELDS = {
@@ -26,13 +27,23 @@ AUTH_BSD = r"^([A-Z][a-z]{2}) +(\d+) (\d\d:\d\d:\d\d) (\S+) ([^\s:\[]+)(?:\[(\d+
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 UNSET_ID = 4294967295
 
+ACCOUNTS = "useradd|usermod|userdel|groupadd|groupmod|groupdel|gpasswd|passwd|chpasswd|chsh|chfn|chage|adduser|deluser|newusers"
 #: Auth messages: programs, pattern, event, result, and which groups are user, address, port and method (0: none). The first that fits counts.
 AUTH: tuple[tuple[str, str, str, str, tuple[int, int, int, int]], ...] = (
     ("sshd", r"^Accepted (\S+) for (\S+) from (\S+) port (\d+)", "ssh_accepted", "success", (2, 3, 4, 1)),
-    ("sshd", r"^Failed (\S+) for (?:invalid user )?(\S*) from (\S+) port (\d+)", "ssh_failed", "failure", (2, 3, 4, 1)),
-    ("sshd", r"^Invalid user (\S*) from (\S+)(?: port (\d+))?", "ssh_invalid_user", "failure", (1, 2, 3, 0)),
-    ("sshd", r"^Connection closed by (?:authenticating|invalid) user (\S*) (\S+) port (\d+)", "ssh_auth_fail_close", "failure", (1, 2, 3, 0)),
+    ("sshd", r"^Failed (\S+) for (?:invalid user )?(.*?) from (\S+) port (\d+)", "ssh_failed", "failure", (2, 3, 4, 1)),
+    ("sshd", r"^Invalid user (.*?) from (\S+)(?: port (\d+))?$", "ssh_invalid_user", "failure", (1, 2, 3, 0)),
+    ("sshd", r"^(?:Connection closed by|Disconnected from) (?:authenticating|invalid) user (.*?) (\S+) port (\d+)", "ssh_auth_fail_close", "failure", (1, 2, 3, 0)),
+    ("sshd", r"^Disconnecting (?:authenticating|invalid) user (.*?) (\S+) port (\d+): ", "ssh_auth_fail_close", "failure", (1, 2, 3, 0)),
+    ("sshd", r"^error: maximum authentication attempts exceeded for (?:invalid user )?(.*?) from (\S+) port (\d+)", "ssh_max_auth", "failure", (1, 2, 3, 0)),
+    ("sshd", r"^(?:Connection closed by|Disconnected from|Connection reset by) ([0-9A-Fa-f:.]+) port (\d+)(?: \[preauth\])?$", "ssh_probe", "failure", (0, 1, 2, 0)),
+    ("sshd", r"^banner exchange: Connection from (\S+) port (\d+):", "ssh_probe", "failure", (0, 1, 2, 0)),
+    ("sshd", r"^(?:error: )?(?:kex_exchange_identification|kex_protocol_error|banner exchange)\b", "ssh_probe", "failure", (0, 0, 0, 0)),
+    ("sshd", r"^Did not receive identification string from (\S+)(?: port (\d+))?$", "ssh_probe", "failure", (0, 1, 2, 0)),
+    ("sshd", r"^Unable to negotiate with (\S+) port (\d+)", "ssh_probe", "failure", (0, 1, 2, 0)),
     ("sshd", r"^(?:Received disconnect|Disconnected) from (?:user (\S+) )?(\S+) port (\d+)", "ssh_disconnect", "info", (1, 2, 3, 0)),
+    ("sshd", r"^AuthorizedKeysCommand .* failed, status \d+$", "ssh_keys_command", "info", (0, 0, 0, 0)),
+    ("sshd", r"^(?:Server listening on |Received signal \d+; terminating\.$|Received SIGHUP; restarting\.$)", "sshd_service", "info", (0, 0, 0, 0)),
     ("sudo", r"^\s*(\S+) : .*(?:command not allowed|NOT in sudoers|incorrect password)", "sudo_denied", "failure", (1, 0, 0, 0)),
     ("sudo", r"^\s*(\S+) : .*COMMAND=", "sudo_command", "success", (1, 0, 0, 0)),
     ("su", r"^Successful su for (\S+) by", "su_ok", "success", (1, 0, 0, 0)),
@@ -40,9 +51,20 @@ AUTH: tuple[tuple[str, str, str, str, tuple[int, int, int, int]], ...] = (
     ("su", r"^.*$", "su_other", "info", (0, 0, 0, 0)),
     ("useradd", r"^new user: name=([^,]+)", "user_created", "success", (1, 0, 0, 0)),
     ("usermod", r"^change user '([^']+)' shell", "user_shell_changed", "success", (1, 0, 0, 0)),
-    ("userdel", r"^delete user '([^']+)'", "user_deleted", "success", (1, 0, 0, 0)),
+    (ACCOUNTS, r"^delete user '([^']+)'$", "user_deleted", "success", (1, 0, 0, 0)),
     ("passwd", r"password changed for (\S+)", "password_changed", "success", (1, 0, 0, 0)),
     ("gpasswd|usermod", r"(?:user |add ')([^' ]+)'? (?:added by|to (?:shadow )?group)", "group_member_added", "success", (1, 0, 0, 0)),
+    (ACCOUNTS, r"^add '([^']+)' to group '", "group_member_added", "success", (1, 0, 0, 0)),
+    (ACCOUNTS, r"^add '([^']+)' to shadow group '", "gshadow_member_added", "success", (1, 0, 0, 0)),
+    (ACCOUNTS, r"^user (\S+) added by \S+ to group ", "group_member_added", "success", (1, 0, 0, 0)),
+    (ACCOUNTS, r"^delete '([^']+)' from (?:shadow )?group '", "group_member_removed", "success", (1, 0, 0, 0)),
+    (ACCOUNTS, r"^change user '([^']+)' \S+ from '[^']*' to '", "user_modified", "success", (1, 0, 0, 0)),
+    (ACCOUNTS, r"^changed user '([^']+)' shell to '", "user_modified", "success", (1, 0, 0, 0)),
+    (ACCOUNTS, r"^change user '([^']+)' password$", "password_changed", "success", (1, 0, 0, 0)),
+    (ACCOUNTS, r"^password for '([^']+)' changed by '", "password_changed", "success", (1, 0, 0, 0)),
+    (ACCOUNTS, r"^new group: name=", "group_created", "success", (0, 0, 0, 0)),
+    (ACCOUNTS, r"^(?:removed group|group) '[^']+'(?: removed.*)?$", "group_deleted", "success", (0, 0, 0, 0)),
+    (ACCOUNTS, r"^.*$", "account_other", "info", (0, 0, 0, 0)),
     ("pkexec", r"^(\S+): (?:Error|The value)", "pkexec_denied", "failure", (1, 0, 0, 0)),
     ("systemd-logind", r"^New session \S+ of user (\S+?)\.?$", "session_opened", "success", (1, 0, 0, 0)),
 )
@@ -125,14 +147,20 @@ def audit_events(src: DataFrame) -> DataFrame:
 
 
 def network_events(src: DataFrame) -> DataFrame:
-    """http and alert records; the forwarded client is trusted if every hop is an address and both places agree."""
+    """http and alert records with their forwarded client.
+
+    A single address at the top is trusted if the nested chain is missing or holds it, else that is a conflict; without
+    one the nested chain's last hop is. A chain with any part that is no address, or several at the top, is invalid.
+    """
     j = src.select("file", "line_no", F.from_json("line", NETWORK).alias("j")).where("j.event_type in ('http', 'alert')").select("file", "line_no", "j.*")
-    chain = lambda c: F.transform(F.split(c, ","), lambda x: F.trim(x))
-    said = F.coalesce(F.nullif(F.col("xff"), F.lit("")), F.nullif(F.col("http.xff"), F.lit("")))
-    hops = chain(said)
-    j = j.withColumn("first", canonical_ip(hops[0])).withColumn("odd", F.exists(hops, lambda x: ~x.rlike(r"^\"?\[?[0-9a-fA-F:.]+\]?(:\d+)?\"?$")))
-    conflict = (F.nullif(F.col("xff"), F.lit("")) != F.nullif(F.col("http.xff"), F.lit("")))
-    status = F.when(said.isNull(), "missing").when(F.col("odd") | F.col("first").isNull(), "invalid").when(F.coalesce(conflict, F.lit(False)), "conflict").otherwise("valid")
+    chain = lambda c: F.transform(F.split(F.nullif(F.nullif(F.trim(c), F.lit("")), F.lit("-")), ",", -1), lambda x: F.trim(x))
+    j = j.withColumn("top", canonical_ips(chain(F.col("xff")))).withColumn("nested", canonical_ips(chain(F.col("http.xff"))))
+    bad = lambda c: F.coalesce(F.exists(c, lambda x: x.isNull()), F.lit(False))
+    top = F.get("top", F.lit(0))
+    invalid = bad("top") | bad("nested") | F.coalesce(F.size("top") > 1, F.lit(False))
+    conflict = F.col("top").isNotNull() & F.col("nested").isNotNull() & ~F.array_contains("nested", top)
+    status = F.when(invalid, "invalid").when(conflict, "conflict").when(F.col("top").isNull() & F.col("nested").isNull(), "missing").otherwise("valid")
+    j = j.withColumn("first", F.coalesce(top, F.element_at("nested", -1)))
     rows = j.select(
         "file", "line_no", utc(F.col("timestamp")).alias("ts"), status.alias("xff_status"), F.when(status == "valid", F.col("first")).alias("src_ip"), canonical_ip(F.col("src_ip")).alias("transport_src_ip"),
         "event_type", "flow_id", "tx_id", F.col("in_iface").alias("sensor_id"), "src_port", canonical_ip(F.col("dest_ip")).alias("dest_ip"), "dest_port", "proto", F.upper("http.http_method").alias("method"),

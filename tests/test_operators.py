@@ -187,3 +187,35 @@ def test_stream(spark, tmp_path):
     write(rows[3:])
     run_bursts(stream(), store, str(tmp_path / "cp"), width_seconds=60, least=3)
     assert [(r.emit, r.max_member_count) for r in store.latest().collect()] == [("update", 5)]
+
+
+def test_auth_messages(spark):
+    told = {
+        ("sshd", "error: maximum authentication attempts exceeded for invalid user bob from 9.9.9.9 port 22 ssh2 [preauth]"): ("ssh_max_auth", "failure", "bob", "9.9.9.9"),
+        ("sshd", "Connection closed by 9.9.9.9 port 22 [preauth]"): ("ssh_probe", "failure", None, "9.9.9.9"), ("sshd", "banner exchange: Connection from 9.9.9.9 port 22: invalid format"): ("ssh_probe", "failure", None, "9.9.9.9"),
+        ("sshd", "Unable to negotiate with 9.9.9.9 port 22: no match"): ("ssh_probe", "failure", None, "9.9.9.9"), ("sshd", "Disconnecting invalid user bob 9.9.9.9 port 22: Too many [preauth]"): ("ssh_auth_fail_close", "failure", "bob", "9.9.9.9"),
+        ("sshd", "Disconnected from user bob 9.9.9.9 port 22"): ("ssh_disconnect", "info", "bob", "9.9.9.9"), ("sshd", "Server listening on 0.0.0.0 port 22."): ("sshd_service", "info", None, None),
+        ("groupadd", "new group: name=g, GID=5"): ("group_created", "success", None, None), ("groupdel", "removed group 'g' owned by 'g'"): ("account_other", "info", None, None), ("groupdel", "group 'g' removed from /etc/group"): ("group_deleted", "success", None, None),
+        ("gpasswd", "delete 'bob' from group 'g'"): ("group_member_removed", "success", "bob", None), ("usermod", "add 'bob' to group 'g'"): ("group_member_added", "success", "bob", None),
+    }
+    rows = [("auth.log", k + 1, f"2024-05-01T10:00:05Z h {p}[7]: {m}") for k, (p, m) in enumerate(told)]
+    got = logs.auth_events(spark.createDataFrame(rows, "file string, line_no long, line string"), 2024, 5)
+    assert {r.raw_ref: (r.ld.event, r.ld.result, r.ld.user, r.src_ip) for r in got.collect()} == {f"auth.log:{k + 1}": x for k, x in enumerate(told.values())}
+
+
+def test_forwarded_clients(spark):
+    cases = [
+        (None, None, "missing", None), ("-", "", "missing", None), (None, "1.1.1.1, 2.2.2.2", "valid", "2.2.2.2"), ("1.1.1.1", "1.1.1.1, 2.2.2.2", "valid", "1.1.1.1"), ("2.2.2.2", "1.1.1.1, 2.2.2.2", "valid", "2.2.2.2"),
+        ("3.3.3.3", "1.1.1.1, 2.2.2.2", "conflict", None), ("1.1.1.1, 2.2.2.2", None, "invalid", None), ("1.1.1.1", "unknown, 1.1.1.1", "invalid", None), (None, "1.1.1.1,", "invalid", None), ("::ffff:1.1.1.1", "1.1.1.1", "valid", "1.1.1.1"),
+    ]
+    import json
+
+    http = {"url": "/a", "http_method": "GET", "status": 200}
+    rows = [("eve", k, json.dumps({"timestamp": "2024-05-01T10:00:01+0000", "event_type": "http", "xff": top, "http": http | {"xff": nested}})) for k, (top, nested, *_) in enumerate(cases)]
+    net = logs.network_events(spark.createDataFrame(rows, "file string, line_no long, line string"))
+    assert {r.raw_ref: (r.ld.xff_status, r.src_ip) for r in net.collect()} == {f"eve:{k}": (s, ip) for k, (*_, s, ip) in enumerate(cases)}
+    web = [("web", k, WEB.format(n=n, ip="9.9.9.9", path=path).replace("POST", "GET")) for k, (n, path) in enumerate([(2, "/a"), (3, "/a"), (3, "/b")])]
+    both = net.unionByName(logs.web_events(spark.createDataFrame(web, "file string, line_no long, line string")))
+    got = {r.raw_ref: (r.grade, r.reason, r.candidates) for r in links.missing_client_context(both).collect()}
+    want = ("context_only", "xff_missing_exact_unique_within_strong_window", ["web:0"])
+    assert got == {"eve:0": want, "eve:1": want}
