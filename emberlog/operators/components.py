@@ -1,35 +1,67 @@
-"""Connected components by minimum label with pointer jumping."""
+"""Connected components by hooking and contraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.session import cut
+from emberlog.session import cut, free
 
 
-def connected_components(edges: DataFrame, a: str | Column = "a", b: str | Column = "b", max_rounds: int = 100_000) -> DataFrame:
+def _to_roots(up: DataFrame) -> DataFrame:
+    """Follow (label, up) until every label points to a root; each turn makes chains a quarter as long."""
+    held = up
+    while True:
+        nxt = up.withColumn("before", F.col("up"))
+        for _ in range(2):
+            above = up.where("label <> up").select(F.col("label").alias("up"), F.col("up").alias("top"))
+            nxt = nxt.join(above, "up", "left").select("label", F.coalesce("top", "up").alias("up"), "before")
+        nxt = cut(nxt, "roots")
+        moved = nxt.where("up <> before").limit(1).count()
+        free(held)
+        held, up = nxt, nxt.select("label", "up")
+        if not moved:
+            return up
+
+
+def hooking_rounds(edges: DataFrame) -> list[DataFrame]:
+    """One table (label, up) a round, from vertices to their component's label in that round.
+
+    Every label hooks under its smallest neighbour, chains of hooks are followed to their roots, and the edges are
+    contracted to roots. A label with a smaller neighbour is gone after one round; one without loses that rank to the
+    root that its neighbours hooked under, so in two rounds every label with an edge merges with another one: the labels
+    at least halve, whatever the shape, and the tables shrink alike.
+    """
+    e, rounds = edges, []
+    while e.limit(1).count():
+        near = e.groupBy("x").agg(F.min("y").alias("y"))
+        hooks = cut(near.select(F.col("x").alias("label"), F.least("x", "y").alias("up")), "hooks")
+        up = _to_roots(hooks)
+        rounds.append(up)
+        left, right = up.select(F.col("label").alias("x"), F.col("up").alias("a")), up.select(F.col("label").alias("y"), F.col("up").alias("b"))
+        nxt = e.join(left, "x").join(right, "y").where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+        nxt = cut(nxt, "edges")
+        free(e)
+        e = nxt
+    return rounds
+
+
+def connected_components(edges: DataFrame, a: str | Column = "a", b: str | Column = "b") -> DataFrame:
     """Label each vertex of the undirected edges with the smallest vertex it can reach.
 
-    Returns (vertex, component). Every round hooks each component under the smallest neighbouring label and then
-    shortens the label chains, four steps at once; a path of n vertices may need n / 4 rounds. Sizes do not matter to
-    correctness: nothing is collected but one count of changed labels. Self loops give single components; null ends are ignored.
+    Returns (vertex, component). Rounds and the joins of a round are logarithmic in the vertices, for a path too; nothing
+    is collected but whether edges are left. Self loops give single components; null ends are ignored.
     """
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    e = edges.select(a.alias("x"), b.alias("y")).where("x is not null and y is not null").distinct()
-    e = cut(e.union(e.select(F.col("y"), F.col("x"))).distinct(), "edges")
-    labels = cut(e.groupBy(F.col("x").alias("vertex")).agg(F.least(F.min("x"), F.min("y")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        # each label is hooked under the smallest label among its vertices' neighbours ...
-        seen = e.join(labels, e.y == labels.vertex).groupBy("x").agg(F.min("label").alias("near"))
-        hook = labels.join(seen, labels.vertex == seen.x).groupBy("label").agg(F.least(F.col("label"), F.min("near")).alias("up"))
-        hook = cut(hook, "hooks")
-        for _ in range(2):  # ... and the chains of hooks are shortened to a quarter
-            above = hook.select(F.col("label").alias("up"), F.col("up").alias("top"))
-            hook = hook.join(above, "up", "left").select("label", F.coalesce("top", "up").alias("up"))
-        new = cut(labels.join(hook, "label").select("vertex", F.col("up").alias("label"), F.col("label").alias("old")), "labels")
-        changed = new.where("label <> old").limit(1).count()
-        labels = new.select("vertex", "label")
-        if not changed:
-            return labels.select("vertex", F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")
+    e = cut(edges.select(a.alias("x"), b.alias("y")).where("x is not null and y is not null").distinct(), "ends")
+    both = cut(e.where("x <> y").union(e.where("x <> y").select(F.col("y"), F.col("x"))).distinct(), "edges")
+    rounds = hooking_rounds(both)
+    alone = e.where("x = y").select(F.col("x").alias("vertex"))
+    if not rounds:
+        return alone.select("vertex", F.col("vertex").alias("component")).distinct()
+    found = rounds[-1].select("label", F.col("up").alias("component"))
+    for up in reversed(rounds[:-1]):
+        found = up.join(found.withColumnRenamed("label", "_root"), F.col("up") == F.col("_root"), "left").select("label", F.coalesce("component", "up").alias("component"))
+    found = found.select(F.col("label").alias("vertex"), "component")
+    rest = alone.join(found.select("vertex"), "vertex", "left_anti").distinct()
+    return found.unionByName(rest.select("vertex", F.col("vertex").alias("component")))

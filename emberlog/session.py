@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,17 +32,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders of the tables that cut() wrote, for as long as their DataFrames live.
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet in the shared folder and read it again.
 
     Unlike checkpoint() this computes df once, keeps it columnar and lets later filters reach the scan; a lost
-    executor costs only the tasks it ran, as the files are not on its own disk.
+    executor costs only the tasks it ran, as the files are not on its own disk. Shuffle files of the write go with it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/emberlog-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files that this write was made from
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Empty the folders of tables that cut() gave, once what was made of them is written; others are left alone."""
+    for t in tables:
+        if path := _folders.pop(t, None):
+            t.sparkSession.range(0).write.mode("overwrite").parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
