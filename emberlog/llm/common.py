@@ -45,3 +45,8 @@ def fresh(df: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem = "_" + stem
     return stem
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of df by their quoted names, as a name may hold dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

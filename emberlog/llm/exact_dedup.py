@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import ASCII_BLANKS, attach, fresh
+from emberlog.llm.common import ASCII_BLANKS, attach, fresh, own_columns
 from emberlog.session import cut
 
 #: Runs that one merge brings together: four binomial rounds at once.
@@ -82,4 +82,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if keep.where("n > 1").limit(1).count():
         again = of(keep.where("n > 1")).withColumn(nth, F.row_number().over(Window.partitionBy(id_col, sha).orderBy(chars)))
         once = once.unionByName(again.where(F.col(nth) == 1).drop(nth))
-    return once.select(*docs.columns)
+    return once.select(*own_columns(docs))

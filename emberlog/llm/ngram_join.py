@@ -13,10 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import attach, fresh
+from emberlog.llm.common import attach, fresh, own_columns
 from emberlog.llm.shingles import sets_of, signatures
 from emberlog.operators.components import connected_components
 from emberlog.session import cut
@@ -26,8 +27,10 @@ NUM, DEN = 4, 5
 LEVELS = 6
 #: Cost of verifying a pair, in posting reads.
 VERIFY_COST = 24
-#: Frequent shingles that are broadcast for the global order (3 MB, at any corpus size), and shingles a task counts at once.
-FREQUENT, COUNTED = 200_000, 1_000_000
+#: Frequent shingles that are broadcast (3 MB, at any corpus size), shingles a task holds at once, and shingles in a bucket.
+FREQUENT, COUNTED, BUCKET = 200_000, 1_000_000, 500_000
+#: The part of a shingle's hash that names its bucket, and a count above that of any other than a frequent shingle.
+LOW_BITS, LOW, RARE = 24, (1 << 24) - 1, 1 << 40
 #: Lists of more than LIST documents with one shingle are compared in square blocks of at most so many documents and
 #: shingles (and one document more).
 LIST, BLOCK, BLOCK_SHINGLES = 96, 256, 200_000
@@ -68,35 +71,131 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield shared()
 
 
-def _prefixes(frequent):
+def _bytes(x: np.ndarray, width: int) -> bytes:
+    """The lowest `width` bytes of each number, one after the other."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _numbers(blobs: list[bytes], width: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
+    return out.view("<u8").reshape(-1)
+
+
+#: Rows between the steps of _postings. kind 0: the shingles of one lot of documents in one bucket (which, number of the
+#: document in its lot; what, shingle; count, documents that hold it). kind 1: a lot's documents (what, signature; count,
+#: set size), and kind 2: their frequent shingles.
+PACKED = "bucket long, lot long, kind int, which binary, what binary, count binary"
+_PACKED = ["bucket", "lot", "kind", "which", "what", "count"]
+
+
+def _dealt(frequent, buckets: int):
+    """Pack each task's sets in lots of documents, and each lot's shingles by bucket; a set that a task has seen goes once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = frequent.value
-        seen: set[tuple[int, int]] = set()
+        first_lot = TaskContext.get().partitionId() << 32
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        sigs: list[int] = []
+        size = lots = 0
+
+        def packed() -> pa.RecordBatch:
+            lot = first_lot + lots
+            n = np.array([len(x) for x in held], np.int64)
+            what = np.concatenate(held)
+            which = np.repeat(np.arange(len(held)), n)
+            common = np.zeros(len(what), bool)
+            if len(tokens):
+                at = np.minimum(np.searchsorted(tokens, what), len(tokens) - 1)
+                common = tokens[at] == what
+            bucket = (what & np.uint64(LOW)) % np.uint64(buckets)
+            what = (what & ~np.uint64(LOW)) | bucket  # the shingle's name from here on: a bucket and 40 bits
+            rows = [(lot % buckets, lot, 1, b"", np.array(sigs, np.int64).tobytes(), _bytes(n, 4))]
+            rows.append((lot % buckets, lot, 2, _bytes(which[common], 2), _bytes(what[common], 8), _bytes(counts[at[common]] + RARE, 8) if len(tokens) else b""))
+            rest = np.flatnonzero(~common)
+            rest = rest[np.argsort(bucket[rest], kind="stable")]
+            edges = np.flatnonzero(np.diff(bucket[rest])) + 1
+            which, name = which[rest], what[rest] >> np.uint64(LOW_BITS)
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(rest)], strict=True):
+                if b > a:
+                    rows.append((int(bucket[rest[a]]), lot, 0, _bytes(which[a:b], 2), _bytes(name[a:b], 5), b""))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], _PACKED)
+
         for _, _, sets in sets_of(batches, 1):
-            out = []
-            for s, sig in zip(sets, map(tuple, signatures(sets).tolist()), strict=True):
-                if not len(s) or sig in seen:
+            for x, sig in zip(sets, signatures(sets)[:, 0].tolist(), strict=True):
+                if not len(x) or sig in seen:
                     continue
                 seen.add(sig)
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                    rank = np.where(tokens[at] == s, counts[at], 0)
-                    if rank.any():
-                        s = s[np.argsort(rank, kind="stable")]
-                least = int(_least_shared(len(s)))
-                out.append((sig, len(s), s[: len(s) - least + min(LEVELS, least)]))
+                held.append(x)
+                sigs.append(sig)
+                size += len(x)
+                if size >= COUNTED or len(held) == 1 << 16:
+                    yield packed()
+                    held, sigs, size, lots = [], [], 0, lots + 1
             if len(seen) > 1_000_000:
                 seen.clear()
-            lengths = np.cumsum([0, *(len(p) for *_, p in out)])
-            flat = np.concatenate([p for *_, p in out]) if out else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0][0] for x in out], pa.int64()), pa.array([x[0][1] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), _signed(flat))],
-                ["sig", "sig2", "n", "prefix"],
-            )
+        if held:
+            yield packed()
 
     return run
 
 
+def _frequencies(t: pa.Table) -> pa.Table:
+    """In one bucket: count each shingle's documents; shingles of one document only go, as no pair shares them."""
+    kind = t.column("kind").to_numpy()
+    mine = np.flatnonzero(kind == 0)
+    out = t.filter(pa.array(kind != 0))
+    if not len(mine):
+        return out
+    rows = t.take(pa.array(mine))
+    which, what = rows.column("which").to_pylist(), rows.column("what").to_pylist()
+    size = np.array([len(x) // 5 for x in what])
+    _, inverse, count = np.unique(_numbers(what, 5), return_inverse=True, return_counts=True)
+    ends = np.cumsum(size)
+    bucket, lots = rows.column("bucket")[0].as_py(), rows.column("lot").to_pylist()
+    docs, name, found = _numbers(which, 2), (_numbers(what, 5) << np.uint64(LOW_BITS)) | np.uint64(bucket), []
+    many = count[inverse]
+    for lot, a, b in zip(lots, (ends - size).tolist(), ends.tolist(), strict=True):
+        keep = a + np.flatnonzero(many[a:b] > 1)
+        if len(keep):
+            found.append((bucket, lot, 0, _bytes(docs[keep], 2), _bytes(name[keep], 8), _bytes(many[keep], 8)))
+    if not found:
+        return out
+    return pa.concat_tables([out, pa.table([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), t.schema, strict=True)], schema=t.schema)])
+
+
+def _prefixes(t: pa.Table) -> pa.Table:
+    """Of one lot of documents: each one's prefix for the highest level, in the order (documents with the shingle, shingle).
+
+    Shingles of one document come first in that order; it is enough to know how many they are.
+    """
+    kind = t.column("kind").to_numpy()
+    of = lambda name, which: t.filter(pa.array(which)).column(name).to_pylist()
+    sig, n = np.frombuffer(b"".join(of("what", kind == 1)), np.int64), _numbers(of("count", kind == 1), 4).astype(np.int64)
+    doc, token, count = (_numbers(of(name, kind != 1), width).astype(np.int64) for name, width in (("which", 2), ("what", 8), ("count", 8)))
+    order = np.lexsort((token, count, doc))
+    doc, token = doc[order], token[order]
+    shared = np.bincount(doc, minlength=len(n))
+    pos = np.arange(len(doc)) - np.repeat(np.cumsum(shared) - shared, shared) + (n - shared)[doc]
+    least = _least_shared(n)
+    use = pos < (n - least + np.minimum(LEVELS, least))[doc]
+    return pa.table({"token": token[use], "sig": sig[doc[use]], "place": (n[doc[use]] << 32) + pos[use]})
+
+
+def _postings(texts: DataFrame, frequent, shingles: int) -> DataFrame:
+    """(token, sig, place): the prefixes' shingles that at least two documents hold; place is set size and position.
+
+    All shingles meet by value in buckets of about BUCKET shingles (packed, 7 bytes each), are counted there, and those
+    of two or more documents go home to their lot, where they are put in order. Frequent shingles stay at home, so no
+    bucket is hot.
+    """
+    dealt = texts.mapInArrow(_dealt(frequent, min(LOW, shingles // BUCKET + 1)), PACKED)
+    counted = dealt.groupBy("bucket").applyInArrow(_frequencies, PACKED)
+    return counted.groupBy("lot").applyInArrow(_prefixes, "token long, sig long, place long")
+
+
 def _chosen_sets(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = bits.value
@@ -186,8 +285,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Group the documents whose sets of five-word shingles are linked by Jaccard similarity of at least 0.8.
 
     1. Sizes and signatures of all sets; documents with equal sets become one.
-    2. Prefixes in the order (frequency among tasks' counts, hash). Any order gives the same links; this one keeps
-       common passages out of the prefixes. Prefix elements of one document only are dropped.
+    2. Prefixes in the order (number of documents that hold the shingle, hash), which keeps common passages out of
+       them. Shingles of one document only come first and are dropped, as they are in no pair.
     3. Each document is verified against up to two documents that many of its prefix elements name as their centre (the
        one with the element nearest the front). Large groups of near copies become one component here.
     4. All pairs of different components that share enough prefix elements for their level, and whose remaining
@@ -208,14 +307,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     frequent = spark.sparkContext.broadcast((token.astype(np.uint64)[order], count[order]))
 
     groups = cut(rows.where("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("size")), "groups")
-    prefix = texts.mapInArrow(_prefixes(frequent), "sig long, sig2 long, n long, prefix array<long>").groupBy("sig", "sig2", "n").agg(F.first("prefix").alias("prefix"))
-    # a row of a list is narrow: shingle, document, and its size and place in one number
-    posts = prefix.select("sig", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "sig", (F.shiftleft("n", 32) + F.col("pos")).alias("place"))
+    shingles = groups.agg(F.sum("n")).first()[0] or 0
+    # tasks that read equal sets give them once each; a token's rows meet in one place for all that follows
+    posts = _postings(texts, frequent, shingles).repartition("token").groupBy("token", "sig").agg(F.min("place").alias("place"))
     by_token = Window.partitionBy("token")
     posts = posts.withColumns({"docs": F.count("*").over(by_token), "pos": F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)), "n": F.shiftright("place", 32)})
     posts = posts.withColumn("centre", F.min(F.struct("pos", "n", "sig")).over(by_token)).where("docs > 1")
     least = F.floor((NUM * F.col("n") + DEN - 1) / DEN)
-    level = F.greatest(F.lit(1), F.col("pos") - (F.col("n") - least)).cast("int")
+    level = F.greatest(F.lit(1), F.col("pos") - (F.col("n") - least) + 1).cast("int")
     posts = cut(posts.select("token", "sig", "n", "pos", level.alias("level"), "docs", F.col("centre.sig").alias("centre"), F.col("centre.n").alias("centre_n")), "posts")
 
     # step 3: the two centres that most of a document's elements name. Only likely ones are tried: as many votes as the
@@ -279,4 +378,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if one of them is linked so. Rows without an id stay."""
     gone_id = fresh(docs, "_gone_id")
     gone = cut(ngram_join(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left_anti").select(*docs.columns)
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left_anti").select(*own_columns(docs))

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import BLANKS, words
+from emberlog.llm.common import BLANKS, own_columns, words
 from emberlog.session import cut
 
 #: Rows that fitting may use, of the labelled and of the unlabelled documents each: those with the smallest id hashes.
@@ -29,7 +29,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
-    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    row = [F.struct(*own_columns(docs)).alias("row")] if carry else []
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), label(lang_col).alias("lang"), label(source_col).alias("source"), *row)
     d = d.withColumn("w", words(F.col("t"))).withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(f"[^{BLANKS}]")))
     n, n_words, n_lines = (F.greatest(x, F.lit(1)) for x in (F.char_length("t"), F.size("w"), F.size("lines")))

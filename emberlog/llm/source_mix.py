@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import fresh, words
+from emberlog.llm.common import fresh, own_columns, words
 from emberlog.session import cut
 
 #: Weights dealt to the sources in code-point order, repeating.
@@ -86,4 +86,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     mix_id, copies, nth = (fresh(docs, x) for x in ("_mix_id", "_copies", "_nth"))
     counts = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias(mix_id)).agg(F.max("copies").alias(copies))
     found = docs.join(counts, F.col(id_col).cast("long").eqNullSafe(F.col(mix_id)))
-    return found.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
+    return found.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*own_columns(docs))
