@@ -47,6 +47,17 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of counts with the largest n, `most` at most: those of at least 2**k, with the least k that fits."""
+    power, held, least = F.floor(F.log2(n)).cast("int"), 0, 64
+    for row in counts.groupBy(power.alias("k")).agg(F.count("*").alias("rows")).orderBy(F.desc("k")).collect():  # 63 rows at most
+        held += row["rows"]
+        if held > most:
+            break
+        least = row["k"]
+    return counts.where(power >= least)
+
+
 def own_columns(df: DataFrame) -> list[Column]:
     """All columns of df by their quoted names, as a name may hold dots."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

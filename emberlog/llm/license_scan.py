@@ -8,7 +8,6 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import fresh
 
 #: Notices that announce a license (fixed values).
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -23,6 +22,15 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("LGPL-2.1", "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("AGPL-3.0", "modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
@@ -30,7 +38,8 @@ SHINGLE, CONTAINMENT = 5, 0.8
 #: One row in each band: a window that covers a template's match has Jaccard similarity of at least 0.5 with it (see
 #: window_words), so all bands miss it with a chance of at most 0.5 ** 20, one in a million.
 BANDS = 20
-WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Possessive, so that Java neither goes back nor deeper with each part of a long word.
+WORD = r"[a-z0-9]++(?:[.-][a-z0-9]++)*+"
 
 
 def template_words(text: str) -> list[str]:
@@ -90,7 +99,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A text's words are lower-case runs of letters and digits (with inner dots and hyphens); a notice matches if a
     window of the text holds at least 0.8 of its distinct five-word shingles. Words near an anchor word are read only;
     a text without any can't match. Null and empty texts, and texts of fewer than five words, match nothing. Repeated
-    rows with the same id give one row for each license. Returns (doc_id, license, n_windows, containment, first_word),
+    rows with the same id give one row for each license; rows without an id each give their own. Returns (doc_id, license, n_windows, containment, first_word),
     where n_windows counts the verified windows and first_word the words before the first one.
 
     Near twins (GPL-2.0 and GPL-3.0 differ in one word) both match either text. With `best` a window counts only if no
@@ -110,7 +119,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     any_anchor = anchors(templates)
     pattern = "|".join(re.escape(x) for x in any_anchor)
-    key = fresh(docs, "row")
+    key = "row"
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text")).where(F.col("text").rlike(pattern)).withColumn(key, F.monotonically_increasing_id())
     d = d.withColumn("w", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).where(F.size("w") >= SHINGLE).drop("text")
     marks = F.filter(F.transform("w", lambda x, i: F.when(x.isin(any_anchor), i)), lambda x: x.isNotNull())
@@ -133,4 +142,6 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if best:
         hit = hit.where(~F.exists("rivals", lambda x: part(x) > part(F.col("need"))))
     hit = hit.groupBy("doc_id", "license", key, "width", "g", "template").agg(F.max("containment").alias("containment"), F.max(F.col("g") * F.col("step")).alias("at"))
-    return hit.groupBy("doc_id", "license").agg(F.count("*").alias("n_windows"), F.round(F.max("containment"), 6).alias("containment"), F.min("at").cast("long").alias("first_word"))
+    # rows without an id are documents of their own
+    own = F.when(F.col("doc_id").isNull(), F.col(key))
+    return hit.groupBy("doc_id", own.alias("own"), "license").agg(F.count("*").alias("n_windows"), F.round(F.max("containment"), 6).alias("containment"), F.min("at").cast("long").alias("first_word")).drop("own")

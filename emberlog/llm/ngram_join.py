@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import attach, fresh, own_columns
+from emberlog.llm.common import attach, fresh, most_frequent, own_columns
 from emberlog.llm.shingles import sets_of, signatures
 from emberlog.operators.components import connected_components
 from emberlog.session import cut
@@ -301,7 +301,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = cut(texts.mapInArrow(_first_pass, "doc_id long, n long, sig long, sig2 long, counts boolean"), "sets")
     rows = first.where("not counts").select("doc_id", "n", "sig", "sig2")
-    top = first.where("counts").groupBy("sig").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sig").limit(FREQUENT).toArrow()
+    counts = cut(first.where("counts").groupBy("sig").agg(F.sum("n").alias("n")), "counts")
+    top = most_frequent(counts, "n", FREQUENT).toArrow()
     token, count = (top.column(k).to_numpy() for k in (0, 1))
     order = np.argsort(token.astype(np.uint64))
     frequent = spark.sparkContext.broadcast((token.astype(np.uint64)[order], count[order]))

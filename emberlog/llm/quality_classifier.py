@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -11,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import BLANKS, own_columns, words
-from emberlog.session import cut
+from emberlog.session import cut, free
 
-#: Rows that fitting may use, of the labelled and of the unlabelled documents each: those with the smallest id hashes.
+#: Labelled rows that fitting may use: those with the smallest id hashes. The unlabelled pool is all other documents.
 SAMPLE = 20_000
 ROUNDS, CONFIDENT = 3, 0.97
 HASHED = 1 << 12
@@ -74,12 +75,16 @@ def co_train(rows: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT
 
     Every round fits each view on the true labels and on the other view's confident pseudo-labels for pool rows. A fifth
     of the labelled rows, by id hash, is held out to calibrate each view (Platt) and weigh the two by their log loss.
+    With too few labels for both parts to hold both classes, all are fitted on and the views stay as they are, at equal weight.
     """
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5))
-    known, held, pool = rows.where(F.col("label").isNotNull() & (fold > 0)), rows.where(F.col("label").isNotNull() & (fold == 0)), rows.where("label is null").drop("label")
+    labelled, pool = rows.where("label is not null"), rows.where("label is null").drop("label")
+    classes = lambda x: F.count_distinct(F.when(x, F.col("label")))
+    enough = min(labelled.agg(classes(fold > 0).alias("a"), classes(fold == 0).alias("b")).first()) == 2
+    known, held = (labelled.where(fold > 0), labelled.where(fold == 0)) if enough else (labelled, None)
     cols = ["text_view", "meta_view", "label"]
     extra = {"text": known.select(*cols).limit(0), "meta": known.select(*cols).limit(0)}
-    bound = float(__import__("math").log(confident / (1 - confident)))
+    bound = math.log(confident / (1 - confident))
     exchanged = []
     models = {}
     for k in range(rounds):
@@ -89,11 +94,14 @@ def co_train(rows: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT
         scored = pool
         for v in models:
             scored = _logit(models[v], scored, f"{v}_view", f"{v}_logit")
-        scored = cut(scored, "pseudo")
+        # the whole pool is scored again by whoever reads it, which is cheaper than to write its vectors anew
         for v, other in (("text", "meta"), ("meta", "text")):  # `other` learns from what v is sure of
             sure = scored.where(F.abs(f"{v}_logit") >= bound)
             extra[other] = sure.select("text_view", "meta_view", (F.col(f"{v}_logit") > 0).cast("double").alias("label"))
-        exchanged.append((extra["meta"].count(), extra["text"].count()))
+        sure = [F.count_if(F.abs(f"{v}_logit") >= bound) for v in ("text", "meta")]
+        exchanged.append(tuple(scored.agg(*sure).first()))
+    if not enough:
+        return CoTrained(models["text"], models["meta"], {v: (0.0, 1.0) for v in models}, {v: 0.5 for v in models}, exchanged)
     calibration, loss = {}, {}
     scored = held
     for v in models:
@@ -101,44 +109,45 @@ def co_train(rows: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT
     scored = cut(scored.select("label", "text_logit", "meta_logit"), "held")
     for v in models:
         x = VectorAssembler(inputCols=[f"{v}_logit"], outputCol="x").transform(scored)
-        seen = x.agg(F.count_distinct("label")).first()[0]
-        m = LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-4).fit(x) if seen == 2 else None
-        calibration[v] = (float(m.intercept), float(m.coefficients[0])) if m else (0.0, 1.0)
+        m = LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-4).fit(x)
+        calibration[v] = (float(m.intercept), float(m.coefficients[0]))
         z = F.lit(calibration[v][0]) + F.lit(calibration[v][1]) * F.col(f"{v}_logit")
         loss[v] = scored.agg(F.avg(F.log1p(F.exp(F.when(F.col("label") > 0.5, -z).otherwise(z))))).first()[0] or 1.0
     inverse = {v: 1 / max(loss[v], 1e-3) for v in loss}
     return CoTrained(models["text"], models["meta"], calibration, {v: inverse[v] / sum(inverse.values()) for v in loss}, exchanged)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", sample: int = SAMPLE) -> CoTrained | None:
-    """Fit on at most `sample` labelled and as many unlabelled rows. None if labels hold fewer than two classes."""
+def train(f: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE) -> CoTrained | None:
+    """Fit on features() that are written as a table: at most `sample` labelled rows, and all other documents as the pool
+    in which the views exchange pseudo-labels. None if the labels hold fewer than two classes. An id's label is its
+    largest one; rows without an id belong to the pool.
+    """
     lab = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("double").alias("label"))
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    order = F.xxhash64(F.lit("sample"), "doc_id")
-    some = lab.join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(sample).unionByName(
-        ids.join(lab, "doc_id", "left_anti").orderBy(order, "doc_id").limit(sample).withColumn("label", F.lit(None).cast("double"))
-    )
-    some = cut(some, "sample")
-    chosen = docs.join(F.broadcast(some.withColumnRenamed("doc_id", "_sample_id")), F.col(id_col).cast("long") == F.col("_sample_id"), "left_semi")
-    rows = features(chosen, id_col, text_col, lang_col, source_col).dropDuplicates(["doc_id"]).join(F.broadcast(some), "doc_id")
-    rows = cut(rows.repartition(8, "doc_id").sortWithinPartitions("doc_id"), "train")
-    if rows.where("label is not null").agg(F.count_distinct("label")).first()[0] < 2:
+    known = f.select("doc_id").distinct().join(lab, "doc_id")
+    some = cut(known.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample), "sample")
+    if some.agg(F.count_distinct("label")).first()[0] < 2:
         return None
-    return co_train(rows)
+    # rows that share an id and the labels beyond the sample have no pseudo-labels either
+    first = f.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).repartition(8, "doc_id").sortWithinPartitions("doc_id")
+    rows = cut(first.select("doc_id", "text_view", "meta_view", "label"), "labelled")
+    pool = f.join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").select("doc_id", "text_view", "meta_view", F.lit(None).cast("double").alias("label"))
+    return co_train(rows.unionByName(pool))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", threshold: float = 0.5, model: CoTrained | None = None, **options) -> DataFrame:
     """Score every document by the calibrated views together.
 
-    Null and empty texts are scored from empty views like any other; null language and source count as empty. Repeated
-    rows are scored each by itself. Without labels of both classes every score is 1 (nothing is rejected). Returns
-    (doc_id, text_score, meta_score, score, kept), a row for each input row; other columns are not read.
+    The features of all rows are written once; training and scoring read them. Null and empty texts are scored from
+    empty views like any other; null language and source count as empty. Repeated rows are scored each by itself.
+    Without labels of both classes every score is 1 (nothing is rejected). Returns (doc_id, text_score, meta_score,
+    score, kept), a row for each input row; other columns are not read.
     """
-    model = model or train(docs, labels, id_col, text_col, lang_col, source_col, **options)
+    f = cut(features(docs, id_col, text_col, lang_col, source_col), "features")
+    model = model or train(f, labels, **options)
     if model is None:
         one = F.lit(1.0)
-        return docs.select(F.col(id_col).cast("long").alias("doc_id"), one.alias("text_score"), one.alias("meta_score"), one.alias("score"), F.lit(True).alias("kept"))
-    return _scored(features(docs, id_col, text_col, lang_col, source_col), model, threshold)
+        return f.select("doc_id", one.alias("text_score"), one.alias("meta_score"), one.alias("score"), F.lit(True).alias("kept"))
+    return _scored(f, model, threshold)
 
 
 def _scored(f: DataFrame, model: CoTrained, threshold: float, *more: str) -> DataFrame:
@@ -147,13 +156,15 @@ def _scored(f: DataFrame, model: CoTrained, threshold: float, *more: str) -> Dat
         f = _logit(m, f, f"{v}_view", f"{v}_logit")
         z[v] = F.lit(model.calibration[v][0]) + F.lit(model.calibration[v][1]) * F.col(f"{v}_logit")
     p = lambda x: F.round(1 / (1 + F.exp(-x)), 6)
-    both = F.lit(2.0) * (F.lit(model.shares["text"]) * z["text"] + F.lit(model.shares["meta"]) * z["meta"])
+    both = F.lit(model.shares["text"]) * z["text"] + F.lit(model.shares["meta"]) * z["meta"]
     return f.select("doc_id", p(z["text"]).alias("text_score"), p(z["meta"]).alias("meta_score"), p(both).alias("score"), (p(both) >= threshold).alias("kept"), *more)
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of docs that classify() keeps, with all their columns; each row is judged by itself, in one pass."""
-    model = train(docs, labels, id_col, text_col, lang_col, source_col, **options)
+    """The rows of docs that classify() keeps, with all their columns; each row is judged by itself, in one pass after training."""
+    f = cut(features(docs, id_col, text_col, lang_col, source_col), "features")
+    model = train(f, labels, **options)
+    free(f)
     if model is None:
         return docs
     return _scored(features(docs, id_col, text_col, lang_col, source_col, carry=True), model, threshold, "row").where("kept").select("row.*")

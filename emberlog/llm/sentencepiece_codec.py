@@ -18,6 +18,9 @@ UNKNOWN_PENALTY = 10.0
 CHUNK = 4 << 20
 #: No piece goes on after a space that follows another character, nor holds a line feed; so texts are cut there.
 UNITS = re.compile(" +[^ \n]*|[^ \n]+|\n")
+#: Units of more characters are cut again between neighbours that no piece holds; what is longer than so many bytes then
+#: is segmented by itself, place by place.
+LONG = 64
 
 
 @dataclass
@@ -30,6 +33,19 @@ class Pieces:
     base: np.ndarray
     check: np.ndarray
     value: np.ndarray
+    #: pairs of characters that lie next to each other in some piece, as numbers in order
+    pairs: np.ndarray
+
+    def lists(self) -> tuple[list, list, list, list]:
+        """The trie and scores as plain lists, which single reads are faster from."""
+        if not hasattr(self, "_lists"):
+            self._lists = tuple(x.tolist() for x in (self.base, self.check, self.value, self.score))
+        return self._lists
+
+
+def _pair_numbers(text: str) -> np.ndarray:
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return (c[:-1] << 21) | c[1:]
 
 
 def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +114,53 @@ def load_pieces(model_file: str) -> Pieces:
         raise ValueError("the model has no byte fallback")
     base, check, value = double_array([surface[k] for k in normal])
     value = np.where(value >= 0, np.array([*normal, -1], np.int32)[value], -1).astype(np.int32)
-    return Pieces(surface, scores, byte_id, base, check, value)
+    pairs = [_pair_numbers(t) for k in normal if len(t := surface[k].decode()) > 1]
+    return Pieces(surface, scores, byte_id, base, check, value, np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64))
+
+
+def cut_long(unit: str, p: Pieces) -> list[str]:
+    """A unit in parts that no piece crosses; the parts' best segmentations are the unit's, as every piece lies in one."""
+    pairs = _pair_numbers(unit)
+    if not len(p.pairs):
+        return list(unit)
+    at = np.minimum(np.searchsorted(p.pairs, pairs), len(p.pairs) - 1)
+    edges = (np.flatnonzero(p.pairs[at] != pairs) + 1).tolist()
+    return [unit[a:b] for a, b in zip([0, *edges], [*edges, len(unit)], strict=True)]
+
+
+def segment_one(unit: bytes, p: Pieces) -> list[int]:
+    """segment() for one long unit, in time proportional to its length."""
+    base, check, value, score = p.lists()
+    unknown = float(p.score[p.value[p.value >= 0]].min()) - UNKNOWN_PENALTY
+    n = len(unit)
+    best, back, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    best[0] = 0.0
+    for i in range(n):
+        so_far = best[i]
+        if so_far == -math.inf:
+            continue
+        first = unit[i]
+        width = min(1 if first < 0xC0 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4, n - i)
+        state, single = 0, False
+        for j in range(i, n):
+            nxt = base[state] + unit[j]
+            if nxt <= 0 or check[nxt] != state:
+                break
+            state = nxt
+            k = value[state]
+            if k >= 0:
+                single = single or j + 1 - i == width
+                new = so_far + score[k]
+                if new > best[j + 1]:
+                    best[j + 1], back[j + 1], piece[j + 1] = new, i, k
+        if not single and so_far + unknown > best[i + width]:
+            best[i + width], back[i + width], piece[i + width] = so_far + unknown, i, -1
+    out, end = [], n
+    while end:
+        start = back[end]
+        out += [piece[end]] if piece[end] >= 0 else [int(p.byte_id[c]) for c in reversed(unit[start:end])]
+        end = start
+    return out[::-1]
 
 
 def segment(units: list[bytes], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -186,10 +248,19 @@ def encode(texts: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     number: dict[str, int] = {}
     which, counts = [], []
     for t in texts:
-        own = [number.setdefault(x, len(number)) for x in UNITS.findall(" " + t)] if t else []
+        units = UNITS.findall(" " + t) if t else []
+        if units and max(map(len, units)) > LONG:
+            units = [y for x in units for y in (cut_long(x, p) if len(x) > LONG else (x,))]
+        own = [number.setdefault(x, len(number)) for x in units]
         which += own
         counts.append(len(own))
-    ids, sizes = segment([x.encode() for x in number], p)
+    raw = [x.encode() for x in number]
+    ids, sizes = segment([x if len(x) <= 4 * LONG else b"" for x in raw], p)
+    if long := [k for k, x in enumerate(raw) if len(x) > 4 * LONG]:
+        found = [segment_one(raw[k], p) for k in long]
+        edge = np.cumsum(sizes)
+        sizes[long] = [len(x) for x in found]
+        ids = np.insert(ids, np.repeat(edge[long], sizes[long]), np.concatenate([np.array(x, ids.dtype) for x in found]))
     w = np.array(which, np.int64)
     starts = np.cumsum(sizes) - sizes
     flat = _ragged(ids, starts[w], sizes[w])

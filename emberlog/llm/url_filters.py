@@ -40,19 +40,29 @@ def host_links(pages: DataFrame, host: str = "host", html_col: str = "html") ->
     return links.select("src", dst.alias("dst")).where("dst <> '' and dst <> src").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
-    """Personalised PageRank over (src, dst, part) from seeds (host, seed), both summing to 1 by source and overall.
-
-    Mass of hosts without out-links returns to the seeds. Each round is one join and one sum with map-side combining;
-    a table is written every round, so lost executors never replay more than that. Hosts without rank have no row.
+def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, at_once: int = 8) -> DataFrame:
+    """Personalised PageRank of several graphs: edges (kind, src, dst, part) and seeds (kind, host, seed), which sum to 1.
+
+    The mass of hosts without out-links returns to the seeds; that only scales the ranks, so x = seeds + damping * moved x
+    is iterated without it and scaled to a sum of 1 at the end. x only grows, by at most damping**k in round k, so its
+    sum tells how far it is: a kind is done when `at_once` rounds add at most `tolerance` of it (90 rounds at most for
+    0.85 and 1e-6). Each round is one join and one sum with map-side combining; a table is written every `at_once`
+    rounds, so lost executors never replay more than that. Hosts without rank have no row.
     """
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    for _ in range(rounds):
-        moved = rank.join(edges, rank.host == edges.src).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("part")) * damping).alias("rank"))
-        kept = moved.agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        back = seeds.select("host", (F.col("seed") * (1.0 - kept)).alias("rank"))
-        rank = cut(moved.unionByName(back).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
-    return rank
+    rank, before = seeds.select("kind", "host", F.col("seed").alias("rank")), {}
+    while True:
+        for _ in range(at_once):
+            moved = rank.join(edges.withColumnRenamed("kind", "k"), (F.col("kind") == F.col("k")) & (F.col("host") == F.col("src"))).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("part") * damping).alias("rank"))
+            rank = moved.unionByName(seeds.select("kind", "host", F.col("seed").alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        rank = cut(rank, "rank")
+        total = {r["kind"]: r["t"] for r in rank.groupBy("kind").agg(F.sum("rank").alias("t")).collect()}
+        if all(t - before.get(k, 0.0) <= tolerance * t for k, t in total.items()):
+            break
+        before = total
+    scale = F.lit(1.0)
+    for k, t in total.items():
+        scale = F.when(F.col("kind") == k, F.lit(1.0 / t)).otherwise(scale)
+    return rank.select("kind", "host", (F.col("rank") * scale).alias("rank"))
 
 
 def host_verdicts(pages: DataFrame, edges: DataFrame, ratio: float = 1.0, **options) -> DataFrame:
@@ -62,22 +72,15 @@ def host_verdicts(pages: DataFrame, edges: DataFrame, ratio: float = 1.0, **opti
     distrust against them (who links to a blocked host is suspect). A host is blocked if its distrust is above `ratio`
     times its trust. pages: (host, verdict of its rule or null); edges: (src, dst, n).
     """
-    count = pages.where("host <> '' and verdict is not null").groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("allow"), F.count_if(F.col("verdict") == "block").alias("block"))
-    count = cut(count, "seeds")
-    total = count.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
-    linked = bool(edges.limit(1).count())
-    scores = []
-    for kind, src, dst in (("allow", "src", "dst"), ("block", "dst", "src")):
-        seeds = count.where(F.col(kind) > 0).select("host", (F.col(kind) / F.lit(float(total[kind] or 1))).alias("seed"))
-        if linked:
-            out = edges.groupBy(F.col(src).alias("src")).agg(F.sum("n").alias("all"))
-            e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "n").join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("part"))
-            scores.append(page_rank(cut(e, "links"), cut(seeds, "seed"), **options))
-        else:
-            scores.append(seeds.select("host", F.col("seed").alias("rank")))
-    trust, distrust = scores[0].withColumnRenamed("rank", "trust"), scores[1].withColumnRenamed("rank", "distrust")
-    both = trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    return both.withColumn("block", F.col("distrust") > F.col("trust") * ratio)
+    count = cut(pages.where("host <> '' and verdict is not null").groupBy(F.col("verdict").alias("kind"), "host").agg(F.count("*").alias("n")), "seeds")
+    total = count.groupBy(F.col("kind").alias("k")).agg(F.sum("n").alias("all"))  # two rows at most
+    seeds = cut(count.join(F.broadcast(total), F.col("kind") == F.col("k")).select("kind", "host", (F.col("n") / F.col("all")).alias("seed")), "seed")
+    ways = edges.select(F.lit("allow").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+    out = ways.groupBy("kind", "src").agg(F.sum("n").alias("all"))
+    links = cut(ways.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("part")), "links")
+    rank = page_rank(links, seeds, **options)
+    score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
+    return rank.groupBy("host").agg(score("allow").alias("trust"), score("block").alias("distrust")).withColumn("block", F.col("distrust") > F.col("trust") * ratio)
 
 
 def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[tuple[str, str, str], ...] = RULES, **options) -> DataFrame:

@@ -233,6 +233,51 @@ def test_quality_classifier_edges(docs, empty, rows):
     assert quality_classifier.classify(empty, none).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 9])
+def test_quality_classifier_with_few_labels(docs, n):
+    labels = docs.sparkSession.createDataFrame([(20 + k, k % 2) for k in range(n)], "doc_id long, quality int")
+    got = quality_classifier.classify(docs, labels)
+    assert got.count() == docs.count() and got.where("score is null or isnan(score)").count() == 0
+
+
+def test_names_with_dots_stay(docs):
+    named = docs.select("*", F.lit(1).alias("a.b"), F.lit(2).alias("x`y"))
+    labels = docs.select("doc_id", (F.length("text") > 100).cast("int").alias("quality")).distinct()
+    for left in (exact_dedup.drop_copies(named), ngram_join.drop_near_copies(named), source_mix.mixed_documents(named), quality_classifier.drop_rejected(named, labels)):
+        assert left.columns == named.columns and left.where("`a.b` = 1").count() == left.count() > 0
+
+
+def test_pre_tokens_add_up():
+    """Sums over pre-tokens are the tokenizer's counts, for marks, capitals, contractions and special strings in any order."""
+    from tokenizers import Tokenizer
+
+    model = open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read()
+    t, pre, rng = Tokenizer.from_str(model), token_counts.PreTokens(model), random.Random(1)
+    assert pre.fine
+    signs = "ab'sStTrevlLdmM !.,-<|>endoftextÉé\u0301\u030aA\u0327ßẞİΣσ漢字1²Ⅷ\t\n\u3000\x1d😀👍🏽"
+    texts = ["it's 'Stuff' WE'LL <|endoftext|>\u0338x <|startoftext|>", "漢字かな交じり文" * 50, "=" * 500]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randrange(50))) for _ in range(2000)]
+    for text in texts:
+        got = sum(len(t.encode(x, add_special_tokens=False)) for w in pre.words(text) for x in pre.cut(w))
+        assert got == len(t.encode(text, add_special_tokens=False)), text
+
+
+def test_long_texts_without_spaces():
+    """A megabyte of either kind, and the same pieces as from the steps over whole units."""
+    import base64
+
+    rng = random.Random(4)
+    p = sentencepiece_codec.load_pieces(tokenizer_path("piece_bpe_32k.model"))
+    signs = "吾輩は猫である。名前はまだ無い。どこで生れたか"
+    long = [signs * 15000, base64.b64encode(rng.randbytes(700_000)).decode(), " " * 50_000 + "x"]
+    assert sentencepiece_codec.decode(*sentencepiece_codec.encode(long, p), p) == [x.encode() for x in long]
+    mixed = ["".join(rng.choice(signs + "abcdefgh   é😀▁") for _ in range(rng.randrange(1500))) for _ in range(20)]
+    ids, sizes = sentencepiece_codec.encode(mixed, p)
+    units = [sentencepiece_codec.UNITS.findall(" " + x) if x else [] for x in mixed]
+    whole, n = sentencepiece_codec.segment([u.encode() for us in units for u in us], p)
+    assert ids.tolist() == whole.tolist() and sizes.sum() == n.sum()
+
+
 def test_empty_tables(empty):
     model = open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read()
     for found in (exact_dedup.exact_dedup(empty), exact_dedup.drop_copies(empty), ngram_join.ngram_join(empty), token_counts.token_counts(empty, model), quality_rules.ledger(empty), source_mix.mix(empty), source_mix.mixed_documents(empty), sentencepiece_codec.sentencepiece(empty, tokenizer_path("piece_bpe_32k.model"))):
