@@ -48,10 +48,6 @@ def capped(actions: DataFrame, keys: tuple[str, ...], kind: str, caps: dict[str,
     return actions.withColumn("_nth", nth).where(most.isNull() | (F.col("_nth") <= most)).drop("_nth")
 
 
-def case_gate(verdict: Column, provenance: Column) -> Column:
-    return F.when(provenance == "unavailable", "error").when(verdict == "false_positive", "not_applicable").when((verdict == "true_positive") & (provenance == "passed"), "proceed").otherwise("deferred")
-
-
 def provenance(evidence: DataFrame, observed: DataFrame) -> DataFrame:
     """(incident_id, n_cited, n_unseen, status): cited refs (incident_id, ref) against those that tool calls returned."""
     c = evidence.select("incident_id", "ref").distinct()

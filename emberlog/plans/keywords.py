@@ -1,96 +1,129 @@
-"""Techniques named by words in evidence and verdicts (R15, A26): one scan over clauses for all rules."""
+"""Techniques named by words in evidence and verdicts.
+
+A text is cut into clauses; each clause is reduced to its small letters, its English words and its command words, and
+every rule is asked on those. All word lists are data (language.yml, techniques.yml).
+"""
 
 from __future__ import annotations
 
-import re
+from functools import cache, reduce
 from pathlib import Path
 
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Where a clause ends, what denies or doubts a clause, and options that only ask for help.
-ENDS = r"(?iU)[\n;,!?。]+|\.(?=\s|$)|&&|\|\||\s+\b(?:but|however|whereas|yet)\b\s*|(?<=으나)\s*|(?<=지만)\s*|(?<=없고)\s*"
-DENIED = (
-    r"(?iU)\b(?:no|never|without|unconfirmed|unknown|unclear)\b|\bnot\b(?!\s+only\b)|\b(?:wasn['’]t|isn['’]t|weren['’]t|didn['’]t|doesn['’]t)\b|"
-    r"미확인|미관찰|미발견|미수행|미실행|불확실|확인\s*필요|(?:확인|관찰|발견|실행|생성|전송)되지|없(?:음|다|었|는|어|으|고)|않(?:음|았|는|다)|아님|아니었"
-)
-HELP = r"(?<![\w-])(?:--help|-h|--version)(?![\w-])"
+#: What a word of a rule is for: words and commands name the technique, context must stand beside them, and a denied
+#: subject takes the technique back.
+ROLES = ("words", "commands", "context", "subject")
 
 
-def shipped() -> list[dict]:
-    """The technique rules of techniques.yml; attack, words, commands, context and subject are optional lists."""
-    return yaml.safe_load(Path(__file__).with_name("techniques.yml").read_text(encoding="utf-8"))
+@cache
+def _shipped(name: str):
+    return yaml.safe_load(Path(__file__).with_name(name).read_text(encoding="utf-8"))
 
 
-def clauses(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ENDS), F.trim), lambda x: x != "")
-
-
-def _named(tests: list[tuple[str, Column]]) -> Column:
-    return F.array_compact(F.array(*(F.when(test, F.lit(word)) for word, test in tests))) if tests else F.array().cast("array<string>")
+def shipped() -> list[dict]:
+    """The technique rules of techniques.yml; attack, words, commands, context and subject are optional lists."""
+    return _shipped("techniques.yml")
 
 
-def _words(clause: Column, words: list[str] | None) -> Column:
-    return _named([(w, F.contains(F.lower(clause), F.lit(w))) for w in dict.fromkeys(x.strip().lower() for x in words or []) if w])
+def _any(tests: list[Column]) -> Column:
+    return reduce(Column.__or__, tests, F.lit(False))
 
 
-def _commands(clause: Column, commands: list[str] | None, helped: bool) -> Column:
-    """Commands as whole words; not where an option after them asks for help, unless helped."""
-    whole = {" ".join(c.split()): r"(?sU)(?<![\w.-])" + r"\s+".join(map(re.escape, c.split())) + r"(?![A-Za-z0-9_-])" for c in commands or []}
-    return _named([(c, clause.rlike(p if helped else f"{p}(?!.*{HELP})")) for c, p in whole.items()])
+def clauses(text: Column) -> Column:
+    """The clauses of a text: up to line ends, end signs, full stops before a blank, end words and end suffixes."""
+    own = _shipped("language.yml")
+    t = F.coalesce(text, F.lit(""))
+    for sign in own["end_signs"]:
+        t = F.replace(t, F.lit(sign), F.lit("\n"))
+    for suffix in own["end_suffixes"]:
+        t = F.replace(t, F.lit(suffix), F.lit(suffix + "\n"))
+    # every blank-separated word is looked at by itself: an end word is a cut, a word with a full stop ends a clause
+    words = F.split(F.regexp_replace(t, r"([ \t]*\n)+[ \t]*", " \n "), r"[ \t\r\f]+")
+    marked = F.transform(words, lambda w: F.when(F.lower(w).isin(own["end_words"]), "\n").when(w.endswith("."), F.concat(F.rtrim(w, F.lit(".")), F.lit(" \n"))).otherwise(w))
+    return F.filter(F.transform(F.split(F.array_join(marked, " "), "\n"), F.trim), lambda x: x != "")
+
+
+def denied(clause: Column) -> Column:
+    """Whether a clause denies or doubts: by an English word of it (not, too, but in "not only"), or by a Korean stem."""
+    own = _shipped("language.yml")
+    low = F.replace(F.lower(clause), F.lit("’"), F.lit("'"))
+    words = F.split(low, r"[^\p{L}\p{N}_']+")
+    nots = F.exists(F.arrays_zip(words.alias("a"), F.slice(words, 2, F.size(words)).alias("b")), lambda p: (p["a"] == "not") & (F.coalesce(p["b"], F.lit("")) != "only"))
+    bare = F.regexp_replace(clause, r"\s+", "")
+    return F.arrays_overlap(words, F.array(*map(F.lit, own["denying_words"]))) | nots | _any([F.contains(bare, F.lit(s)) for s in own["denying_stems"]])
+
+
+def command_words(clause: Column) -> Column:
+    """A clause's words of a command line, one blank around each: a path's parts are words, dots and hyphens belong to them."""
+    words = F.transform(F.regexp_extract_all(clause, F.lit("[A-Za-z0-9_.-]+"), F.lit(0)), lambda w: F.rtrim(w, F.lit(".")))
+    return F.concat(F.lit(" "), F.array_join(F.filter(words, lambda w: w != ""), " "), F.lit(" "))
+
+
+def _asks_help(line: Column, command: str) -> Column:
+    after = F.concat(F.lit(" "), F.substring_index(line, f" {command} ", -1))
+    return _any([F.contains(after, F.lit(f" {h} ")) for h in _shipped("language.yml")["help_options"]])
+
+
+def _findings(rules: list[dict], low: Column, line: Column) -> Column:
+    """One array of (technique_id, role, word, help) for all rules' words that stand in a clause."""
+    tests = []
+    for r in rules:
+        for role in ROLES:
+            for word in dict.fromkeys(" ".join(str(x).split()) for x in r.get(role) or []):
+                shell = " ".join("".join(c if c.isascii() and (c.isalnum() or c in "_.-") else " " for c in word).split())
+                test, helped = (F.contains(line, F.lit(f" {shell} ")), _asks_help(line, shell)) if role == "commands" else (F.contains(low, F.lit(word.lower())), F.lit(False))
+                said = F.struct(F.lit(r["id"]).alias("technique_id"), F.lit(role).alias("role"), F.lit(word if role == "commands" else word.lower()).alias("word"), helped.alias("help"))
+                tests.append(F.when(test, said))
+    return F.array_compact(F.array(*tests))
 
 
 def evidence_hits(evidence: DataFrame, rules: list[dict]) -> DataFrame:
     """(incident_id, evidence_id, technique_id, keywords) of evidence (incident_id, evidence_id, event_type, description).
 
-    A denied clause names nothing. A word that the description denies is not taken from the event type either, and a
-    denied subject retracts the technique for that evidence. The rules are columns of one scan, so nothing is crossed.
+    A denied clause names nothing, nor does a command whose options ask for help. What the description denies is not
+    taken from the event type either; a denied subject takes the technique back for that evidence. Rules are columns of
+    one scan, so nothing is crossed; two sums follow, by clause and by evidence.
     """
-    parts = F.array(*(F.struct(F.lit(k).alias("typed"), clauses(F.col(c)).alias("list")) for k, c in ((False, "description"), (True, "event_type"))))
-    each = evidence.select("incident_id", "evidence_id", F.inline(parts)).select("incident_id", "evidence_id", "typed", F.explode("list").alias("clause"))
-    c = F.col("clause")
-    each = each.withColumn("denied", c.rlike(DENIED))
-    per_rule = [
-        F.struct(
-            F.lit(r["id"]).alias("technique_id"), F.array_union(_words(c, r.get("words")), _commands(c, r.get("commands"), False)).alias("named"),
-            F.array_union(_words(c, r.get("words")), _commands(c, r.get("commands"), True)).alias("mentioned"),
-            (F.size(_words(c, r["context"])) > 0 if r.get("context") else F.lit(True)).alias("fits"), (F.size(_words(c, r.get("subject"))) > 0).alias("subject"),
-        )
-        for r in rules
-    ]
-    each = each.select("*", F.inline(F.array(*per_rule))).where("size(mentioned) > 0 or (denied and subject)")
-    taken = lambda typed: F.flatten(F.collect_list(F.when((F.col("typed") == typed) & ~F.col("denied") & F.col("fits"), F.col("named"))))
-    denies = F.size(F.when(F.col("denied"), F.col("mentioned")).otherwise(F.array_except("mentioned", "named"))) > 0
-    found = each.groupBy("incident_id", "evidence_id", "technique_id").agg(
-        taken(False).alias("told"), taken(True).alias("typed"), F.max(~F.col("typed") & denies).alias("rejected"), F.max(~F.col("typed") & F.col("denied") & F.col("subject")).alias("retracted")
-    )
+    key = ["incident_id", "evidence_id"]
+    both = F.array(*(F.struct(F.lit(k).alias("typed"), clauses(F.col(c)).alias("list")) for k, c in ((False, "description"), (True, "event_type"))))
+    each = evidence.select(*key, F.inline(both)).select(*key, "typed", F.posexplode("list").alias("nth", "clause"))
+    each = each.withColumns({"low": F.lower("clause"), "line": command_words(F.col("clause")), "denied": denied(F.col("clause"))})
+    found = each.select(*key, "typed", "nth", "denied", F.inline(_findings(rules, F.col("low"), F.col("line"))))
+    names = F.col("role").isin("words", "commands")
+    by_clause = found.groupBy(*key, "typed", "nth", "denied", "technique_id").agg(
+        F.collect_set(F.when(names & ~F.col("help"), F.col("word"))).alias("named"), F.max(names & F.col("help")).alias("helped"),
+        F.max(F.col("role") == "context").alias("beside"), F.max(F.col("role") == "subject").alias("subject"), F.max(names).alias("mentioned"),
+    )
+    needs_context = [r["id"] for r in rules if r.get("context")]
+    fits = F.col("beside") | ~F.col("technique_id").isin(needs_context)
+    told, typed = ~F.col("typed"), F.col("typed")
+    taken = lambda where: F.flatten(F.collect_list(F.when(where & ~F.col("denied") & fits, F.col("named"))))
+    rejects = told & F.col("mentioned") & (F.col("denied") | F.col("helped"))
+    out = by_clause.groupBy(*key, "technique_id").agg(taken(told).alias("told"), taken(typed).alias("typed"), F.max(rejects).alias("rejected"), F.max(told & F.col("denied") & F.col("subject")).alias("gone"))
     words = F.array_sort(F.array_distinct(F.concat("told", F.when(F.col("rejected"), F.array().cast("array<string>")).otherwise(F.col("typed")))))
-    return found.where("not retracted").select("incident_id", "evidence_id", "technique_id", words.alias("keywords")).where("size(keywords) > 0")
+    return out.where("not gone").select(*key, "technique_id", words.alias("keywords")).where("size(keywords) > 0")
 
 
 def verdict_hits(cases: DataFrame, rules: list[dict]) -> DataFrame:
     """(incident_id, technique_id, keywords) that the attack type of a case names in clauses that deny nothing."""
-    said = cases.select("incident_id", F.explode(clauses(F.col("attack_type"))).alias("clause")).where(~F.col("clause").rlike(DENIED))
-    per_rule = F.array(*(F.struct(F.lit(r["id"]).alias("technique_id"), _words(F.col("clause"), r.get("attack")).alias("named")) for r in rules))
-    found = said.select("incident_id", F.inline(per_rule)).where("size(named) > 0")
-    return found.groupBy("incident_id", "technique_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("named")))).alias("keywords"))
+    said = cases.select("incident_id", F.explode(clauses(F.col("attack_type"))).alias("clause"))
+    said = said.where(~denied(F.col("clause"))).select("incident_id", F.lower("clause").alias("low"))
+    found = said.select("incident_id", F.inline(_findings([{"id": r["id"], "words": r.get("attack")} for r in rules], F.col("low"), F.lit(" "))))
+    return found.groupBy("incident_id", "technique_id").agg(F.array_sort(F.collect_set("word")).alias("keywords"))
 
 
 def mapped(cases: DataFrame, evidence: DataFrame, rules: list[dict]) -> tuple[DataFrame, DataFrame]:
     """Techniques of each case, and each case's mapping status.
 
     cases: (incident_id, verdict, provenance, attack_type); evidence: as in evidence_hits, and eligible boolean. Only
-    confirmed threats with a traced provenance are mapped; with an incomplete one only eligible evidence counts and the
-    verdict's words do not. Returns (incident_id, technique_id, matched_by, keywords, evidence_ids) and (incident_id, mapping_status).
+    cases that pass the gate are mapped; with an incomplete provenance only eligible evidence counts and the verdict's
+    words do not. Returns (incident_id, technique_id, matched_by, keywords, evidence_ids) and (incident_id, mapping_status).
     """
-    traced = F.coalesce(F.col("provenance"), F.lit("unavailable"))
-    gate = (
-        F.when(~F.coalesce(F.col("verdict").isin("THREAT_CONFIRMED", "FALSE_POSITIVE", "INCONCLUSIVE"), F.lit(False)) | ~traced.isin("passed", "incomplete", "unavailable"), "error")
-        .when(F.col("verdict") == "FALSE_POSITIVE", "not_applicable").when((F.col("verdict") == "INCONCLUSIVE") | (traced == "unavailable"), "deferred")
-    )
-    gated = cases.withColumn("_gate", gate)
-    open_cases = gated.where("_gate is null")
+    gated = cases.withColumn("_gate", case_gate(F.col("verdict"), F.col("provenance")))
+    open_cases = gated.where("_gate = 'proceed'")
     usable = evidence.join(open_cases.select("incident_id", "provenance"), "incident_id").where("provenance = 'passed' or eligible")
     hits = evidence_hits(usable, rules).select("*", F.lit("evidence").alias("by"))
     said = verdict_hits(open_cases.where("provenance = 'passed'"), rules).select("incident_id", F.lit(None).cast(evidence.schema["evidence_id"].dataType).alias("evidence_id"), "technique_id", "keywords", F.lit("verdict").alias("by"))
@@ -99,5 +132,12 @@ def mapped(cases: DataFrame, evidence: DataFrame, rules: list[dict]) -> tuple[Da
         F.reverse(sets("by")).alias("matched_by"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("keywords")))).alias("keywords"), sets("evidence_id").alias("evidence_ids")
     )
     some = techniques.select("incident_id").distinct().withColumn("_some", F.lit(True))
-    reached = F.when(F.col("_some").isNull(), "no_techniques_matched").when(traced == "incomplete", "partial").otherwise("mapped")
-    return techniques, gated.join(some, "incident_id", "left").select("incident_id", F.coalesce("_gate", reached).alias("mapping_status"))
+    reached = F.when(F.col("_some").isNull(), "no_techniques_matched").when(F.col("provenance") == "incomplete", "partial").otherwise("mapped")
+    return techniques, gated.join(some, "incident_id", "left").select("incident_id", F.when(F.col("_gate") == "proceed", reached).otherwise(F.col("_gate")).alias("mapping_status"))
+
+
+def case_gate(verdict: Column, provenance: Column) -> Column:
+    """proceed, not_applicable, deferred or error (R12); a missing provenance counts as unavailable."""
+    traced = F.coalesce(provenance, F.lit("unavailable"))
+    known = F.coalesce(verdict.isin("THREAT_CONFIRMED", "FALSE_POSITIVE", "INCONCLUSIVE"), F.lit(False)) & traced.isin("passed", "incomplete", "unavailable")
+    return F.when(~known, "error").when(verdict == "FALSE_POSITIVE", "not_applicable").when((verdict == "INCONCLUSIVE") | (traced == "unavailable"), "deferred").otherwise("proceed")
