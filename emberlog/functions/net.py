@@ -90,7 +90,7 @@ def key_values(text: Column) -> Column:
 
 def unhex_text(text: Column) -> Column:
     """Text of an even run of hex digits; anything else as it is."""
-    return F.when(text.rlike("^([0-9A-Fa-f]{2})+$"), F.coalesce(F.regexp_replace(F.decode(F.unhex(text), "UTF-8"), "\\x00", " "), text)).otherwise(text)
+    return F.when(text.rlike("^(?:[0-9A-Fa-f]{2})++$"), F.coalesce(F.regexp_replace(F.decode(F.unhex(text), "UTF-8"), "\\x00", " "), text)).otherwise(text)
 
 
 def message_shape(text: Column) -> Column:

@@ -51,7 +51,7 @@ def alert_severity(number: Column, signature: Column) -> Column:
     return F.when(F.startswith(signature, F.lit("ET POLICY")), "low").when(n == 1, "high").when(n == 2, "medium").otherwise("low")
 
 
-def clean_signature(text: Column) -> Column:
+def clean_signature(text: Column, default: Column | None = None) -> Column:
     """Control characters to spaces, runs of white space to one, at most 256 characters, never empty."""
     short = F.substring(F.trim(F.regexp_replace(F.regexp_replace(text, r"\p{Cntrl}", " "), r"\s+", " ")), 1, 256)
-    return F.coalesce(F.nullif(short, F.lit("")), F.lit("unknown signature"))
+    return F.coalesce(F.nullif(short, F.lit("")), default if default is not None else F.lit("unknown signature"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.operators.components import connected_components
+from emberlog.session import cut
 
 SHOWN = 500
 #: Points by severity, then bands of the total (fixed values).
@@ -36,30 +37,62 @@ def mode_of(rows: DataFrame, key: str, value: str) -> DataFrame:
     return n.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(value).alias(value)))[value].alias(value))
 
 
-def build(edges: DataFrame, events: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Incidents from edges (a, b, kind), events (raw_ref, ts, layer, src_ip) and seeds (seed_id, entity, reason, severity, refs).
+#: Members whose digest is made at once.
+CHUNK = 1000
+
 
-    Returns (incident_id, entity, first_ts, last_ts, layers, member_count, members (the first 500), oversized, kinds,
-    reasons, severity, n_seeds). Components without seeds are dropped; seeds without component are incidents alone.
+def digests(members: DataFrame, key: str, ref: str = "ref", shown: int = SHOWN) -> DataFrame:
+    """(key, incident_id, member_count, members, oversized) of distinct (key, ref) rows.
+
+    The id covers all members, the list shows the first `shown`. Members are dealt by hash to chunks of about CHUNK,
+    each is sorted and digested by itself, and the chunks' digests are digested again, so no row holds all members; a
+    key with one chunk has the id of its joined members.
+    """
+    n = members.groupBy(key).agg(F.count("*").alias("member_count"))
+    m = members.join(n, key).withColumn("_chunk", F.pmod(F.xxhash64(F.col(ref)), F.ceil(F.col("member_count") / CHUNK)))
+    parts = m.groupBy(key, "member_count", "_chunk").agg(F.sha1(F.array_join(F.array_sort(F.collect_list(ref)), "|")).alias("_part"))
+    every = F.array_sort(F.collect_list(F.struct("_chunk", "_part")))
+    whole = F.when(F.size(every) == 1, every[0]["_part"]).otherwise(F.sha1(F.array_join(F.transform(every, lambda x: x["_part"]), "|")))
+    ids = parts.groupBy(key, "member_count").agg(F.substring(whole, 1, 8).alias("incident_id"))
+    first = top_per(members, (key,), F.col(ref), k=shown).groupBy(key).agg(F.array_sort(F.collect_list(ref)).alias("members"))
+    return ids.join(first, key).withColumn("oversized", F.col("member_count") > shown)
+
+
+def points(severity: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in POINTS.items() for x in kv)), severity), F.lit(0))
+
+
+def build_all(edges: DataFrame, events: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Incidents from edges (a, b, kind), events (raw_ref, ts, layer, src_ip) and seeds (seed_id, entity, reason, severity,
+    refs); their members (incident_id, ref), and their seeds (incident_id, seed_id).
+
+    Incidents: incident_id, entity, first_ts, last_ts, layers, member_count, members (the first 500), oversized, kinds,
+    reasons, severity, n_seeds. Components without seeds are dropped; seeds without component are incidents alone.
     """
     members = members_of(edges).withColumn("component", F.col("component").cast("string"))
     links = attach_seeds(seeds, members)
     own = links.where(F.startswith("component", F.lit("seed:"))).join(seeds.select("seed_id", F.explode("refs").alias("ref")), "seed_id").select("component", "ref")
-    every = members.join(links.select("component").distinct(), "component", "left_semi").unionByName(own).distinct()
+    every = cut(members.join(links.select("component").distinct(), "component", "left_semi").unionByName(own).distinct(), "members")
+    links = cut(links, "seeds")
     facts = every.join(events.select(F.col("raw_ref").alias("ref"), "ts", "layer"), "ref", "left").groupBy("component").agg(
-        F.array_sort(F.collect_list("ref")).alias("all"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.array_sort(F.collect_set("layer")).alias("layers")
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.array_sort(F.collect_set("layer")).alias("layers")
     )
     kinds = edges.join(members, edges.a == members.ref).groupBy("component").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-    rank = F.element_at(F.create_map(*(F.lit(x) for kv in POINTS.items() for x in kv)), F.col("severity"))
     told = links.join(seeds, "seed_id").groupBy("component").agg(
         F.min(F.struct("seed_id", "entity"))["entity"].alias("entity"), F.array_sort(F.collect_set("reason")).alias("reasons"),
-        F.max(F.struct(F.coalesce(rank, F.lit(0)).alias("points"), "severity"))["severity"].alias("severity"), F.count_distinct("seed_id").alias("n_seeds"),
+        F.max(F.struct(points(F.col("severity")).alias("points"), "severity"))["severity"].alias("severity"), F.count_distinct("seed_id").alias("n_seeds"),
     )
-    found = facts.join(told, "component").join(kinds, "component", "left")
-    return found.select(
-        incident_id(F.col("all")).alias("incident_id"), "entity", "first_ts", "last_ts", "layers", F.size("all").alias("member_count"), F.slice("all", 1, SHOWN).alias("members"),
-        (F.size("all") > SHOWN).alias("oversized"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"), "reasons", "severity", "n_seeds",
+    ids = cut(digests(every, "component"), "incidents")
+    found = ids.join(facts, "component").join(told, "component").join(kinds, "component", "left").select(
+        "incident_id", "entity", "first_ts", "last_ts", "layers", "member_count", "members", "oversized", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"), "reasons", "severity", "n_seeds",
     )
+    name = ids.select("component", "incident_id")
+    return found, every.join(name, "component").select("incident_id", "ref"), links.join(name, "component").select("incident_id", "seed_id")
+
+
+def build(edges: DataFrame, events: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The incidents of build_all()."""
+    return build_all(edges, events, seeds)[0]
 
 
 def incident_key(entity: Column, reasons: Column, own_id: Column) -> Column:
@@ -67,16 +100,28 @@ def incident_key(entity: Column, reasons: Column, own_id: Column) -> Column:
     return F.coalesce(F.substring(F.sha1(F.concat(entity, F.lit("|"), F.array_join(F.array_sort(reasons), "\x1f"))), 1, 16), F.concat(F.lit("id:"), own_id))
 
 
-def merged(incidents: DataFrame) -> DataFrame:
-    """Incidents of the same entity and set of reasons become one; member counts add up; a null entity never merges."""
-    key = F.coalesce(F.concat_ws("\x1f", "entity", F.array_join("reasons", "\x1e")), F.lit(""))
-    i = incidents.withColumn("_key", F.when(F.col("entity").isNull(), F.concat(F.lit("id:"), F.col("incident_id"))).otherwise(key))
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return i.groupBy("_key").agg(
-        F.min("entity").alias("entity"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), union("layers").alias("layers"), F.sum("member_count").alias("member_count"),
-        union("members").alias("members"), union("kinds").alias("kinds"), union("reasons").alias("reasons"), F.min_by("severity", F.struct("first_ts", "incident_id")).alias("severity"),
-        F.sum("n_seeds").alias("n_seeds"), F.array_sort(F.collect_list("incident_id")).alias("merged_from"),
-    ).withColumn("incident_id", incident_id(F.col("members"))).drop("_key")
+def merged(incidents: DataFrame, members: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Incidents of the same entity and set of reasons become one; a null entity never merges.
+
+    members: (incident_id, ref) and seeds: (incident_id, seed_id), all of them, not the first 500: the id and the
+    list are made of the union of all members, a seed of two incidents counts once, and the gravest severity stays.
+    member_count adds up, as overlapping members count for each incident. merged_from is the number of incidents.
+    """
+    reasons = F.array_join(F.array_sort(F.array_distinct("reasons")), "\x1e")
+    key = F.when(F.col("entity").isNull(), F.concat(F.lit("id:"), "incident_id")).otherwise(F.concat_ws("\x1f", F.lit("of:"), "entity", reasons))
+    i = incidents.withColumn("_key", key)
+    name = i.select("_key", "incident_id").distinct()
+    set_of = lambda c: i.select("_key", F.explode(c).alias("_x")).groupBy("_key").agg(F.array_sort(F.collect_set("_x")).alias(c))
+    facts = i.groupBy("_key").agg(
+        F.min("entity").alias("entity"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("member_count").alias("_sum"),
+        F.max(F.struct(points(F.col("severity")).alias("points"), "severity"))["severity"].alias("severity"), F.count("*").alias("merged_from"),
+    )
+    ids = digests(members.join(name, "incident_id").select("_key", "ref").distinct(), "_key").drop("member_count")
+    n = seeds.join(name, "incident_id").groupBy("_key").agg(F.count_distinct("seed_id").alias("n_seeds"))
+    out = facts.join(ids, "_key").join(n, "_key", "left")
+    for c in ("layers", "kinds", "reasons"):
+        out = out.join(set_of(c), "_key", "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    return out.select("incident_id", "entity", "first_ts", "last_ts", "layers", F.col("_sum").alias("member_count"), "members", "oversized", "kinds", "reasons", "severity", F.coalesce("n_seeds", F.lit(0).cast("long")).alias("n_seeds"), "merged_from")
 
 
 def triage_score(severity: Column, n_layers: Column, n_kinds: Column, n_seeds: Column) -> Column:
