@@ -17,6 +17,8 @@ from emberlog.session import cut, free
 #: Labelled rows that fitting may use: those with the smallest id hashes. The unlabelled pool is all other documents.
 SAMPLE = 20_000
 ROUNDS, CONFIDENT = 3, 0.97
+#: Steps of a fit, and the relative change of the loss under which it ends; each step is a job over all rows fitted on.
+STEPS, TOLERANCE = 20, 1e-3
 HASHED = 1 << 12
 TEXT = ("symbols", "upper", "letters", "bangs", "bars", "word_length", "repeats", "long_words")
 META = ("log_chars", "log_lines", "line_length", "duplicate_lines")
@@ -56,7 +58,7 @@ def _logit(model: LogisticRegressionModel, df: DataFrame, view: str, out: str) -
 
 
 def _fit(df: DataFrame, view: str, reg: float = 1e-3) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol=view, labelCol="label", regParam=reg, maxIter=40, standardization=False).fit(df)
+    return LogisticRegression(featuresCol=view, labelCol="label", regParam=reg, maxIter=STEPS, tol=TOLERANCE, standardization=False).fit(df)
 
 
 @dataclass
