@@ -316,7 +316,7 @@ def action_numbers(spark, sf_dir):
 @query()
 def action_order(spark, sf_dir):
     """Lines of an order, each after the one of half its number; tested against plain Python."""
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("incident_id"), F.col("l_linenumber").cast("long").alias("action_id"), F.col("l_suppkey").alias("priority"))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("incident_id"), F.col("l_linenumber").cast("long").alias("action_id"), F.col("l_suppkey").alias("priority")).groupBy("incident_id", "action_id").agg(F.min("priority").alias("priority"))
     after = l.where("action_id > 1").select("incident_id", "action_id", F.floor(F.col("action_id") / 2).alias("needs"))
     return mapping.in_order(l, after).select("incident_id", "action_id", "priority", "place")
 

@@ -32,12 +32,16 @@ def load_rules(folder: str) -> list[dict]:
     return rules
 
 
-def column_of(df: DataFrame, field: str) -> Column:
-    """A top-level column, a dotted one, or a field of ld; null if there is none."""
-    if field.split(".")[0] in df.columns:
-        return F.col(field)
-    ld = df.schema["ld"].dataType if "ld" in df.columns else T.StructType()
-    return F.col(f"ld.{field}") if field in ld.names else F.lit(None).cast("string")
+def column_of(df: DataFrame, field: str) -> tuple[Column, bool]:
+    """A top-level column, a dotted one, or a field of ld, and whether it is an array; null if there is none."""
+    at, kind = field.split("."), df.schema
+    if at[0] not in df.columns:
+        at = ["ld", *at]
+    for name in at:
+        if not isinstance(kind, T.StructType) or name not in kind.names:
+            return F.lit(None).cast("string"), False
+        kind = kind[name].dataType
+    return F.col(".".join(at)), isinstance(kind, T.ArrayType)
 
 
 def _glob(value: str) -> str:
@@ -66,8 +70,7 @@ def _field(df: DataFrame, name: str, value) -> Column:
     if odd := [m for m in mods if m not in MODIFIERS]:
         raise ValueError(f"modifier {odd[0]} is not known")
     how = next((m for m in mods if m != "all"), "equals")
-    c = column_of(df, field)
-    is_list = isinstance(df.select(c).schema[0].dataType, T.ArrayType)
+    c, is_list = column_of(df, field)
     values = value if isinstance(value, list) else [value]
 
     def test(v) -> Column:
@@ -88,26 +91,38 @@ def selection(df: DataFrame, spec) -> Column:
     return reduce(Column.__or__, (F.coalesce(F.contains(row, F.lit(str(x).lower())), F.lit(False)) for x in spec))
 
 
-def with_predicate(df: DataFrame, rule: dict, name: str) -> DataFrame:
-    """df with a struct column `name` of the rule's selections and `hit`, the condition over them as Spark SQL reads it."""
-    parts = {k: v for k, v in rule["detection"].items() if k != "condition"}
+def condition(rule: dict, names: str) -> str:
+    """A rule's condition as Spark SQL over the struct `names` of its selections."""
+    parts = [k for k in rule["detection"] if k != "condition"]
 
     def group(m: re.Match) -> str:
-        names = [k for k in parts if m[2] == "them" or fnmatchcase(k, m[2])]
-        return "(" + (" or " if m[1] == "1" else " and ").join(names) + ")" if names else "false"
+        found = [k for k in parts if m[2] == "them" or fnmatchcase(k, m[2])]
+        return "(" + (" or " if m[1] == "1" else " and ").join(found) + ")" if found else "false"
 
     said = re.sub(r"\b(1|all) of (\w+\*?)", group, str(rule["detection"]["condition"]))
-    said = re.sub(r"\b(" + "|".join(map(re.escape, sorted(parts, key=len, reverse=True))) + r")\b", rf"`{name}`.`\1`", said)
-    df = df.withColumn(name, F.struct(*(selection(df, v).alias(k) for k, v in parts.items())))
-    return df.withColumn(name, F.expr(said))
+    return re.sub(r"\b(" + "|".join(map(re.escape, sorted(parts, key=len, reverse=True))) + r")\b", rf"{names}.`\1`", said)
+
+
+def selections(df: DataFrame, rule: dict) -> Column:
+    return F.struct(*(selection(df, v).alias(k) for k, v in rule["detection"].items() if k != "condition"))
+
+
+def with_predicate(df: DataFrame, rule: dict, name: str) -> DataFrame:
+    """df with a boolean column `name`: whether the rule's condition holds."""
+    return df.withColumn(name, selections(df, rule)).withColumn(name, F.expr(condition(rule, f"`{name}`")))
 
 
 def detect(events: DataFrame, rules: list[dict], layer_col: str = "layer") -> DataFrame:
-    """events with rule_id, level, seconds and min_count, a row for each rule that a row matches; events are read once."""
-    df, hits = events, []
+    """events with rule_id, level, seconds and min_count, a row for each rule that a row matches; events are read once.
+
+    Rows of layers without rules are left to the scan; a row's selections are worked out for its own layer's rules only.
+    Two projections serve all rules: one for the selections, one for the conditions.
+    """
+    layer, hits = F.col(layer_col), []
+    df = events.where(layer.isin(sorted({r["layer"] for r in rules})))
+    df = df.withColumn("_said", F.struct(*(F.when(layer == r["layer"], selections(df, r)).alias(f"r{k}") for k, r in enumerate(rules))))
     for k, r in enumerate(rules):
-        df = with_predicate(df, r, f"_rule{k}")
         own = {"seconds": None, "min_count": 5} | r.get("aggregation", {})
         told = F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["level"]).alias("level"), F.lit(own["seconds"]).cast("long").alias("seconds"), F.lit(own["min_count"]).cast("long").alias("min_count"))
-        hits.append(F.when((F.col(layer_col) == r["layer"]) & F.col(f"_rule{k}"), told))
+        hits.append(F.when((layer == r["layer"]) & F.expr(condition(r, f"_said.r{k}")), told))
     return df.withColumn("_hit", F.explode(F.array_compact(F.array(*hits)))).select(*events.columns, "_hit.*")

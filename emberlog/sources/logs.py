@@ -1,5 +1,5 @@
-"""Log readers: web access, auth syslog, audit bundles and network sensor records as one events table (S1 to S13; of S7 not the
-fields that ld has no place for: groups, actors, key types, old and new values).
+"""Log readers: web access, auth syslog, audit bundles and network sensor records as one events table (S1 to S13; of S7 not key
+types and old values).
 
 events: ts, layer, raw_ref (file:line), src_ip, pid, ppid, ld (struct). Lines that do not parse are left out.
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.net import canonical_ip, canonical_ips, dash_null, key_values, path_and_query, unhex_text, utc
@@ -16,8 +16,8 @@ from emberlog.functions.net import canonical_ip, canonical_ips, dash_null, key_v
 #: Fields of ld and their types.
 FIELDS = {
     "method": "string", "path": "string", "status": "bigint", "bytes": "bigint", "duration_us": "bigint", "user_agent": "string", "referer": "string", "host": "string",
-    "program": "string", "event": "string", "result": "string", "user": "string", "target_user": "string", "auth_method": "string", "port": "bigint", "uid": "bigint", "euid": "bigint", "auid": "bigint", "ses": "bigint",
-    "syscall": "string", "key": "string", "exe": "string", "comm": "string", "cwd": "string", "exec_args": "string", "success": "string", "session_type": "string", "serial": "bigint", "record_types": "array<string>", "raw_lines": "array<bigint>",
+    "program": "string", "event": "string", "result": "string", "user": "string", "target_user": "string", "auth_method": "string", "src_user": "string", "group": "string", "gid": "bigint", "changed_attr": "string", "shell": "string", "command": "string", "tty": "string", "repeat": "bigint", "port": "bigint", "uid": "bigint", "euid": "bigint", "auid": "bigint", "ses": "bigint",
+    "syscall": "string", "key": "string", "exe": "string", "comm": "string", "cwd": "string", "exec_args": "string", "success": "string", "session_type": "string", "proctitle": "string", "paths": "array<struct<name:string,nametype:string,item:bigint>>", "serial": "bigint", "record_types": "array<string>", "raw_lines": "array<bigint>",
     "event_type": "string", "flow_id": "string", "tx_id": "string", "sensor_id": "string", "transport_src_ip": "string", "src_port": "bigint", "dest_ip": "string", "dest_port": "bigint", "proto": "string", "xff_status": "string",
     "signature": "string", "signature_id": "string", "severity": "string", "category": "string", "action": "string",
 }
@@ -30,46 +30,51 @@ MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 UNSET_ID = 4294967295
 
 ACCOUNTS = "useradd|usermod|userdel|groupadd|groupmod|groupdel|gpasswd|passwd|chpasswd|chsh|chfn|chage|adduser|deluser|newusers"
-#: Auth messages: programs, pattern, event, result, and which groups are user, address, port and method (0: none). The first that fits counts.
-AUTH: tuple[tuple[str, str, str, str, tuple[int, int, int, int]], ...] = (
-    ("sshd", r"^Accepted (\S+) for (\S+) from (\S+) port (\d+)", "ssh_accepted", "success", (2, 3, 4, 1)),
-    ("sshd", r"^Failed (\S+) for (?:invalid user )?(.*?) from (\S+) port (\d+)", "ssh_failed", "failure", (2, 3, 4, 1)),
-    ("sshd", r"^Invalid user (.*?) from (\S+)(?: port (\d+))?$", "ssh_invalid_user", "failure", (1, 2, 3, 0)),
-    ("sshd", r"^(?:Connection closed by|Disconnected from) (?:authenticating|invalid) user (.*?) (\S+) port (\d+)", "ssh_auth_fail_close", "failure", (1, 2, 3, 0)),
-    ("sshd", r"^Disconnecting (?:authenticating|invalid) user (.*?) (\S+) port (\d+): ", "ssh_auth_fail_close", "failure", (1, 2, 3, 0)),
-    ("sshd", r"^error: maximum authentication attempts exceeded for (?:invalid user )?(.*?) from (\S+) port (\d+)", "ssh_max_auth", "failure", (1, 2, 3, 0)),
-    ("sshd", r"^(?:Connection closed by|Disconnected from|Connection reset by) ([0-9A-Fa-f:.]+) port (\d+)(?: \[preauth\])?$", "ssh_probe", "failure", (0, 1, 2, 0)),
-    ("sshd", r"^banner exchange: Connection from (\S+) port (\d+):", "ssh_probe", "failure", (0, 1, 2, 0)),
-    ("sshd", r"^(?:error: )?(?:kex_exchange_identification|kex_protocol_error|banner exchange)\b", "ssh_probe", "failure", (0, 0, 0, 0)),
-    ("sshd", r"^Did not receive identification string from (\S+)(?: port (\d+))?$", "ssh_probe", "failure", (0, 1, 2, 0)),
-    ("sshd", r"^Unable to negotiate with (\S+) port (\d+)", "ssh_probe", "failure", (0, 1, 2, 0)),
-    ("sshd", r"^(?:Received disconnect|Disconnected) from (?:user (\S+) )?(\S+) port (\d+)", "ssh_disconnect", "info", (1, 2, 3, 0)),
-    ("sshd", r"^AuthorizedKeysCommand .* failed, status \d+$", "ssh_keys_command", "info", (0, 0, 0, 0)),
-    ("sshd", r"^(?:Server listening on |Received signal \d+; terminating\.$|Received SIGHUP; restarting\.$)", "sshd_service", "info", (0, 0, 0, 0)),
-    ("sudo", r"^\s*(\S+) : .*(?:command not allowed|NOT in sudoers|incorrect password)", "sudo_denied", "failure", (1, 0, 0, 0)),
-    ("sudo", r"^\s*(\S+) : .*COMMAND=", "sudo_command", "success", (1, 0, 0, 0)),
-    ("su", r"^Successful su for (\S+) by", "su_ok", "success", (1, 0, 0, 0)),
-    ("su", r"^FAILED su for (\S+) by", "su_failed", "failure", (1, 0, 0, 0)),
-    ("su", r"^.*$", "su_other", "info", (0, 0, 0, 0)),
-    ("useradd", r"^new user: name=([^,]+)", "user_created", "success", (1, 0, 0, 0)),
-    ("usermod", r"^change user '([^']+)' shell", "user_shell_changed", "success", (1, 0, 0, 0)),
-    (ACCOUNTS, r"^delete user '([^']+)'$", "user_deleted", "success", (1, 0, 0, 0)),
-    ("passwd", r"password changed for (\S+)", "password_changed", "success", (1, 0, 0, 0)),
-    ("gpasswd|usermod", r"(?:user |add ')([^' ]+)'? (?:added by|to (?:shadow )?group)", "group_member_added", "success", (1, 0, 0, 0)),
-    (ACCOUNTS, r"^add '([^']+)' to group '", "group_member_added", "success", (1, 0, 0, 0)),
-    (ACCOUNTS, r"^add '([^']+)' to shadow group '", "gshadow_member_added", "success", (1, 0, 0, 0)),
-    (ACCOUNTS, r"^user (\S+) added by \S+ to group ", "group_member_added", "success", (1, 0, 0, 0)),
-    (ACCOUNTS, r"^delete '([^']+)' from (?:shadow )?group '", "group_member_removed", "success", (1, 0, 0, 0)),
-    (ACCOUNTS, r"^change user '([^']+)' \S+ from '[^']*' to '", "user_modified", "success", (1, 0, 0, 0)),
-    (ACCOUNTS, r"^changed user '([^']+)' shell to '", "user_modified", "success", (1, 0, 0, 0)),
-    (ACCOUNTS, r"^change user '([^']+)' password$", "password_changed", "success", (1, 0, 0, 0)),
-    (ACCOUNTS, r"^password for '([^']+)' changed by '", "password_changed", "success", (1, 0, 0, 0)),
-    (ACCOUNTS, r"^new group: name=", "group_created", "success", (0, 0, 0, 0)),
-    (ACCOUNTS, r"^(?:removed group|group) '[^']+'(?: removed.*)?$", "group_deleted", "success", (0, 0, 0, 0)),
-    (ACCOUNTS, r"^.*$", "account_other", "info", (0, 0, 0, 0)),
-    ("pkexec", r"^(\S+): (?:Error|The value)", "pkexec_denied", "failure", (1, 0, 0, 0)),
-    ("systemd-logind", r"^New session \S+ of user (\S+?)\.?$", "session_opened", "success", (1, 0, 0, 0)),
+_U, _UA, _UAP, _AP = {"user": 1}, {"user": 1, "address": 2}, {"user": 1, "address": 2, "port": 3}, {"address": 1, "port": 2}
+#: Auth messages: programs, pattern, event, result, and the groups of its fields. The first that fits counts.
+AUTH: tuple[tuple[str, str, str, str, dict[str, int]], ...] = (
+    ("sshd", r"^Accepted (\S+) for (\S+) from (\S+) port (\d+)", "ssh_accepted", "success", {"auth_method": 1, "user": 2, "address": 3, "port": 4}),
+    ("sshd", r"^Failed (\S+) for (?:invalid user )?(.*?) from (\S+) port (\d+)", "ssh_failed", "failure", {"auth_method": 1, "user": 2, "address": 3, "port": 4}),
+    ("sshd", r"^Invalid user (.*?) from (\S+)(?: port (\d+))?$", "ssh_invalid_user", "failure", _UAP),
+    ("sshd", r"^(?:Connection closed by|Disconnected from) (?:authenticating|invalid) user (.*?) (\S+) port (\d+)", "ssh_auth_fail_close", "failure", _UAP),
+    ("sshd", r"^Disconnecting (?:authenticating|invalid) user (.*?) (\S+) port (\d+): ", "ssh_auth_fail_close", "failure", _UAP),
+    ("sshd", r"^error: maximum authentication attempts exceeded for (?:invalid user )?(.*?) from (\S+) port (\d+)", "ssh_max_auth", "failure", _UAP),
+    ("sshd", r"^(?:Connection closed by|Disconnected from|Connection reset by) ([0-9A-Fa-f:.]+) port (\d+)(?: \[preauth\])?$", "ssh_probe", "failure", _AP),
+    ("sshd", r"^banner exchange: Connection from (\S+) port (\d+):", "ssh_probe", "failure", _AP),
+    ("sshd", r"^(?:error: )?(?:kex_exchange_identification|kex_protocol_error|banner exchange)\b", "ssh_probe", "failure", {}),
+    ("sshd", r"^Did not receive identification string from (\S+)(?: port (\d+))?$", "ssh_probe", "failure", _AP),
+    ("sshd", r"^Unable to negotiate with (\S+) port (\d+)", "ssh_probe", "failure", _AP),
+    ("sshd", r"^(?:Received disconnect|Disconnected) from (?:user (\S+) )?(\S+) port (\d+)", "ssh_disconnect", "info", _UAP),
+    ("sshd", r"^AuthorizedKeysCommand .* failed, status \d+$", "ssh_keys_command", "info", {}),
+    ("sshd", r"^(?:Server listening on |Received signal \d+; terminating\.$|Received SIGHUP; restarting\.$)", "sshd_service", "info", {}),
+    ("sudo", r"^\s*(\S+) : (?:.*(?:command not allowed|NOT in sudoers|incorrect password)[^;]*)(?:.*USER=(\S+))?(?:.*COMMAND=(.*))?", "sudo_denied", "failure", {"src_user": 1, "user": 2, "command": 3}),
+    ("sudo", r"^\s*(\S+) : (?:TTY=(\S+) ;)?.*USER=(\S+) ;.*COMMAND=(.*)$", "sudo_command", "success", {"src_user": 1, "tty": 2, "user": 3, "command": 4}),
+    ("su", r"^Successful su for (\S+) by (\S+)", "su_success", "success", {"user": 1, "src_user": 2}),
+    ("su", r"^FAILED su for (\S+) by (\S+)", "su_failure", "failure", {"user": 1, "src_user": 2}),
+    ("su", r"^- (\S+) ([^:]+):(\S+)$", "su_failure", "failure", {"tty": 1, "src_user": 2, "user": 3}),
+    ("su", r"^.*$", "su_other", "info", {}),
+    ("useradd", r"^new user: name=([^,]+), UID=(\d+), GID=(\d+)(?:, home=[^,]*)?(?:, shell=([^,]+))?", "user_created", "success", {"user": 1, "uid": 2, "gid": 3, "shell": 4}),
+    ("useradd", r"^new user: name=([^,]+)", "user_created", "success", _U),
+    (ACCOUNTS, r"^change user '([^']+)' (UID) from '[^']*' to '(\d+)'", "user_modified", "success", {"user": 1, "changed_attr": 2, "uid": 3}),
+    (ACCOUNTS, r"^change user '([^']+)' (shell) from '[^']*' to '([^']*)'", "user_modified", "success", {"user": 1, "changed_attr": 2, "shell": 3}),
+    (ACCOUNTS, r"^change user '([^']+)' (\S+) from '[^']*' to '", "user_modified", "success", {"user": 1, "changed_attr": 2}),
+    (ACCOUNTS, r"^changed user '([^']+)' (shell) to '([^']*)'", "user_modified", "success", {"user": 1, "changed_attr": 2, "shell": 3}),
+    (ACCOUNTS, r"^delete user '([^']+)'$", "user_deleted", "success", _U),
+    (ACCOUNTS, r"^change user '([^']+)' password$", "password_changed", "success", _U),
+    (ACCOUNTS, r"^password for '([^']+)' changed by '([^']+)'", "password_changed", "success", {"user": 1, "src_user": 2}),
+    ("passwd", r"password changed for (\S+)", "password_changed", "success", _U),
+    (ACCOUNTS, r"^add '([^']+)' to group '([^']+)'", "group_member_added", "success", {"user": 1, "group": 2}),
+    (ACCOUNTS, r"^add '([^']+)' to shadow group '([^']+)'", "gshadow_member_added", "success", {"user": 1, "group": 2}),
+    (ACCOUNTS, r"^user (\S+) added by (\S+) to group (\S+)", "group_member_added", "success", {"user": 1, "src_user": 2, "group": 3}),
+    (ACCOUNTS, r"^delete '([^']+)' from (?:shadow )?group '([^']+)'", "group_member_removed", "success", {"user": 1, "group": 2}),
+    (ACCOUNTS, r"^new group: name=([^,]+)(?:, GID=(\d+))?", "group_created", "success", {"group": 1, "gid": 2}),
+    (ACCOUNTS, r"^(?:removed group|group) '([^']+)'(?: removed.*)?$", "group_deleted", "success", {"group": 1}),
+    (ACCOUNTS, r"^.*$", "account_other", "info", {}),
+    ("pkexec", r"^(\S+): Executing command \[USER=([^\]]*)\](?: \[TTY=([^\]]*)\])?(?: \[CWD=[^\]]*\])?(?: \[COMMAND=(.*)\])?$", "pkexec_command", "success", {"src_user": 1, "user": 2, "tty": 3, "command": 4}),
+    ("pkexec", r"^(\S+): (?:Error|The value)", "pkexec_denied", "failure", {"src_user": 1}),
+    ("systemd-logind", r"^New session \S+ of user (\S+?)\.?$", "session_opened", "success", _U),
 )
+TOLD = ("user", "address", "port", "auth_method", "src_user", "group", "gid", "uid", "changed_attr", "shell", "command", "tty")
 PAM_USER = r"session (opened|closed) for user ([^\s(]+)"
 #: Numbers of system calls on x86_64 (fixed values).
 SYSCALLS = {"2": "open", "42": "connect", "59": "execve", "82": "rename", "87": "unlink", "257": "openat", "263": "unlinkat", "322": "execveat"}
@@ -77,15 +82,20 @@ NETWORK = "timestamp string, event_type string, flow_id string, tx_id string, in
 
 
 def lines(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
-    """(file, line_no, line) of a log and its rotated siblings (path* and .gz), not modified before `since`.
+    """(file, line_no, line) of a log and its rotated siblings (path.1, path.2.gz, path-20240501), not modified before `since`.
 
-    Line numbers need a file's lines in order, so a file is one task, as a gz file is anyway; rotation bounds its size.
-    Files are cut at line feeds only; a trailing carriage return goes.
+    Plain files are read in splits. Lines are numbered inside each split, and the lines of the splits before it are added
+    from a table of one row a split; both scans read the same splits. A gz file is one split. Lines end at line feeds
+    only; a trailing carriage return goes.
     """
-    reader = spark.read
-    raw = (reader.option("modifiedAfter", since) if since else reader).text(f"{path}*", wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.gz$", "").alias("file"), "value")
-    cut = raw.select("file", F.posexplode(F.split("value", "\n", -1)).alias("n", "line"))
-    return cut.select("file", (F.col("n") + 1).cast("bigint").alias("line_no"), F.regexp_replace("line", r"\r$", "").alias("line")).where("line <> ''")
+    reader = spark.read.option("lineSep", "\n")
+    raw = (reader.option("modifiedAfter", since) if since else reader).text(f"{path}{{,.[0-9]*,-[0-9]*}}")
+    raw = raw.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.regexp_replace("_metadata.file_name", r"\.gz$", "").alias("file"), "value", F.monotonically_increasing_id().alias("_id"))
+    splits = raw.groupBy(F.col("_path").alias("_p"), F.col("_block").alias("_b")).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_p").orderBy("_b")) - F.col("_n")
+    splits = splits.withColumn("_before", before)
+    numbered = raw.join(splits, (F.col("_path") == F.col("_p")) & (F.col("_block") == F.col("_b")))
+    return numbered.select("file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("line")).where("line <> ''")
 
 
 def as_events(rows: DataFrame, layer: str) -> DataFrame:
@@ -112,35 +122,47 @@ def auth_events(src: DataFrame, year: int, month: int = 12) -> DataFrame:
     bsd = F.concat(y, F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), F.lpad(F.regexp_extract(l, AUTH_BSD, 2), 2, "0"), F.lit("T"), F.regexp_extract(l, AUTH_BSD, 3), F.lit("Z"))
     pick = lambda a, b: F.when(rfc, F.regexp_extract(l, AUTH_RFC, a)).otherwise(F.regexp_extract(l, AUTH_BSD, b))
     rows = src.where(rfc | l.rlike(AUTH_BSD)).select("file", "line_no", F.when(rfc, utc(F.regexp_extract(l, AUTH_RFC, 1))).otherwise(utc(bsd)).alias("ts"), pick(2, 4).alias("host"), pick(3, 5).alias("program"), F.nullif(pick(4, 6), F.lit("")).alias("pid"), pick(5, 7).alias("msg"))
-    repeated = F.regexp_extract("msg", r"^message repeated \d+ times: \[ ?(.*)\]$", 1)
-    rows = rows.withColumn("msg", F.when(repeated != "", repeated).otherwise(F.col("msg")))
+    again = r"^message repeated (\d+) times: \[ ?(.*)\]$"
+    rows = rows.withColumns({"repeat": F.regexp_extract("msg", again, 1).try_cast("bigint"), "msg": F.when(F.col("msg").rlike(again), F.regexp_extract("msg", again, 2)).otherwise(F.col("msg"))})
     msg, none = F.col("msg"), F.lit(None).cast("string")
     take = lambda p, i: F.nullif(F.regexp_extract(msg, p, i), F.lit("")) if i else none
-    told = lambda *xs: F.struct(*(x.alias(n) for x, n in zip(xs, ("event", "result", "user", "address", "port", "auth_method"), strict=True)))
-    pam = F.when(msg.rlike("^pam_unix.*" + PAM_USER), told(F.concat(F.lit("session_"), F.regexp_extract(msg, PAM_USER, 1)), F.lit("info"), F.regexp_extract(msg, PAM_USER, 2), none, none, none))
-    pam = pam.when(msg.rlike("^pam_unix.*authentication failure"), told(F.lit("pam_failure"), F.lit("failure"), key_values(msg)["user"], key_values(msg)["rhost"], none, none))
-    for programs, p, event, result, (u, a, port, how) in AUTH:
-        pam = pam.when(F.col("program").rlike(f"^(?:{programs})$") & msg.rlike(p), told(F.lit(event), F.lit(result), take(p, u), take(p, a), take(p, port), take(p, how)))
-    rows = rows.withColumn("c", pam.otherwise(told(F.lit("other"), F.lit("info"), none, none, none, none)))
-    rows = rows.select("file", "line_no", "ts", "host", "program", "pid", "c.*").withColumn("src_ip", canonical_ip(F.col("address")))
+
+    def told(event: Column, result: str, **found: Column) -> Column:
+        return F.struct(event.alias("event"), F.lit(result).alias("result"), *(found.get(c, none).alias(c) for c in TOLD))
+
+    pam = F.when(msg.rlike("^pam_unix.*" + PAM_USER), told(F.concat(F.lit("session_"), F.regexp_extract(msg, PAM_USER, 1)), "info", user=F.regexp_extract(msg, PAM_USER, 2)))
+    pam = pam.when(msg.rlike("^pam_unix.*authentication failure"), told(F.lit("pam_failure"), "failure", user=key_values(msg)["user"], address=key_values(msg)["rhost"], tty=key_values(msg)["tty"]))
+    for programs, p, event, result, groups in AUTH:
+        pam = pam.when(F.col("program").rlike(f"^(?:{programs})$") & msg.rlike(p), told(F.lit(event), result, **{c: take(p, i) for c, i in groups.items()}))
+    rows = rows.withColumn("c", pam.otherwise(told(F.lit("other"), "info")))
+    rows = rows.select("file", "line_no", "ts", "host", "program", "pid", "repeat", "c.*").withColumn("src_ip", canonical_ip(F.col("address")))
+    rows = rows.withColumn("session_type", F.when(F.col("tty").rlike("^(?:/dev/)?(?:pts|tty)"), "interactive").when(F.col("tty").isNotNull(), "non_interactive"))
     return as_events(rows, "auth")
 
 
 def audit_events(src: DataFrame) -> DataFrame:
-    """Records of one (file, epoch, serial) make one event, which the line of its first record stands for."""
-    l = F.regexp_replace("line", "\x1d.*$", "")
+    """Records of one (file, epoch, serial) make one event, which the line of its first record stands for.
+
+    The names that the daemon adds behind a group separator (UID, SYSCALL and so on, in capitals) are read with the rest.
+    The path is that of the file made or used, not its folder's, where there is a choice.
+    """
+    l = F.translate("line", "\x1d", " ")
     head = r"^type=(\S+) msg=audit\((\d+\.\d+):(\d+)\):(.*)$"
     rec = src.where(l.rlike(head)).select("file", "line_no", F.regexp_extract(l, head, 1).alias("type"), F.regexp_extract(l, head, 2).alias("epoch"), F.regexp_extract(l, head, 3).cast("bigint").alias("serial"), key_values(F.regexp_extract(l, head, 4)).alias("kv"), F.regexp_extract(l, head, 4).alias("body"))
     g = rec.withColumn("one", F.struct("line_no", "type", F.to_json("kv").alias("kv"), "body")).groupBy("file", "epoch", "serial").agg(F.array_sort(F.collect_list("one")).alias("r"))
     of = lambda t: F.from_json(F.get(F.filter("r", lambda x: x["type"] == t), F.lit(0))["kv"], "map<string,string>")
-    g = g.select("file", F.col("r")[0]["line_no"].alias("line_no"), "epoch", "serial", "r", of("SYSCALL").alias("s"), of("EXECVE").alias("x"), of("CWD").alias("d"))
+    entry = lambda x: F.from_json(x["kv"], "map<string,string>")
+    paths = F.transform(F.filter("r", lambda x: x["type"] == "PATH"), lambda x: F.struct(unhex_text(entry(x)["name"]).alias("name"), entry(x)["nametype"].alias("nametype"), entry(x)["item"].try_cast("bigint").alias("item")))
+    g = g.select("file", F.col("r")[0]["line_no"].alias("line_no"), "epoch", "serial", "r", of("SYSCALL").alias("s"), of("EXECVE").alias("x"), of("CWD").alias("d"), of("PROCTITLE").alias("t"), paths.alias("paths"))
     number = lambda c: F.nullif(F.nullif(F.col("s")[c], F.lit("(null)")).try_cast("bigint"), F.lit(UNSET_ID))
     args = F.transform(F.sequence(F.lit(0), F.greatest(F.coalesce(F.col("x")["argc"].try_cast("int"), F.lit(0)) - 1, F.lit(0))), lambda i: unhex_text(F.col("x")[F.concat(F.lit("a"), i.cast("string"))]))
     calls = F.create_map(*(F.lit(v) for kv in SYSCALLS.items() for v in kv))
     tty = F.col("s")["tty"]
+    named = lambda kinds: F.get(F.filter("paths", lambda x: x["nametype"].isin(*kinds)), F.lit(0))["name"]
+    path = F.coalesce(named(("CREATE", "DELETE")), named(("NORMAL",)), F.get(F.filter("paths", lambda x: F.coalesce(x["nametype"] != "PARENT", F.lit(True))), F.lit(0))["name"], F.get("paths", F.lit(0))["name"])
     rows = g.select(
         "file", "line_no", F.timestamp_micros((F.col("epoch").cast("decimal(20,6)") * 1_000_000).cast("bigint")).alias("ts"), "serial", number("pid").alias("pid"), number("ppid").alias("ppid"),
-        *(number(c).alias(c) for c in ("uid", "euid", "auid", "ses")), F.coalesce(calls[F.col("s")["syscall"]], F.col("s")["syscall"]).alias("syscall"), F.nullif(F.col("s")["key"], F.lit("(null)")).alias("key"),
+        *(number(c).alias(c) for c in ("uid", "euid", "auid", "ses")), F.coalesce(F.col("s")["SYSCALL"], calls[F.col("s")["syscall"]], F.col("s")["syscall"]).alias("syscall"), F.col("s")["UID"].alias("user"), F.nullif(tty, F.lit("(none)")).alias("tty"), unhex_text(F.col("t")["proctitle"]).alias("proctitle"), "paths", path.alias("path"), F.nullif(F.col("s")["key"], F.lit("(null)")).alias("key"),
         F.col("s")["exe"].alias("exe"), F.col("s")["comm"].alias("comm"), F.col("s")["success"].alias("success"), F.col("d")["cwd"].alias("cwd"), F.when(F.col("x").isNotNull(), F.array_join(args, " ")).alias("exec_args"),
         F.when(F.col("s").isNull(), None).when(F.coalesce(tty, F.lit("(none)")) == "(none)", "non_interactive").otherwise("interactive").alias("session_type"),
         F.transform("r", lambda x: x["type"]).alias("record_types"), F.transform("r", lambda x: x["line_no"]).alias("raw_lines"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,23 +36,30 @@ class Snapshots:
         return every.join(every.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")
 
 
-def run_bursts(stream: DataFrame, store: Snapshots, checkpoint: str, width_seconds: int = 300, least: int = 20, look_back_seconds: int = LOOK_BACK_SECONDS, every: str | None = None) -> StreamingQuery:
+def run_bursts(stream: DataFrame, store: Snapshots, checkpoint: str, width_seconds: int = 300, least: int = 20, look_back_seconds: int = LOOK_BACK_SECONDS, every: str | None = None, keep: int = 100) -> StreamingQuery:
     """Bursts per user over a stream (event_id, user_id, ts); `every` is a trigger interval, else all that is there is run and awaited.
 
-    Each batch is appended to a table of events under its number first; then the rows of the last look_back_seconds
-    of event time are analysed, so late rows inside that span count.
+    Each batch is appended to a table of events under its number and the events' hours; then the rows of the last
+    look_back_seconds of event time are analysed, so late rows inside that span count. The span is a literal, so hours
+    before it are not read. Snapshots of more than `keep` batches ago are emptied.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         path = f"{store.folder}/events"
-        df.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        events = store.spark.read.schema(df.schema).parquet(path)
-        top = events.agg(F.max("ts").alias("top"))
-        recent = events.join(F.broadcast(top), F.col("ts") >= F.col("top") - F.make_dt_interval(secs=F.lit(look_back_seconds))).select("user_id", "event_id", micros("ts").alias("at"))
+        df.withColumn("hour", F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("long")).write.mode("overwrite").partitionBy("hour").parquet(f"{path}/batch={number}")
+        events = store.spark.read.schema(f"{','.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, batch long, hour long").parquet(path)
+        last = events.agg(F.max("hour")).first()[0]  # reads folder names only
+        clock = events.where(F.col("hour") == last).agg(F.max("ts")).first()[0] if last is not None else None
+        if clock is None:
+            store.before(number).write.mode("overwrite").parquet(store.at(number))
+            return
+        since = clock - timedelta(seconds=look_back_seconds)
+        recent = events.where((F.col("hour") >= last - look_back_seconds - 3600) & (F.col("ts") >= F.lit(since))).select("user_id", "event_id", micros("ts").alias("at"))
         found = bursts(recent, ("user_id",), "at", "event_id", width_seconds * 1_000_000, least)
         now = found.groupBy(F.col("user_id").cast("string").alias("incident_key")).agg(F.timestamp_micros(F.max("last_at")).alias("window_end"), F.sum("n_hits").alias("member_count"))
-        clock = top.first()["top"]
         state_diff(now, store.before(number).drop("emit"), F.lit(clock)).select("incident_key", "emit", "window_end", "max_member_count", "last_seen").write.mode("overwrite").parquet(store.at(number))
+        if number >= keep:
+            store.spark.createDataFrame([], STATE).write.mode("overwrite").parquet(store.at(number - keep))
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     if every:

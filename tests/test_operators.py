@@ -146,7 +146,7 @@ def test_links_and_incidents(spark, events):
     assert ("audit.log:3", "auth.log:1", "system_auth") in kinds and ("audit.log:1", "audit.log:3", "audit_lineage") in kinds
     assert ("eve.json:1", "eve.json:3", "sensor_flow") in kinds and sum(k == "web_system" for *_, k in kinds) == 6
     seeds = spark.createDataFrame([(1, "9.9.9.9", "shell", "critical", ["web.log:1"]), (2, "1.1.1.1", "other", "low", ["auth.log:3"])], "seed_id long, entity string, reason string, severity string, refs array<string>")
-    found = {r.entity: r for r in incidents.triaged(incidents.merged(incidents.build(edges, events, seeds))).collect()}
+    found = {r.entity: r for r in incidents.triaged(incidents.merged(*incidents.build_all(edges, events, seeds))).collect()}
     assert found["9.9.9.9"].priority == "P1" and found["9.9.9.9"].layers == ["auth", "network", "system", "web"]
     assert found["1.1.1.1"].priority == "P4" and found["1.1.1.1"].member_count == 1
     assert investigate.window_events(incidents.build(edges, events, seeds), events, "web").count() == 2
