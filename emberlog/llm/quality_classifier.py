@@ -19,6 +19,8 @@ SAMPLE = 20_000
 ROUNDS, CONFIDENT = 3, 0.97
 #: Steps of a fit, and the relative change of the loss under which it ends; each step is a job over all rows fitted on.
 STEPS, TOLERANCE = 20, 1e-3
+#: Rows that a task of a fit holds; a step's cost is its tasks' start as much as their sums.
+TASK_ROWS = 20_000
 HASHED = 1 << 12
 TEXT = ("symbols", "upper", "letters", "bangs", "bars", "word_length", "repeats", "long_words")
 META = ("log_chars", "log_lines", "line_length", "duplicate_lines")
@@ -57,7 +59,8 @@ def _logit(model: LogisticRegressionModel, df: DataFrame, view: str, out: str) -
     return scored.withColumn(out, vector_to_array("_raw")[1]).drop("_raw", "_p", "_y")
 
 
-def _fit(df: DataFrame, view: str, reg: float = 1e-3) -> LogisticRegressionModel:
+def _fit(df: DataFrame, view: str, parts: int, reg: float = 1e-3) -> LogisticRegressionModel:
+    df = df.coalesce(parts)
     return LogisticRegression(featuresCol=view, labelCol="label", regParam=reg, maxIter=STEPS, tol=TOLERANCE, standardization=False).fit(df)
 
 
@@ -72,8 +75,8 @@ class CoTrained:
     exchanged: list[tuple[int, int]]
 
 
-def co_train(rows: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT) -> CoTrained:
-    """rows: (doc_id, text_view, meta_view, label or null). Null labels are the unlabelled pool.
+def co_train(rows: DataFrame, parts: int = 8, rounds: int = ROUNDS, confident: float = CONFIDENT) -> CoTrained:
+    """rows: (doc_id, text_view, meta_view, label or null). Null labels are the unlabelled pool; parts: tasks of a fit.
 
     Every round fits each view on the true labels and on the other view's confident pseudo-labels for pool rows. A fifth
     of the labelled rows, by id hash, is held out to calibrate each view (Platt) and weigh the two by their log loss.
@@ -90,7 +93,7 @@ def co_train(rows: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT
     exchanged = []
     models = {}
     for k in range(rounds):
-        models = {v: _fit(known.select(*cols).unionByName(extra[v]), f"{v}_view") for v in ("text", "meta")}
+        models = {v: _fit(known.select(*cols).unionByName(extra[v]), f"{v}_view", parts) for v in ("text", "meta")}
         if k == rounds - 1:
             break
         scored = pool
@@ -133,7 +136,7 @@ def train(f: DataFrame, labels: DataFrame, label_col: str = "quality", sample: i
     first = f.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).repartition(8, "doc_id").sortWithinPartitions("doc_id")
     rows = cut(first.select("doc_id", "text_view", "meta_view", "label"), "labelled")
     pool = f.join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").select("doc_id", "text_view", "meta_view", F.lit(None).cast("double").alias("label"))
-    return co_train(rows.unionByName(pool))
+    return co_train(rows.unionByName(pool), max(8, f.count() // TASK_ROWS + 1))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", threshold: float = 0.5, model: CoTrained | None = None, **options) -> DataFrame:
