@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from emberlog.llm.common import attach, fresh, most_frequent, own_columns
 from emberlog.llm.shingles import sets_of, signatures
 from emberlog.operators.components import connected_components
-from emberlog.session import cut
+from emberlog.session import cut, free
 
 #: Jaccard similarity as a fraction.
 NUM, DEN = 4, 5
@@ -303,6 +303,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = first.where("not counts").select("doc_id", "n", "sig", "sig2")
     counts = cut(first.where("counts").groupBy("sig").agg(F.sum("n").alias("n")), "counts")
     top = most_frequent(counts, "n", FREQUENT).toArrow()
+    free(counts)
     token, count = (top.column(k).to_numpy() for k in (0, 1))
     order = np.argsort(token.astype(np.uint64))
     frequent = spark.sparkContext.broadcast((token.astype(np.uint64)[order], count[order]))
@@ -325,18 +326,21 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     best = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("votes"), "centre"))
     stars = cut(votes.withColumn("nth", best).where("nth <= 2").select(F.col("sig").alias("a"), F.col("centre").alias("b")), "stars")
     links = cut(_verified(stars, _sets_of_ids(texts, stars.select("a").union(stars.select("b")))), "links")
+    free(stars)
     comps = connected_components(links)
 
     # step 4
     rest = posts.drop("centre", "centre_n", "docs").join(comps.withColumnRenamed("vertex", "sig"), "sig", "left").withColumn("comp", F.coalesce("component", "sig")).drop("component")
     rest = rest.withColumns({"low": F.min("comp").over(by_token), "high": F.max("comp").over(by_token), "docs": F.count("*").over(by_token)}).where("low <> high").drop("low", "high")
     rest = cut(rest, "rest")
+    free(posts)
     reads = [F.sum(F.when(F.col("level") <= k, F.col("docs"))) for k in range(1, LEVELS + 1)]
     costs = F.array(*(r * (1 + VERIFY_COST / k) for k, r in enumerate(reads, 1)))
     least_n = F.floor((NUM * F.max("n") + DEN - 1) / DEN)
     own = rest.groupBy("sig").agg(costs.alias("costs"), least_n.alias("most")).select("sig", F.least(F.array_position("costs", F.array_min("costs")), "most").cast("int").alias("own"))
     use = rest.join(own, "sig").where("level <= own")
     use = cut(use, "use")
+    free(rest)
     small, large = use.where(F.col("docs") <= LIST), use.where(F.col("docs") > LIST)
 
     l, r = (small.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("sig", "n", "pos", "level", "comp", "own"))) for x in "ab")
@@ -354,17 +358,21 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     large = large.join(lists.groupBy("n_docs", "x", "y").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
     upto = by_token.orderBy("comp", "sig").rowsBetween(Window.unboundedPreceding, -1)
     nth, held = F.count("*").over(upto), F.coalesce(F.sum("n").over(upto), F.lit(0))
-    large = cut(large.withColumn("block", F.floor(nth / BLOCK) + F.floor(held / BLOCK_SHINGLES)).select("token", "block", "sig", "comp", "n"), "large")
+    blocked = cut(large.withColumn("block", F.floor(nth / BLOCK) + F.floor(held / BLOCK_SHINGLES)).select("token", "block", "sig", "comp", "n"), "large")
+    free(use)
+    large = blocked
     blocks = large.groupBy("token", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("few"), F.max("n").alias("many"))
     other = blocks.select("token", *(F.col(c).alias(f"{c}2") for c in ("block", "low", "high", "few", "many")))
     near = (DEN * F.col("many") >= NUM * F.col("few2")) & (DEN * F.col("many2") >= NUM * F.col("few"))
     met = blocks.join(other, "token").where(near).where("block <= block2 and not (low = high and low2 = high2 and low = low2)").select("token", "block", "block2")
     sides = met.select("token", "block", F.col("block").alias("i"), F.col("block2").alias("j")).unionByName(met.where("block <> block2").select("token", F.col("block2").alias("block"), F.col("block").alias("i"), F.col("block2").alias("j")))
     sides = cut(large.join(sides, ["token", "block"]).select("token", "i", "j", "sig", "comp"), "sides")
+    free(large)
     sets = cut(_sets_of_ids(texts, pairs.select("a").union(pairs.select("b")).union(sides.select("sig"))), "shingles")
     tasks = sides.join(sets, "sig").select("token", "i", "j", "sig", "comp", "shingles")
     more = _verified(pairs, sets).unionByName(tasks.groupBy("token", "i", "j").applyInPandas(_linked_in_block, "a long, b long"))
     links = links.unionByName(cut(more, "more"))
+    free(pairs, sides, sets)
 
     comps = connected_components(links).withColumnRenamed("vertex", "sig")
     named = groups.join(comps, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
