@@ -329,3 +329,30 @@ def shipped_rules(spark, sf_dir):
     import emberlog.plans as plans
 
     return detect(log_events(spark, sf_dir), load_rules(str(Path(plans.__file__).parent / "rules"))).select("raw_ref", "rule_id", "level")
+
+
+@query(f"WITH {LOG} SELECT raw_ref, CASE layer WHEN 'web' THEN concat_ws(' ', method, path, status, user_agent) WHEN 'system' THEN concat_ws(' ', \"user\", comm, exec_args, path) WHEN 'auth' THEN concat_ws(' ', event, result, \"user\") ELSE concat_ws(' ', kind, signature, method, path, status, dest_ip) END AS line FROM log")
+def evidence_lines(spark, sf_dir):
+    from emberlog.sources.sinks import evidence_line
+
+    return log_events(spark, sf_dir).select("raw_ref", evidence_line(F.col("layer")).alias("line"))
+
+
+@query("""WITH t AS (SELECT DISTINCT l_orderkey AS incident_id, l_suppkey % 7 AS technique_id FROM lineitem), f AS (SELECT l_orderkey AS incident_id, CASE l_linenumber % 3 WHEN 0 THEN 'ip' WHEN 1 THEN 'file' ELSE 'user' END AS kind, min(l_partkey::VARCHAR) AS target FROM lineitem WHERE l_linenumber % 3 < 2 GROUP BY ALL),
+c AS (SELECT * FROM (VALUES ('0', 'block', 'ip'), ('0', 'isolate', 'file'), ('1', 'report', NULL), ('2', 'reset', 'user'), ('*', 'look', NULL), ('*', 'watch', 'ip')) AS v(technique_id, template_id, kind)),
+e AS (SELECT incident_id, template_id, t.technique_id::VARCHAR AS technique_id, FALSE AS fallback, kind FROM t JOIN c ON c.technique_id = t.technique_id::VARCHAR UNION ALL SELECT incident_id, template_id, t.technique_id::VARCHAR, TRUE, kind FROM t, c WHERE c.technique_id = '*' AND t.technique_id > 2)
+SELECT e.incident_id, template_id, technique_id, fallback, target FROM e LEFT JOIN f USING (incident_id, kind) WHERE kind IS NULL OR target IS NOT NULL""")
+def action_templates(spark, sf_dir):
+    from emberlog.operators.decisions import entities, templates_of
+
+    l = table(spark, sf_dir, "lineitem")
+    t = l.select(F.col("l_orderkey").alias("incident_id"), (F.col("l_suppkey") % 7).cast("string").alias("technique_id")).distinct()
+    catalog = spark.createDataFrame([("0", "block", "ip"), ("0", "isolate", "file"), ("1", "report", None), ("2", "reset", "user"), ("*", "look", None), ("*", "watch", "ip")], "technique_id string, template_id string, kind string")
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "ip").when(F.col("l_linenumber") % 3 == 1, "file")
+    found = l.where("l_linenumber % 3 < 2").select(F.col("l_orderkey").alias("incident_id"), kind.alias("kind"), F.col("l_partkey").cast("string").alias("value"), F.lit("tool_input").alias("source"), F.lit(0).alias("nth"))
+    return templates_of(t, catalog, entities(found))
+
+
+@query(f"WITH {LOG}, {GRADES} SELECT status, reason, count(*) AS n FROM graded GROUP BY ALL")
+def sensor_correlation_counts(spark, sf_dir):
+    return ids.correlations(log_events(spark, sf_dir)).groupBy("status", "reason").agg(F.count("*").alias("n"))

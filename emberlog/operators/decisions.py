@@ -68,6 +68,22 @@ def entities(found: DataFrame) -> DataFrame:
     return best.select("incident_id", "kind", "value", F.col("best.source").alias("source"), rank.cast("long").alias("rank"))
 
 
+def templates_of(techniques: DataFrame, catalog: DataFrame, found: DataFrame) -> DataFrame:
+    """(incident_id, template_id, technique_id, fallback, target) of the techniques of each incident.
+
+    catalog: (technique_id, template_id, kind), with the templates of the technique "*" for those that have none of
+    their own; found: of entities(). A template that needs an entity of some kind takes the first one of it, and goes
+    where there is none; one without a kind has no target.
+    """
+    own = techniques.join(catalog, "technique_id").withColumn("fallback", F.lit(False))
+    none = techniques.join(catalog.select("technique_id").distinct(), "technique_id", "left_anti")
+    general = catalog.where("technique_id = '*'").select(F.col("technique_id").alias("_any"), "template_id", "kind")  # those of one name
+    rest = none.withColumn("_any", F.lit("*")).join(F.broadcast(general), "_any").withColumn("fallback", F.lit(True))
+    each = own.select("incident_id", "template_id", "technique_id", "fallback", "kind").unionByName(rest.select("incident_id", "template_id", "technique_id", "fallback", "kind"))
+    first = found.where("rank = 1").select("incident_id", "kind", F.col("value").alias("target"))
+    return each.join(first, ["incident_id", "kind"], "left").where("kind is null or target is not null").select("incident_id", "template_id", "technique_id", "fallback", "target")
+
+
 def _trim(chosen: DataFrame, group: Column, most: int) -> DataFrame:
     """Of each incident's actions in group, as many free ones go as are over the limit: lowest priority first, then by id."""
     over_by = Window.partitionBy("incident_id")

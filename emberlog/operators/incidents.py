@@ -145,6 +145,11 @@ def route(score: Column) -> Column:
     return r
 
 
+def at_least(level: Column, least: str) -> Column:
+    """Whether a priority is `least` or a more urgent one."""
+    return level <= least
+
+
 def triaged(incidents: DataFrame) -> DataFrame:
     score = triage_score(F.col("severity"), F.size("layers"), F.size("kinds"), F.col("n_seeds"))
     return incidents.withColumn("triage_score", score).withColumn("priority", priority(F.col("triage_score"))).withColumn("route", route(F.col("triage_score")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,10 +87,15 @@ def lines(spark: SparkSession, path: str, since: str | None = None) -> DataFrame
 
     Plain files are read in splits. Lines are numbered inside each split, and the lines of the splits before it are added
     from a table of one row a split; both scans read the same splits. A gz file is one split. Lines end at line feeds
-    only; a trailing carriage return goes.
+    only; a trailing carriage return goes. A log that is not there has no lines.
     """
     reader = spark.read.option("lineSep", "\n")
-    raw = (reader.option("modifiedAfter", since) if since else reader).text(f"{path}{{,.[0-9]*,-[0-9]*}}")
+    try:
+        raw = (reader.option("modifiedAfter", since) if since else reader).text(f"{path}{{,.[0-9]*,-[0-9]*}}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "file string, line_no bigint, line string")
     raw = raw.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.regexp_replace("_metadata.file_name", r"\.gz$", "").alias("file"), "value", F.monotonically_increasing_id().alias("_id"))
     splits = raw.groupBy(F.col("_path").alias("_p"), F.col("_block").alias("_b")).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_p").orderBy("_b")) - F.col("_n")
