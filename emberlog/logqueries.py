@@ -356,3 +356,33 @@ def action_templates(spark, sf_dir):
 @query(f"WITH {LOG}, {GRADES} SELECT status, reason, count(*) AS n FROM graded GROUP BY ALL")
 def sensor_correlation_counts(spark, sf_dir):
     return ids.correlations(log_events(spark, sf_dir)).groupBy("status", "reason").agg(F.count("*").alias("n"))
+
+
+TOOL = "CASE l_suppkey % 6 WHEN 0 THEN 'fetch_web_log' WHEN 1 THEN 'fetch_auth_log' WHEN 2 THEN 'fetch_audit_log' WHEN 3 THEN 'fetch_network_log' WHEN 4 THEN 'fetch_event_logs' ELSE 'get_process_tree' END"
+ASKED = "CASE l_suppkey % 6 WHEN 0 THEN 'web' WHEN 1 THEN 'auth' WHEN 2 THEN 'audit' WHEN 3 THEN 'network' END"
+CASE = {
+    "reason": "CASE WHEN o_orderkey % 3 = 0 THEN 'no_more_evidence' ELSE 'confidence_sufficient' END", "confidence": "cast(o_custkey % 100 AS double) / 100", "verdict": "CASE WHEN o_orderkey % 2 = 0 THEN 'THREAT_CONFIRMED' ELSE 'FALSE_POSITIVE' END",
+    "rule_verdict": "CASE o_custkey % 5 WHEN 0 THEN 'THREAT_CONFIRMED' WHEN 1 THEN 'FALSE_POSITIVE' END", "src_ip": "CASE WHEN o_orderkey % 4 > 0 THEN 'x' END", "login_success": "o_custkey % 7 = 0",
+}
+
+
+@query(f"""WITH cs AS (SELECT o_orderkey AS i, {', '.join(f'{v} AS {k}' for k, v in CASE.items())} FROM orders), cl AS (SELECT l_orderkey AS i, {TOOL} AS tool, {ASKED} AS layer, l_linenumber % 3 > 0 AS success, l_linenumber = 2 AS by_system, l_partkey % 4 AS ip, l_partkey, l_suppkey, l_linenumber FROM lineitem),
+d AS (SELECT i, count(DISTINCT tool) FILTER (NOT by_system) AS tools, count(DISTINCT tool) FILTER (NOT by_system AND success) AS good, count(DISTINCT layer) FILTER (NOT by_system) AS layers, count(DISTINCT tool) FILTER (tool <> 'get_process_tree') AS logs, bool_or(tool IN ('fetch_audit_log', 'get_process_tree', 'fetch_event_logs')) AS audit, bool_or(tool = 'fetch_network_log') AS network FROM cl GROUP BY i),
+oi AS (SELECT DISTINCT i FROM cl c WHERE l_linenumber = 1 AND NOT EXISTS (SELECT 1 FROM cl k WHERE k.i = c.i AND k.tool = 'fetch_network_log' AND k.ip = c.l_suppkey % 4)),
+refs AS (SELECT DISTINCT i, l_partkey % 10 AS ref FROM cl WHERE l_linenumber <> 3),
+orf AS (SELECT DISTINCT i FROM cl c WHERE l_linenumber = 3 AND NOT EXISTS (SELECT 1 FROM refs r WHERE r.i = c.i AND r.ref = c.l_suppkey % 10) AND NOT EXISTS (SELECT 1 FROM cl k WHERE k.i = c.i AND k.layer = 'auth')),
+oru AS (SELECT DISTINCT i FROM (SELECT i, l_linenumber % 2 AS rule, bool_or(EXISTS (SELECT 1 FROM refs r WHERE r.i = c.i AND r.ref = c.l_suppkey % 10) OR l_suppkey % 5 = 0) AS ok FROM cl c GROUP BY ALL) WHERE NOT ok)
+SELECT cs.i AS incident_id, concat_ws(',', CASE WHEN rule_verdict IS NOT NULL AND rule_verdict <> verdict THEN 'VERDICT_CONFLICT' END, CASE WHEN login_success AND NOT coalesce(audit, FALSE) THEN 'LOGIN_WITHOUT_AUDIT' END, CASE WHEN oi.i IS NOT NULL THEN 'COMMAND_IP_UNCHECKED' END, CASE WHEN orf.i IS NOT NULL THEN 'SEED_REF_UNOBSERVED' END, CASE WHEN oru.i IS NOT NULL THEN 'RULE_UNCHECKED' END,
+CASE WHEN reason = 'confidence_sufficient' AND confidence < 0.85 AND NOT coalesce(rule_verdict = verdict, FALSE) THEN 'LOW_CONFIDENCE' END, CASE WHEN reason = 'confidence_sufficient' AND greatest(coalesce(good, 0), coalesce(layers, 0)) <= 1 THEN 'ONE_TOOL' END, CASE WHEN reason = 'confidence_sufficient' AND src_ip IS NOT NULL AND NOT coalesce(network, FALSE) THEN 'NETWORK_UNCHECKED' END,
+CASE WHEN reason = 'no_more_evidence' AND greatest(coalesce(tools, 0), coalesce(layers, 0)) <= 1 AND coalesce(logs, 0) < 5 THEN 'STOPPED_EARLY' END) AS codes FROM cs LEFT JOIN d ON d.i = cs.i LEFT JOIN oi ON oi.i = cs.i LEFT JOIN orf ON orf.i = cs.i LEFT JOIN oru ON oru.i = cs.i""")
+def termination_gates(spark, sf_dir):
+    from emberlog.operators.gates import violations
+
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "incident_id")
+    cases = o.select(F.col("o_orderkey").alias("incident_id"), *(F.expr(v).alias(k) for k, v in CASE.items()))
+    calls = l.select("incident_id", F.expr(TOOL).alias("tool"), F.expr(ASKED).alias("layer"), (F.col("l_linenumber") % 3 > 0).alias("success"), (F.col("l_linenumber") == 2).alias("by_system"), (F.col("l_partkey") % 4).alias("ip"))
+    ref = (F.col("l_suppkey") % 10).alias("ref")
+    return violations(
+        cases, calls, l.where("l_linenumber = 1").select("incident_id", (F.col("l_suppkey") % 4).alias("ip")), l.where("l_linenumber = 3").select("incident_id", ref, F.lit("auth").alias("layer")),
+        l.where("l_linenumber <> 3").select("incident_id", (F.col("l_partkey") % 10).alias("ref")), l.select("incident_id", (F.col("l_linenumber") % 2).alias("rule"), ref, (F.col("l_suppkey") % 5 == 0).alias("mentioned")),
+    ).withColumn("codes", F.array_join("codes", ","))
