@@ -282,3 +282,27 @@ def test_empty_tables(empty):
     model = open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read()
     for found in (exact_dedup.exact_dedup(empty), exact_dedup.drop_copies(empty), ngram_join.ngram_join(empty), token_counts.token_counts(empty, model), quality_rules.ledger(empty), source_mix.mix(empty), source_mix.mixed_documents(empty), sentencepiece_codec.sentencepiece(empty, tokenizer_path("piece_bpe_32k.model"))):
         assert found.count() == 0
+
+
+def test_pipeline_run_on_odd_rows(spark, docs, rows, tmp_path):
+    """run() over nulls, empty texts, ties and repeated rows: each stage's decision by plain Python, given the classifier's."""
+    import corpus_pipeline
+
+    d = str(tmp_path)
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(0, 60, 3)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    good = [tuple(r) for r in corpus_pipeline.quality(spark, spark.read.parquet(f"{d}/documents.parquet"), d).select("doc_id", "text").collect()]
+    assert len(good) <= len(rows)
+    best = {}
+    for i, t in good:
+        k = BLANK.sub("", t or "")
+        best[k] = min(best.get(k, (1, 0)), (-len(t or ""), i))
+    once = [(i, next(t for j, t in good if j == i)) for _, i in best.values()]
+    near = brute_components(once)
+    left = [(i, t) for i, t in once if near[i][1] == i]
+    taken = {r.doc_id: r.copies for r in source_mix.mix(docs.dropDuplicates(["doc_id"]).where(F.col("doc_id").isin([i for i, _ in left]))).collect()}
+    got = Counter(r.doc_id for r in corpus_pipeline.run(spark, d).collect())
+    assert got == Counter({i: n for i, n in taken.items() if n})
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/none/documents.parquet")
+    spark.read.parquet(f"{d}/labels.parquet").write.parquet(f"{d}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{d}/none").count() == 0
