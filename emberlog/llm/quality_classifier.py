@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import BLANKS, own_columns, words
-from emberlog.session import cut, free
+from emberlog.session import cut
 
 #: Labelled rows that fitting may use: those with the smallest id hashes. The unlabelled pool is all other documents.
 SAMPLE = 20_000
@@ -20,7 +20,7 @@ ROUNDS, CONFIDENT = 3, 0.97
 #: Steps of a fit, and the relative change of the loss under which it ends; each step is a job over all rows fitted on.
 STEPS, TOLERANCE = 20, 1e-3
 #: Rows that a task of a fit holds; a step's cost is its tasks' start as much as their sums.
-TASK_ROWS = 20_000
+TASK_ROWS = 50_000
 HASHED = 1 << 12
 TEXT = ("symbols", "upper", "letters", "bangs", "bars", "word_length", "repeats", "long_words")
 META = ("log_chars", "log_lines", "line_length", "duplicate_lines")
@@ -136,7 +136,7 @@ def train(f: DataFrame, labels: DataFrame, label_col: str = "quality", sample: i
     first = f.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).repartition(8, "doc_id").sortWithinPartitions("doc_id")
     rows = cut(first.select("doc_id", "text_view", "meta_view", "label"), "labelled")
     pool = f.join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").select("doc_id", "text_view", "meta_view", F.lit(None).cast("double").alias("label"))
-    return co_train(rows.unionByName(pool), max(8, f.count() // TASK_ROWS + 1))
+    return co_train(rows.unionByName(pool), max(4, f.count() // TASK_ROWS + 1))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", threshold: float = 0.5, model: CoTrained | None = None, **options) -> DataFrame:
@@ -166,10 +166,12 @@ def _scored(f: DataFrame, model: CoTrained, threshold: float, *more: str) -> Dat
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of docs that classify() keeps, with all their columns; each row is judged by itself, in one pass after training."""
-    f = cut(features(docs, id_col, text_col, lang_col, source_col), "features")
+    """The rows of docs that classify() keeps, with all their columns; each row is judged by itself.
+
+    The features are written with the rows, which costs less than to make them again for the scores.
+    """
+    f = cut(features(docs, id_col, text_col, lang_col, source_col, carry=True), "features")
     model = train(f, labels, **options)
-    free(f)
     if model is None:
         return docs
-    return _scored(features(docs, id_col, text_col, lang_col, source_col, carry=True), model, threshold, "row").where("kept").select("row.*")
+    return _scored(f, model, threshold, "row").where("kept").select("row.*")
