@@ -47,7 +47,7 @@ STAGES = [
     ("sentencepiece", pieces),
 ]
 
-#: SQL can express neither the classifier nor the segmentation; the tests hold run() against brute force instead.
+#: SQL can express neither the classifier nor the segmentation; the tests hold run() against plain Python, given the classifier's decisions.
 ORACLE_SQL = None
 
 
