@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.operators.range_join import as_of, micros, range_join, unique_only
 
+log = logging.getLogger(__name__)
 SECOND = 1_000_000
 WEB_UID = 33
 #: Registered linkers: name -> function of the events table.
@@ -89,7 +92,16 @@ def audit_lineage(events: DataFrame) -> DataFrame:
 
 
 def all_edges(events: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
-    return guarded(reduce(DataFrame.unionByName, (LINKERS[n](events).select("a", "b", "kind") for n in names or tuple(LINKERS))))
+    """Guarded edges of all linkers. One that can't be planned on these events (a column that they lack) is logged and left out."""
+    found = []
+    for n in names or tuple(LINKERS):
+        try:
+            found.append(LINKERS[n](events).select("a", "b", "kind"))
+        except AnalysisException:
+            log.warning("linker %s was left out", n, exc_info=True)
+    if not found:
+        return events.sparkSession.createDataFrame([], "a string, b string, kind string")
+    return guarded(reduce(DataFrame.unionByName, found))
 
 
 def guarded(edges: DataFrame, weak: tuple[str, ...] = ()) -> DataFrame:

@@ -146,5 +146,23 @@ def test_filters_and_pages(spark, sf_dir):
     assert kinds.kinds == {"x": 2, "y": 1}
 
 
+def test_linkers_and_sinks(spark, sf_dir, tmp_path):
+    from emberlog.operators import links
+    from emberlog.sources import sinks
+
+    assert links.all_edges(spark.createDataFrame([], "raw_ref string, layer string")).count() == 0
+    assert logs.lines(spark, str(tmp_path / "none.log")).count() == 0
+    rows = spark.createDataFrame([("i1", 3), ("i2", 4)], "incident_id string, n long")
+    for _ in range(2):
+        sinks.write_incidents(rows, str(tmp_path / "out"), "2024-05-01-001")
+    assert sinks.read_incidents(spark, str(tmp_path / "out/run=2024-05-01-001")).count() == 2
+    (tmp_path / "one.json").write_text('{\n "incident_id": "i1",\n "n": 3\n}\n')
+    (tmp_path / "many.json").write_text('[\n {"incident_id": "i1"},\n {"incident_id": "i2"}\n]\n')
+    assert [sinks.read_incidents(spark, str(tmp_path / f)).count() for f in ("one.json", "many.json")] == [1, 2]
+    assert sinks.append_metrics(spark, str(tmp_path / "metrics"), rows) and not sinks.append_metrics(spark, "nosuch://x/y", rows)
+    sinks.write_events(logqueries.log_events(spark, sf_dir), str(tmp_path / "layers"))
+    assert spark.read.json(str(tmp_path / "layers")).select("layer").distinct().count() == 4
+
+
 def test_names_of_files_are_stable():
     assert all(re.fullmatch("[a-z_]+", r["id"]) for r in rules.load_rules(str(Path(rules.__file__).parent / "rules")))
