@@ -56,7 +56,11 @@ class PreTokens:
         return SPLIT.findall(text) if ODD.search(text) else text.split()
 
     def cut(self, word: str) -> list[str]:
-        if self.fine is None or word in self.special or "\u0130" in word or "\u03a3" in word:
+        if self.fine is None or word in self.special:
+            return [word]
+        if word.isascii():
+            return [word.lower()] if word.isalpha() else self.fine(word.lower())
+        if "\u0130" in word or "\u03a3" in word:
             return [word]
         return self.fine(unicodedata.normalize("NFC", word).lower())
 
