@@ -216,6 +216,12 @@ def test_segmentation_is_best():
         at += n
 
 
+@pytest.fixture
+def quick_fits(monkeypatch):
+    """Fewer steps a fit, for tests that are not about the classifier's quality."""
+    monkeypatch.setattr(quality_classifier, "STEPS", 4)
+
+
 def test_quality_classifier_held_out(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
     part = F.pmod(F.xxhash64("doc_id", F.lit("test")), F.lit(4)) == 0
@@ -224,7 +230,7 @@ def test_quality_classifier_held_out(spark):
     assert n > 50 and right >= 0.9
 
 
-def test_quality_classifier_edges(docs, empty, rows):
+def test_quality_classifier_edges(docs, empty, rows, quick_fits):
     none = docs.sparkSession.createDataFrame([], "doc_id long, quality int")
     assert quality_classifier.classify(docs, none).where("kept").count() == len(rows)
     labels = docs.select("doc_id", (F.length("text") > 100).cast("int").alias("quality")).distinct()
@@ -234,13 +240,13 @@ def test_quality_classifier_edges(docs, empty, rows):
 
 
 @pytest.mark.parametrize("n", [2, 9])
-def test_quality_classifier_with_few_labels(docs, n):
+def test_quality_classifier_with_few_labels(docs, n, quick_fits):
     labels = docs.sparkSession.createDataFrame([(20 + k, k % 2) for k in range(n)], "doc_id long, quality int")
     got = quality_classifier.classify(docs, labels)
     assert got.count() == docs.count() and got.where("score is null or isnan(score)").count() == 0
 
 
-def test_names_with_dots_stay(docs):
+def test_names_with_dots_stay(docs, quick_fits):
     named = docs.select("*", F.lit(1).alias("a.b"), F.lit(2).alias("x`y"))
     labels = docs.select("doc_id", (F.length("text") > 100).cast("int").alias("quality")).distinct()
     for left in (exact_dedup.drop_copies(named), ngram_join.drop_near_copies(named), source_mix.mixed_documents(named), quality_classifier.drop_rejected(named, labels)):
@@ -284,7 +290,7 @@ def test_empty_tables(empty):
         assert found.count() == 0
 
 
-def test_pipeline_run_on_odd_rows(spark, docs, rows, tmp_path):
+def test_pipeline_run_on_odd_rows(spark, docs, rows, tmp_path, quick_fits):
     """run() over nulls, empty texts, ties and repeated rows: each stage's decision by plain Python, given the classifier's."""
     import corpus_pipeline
 
