@@ -179,15 +179,16 @@ def _judged(rows: DataFrame) -> DataFrame:
     """The rows of buckets with more than one occurrence, with `repeated` (its pointer is not alone) and `open`: still to
     be told apart, or the one of its pointer's members that stands for them where others of the bucket are open.
 
-    Hot buckets and pointers are added up before they are shuffled; joins by them are such that Spark can split.
+    Hot buckets and pointers are added up before they are shuffled. The sums are written, so that Spark can split the
+    joins by them where one bucket has many members.
     """
-    shared = rows.groupBy("bucket").agg(F.sum("n").alias("in_bucket")).where("in_bucket > 1").select("bucket")
+    shared = cut(rows.groupBy("bucket").agg(F.sum("n").alias("in_bucket")).where("in_bucket > 1").select("bucket"), "buckets")
     left = cut(rows.join(shared, "bucket", "left_semi"), "shared")
     free(rows)
     first = F.min(F.struct("id", "mark", "at")).alias("first")
     members = cut(left.groupBy("bucket", "pointer").agg(F.sum("n").alias("total"), first), "members")
-    alone = members.groupBy("bucket").agg(F.max(F.col("total") == 1).alias("some_alone"))
-    members = members.join(alone, "bucket").select("bucket", "pointer", "total", "some_alone", "first")
+    alone = cut(members.where("total = 1").select("bucket").distinct().withColumn("some_alone", F.lit(True)), "alone")
+    members = members.join(alone, "bucket", "left").select("bucket", "pointer", "total", F.coalesce("some_alone", F.lit(False)).alias("some_alone"), "first")
     found = left.join(members, ["bucket", "pointer"])
     stands = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("at") == F.col("first.at"))
     return found.select(
