@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import exact_dedup, license_scan, ngram_join, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, source_mix, suffix_dedup, token_counts, url_filters
+from emberlog.llm import exact_dedup, license_scan, ngram_join, prefix_trie, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, source_mix, suffix_dedup, token_alignment, token_counts, url_filters
 from emberlog.llm.oracles import ORACLES
 from emberlog.session import table
 
@@ -62,6 +62,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = Path(tokenizer_path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    second = Path(tokenizer_path("piece_bpe_32k.model")).read_bytes()
+    return token_alignment.token_alignment(table(spark, sf_dir, "documents"), first, second)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -75,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_exact_dedup, op2_url_filters, op3_token_counts, op4_license_scan, op5_secret_scan, op6_source_mix, op7_ngram_join,
-        op8_quality_rules, op9_sentencepiece, op10_quality_classifier, op13_suffix_dedup, pipeline,
+        op8_quality_rules, op9_sentencepiece, op10_quality_classifier, op11_token_alignment, op12_prefix_trie, op13_suffix_dedup, pipeline,
     )
     return {f.__name__: f for f in ops}
 

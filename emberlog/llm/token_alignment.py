@@ -2,8 +2,9 @@
 
 Both tokenizers begin anew at a space after a character that is no white space, so a text is cut into segments there,
 and each task encodes and aligns a segment once. The alignment is DuckDB's, over interval tables of an Arrow partition's
-new segments: the links are a join of token ends, an ASOF join finds the link at which a token's group closes, a range
-join the segment of a link, and window sums number the groups. Tasks add up how often each id pair is linked; Spark
+new segments: the links are a join of token ends, ASOF joins find the link at which a token's group closes and the
+segment that a link lies in (segments don't overlap; a range join of the same took 45 s for 60,000 segments instead of
+0.02), and window sums number the groups. DuckDB runs on one thread, so that aggregates see sorted rows in order. Tasks add up how often each id pair is linked; Spark
 merges these partial counts and joins them back to the texts' pairs.
 """
 
@@ -33,12 +34,13 @@ B_IDS = 1 << 24
 
 ALIGN = """
 WITH link AS (SELECT a.e AS e, a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.e = b.e),
-placed AS (SELECT seg.k AS k, link.e AS e, a_id, b_id, sum(1) OVER (PARTITION BY seg.k ORDER BY link.e) AS nth FROM link JOIN seg ON link.e > seg.start AND link.e <= seg.stop),
-ga AS (SELECT link.e AS e, string_agg(a.id, ',' ORDER BY a.e) AS ids, count(*) AS n FROM a ASOF JOIN link ON a.e <= link.e GROUP BY link.e),
-gb AS (SELECT link.e AS e, string_agg(b.id, ',' ORDER BY b.e) AS ids, count(*) AS n FROM b ASOF JOIN link ON b.e <= link.e GROUP BY link.e)
+placed AS (SELECT seg.k AS k, link.e AS e, a_id, b_id FROM link ASOF JOIN seg ON link.e <= seg.stop),
+numbered AS (SELECT *, sum(1) OVER (PARTITION BY k ORDER BY e) AS nth FROM placed),
+ga AS (SELECT e, string_agg(id, ',') AS ids, count(*) AS n FROM (SELECT link.e AS e, a.id AS id FROM a ASOF JOIN link ON a.e <= link.e ORDER BY a.e) GROUP BY e),
+gb AS (SELECT e, string_agg(id, ',') AS ids, count(*) AS n FROM (SELECT link.e AS e, b.id AS id FROM b ASOF JOIN link ON b.e <= link.e ORDER BY b.e) GROUP BY e)
 SELECT k, sum(ga.n)::BIGINT AS n_a, sum(gb.n)::BIGINT AS n_b, max(nth)::BIGINT AS n_groups, string_agg(ga.ids || '|' || gb.ids, ';' ORDER BY nth) AS groups,
        list(a_id::BIGINT * {b_ids} + b_id ORDER BY nth) AS pairs
-FROM placed JOIN ga USING (e) JOIN gb USING (e) GROUP BY k ORDER BY k
+FROM numbered JOIN ga USING (e) JOIN gb USING (e) GROUP BY k ORDER BY k
 """
 
 
