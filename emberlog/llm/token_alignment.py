@@ -15,9 +15,11 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from emberlog.session import cut
 #: At most so many frequent id pairs are broadcast (17 bytes each, at any corpus size); all others are joined.
 COMMON = 200_000
 #: Segments and characters that are aligned at once, segments that a task remembers, and characters of texts at once.
-BLOCK, BLOCK_CHARS, HELD, TEXTS = 60_000, 1 << 20, 400_000, 1 << 22
+BLOCK, BLOCK_CHARS, HELD, TEXTS = 60_000, 1 << 20, 400_000, 1 << 21
 #: A space, and all up to the next space that follows other than white space; white space at the end goes with the last.
 SEGMENT = re.compile(r" \s*\S*(?:[^\S ]\s*\S*| \s*\Z)*")
 B_IDS = 1 << 24
@@ -37,10 +39,9 @@ WITH link AS (SELECT a.e AS e, a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.e =
 placed AS (SELECT seg.k AS k, link.e AS e, a_id, b_id FROM link ASOF JOIN seg ON link.e <= seg.stop),
 numbered AS (SELECT *, sum(1) OVER (PARTITION BY k ORDER BY e) AS nth FROM placed),
 ga AS (SELECT e, string_agg(id, ',') AS ids, count(*) AS n FROM (SELECT link.e AS e, a.id AS id FROM a ASOF JOIN link ON a.e <= link.e ORDER BY a.e) GROUP BY e),
-gb AS (SELECT e, string_agg(id, ',') AS ids, count(*) AS n FROM (SELECT link.e AS e, b.id AS id FROM b ASOF JOIN link ON b.e <= link.e ORDER BY b.e) GROUP BY e)
-SELECT k, sum(ga.n)::BIGINT AS n_a, sum(gb.n)::BIGINT AS n_b, max(nth)::BIGINT AS n_groups, string_agg(ga.ids || '|' || gb.ids, ';' ORDER BY nth) AS groups,
-       list(a_id::BIGINT * {b_ids} + b_id ORDER BY nth) AS pairs
-FROM numbered JOIN ga USING (e) JOIN gb USING (e) GROUP BY k ORDER BY k
+gb AS (SELECT e, string_agg(id, ',') AS ids, count(*) AS n FROM (SELECT link.e AS e, b.id AS id FROM b ASOF JOIN link ON b.e <= link.e ORDER BY b.e) GROUP BY e),
+lined AS (SELECT k, nth, ga.n AS n_a, gb.n AS n_b, ga.ids || '|' || gb.ids AS pair_ids, a_id::BIGINT * {b_ids} + b_id AS pair FROM numbered JOIN ga USING (e) JOIN gb USING (e) ORDER BY k, nth)
+SELECT k, sum(n_a)::BIGINT AS n_a, sum(n_b)::BIGINT AS n_b, max(nth)::BIGINT AS n_groups, string_agg(pair_ids, ';') AS groups, list(pair) AS pairs FROM lined GROUP BY k ORDER BY k
 """
 
 
@@ -75,6 +76,7 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model_proto)
         self.a_bytes, self.b_bytes = byte_tokens(model_json), piece_tokens(self.b)
+        self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         known = json.loads(model_json).get("pre_tokenizer") or {}
         if known.get("type") != "ByteLevel" or not known.get("use_regex", True) or known.get("add_prefix_space") or any("▁" in p.lstrip("▁") for p in pieces):
@@ -88,21 +90,15 @@ class Aligner:
         self.sizes = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, whether the bytes are those of the text
         self.pairs, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def encoded(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids by both tokenizers. Segments that end in other than white space are one text to the first tokenizer, whose
-        tokens are dealt to them by their bytes."""
-        b = self.b.encode([s[1:] for s in segments], num_threads=1)
-        firm = [k for k, s in enumerate(segments) if not s[-1].isspace()]
-        ids = np.array(self.a.encode_batch_fast(["".join(segments[k] for k in firm)], add_special_tokens=False)[0].ids, np.int64) if firm else np.zeros(0, np.int64)
-        size = np.fromiter(map(len, self.a_bytes), np.int64, len(self.a_bytes))
-        stops = np.cumsum([len(segments[k].encode()) for k in firm]) if firm else np.zeros(0, np.int64)
-        edges = np.searchsorted(np.cumsum(size[ids]), stops, side="right")
-        a: list[list[int]] = [[]] * len(segments)
-        for k, own in zip(firm, np.split(ids, edges[:-1]) if firm else (), strict=True):
-            a[k] = own.tolist()
-        for k in set(range(len(segments))).difference(firm):
-            a[k] = self.a.encode_batch_fast([segments[k]], add_special_tokens=False)[0].ids
-        return a, b
+    def encoded(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that both tokenizers give the segments, one after the other. Segments that end in other than white space
+        are one text to the first tokenizer."""
+        b = np.fromiter(chain.from_iterable(self.b.encode([s[1:] for s in segments], num_threads=1)), np.int64)
+        parts: list[list[int]] = []
+        for firm, run in groupby(segments, key=lambda s: not s[-1].isspace()):
+            for text in ["".join(run)] if firm else run:
+                parts.append(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        return np.fromiter(chain.from_iterable(parts), np.int64), b
 
     def learn(self, segments: list[str]) -> None:
         """Encode and align segments that are new."""
@@ -116,26 +112,36 @@ class Aligner:
             at = stop
 
     def _learn(self, segments: list[str]) -> None:
+        raw = [s.encode() for s in segments]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
         a, b = self.encoded(segments)
-        good = [k for k, s in enumerate(segments) if b"".join(map(self.a_bytes.__getitem__, a[k])) == (t := s.encode()) and b"".join(map(self.b_bytes.__getitem__, b[k])) == t]
+        stop = np.cumsum(size)
+        ends = []
+        for ids, of, lengths in ((a, self.a_bytes, self.a_size), (b, self.b_bytes, self.b_size)):
+            e = np.cumsum(lengths[ids])
+            whole = len(e) and e[-1] == stop[-1] and np.isin(stop, e, assume_unique=True).all() and b"".join(map(of.__getitem__, ids.tolist())) == b"".join(raw)
+            ends.append(e if whole else None)
+        good = np.arange(len(segments))
+        if any(e is None for e in ends):  # some segment's bytes are not its tokens': each is looked at by itself
+            if len(segments) > 1:
+                half = len(segments) // 2
+                self._learn(segments[:half])
+                self._learn(segments[half:])
+                return
+            good = good[:0]
         sizes = np.zeros((len(segments), 4), np.int64)
         groups, pairs, counts = [""] * len(segments), [], np.zeros(len(segments), np.int64)
-        if good:
-            stop = np.cumsum([len(segments[k].encode()) for k in good])
-            seg = pa.table({"k": pa.array(good, pa.int64()), "start": stop - np.diff(stop, prepend=0), "stop": stop})
-            for name, ids, of in (("a", a, self.a_bytes), ("b", b, self.b_bytes)):
-                flat = [i for k in good for i in ids[k]]
-                self.db.register(name, pa.table({"id": pa.array(flat, pa.int32()), "e": np.cumsum(np.fromiter((len(of[i]) for i in flat), np.int64, len(flat)))}))
-            self.db.register("seg", seg)
+        if len(good):
+            for name, ids, e in (("a", a, ends[0]), ("b", b, ends[1])):
+                self.db.register(name, pa.table({"id": pa.array(ids.astype(np.int32)), "e": e}))
+            self.db.register("seg", pa.table({"k": good, "stop": stop}))
             found = self.db.sql(ALIGN.format(b_ids=B_IDS)).to_arrow_table()
             for name in ("a", "b", "seg"):
                 self.db.unregister(name)
-            k = found["k"].to_numpy()
-            sizes[k] = np.stack([found[c].to_numpy() for c in ("n_a", "n_b", "n_groups")] + [np.ones(len(k), np.int64)], axis=1)
-            for i, text in zip(k.tolist(), found["groups"].to_pylist(), strict=True):
-                groups[i] = text
+            sizes = np.stack([found[c].to_numpy() for c in ("n_a", "n_b", "n_groups")] + [np.ones(len(good), np.int64)], axis=1)
+            groups = found["groups"].to_pylist()
             listed = found["pairs"].combine_chunks()
-            counts[k] = listed.value_lengths().to_numpy()
+            counts = listed.value_lengths().to_numpy().astype(np.int64)
             pairs.append(listed.flatten().to_numpy())
         base = len(self.groups)
         self.index.update((s, base + k) for k, s in enumerate(segments))
@@ -164,14 +170,14 @@ class Aligner:
             yield *size[:, :3].sum(axis=0).tolist(), ";".join(map(self.groups.__getitem__, own.tolist())), pairs, times
 
 
-def _chunked(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
+def _chunked(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of a batch's rows, about TEXTS bytes at a time."""
+    sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
     at = 0
-    while at < len(texts):
-        stop, chars = at, 0
-        while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= TEXTS):
-            chars += len(texts[stop])
-            stop += 1
-        yield ids[at:stop], texts[at:stop]
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXTS, side="right")))
+        own = batch.slice(at, stop - at)
+        yield own.column(0).to_pylist(), own.column(1).to_pylist()
         at = stop
 
 
@@ -191,7 +197,7 @@ def align(docs: DataFrame, model_json: str, model_proto: bytes, id_col: str = "d
         aligner = Aligner(*models.value)
         pair, links = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for ids, texts in _chunked(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, texts in _chunked(batch):
                 found = list(aligner.aligned(texts))
                 shas = [hashlib.sha256(x[3].encode()).hexdigest() if x[3] else "" for x in found]
                 ends = pa.array(np.cumsum([0, *(len(x[4]) for x in found)]), pa.int32())
