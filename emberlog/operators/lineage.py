@@ -1,75 +1,257 @@
-"""Process lineage: boot epochs, process instances and ancestors."""
+"""Process lineage: boot epochs, process instances, their parents, and chains of ancestors."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.operators.range_join import as_of
+from emberlog.operators.scan import dealt, last_of, max_of, running, sum_of
 from emberlog.session import cut
 
 #: A serial that falls this far below the largest one so far means a reboot.
 RESET = 1000
+#: Rows whose effect is summed up at once (a power of two).
+CHUNK = 8192
+#: A parent may be seen so many microseconds after its child; processes 0 and 1 end a chain; orphans go to 1 (fixed values).
+SLACK, ROOTS, ORPHAN = 2_000_000, (0, 1), 1
+MAX_NODES = 32
 
+#: The effect of a run of serials on (epochs so far, largest serial): pieces (upper end of the largest serial before,
+#: epochs added, largest serial after, null where it stays as it was), by upper end.
+Pieces = list[tuple[float, int, float | None]]
+END = float("inf")
+PIECES = "host string, chunk long, upto array<double>, added array<long>, top array<double>"
 
-def _epochs(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["at", "serial", "raw_ref"], kind="stable")
-    out, epoch, top = [], 0, None
-    for s in pdf["serial"]:
-        if pd.notna(s):
-            if top is not None and top - s > RESET:
-                epoch, top = epoch + 1, s
+
+def after(pieces: Pieces, serial: float) -> Pieces:
+    """The effect of a run and one more serial."""
+    out: Pieces = []
+
+    def put(upto: float, added: int, top: float | None) -> None:
+        if out and top is not None and out[-1][1:] == (added, top):
+            out[-1] = (upto, added, top)
+        else:
+            out.append((upto, added, top))
+
+    low = -END
+    for upto, added, top in pieces:
+        if top is not None:
+            put(upto, *((added + 1, serial) if top - serial > RESET else (added, max(top, serial))))
+        else:
+            if low < serial:
+                put(min(upto, serial), added, serial)
+            if max(low, serial) < (stays := min(upto, serial + RESET)):
+                put(stays, added, None)
+            if upto > serial + RESET:
+                put(upto, added + 1, serial)
+        low = upto
+    return out
+
+
+def through(pieces: Pieces, epoch: int, top: float) -> tuple[int, float]:
+    """(epoch, largest serial) after a run; no serial so far is minus infinity."""
+    _, added, to = pieces[bisect_left([p[0] for p in pieces], top)]
+    return epoch + added, top if to is None else to
+
+
+def composed(first: Pieces, then: Pieces) -> Pieces:
+    """The effect of two runs, one after the other."""
+    out: Pieces = []
+    low = -END
+    for upto, added, top in first:
+        if top is not None:
+            e, t = through(then, added, top)
+            found = [(upto, e, t)]
+        else:  # the largest serial stays: cut where the second run's pieces end
+            found = [(min(u, upto), added + a, t) for k, (u, a, t) in enumerate(then) if u > low and (k == 0 or then[k - 1][0] < upto)]
+        for p in found:
+            if out and p[2] is not None and out[-1][1:] == p[1:]:
+                out[-1] = p
             else:
-                top = s if top is None else max(top, s)
-        out.append(epoch)
-    return pdf.assign(epoch=out)
+                out.append(p)
+        low = upto
+    return out
+
+
+def _pieces(upto, added, top) -> Pieces:
+    return [(float(u), int(a), None if t is None or t != t else float(t)) for u, a, t in zip(upto, added, top, strict=True)]
+
+
+def _row(host, chunk: int, p: Pieces) -> pd.DataFrame:
+    return pd.DataFrame({"host": [host], "chunk": [chunk], "upto": [[x[0] for x in p]], "added": [[x[1] for x in p]], "top": [[x[2] for x in p]]})
+
+
+def _summary(pdf: pd.DataFrame) -> pd.DataFrame:
+    serials = pdf.sort_values("_id")["serial"].dropna()
+    return _row(pdf["host"].iloc[0], pdf["chunk"].iloc[0], reduce(after, map(float, serials), [(END, 0, None)]))
+
+
+def _composed(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("chunk")
+    runs = (_pieces(*x) for x in zip(pdf["upto"], pdf["added"], pdf["top"], strict=True))
+    return _row(pdf["host"].iloc[0], pdf["group"].iloc[0], reduce(composed, runs))
+
+
+def _incoming(pdf: pd.DataFrame, epoch: int = 0, top: float = -END) -> pd.DataFrame:
+    pdf, out = pdf.sort_values("chunk"), []
+    for upto, added, to in zip(pdf["upto"], pdf["added"], pdf["top"], strict=True):
+        out.append((epoch, top))
+        epoch, top = through(_pieces(upto, added, to), epoch, top)
+    return pd.DataFrame({"host": pdf["host"], "chunk": pdf["chunk"], "epoch": [x[0] for x in out], "top": [x[1] for x in out]})
+
+
+def _incoming_after(parts: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+    return _incoming(parts, int(before["epoch"].iloc[0]), float(before["top"].iloc[0])) if len(parts) else parts.reindex(columns=["host", "chunk", "epoch", "top"])
+
+
+def states(runs: DataFrame) -> DataFrame:
+    """(host, chunk, epoch, top) before each run. More than CHUNK runs of a host are composed in groups first, so no group is larger."""
+    schema = "host string, chunk long, epoch long, top double"
+    numbered = runs.withColumn("nth", F.row_number().over(Window.partitionBy("host").orderBy("chunk")) - 1)
+    most = numbered.agg(F.max("nth")).first()[0]
+    if most is None or most < CHUNK:
+        return runs.groupBy("host").applyInPandas(lambda p: _incoming(p), schema)
+    grouped = cut(numbered.select("host", "chunk", F.floor(F.col("nth") / CHUNK).alias("group"), "upto", "added", "top"), "groups")
+    above = states(cut(grouped.groupBy("host", "group").applyInPandas(lambda p: _composed(p), PIECES), "runs"))
+    before = above.withColumnRenamed("chunk", "group")
+    return grouped.groupBy("host", "group").cogroup(before.groupBy("host", "group")).applyInPandas(_incoming_after, schema)
 
 
 def boot_epochs(events: DataFrame) -> DataFrame:
-    """Add epoch to (host, at, serial, raw_ref, pid, ppid): a running maximum that starts anew at each reset, so a fold per host."""
-    schema = "host string, at long, serial long, raw_ref string, pid long, ppid long, epoch long"
-    return events.select("host", "at", "serial", "raw_ref", "pid", "ppid").groupBy("host").applyInPandas(lambda p: _epochs(p), schema)
-
-
-def _instances(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["at", "serial", "raw_ref"], kind="stable")
-    out, seq, parent = [], 0, None
-    for p in pdf["ppid"]:
-        if pd.notna(p):
-            if parent is not None and p != parent and p != 1:
-                seq, parent = seq + 1, p
-            elif parent is None:
-                parent = p
-        out.append((seq, parent))
-    pdf = pdf.assign(seq=[s for s, _ in out], parent=pd.array([p for _, p in out], dtype="Int64"))
-    pdf["parent"] = pdf.groupby("seq")["parent"].transform("last")
-    return pdf
-
-
-def instances(events: DataFrame) -> DataFrame:
-    """(host, epoch, pid, seq, ppid, first_at, last_at, refs): a process id whose parent changes is a new instance, but not
-    when it goes to 1. Unknown parents never split and are filled in."""
-    schema = "host string, at long, serial long, raw_ref string, pid long, ppid long, epoch long, seq long, parent long"
-    rows = boot_epochs(events.where("pid is not null")).groupBy("host", "epoch", "pid").applyInPandas(lambda p: _instances(p), schema)
-    refs = F.transform(F.array_sort(F.collect_list(F.struct("at", "raw_ref"))), lambda x: x["raw_ref"])
-    return rows.groupBy("host", "epoch", "pid", "seq").agg(F.max("parent").alias("ppid"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), refs.alias("refs"))
+    """events (host, at, serial, raw_ref and more) with epoch: how often the serial has fallen more than RESET below the
+    largest one since the last such fall. Rows count in the order (at, serial, raw_ref); those without serial change nothing.
+
+    Chunks of CHUNK rows are summed up side by side: what a chunk does is a step function of the largest serial before
+    it, with at most RESET + 2 steps for whole serials. These are composed in order, which gives the state before each
+    chunk, and the chunks are gone through once more from there.
+    """
+    order = ("at", F.coalesce("serial", F.lit(-1)), "raw_ref")
+    rows = events.repartitionByRange("host", *order).sortWithinPartitions("host", *order).withColumn("_id", F.monotonically_increasing_id())
+    rows = cut(rows.withColumn("chunk", F.floor(F.col("_id") / CHUNK)), "sorted")
+    serials = rows.select("host", "chunk", "_id", F.col("serial").cast("double").alias("serial"))
+    before = states(cut(serials.groupBy("host", "chunk").applyInPandas(_summary, PIECES), "runs"))
+
+    def numbered(part: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        part, out = part.sort_values("_id"), []
+        epoch, top = int(state["epoch"].iloc[0]), float(state["top"].iloc[0])
+        for s in part["serial"]:
+            if s == s:
+                epoch, top = (epoch + 1, s) if top - s > RESET else (epoch, max(top, s))
+            out.append(epoch)
+        return pd.DataFrame({"_id": part["_id"], "epoch": out})
+
+    found = serials.groupBy("host", "chunk").cogroup(before.groupBy("host", "chunk")).applyInPandas(numbered, "_id long, epoch long")
+    return rows.join(found, "_id").drop("_id", "chunk")
+
+
+def instance_events(events: DataFrame) -> DataFrame:
+    """boot_epochs() of the events with a process id, with seq: the process id's instance.
+
+    A process id whose parent changes is a new instance, but not when it goes to 1 (an orphan). Unknown parents never
+    split. Only window functions; a busy process id spreads over several tasks.
+    """
+    keys, order = ("host", "epoch", "pid"), ("at", F.coalesce("serial", F.lit(-1)), "raw_ref")
+    rows = dealt(boot_epochs(events.where("pid is not null")), keys, order)
+    real = F.when(F.col("ppid") != ORPHAN, F.col("ppid"))
+    rank = F.struct("at", F.coalesce("serial", F.lit(-1)).alias("s"), "raw_ref")
+    seen = running(rows, keys, order, {"_real": last_of(real, rank), "_orphan": max_of(F.when(F.col("ppid") == ORPHAN, 1))}, inclusive=False)
+    new = real.isNotNull() & ((F.col("_real") != real) | (F.col("_real").isNull() & (F.coalesce("_orphan", F.lit(0)) == 1)))
+    split = cut(seen.withColumn("_new", F.when(F.coalesce(new, F.lit(False)), 1).otherwise(0).cast("long")).drop("_real", "_orphan"), "split")
+    return running(split, keys, order, {"seq": sum_of(F.col("_new"))}).drop("_new", "_part")
+
+
+def instances(rows: DataFrame) -> DataFrame:
+    """(host, epoch, pid, seq, ppid, first_at, last_at, first_ref, n_events) of instance_events()."""
+    real = F.max(F.when(F.col("ppid") != ORPHAN, F.col("ppid")))
+    return rows.groupBy("host", "epoch", "pid", "seq").agg(
+        F.coalesce(real, F.max("ppid")).alias("ppid"), F.min("at").alias("first_at"), F.max("at").alias("last_at"),
+        F.min(F.struct("at", F.coalesce("serial", F.lit(-1)).alias("s"), "raw_ref"))["raw_ref"].alias("first_ref"), F.count("*").alias("n_events"),
+    )
+
+
+def parents(found: DataFrame) -> DataFrame:
+    """instances() with parent_seq: of the instances of the parent's process id on the same machine and in the same epoch, the
+    latest that began at most SLACK after the child. Roots and processes that are their own parent have none."""
+    has = F.col("ppid").isNotNull() & ~F.col("ppid").isin(*ROOTS) & (F.col("ppid") != F.col("pid"))
+    sides = found.select(F.struct("host", "epoch", "pid", "seq").alias("_me"), *found.columns, F.when(has, F.col("ppid")).alias("_up"))
+    right = found.select(F.col("host").alias("p_host"), F.col("epoch").alias("p_epoch"), F.col("pid").alias("p_pid"), F.col("seq").alias("parent_seq"), F.col("first_at").alias("p_at"))
+    keys = (("host", "p_host"), ("epoch", "p_epoch"), ("_up", "p_pid"))
+    return as_of(sides, right, "_me", "first_at", "p_at", keys, "parent_seq", SLACK).select(*found.columns, "parent_seq")
+
+
+def lineage_edges(events: DataFrame) -> DataFrame:
+    """(a, b): for each instance with a known parent its first event b, and the parent's last event a at or before it, else the parent's first one."""
+    rows = cut(instance_events(events), "instances")
+    linked = parents(cut(instances(rows), "instances")).where("parent_seq is not null")
+    right = rows.select(F.col("host").alias("r_host"), F.col("epoch").alias("r_epoch"), F.col("pid").alias("r_pid"), F.col("seq").alias("r_seq"), F.col("at").alias("r_at"), F.struct(F.coalesce("serial", F.lit(-1)).alias("s"), "raw_ref").alias("r_ref"))
+    keys = (("host", "r_host"), ("epoch", "r_epoch"), ("ppid", "r_pid"), ("parent_seq", "r_seq"))
+    hit = as_of(linked, right, "first_ref", "first_at", "r_at", keys, "r_ref")
+    first = instances(rows).select("host", "epoch", F.col("pid").alias("ppid"), F.col("seq").alias("parent_seq"), F.col("first_ref").alias("parent_first"))
+    return hit.join(first, ["host", "epoch", "ppid", "parent_seq"]).select(F.coalesce("r_ref.raw_ref", "parent_first").alias("a"), F.col("first_ref").alias("b"))
+
+
+def _parent_events(events: DataFrame) -> DataFrame:
+    """events with parent: the last event of the parent's process id at or before it, else that one's first event."""
+    left = events.select("raw_ref", "host", "pid", "ppid", "at", F.when(F.col("ppid") != 0, F.col("ppid")).alias("_up"))
+    right = events.select(F.col("host").alias("p_host"), F.col("pid").alias("p_pid"), F.col("at").alias("p_at"), F.col("raw_ref").alias("p_ref"))
+    hit = as_of(left, right, "raw_ref", "at", "p_at", (("host", "p_host"), ("_up", "p_pid")), "p_ref")
+    first = events.groupBy(F.col("host").alias("f_host"), F.col("pid").alias("f_pid")).agg(F.min(F.struct("at", "raw_ref"))["raw_ref"].alias("first"))
+    return hit.join(first, (F.col("host").eqNullSafe(F.col("f_host"))) & (F.col("_up") == F.col("f_pid")), "left").select("raw_ref", "pid", "ppid", F.coalesce("p_ref", "first").alias("parent"))
+
+
+def process_chains(events: DataFrame, most: int = MAX_NODES) -> DataFrame:
+    """(raw_ref, chain, pids, stop_reason): each event's line of parent events, itself first, at most `most` long.
+
+    events: raw_ref, host (not null), pid, ppid, at. Each hop takes the parent as of the event's own time. Chains grow by
+    doubling: what 2**k hops reach is joined to itself, so there are log2(most) joins, whatever the depth. Reasons, in
+    the order in which a hop is tested: parent_pid_zero, cycle_detected (a process id that the chain holds), depth_limit,
+    parent_not_observed.
+    """
+    node = lambda ref: F.struct(F.col(ref).alias("ref"), F.col("pid").alias("pid"), F.col("ppid").alias("ppid"))
+    up = cut(_parent_events(events.where("pid is not null and raw_ref is not null")), "hops")
+    # line: the nodes that 2**k hops pass, the event itself first; next: where they lead
+    line = up.select("raw_ref", F.array(node("raw_ref")).alias("line"), F.col("parent").alias("next"))
+    n = 1
+    while n < most:
+        other = line.select(F.col("raw_ref").alias("next"), F.col("line").alias("more"), F.col("next").alias("then"))
+        grown = line.join(other, "next", "left")
+        line = cut(grown.select("raw_ref", F.when(F.col("more").isNull(), F.col("line")).otherwise(F.concat("line", "more")).alias("line"), F.when(F.col("more").isNotNull(), F.col("then")).alias("next")), "chains")
+        n *= 2
+    l = F.slice("line", 1, most)
+    at = lambda i: F.get(F.col("l"), i)
+    before = lambda i: F.transform(F.slice(F.col("l"), 1, i + 1), lambda x: x["pid"])
+    why = lambda i: (
+        F.when(at(i)["ppid"].isNull() | (at(i)["ppid"] == 0), "parent_pid_zero").when(F.array_contains(before(i), at(i)["ppid"]), "cycle_detected").when(i + 1 >= most, "depth_limit").when(i + 1 >= F.size("l"), "parent_not_observed")
+    )
+    steps = F.transform(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.struct(i.alias("i"), why(i).alias("why")))
+    stop = F.get(F.filter(steps, lambda x: x["why"].isNotNull()), F.lit(0))
+    found = line.select("raw_ref", l.alias("l")).withColumn("stop", stop)
+    kept = F.slice("l", F.lit(1), F.col("stop.i") + 1)
+    return found.select("raw_ref", F.transform(kept, lambda x: x["ref"]).alias("chain"), F.transform(kept, lambda x: x["pid"]).alias("pids"), F.col("stop.why").alias("stop_reason"))
+
+
+def lineage_status(stop_reason: Column) -> Column:
+    """inferred for a chain that reaches a root, else partial."""
+    return F.when(stop_reason == "parent_pid_zero", "inferred").otherwise("partial")
 
 
 def ancestors(nodes: DataFrame, node: str = "id", parent: str = "parent", depth: int = 32) -> DataFrame:
     """(id, ancestor, depth): every node's chain of parents, at most `depth` long, ended by roots and by cycles.
 
-    One join a level; a level's table is written, and the loop ends when no chain grows.
+    Chains grow by doubling, in log2(depth) joins. Nodes without a parent, or that are their own, have no rows.
     """
-    up = nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p"))
-    level = nodes.where(F.col(parent).isNotNull()).select(F.col(node).alias("id"), F.col(parent).alias("ancestor"), F.lit(1).cast("long").alias("depth"), F.array(node, parent).alias("seen")).where(F.col("id") != F.col("ancestor"))
-    found = None
-    for _ in range(depth):
-        level = cut(level, "ancestors")
-        if not level.limit(1).count():
-            break
-        found = level if found is None else found.unionByName(level)
-        grown = level.join(up, level.ancestor == up._n).where("_p is not null and not array_contains(seen, _p)")
-        level = grown.select("id", F.col("_p").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.concat("seen", F.array("_p")).alias("seen"))
-    return (level if found is None else found).select("id", "ancestor", "depth")
+    line = nodes.where(F.col(parent).isNotNull() & (F.col(node) != F.col(parent))).select(F.col(node).alias("id"), F.array(parent).alias("line"))
+    line = cut(line, "ancestors")
+    for _ in range(max(1, (depth - 1).bit_length())):
+        other = line.select(F.col("id").alias("_top"), F.col("line").alias("more"))
+        grown = line.withColumn("_top", F.element_at("line", -1)).join(other, "_top", "left")
+        line = cut(grown.select("id", F.when(F.col("more").isNull(), F.col("line")).otherwise(F.concat("line", "more")).alias("line")), "ancestors")
+    rows = line.select("id", F.posexplode(F.slice("line", 1, depth)).alias("at", "ancestor"), "line")
+    fresh = (F.col("ancestor") != F.col("id")) & (F.array_position("line", F.col("ancestor")) == F.col("at") + 1)
+    closes = F.coalesce(F.nullif(F.array_position("line", F.col("id")), F.lit(0)), F.lit(depth + 1))
+    return rows.where(fresh & (F.col("at") + 1 < closes)).select("id", "ancestor", (F.col("at") + 1).cast("long").alias("depth"))

@@ -10,7 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.operators.range_join import as_of, micros, range_join, unique_only
+from emberlog.operators.lineage import lineage_edges
+from emberlog.operators.range_join import micros, range_join, unique_only
 
 log = logging.getLogger(__name__)
 SECOND = 1_000_000
@@ -24,8 +25,19 @@ def linker(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFra
     return f
 
 
+def _machine(events: DataFrame) -> Column:
+    """The machine that logged an event; null where the events don't tell."""
+    return F.col("machine") if "machine" in events.columns else F.lit(None).cast("string")
+
+
 def _side(events: DataFrame, layer: str, suffix: str, *cols: str) -> DataFrame:
-    return events.where(F.col("layer") == layer).select(*(F.col(c).alias(f"{c.split('.')[-1]}_{suffix}") for c in ("raw_ref", *cols)), micros("ts").alias(f"at_{suffix}"))
+    named = (F.col(c).alias(f"{c.split('.')[-1]}_{suffix}") for c in ("raw_ref", *cols))
+    return events.where(F.col("layer") == layer).select(*named, micros("ts").alias(f"at_{suffix}"), _machine(events).alias(f"machine_{suffix}"))
+
+
+def _one_machine(pairs: DataFrame) -> DataFrame:
+    """Pairs that no two known, different machines logged."""
+    return pairs.where(F.coalesce(F.col("machine_a") == F.col("machine_b"), F.lit(True)))
 
 
 def _edge(pairs: DataFrame, kind: str) -> DataFrame:
@@ -43,15 +55,16 @@ def web_network(events: DataFrame) -> DataFrame:
 
 @linker
 def web_system(events: DataFrame) -> DataFrame:
-    """Audit events of the web server's user within five seconds of a request."""
+    """Audit events of the web server's user within five seconds of a request of the same machine."""
     system = _side(events.where(F.col("ld.uid") == WEB_UID), "system", "b")
-    return _edge(range_join(_side(events, "web", "a"), system, "at_a", "at_b", 5 * SECOND), "web_system")
+    return _edge(_one_machine(range_join(_side(events, "web", "a"), system, "at_a", "at_b", 5 * SECOND)), "web_system")
 
 
 @linker
 def system_auth(events: DataFrame) -> DataFrame:
-    """The same process id in audit and auth events, at most an hour apart (the guard of this kind)."""
-    return _edge(range_join(_side(events, "system", "a", "pid"), _side(events, "auth", "b", "pid"), "at_a", "at_b", 3600 * SECOND, (("pid_a", "pid_b"),)), "system_auth")
+    """The same process id in audit and auth events of a machine, at most an hour apart (the guard of this kind)."""
+    pairs = range_join(_side(events, "system", "a", "pid"), _side(events, "auth", "b", "pid"), "at_a", "at_b", 3600 * SECOND, (("pid_a", "pid_b"),))
+    return _edge(_one_machine(pairs), "system_auth")
 
 
 @linker
@@ -83,12 +96,11 @@ def sensor_flow(events: DataFrame) -> DataFrame:
 
 @linker
 def audit_lineage(events: DataFrame) -> DataFrame:
-    """The parent process's event at or before a process starts, and that start. A parent may be logged two seconds late."""
-    audit = events.where("layer = 'system' and pid is not null").select("raw_ref", "pid", "ppid", micros("ts").alias("at"))
-    first = audit.groupBy("pid", "ppid").agg(F.min(F.struct("at", "raw_ref")).alias("s")).select("pid", "ppid", "s.*")
-    parents = audit.select(F.col("pid").alias("p_pid"), F.col("at").alias("p_at"), F.col("raw_ref").alias("p_ref"))
-    found = as_of(first.where("ppid is not null"), parents, "raw_ref", "at", "p_at", (("ppid", "p_pid"),), "p_ref", 2 * SECOND)
-    return found.where("p_ref is not null").select(F.col("p_ref").alias("a"), F.col("raw_ref").alias("b"), F.lit("audit_lineage").alias("kind"))
+    """Each process instance's first event and the last one of its parent's instance before it, on one machine and in one boot
+    epoch (see operators.lineage)."""
+    audit = events.where("layer = 'system' and pid is not null").select(
+        F.coalesce(_machine(events), F.lit("")).alias("host"), micros("ts").alias("at"), F.col("ld.serial").cast("long").alias("serial"), "raw_ref", F.col("pid").cast("long").alias("pid"), F.col("ppid").cast("long").alias("ppid"))
+    return lineage_edges(audit).select("a", "b", F.lit("audit_lineage").alias("kind"))
 
 
 def all_edges(events: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.operators.scan import dealt, last_of, running
+
 
 def range_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, width: int, keys: tuple[tuple[str, str], ...] = (), low: int | None = None) -> DataFrame:
     """Pairs with -width <= right_at - left_at <= width (or low <= right_at - left_at <= width), and equal keys.
@@ -30,22 +32,27 @@ def unique_only(pairs: DataFrame, *by: str) -> DataFrame:
     return pairs.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).where("_n = 1").drop("_n")
 
 
-def as_of(left: DataFrame, right: DataFrame, left_id: str, left_at: str, right_at: str, keys: tuple[tuple[str, str], ...], tie: str, slack: int = 0) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, left_id: str, left_at: str, right_at: str, keys: tuple[tuple[str, str], ...], tie: str, slack: int = 0, parts: int | None = None) -> DataFrame:
     """For each left row the right row with the latest right_at <= left_at + slack, then the largest tie; left rows without one stay.
 
-    Both sides are merged by key and time and one running maximum finds the match, so no pairs are made.
+    Both sides are merged and dealt by range of (keys, time), and a running last value finds the match, so no pairs are
+    made; a key that fills several of the ranges (`parts` of them, else as the session has it) takes its last right row from
+    one into the next. Null keys match nothing. left_id names the left rows and only breaks ties of the order.
     """
     names = [x for x, _ in keys]
     found = F.struct(*(F.col(c).alias(c) for c in right.columns))
     zero = F.lit(None).cast(right.select(found.alias("r")).schema["r"].dataType)
-    one = left.select(*(F.col(x).alias(f"_k{i}") for i, x in enumerate(names)), (F.col(left_at) + slack).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), zero.alias("_r"))
-    none = F.lit(None).cast(one.schema["_l"].dataType)
-    two = right.select(*(F.col(y).alias(f"_k{i}") for i, (_, y) in enumerate(keys)), F.col(right_at).alias("_at"), F.lit(0).alias("_side"), none.alias("_l"), found.alias("_r"))
-    w = Window.partitionBy(*(f"_k{i}" for i in range(len(keys)))).orderBy("_at", "_side", F.col(f"_r.{tie}")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = left.select(*(F.col(x).alias(f"k{i}") for i, x in enumerate(names)), (F.col(left_at) + slack).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(right.schema[tie].dataType).alias("tie"), F.struct(*left.columns).alias("l"), zero.alias("r"))
+    none = F.lit(None).cast(one.schema["l"].dataType)
+    two = right.select(*(F.col(y).alias(f"k{i}") for i, (_, y) in enumerate(keys)), F.col(right_at).alias("at"), F.lit(0).alias("side"), F.col(tie).alias("tie"), none.alias("l"), found.alias("r"))
+    by, order = tuple(f"k{i}" for i in range(len(keys))), ("at", "side", "tie")
     known = F.lit(True)
-    for i in range(len(keys)):
-        known = known & F.col(f"_k{i}").isNotNull()
-    return one.unionByName(two).withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_side = 1").select("_l.*", *(F.when(known, F.col(f"_m.{c}")).alias(c) for c in right.columns))
+    for k in by:
+        known = known & F.col(k).isNotNull()
+    merged = dealt(one.where(known).unionByName(two.where(known)), by, order, parts)
+    m = running(merged, by, order, {"m": last_of(F.col("r"), F.struct("at", "side", "tie"))})
+    hit = m.where("side = 1").select("l.*", *(F.col(f"m.{c}").alias(c) for c in right.columns))
+    return hit.unionByName(one.where(~known).select("l.*", *(F.col(f"r.{c}").alias(c) for c in right.columns)))
 
 
 def followed(left: DataFrame, right: DataFrame, left_at: str, right_at: str, width: int, keys: tuple[tuple[str, str], ...] = (), left_id: str = "id") -> DataFrame:

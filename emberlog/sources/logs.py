@@ -1,7 +1,8 @@
 """Log readers: web access, auth syslog, audit bundles and network sensor records as one events table (S1 to S13; of S7 not key
 types and old values).
 
-events: ts, layer, raw_ref (file:line), src_ip, pid, ppid, ld (struct). Lines that do not parse are left out.
+events: ts, layer, raw_ref (file:line), machine, src_ip, pid, ppid, ld (struct). The machine is that of the syslog header or
+of an audit record's node, else the one named to the reader, else null. Lines that do not parse are left out.
 """
 
 from __future__ import annotations
@@ -108,15 +109,19 @@ def as_events(rows: DataFrame, layer: str) -> DataFrame:
     have = set(rows.columns)
     col = lambda c, t: (F.col(c) if c in have else F.lit(None)).cast(t).alias(c)
     ref = F.concat_ws(":", "file", "line_no").alias("raw_ref")
-    return rows.select("ts", F.lit(layer).alias("layer"), ref, col("src_ip", "string"), col("pid", "bigint"), col("ppid", "bigint"), F.struct(*(col(c, t) for c, t in FIELDS.items())).alias("ld")).where("ts is not null")
+    return rows.select("ts", F.lit(layer).alias("layer"), ref, col("machine", "string"), col("src_ip", "string"), col("pid", "bigint"), col("ppid", "bigint"), F.struct(*(col(c, t) for c, t in FIELDS.items())).alias("ld")).where("ts is not null")
 
 
-def web_events(src: DataFrame) -> DataFrame:
+def _on(rows: DataFrame, machine: str | None) -> DataFrame:
+    return rows.withColumn("machine", F.lit(machine).cast("string"))
+
+
+def web_events(src: DataFrame, machine: str | None = None) -> DataFrame:
     g = F.regexp_extract  # one pattern; the optimizer keeps the groups in one projection
     part = {k: dash_null(g("line", WEB, i)) for i, k in enumerate(("time", "request_id", "client", "peer", "scheme", "host", "request", "status", "bytes", "duration_us", "worker", "referer", "user_agent", "xff"), 1)}
     rows = src.where(F.col("line").rlike(WEB)).select("file", "line_no", *(c.alias(k) for k, c in part.items()))
     rows = rows.withColumns({"ts": utc(F.col("time")), "src_ip": canonical_ip(F.col("client")), "method": F.upper(F.get(F.split("request", " "), F.lit(0))), "path": path_and_query(F.get(F.split("request", " "), F.lit(1)))})
-    return as_events(rows, "web")
+    return as_events(_on(rows, machine), "web")
 
 
 def auth_events(src: DataFrame, year: int, month: int = 12) -> DataFrame:
@@ -143,23 +148,23 @@ def auth_events(src: DataFrame, year: int, month: int = 12) -> DataFrame:
     rows = rows.withColumn("c", pam.otherwise(told(F.lit("other"), "info")))
     rows = rows.select("file", "line_no", "ts", "host", "program", "pid", "repeat", "c.*").withColumn("src_ip", canonical_ip(F.col("address")))
     rows = rows.withColumn("session_type", F.when(F.col("tty").rlike("^(?:/dev/)?(?:pts|tty)"), "interactive").when(F.col("tty").isNotNull(), "non_interactive"))
-    return as_events(rows, "auth")
+    return as_events(rows.withColumn("machine", F.col("host")), "auth")
 
 
-def audit_events(src: DataFrame) -> DataFrame:
-    """Records of one (file, epoch, serial) make one event, which the line of its first record stands for.
+def audit_events(src: DataFrame, machine: str | None = None) -> DataFrame:
+    """Records of one (file, machine, epoch, serial) make one event, which the line of its first record stands for.
 
     The names that the daemon adds behind a group separator (UID, SYSCALL and so on, in capitals) are read with the rest.
     The path is that of the file made or used, not its folder's, where there is a choice.
     """
     l = F.translate("line", "\x1d", " ")
-    head = r"^type=(\S+) msg=audit\((\d+\.\d+):(\d+)\):(.*)$"
-    rec = src.where(l.rlike(head)).select("file", "line_no", F.regexp_extract(l, head, 1).alias("type"), F.regexp_extract(l, head, 2).alias("epoch"), F.regexp_extract(l, head, 3).cast("bigint").alias("serial"), key_values(F.regexp_extract(l, head, 4)).alias("kv"), F.regexp_extract(l, head, 4).alias("body"))
-    g = rec.withColumn("one", F.struct("line_no", "type", F.to_json("kv").alias("kv"), "body")).groupBy("file", "epoch", "serial").agg(F.array_sort(F.collect_list("one")).alias("r"))
+    head = r"^(?:node=(\S+) )?type=(\S+) msg=audit\((\d+\.\d+):(\d+)\):(.*)$"
+    rec = src.where(l.rlike(head)).select("file", "line_no", F.coalesce(F.nullif(F.regexp_extract(l, head, 1), F.lit("")), F.lit(machine)).alias("machine"), F.regexp_extract(l, head, 2).alias("type"), F.regexp_extract(l, head, 3).alias("epoch"), F.regexp_extract(l, head, 4).cast("bigint").alias("serial"), key_values(F.regexp_extract(l, head, 5)).alias("kv"), F.regexp_extract(l, head, 5).alias("body"))
+    g = rec.withColumn("one", F.struct("line_no", "type", F.to_json("kv").alias("kv"), "body")).groupBy("file", "machine", "epoch", "serial").agg(F.array_sort(F.collect_list("one")).alias("r"))
     of = lambda t: F.from_json(F.get(F.filter("r", lambda x: x["type"] == t), F.lit(0))["kv"], "map<string,string>")
     entry = lambda x: F.from_json(x["kv"], "map<string,string>")
     paths = F.transform(F.filter("r", lambda x: x["type"] == "PATH"), lambda x: F.struct(unhex_text(entry(x)["name"]).alias("name"), entry(x)["nametype"].alias("nametype"), entry(x)["item"].try_cast("bigint").alias("item")))
-    g = g.select("file", F.col("r")[0]["line_no"].alias("line_no"), "epoch", "serial", "r", of("SYSCALL").alias("s"), of("EXECVE").alias("x"), of("CWD").alias("d"), of("PROCTITLE").alias("t"), paths.alias("paths"))
+    g = g.select("file", "machine", F.col("r")[0]["line_no"].alias("line_no"), "epoch", "serial", "r", of("SYSCALL").alias("s"), of("EXECVE").alias("x"), of("CWD").alias("d"), of("PROCTITLE").alias("t"), paths.alias("paths"))
     number = lambda c: F.nullif(F.nullif(F.col("s")[c], F.lit("(null)")).try_cast("bigint"), F.lit(UNSET_ID))
     args = F.transform(F.sequence(F.lit(0), F.greatest(F.coalesce(F.col("x")["argc"].try_cast("int"), F.lit(0)) - 1, F.lit(0))), lambda i: unhex_text(F.col("x")[F.concat(F.lit("a"), i.cast("string"))]))
     calls = F.create_map(*(F.lit(v) for kv in SYSCALLS.items() for v in kv))
@@ -167,7 +172,7 @@ def audit_events(src: DataFrame) -> DataFrame:
     named = lambda kinds: F.get(F.filter("paths", lambda x: x["nametype"].isin(*kinds)), F.lit(0))["name"]
     path = F.coalesce(named(("CREATE", "DELETE")), named(("NORMAL",)), F.get(F.filter("paths", lambda x: F.coalesce(x["nametype"] != "PARENT", F.lit(True))), F.lit(0))["name"], F.get("paths", F.lit(0))["name"])
     rows = g.select(
-        "file", "line_no", F.timestamp_micros((F.col("epoch").cast("decimal(20,6)") * 1_000_000).cast("bigint")).alias("ts"), "serial", number("pid").alias("pid"), number("ppid").alias("ppid"),
+        "file", "machine", "line_no", F.timestamp_micros((F.col("epoch").cast("decimal(20,6)") * 1_000_000).cast("bigint")).alias("ts"), "serial", number("pid").alias("pid"), number("ppid").alias("ppid"),
         *(number(c).alias(c) for c in ("uid", "euid", "auid", "ses")), F.coalesce(F.col("s")["SYSCALL"], calls[F.col("s")["syscall"]], F.col("s")["syscall"]).alias("syscall"), F.col("s")["UID"].alias("user"), F.nullif(tty, F.lit("(none)")).alias("tty"), unhex_text(F.col("t")["proctitle"]).alias("proctitle"), "paths", path.alias("path"), F.nullif(F.col("s")["key"], F.lit("(null)")).alias("key"),
         F.col("s")["exe"].alias("exe"), F.col("s")["comm"].alias("comm"), F.col("s")["success"].alias("success"), F.col("d")["cwd"].alias("cwd"), F.when(F.col("x").isNotNull(), F.array_join(args, " ")).alias("exec_args"),
         F.when(F.col("s").isNull(), None).when(F.coalesce(tty, F.lit("(none)")) == "(none)", "non_interactive").otherwise("interactive").alias("session_type"),
@@ -176,7 +181,7 @@ def audit_events(src: DataFrame) -> DataFrame:
     return as_events(rows, "system")
 
 
-def network_events(src: DataFrame) -> DataFrame:
+def network_events(src: DataFrame, machine: str | None = None) -> DataFrame:
     """http and alert records with their forwarded client.
 
     A single address at the top is trusted if the nested chain is missing or holds it, else that is a conflict; without
@@ -196,7 +201,7 @@ def network_events(src: DataFrame) -> DataFrame:
         "event_type", "flow_id", "tx_id", F.col("in_iface").alias("sensor_id"), "src_port", canonical_ip(F.col("dest_ip")).alias("dest_ip"), "dest_port", "proto", F.upper("http.http_method").alias("method"),
         path_and_query(F.col("http.url")).alias("path"), "http.status", F.col("http.hostname").alias("host"), F.col("http.http_user_agent").alias("user_agent"), "alert.signature", "alert.signature_id", "alert.severity", "alert.category", "alert.action",
     )
-    return as_events(rows, "network")
+    return as_events(_on(rows, machine), "network")
 
 
 def all_events(*layers: DataFrame) -> DataFrame:

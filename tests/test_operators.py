@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators import burst, incidents, investigate, lineage, links, queue
+from emberlog.operators import burst, incidents, investigate, links, queue
 from emberlog.operators.components import connected_components
 from emberlog.operators.range_join import as_of, range_join, unique_only
 from emberlog.plans import rules
@@ -152,14 +152,6 @@ def test_links_and_incidents(spark, events):
     assert investigate.window_events(incidents.build(edges, events, seeds), events, "web").count() == 2
 
 
-def test_lineage(spark):
-    rows = [("h", 1, 498738, "a", 10, 1), ("h", 2, 498739, "b", 10, 5), ("h", 3, 75, "c", 10, 5), ("h", 4, 76, "d", 10, 1), ("h", 5, 77, "e", 10, None), ("h", 6, 78, "f", 10, 9)]
-    got = lineage.instances(spark.createDataFrame(rows, "host string, at long, serial long, raw_ref string, pid long, ppid long")).orderBy("epoch", "seq").collect()
-    assert [(r.epoch, r.seq, r.ppid, r.refs) for r in got] == [(0, 0, 1, ["a"]), (0, 1, 5, ["b"]), (1, 0, 5, ["c", "d", "e"]), (1, 1, 9, ["f"])]
-    up = lineage.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4), (5, None)], "id long, parent long"))
-    assert sorted(map(tuple, up.collect())) == [(1, 2, 1), (1, 3, 2), (2, 1, 2), (2, 3, 1), (3, 1, 1), (3, 2, 2)]
-
-
 def test_queue_moves(spark):
     at = lambda h: F.lit(f"2024-01-01 {h:02d}:00:00").cast("timestamp")
     empty = spark.createDataFrame([], "incident_key string, status string, has_update boolean, triage_score long, route string, updated_at timestamp")
