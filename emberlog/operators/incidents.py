@@ -67,16 +67,19 @@ def build_all(edges: DataFrame, events: DataFrame, seeds: DataFrame) -> tuple[Da
     refs); their members (incident_id, ref), and their seeds (incident_id, seed_id).
 
     Incidents: incident_id, entity, first_ts, last_ts, layers, member_count, members (the first 500), oversized, kinds,
-    reasons, severity, n_seeds. Components without seeds are dropped; seeds without component are incidents alone.
+    reasons, severity, n_seeds. The entity is the first seed's, else the members' most frequent address, else process id. Components without seeds are dropped; seeds without component are incidents alone.
     """
     members = members_of(edges).withColumn("component", F.col("component").cast("string"))
     links = attach_seeds(seeds, members)
     own = links.where(F.startswith("component", F.lit("seed:"))).join(seeds.select("seed_id", F.explode("refs").alias("ref")), "seed_id").select("component", "ref")
     every = cut(members.join(links.select("component").distinct(), "component", "left_semi").unionByName(own).distinct(), "members")
     links = cut(links, "seeds")
-    facts = every.join(events.select(F.col("raw_ref").alias("ref"), "ts", "layer"), "ref", "left").groupBy("component").agg(
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.array_sort(F.collect_set("layer")).alias("layers")
-    )
+    own = [c for c in ("src_ip", "pid") if c in events.columns]
+    shown = cut(every.join(events.select(F.col("raw_ref").alias("ref"), "ts", "layer", *own), "ref", "left"), "facts")
+    facts = shown.groupBy("component").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.array_sort(F.collect_set("layer")).alias("layers"))
+    for c in own:
+        facts = facts.join(mode_of(shown, "component", c).withColumnRenamed(c, f"_{c}"), "component", "left")
+    common = F.coalesce(*(F.col(f"_{c}").cast("string") for c in own), F.lit(None).cast("string"))
     kinds = edges.join(members, edges.a == members.ref).groupBy("component").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     told = links.join(seeds, "seed_id").groupBy("component").agg(
         F.min(F.struct("seed_id", "entity"))["entity"].alias("entity"), F.array_sort(F.collect_set("reason")).alias("reasons"),
@@ -84,7 +87,7 @@ def build_all(edges: DataFrame, events: DataFrame, seeds: DataFrame) -> tuple[Da
     )
     ids = cut(digests(every, "component"), "incidents")
     found = ids.join(facts, "component").join(told, "component").join(kinds, "component", "left").select(
-        "incident_id", "entity", "first_ts", "last_ts", "layers", "member_count", "members", "oversized", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"), "reasons", "severity", "n_seeds",
+        "incident_id", F.coalesce("entity", common).alias("entity"), "first_ts", "last_ts", "layers", "member_count", "members", "oversized", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"), "reasons", "severity", "n_seeds",
     )
     name = ids.select("component", "incident_id")
     return found, every.join(name, "component").select("incident_id", "ref"), links.join(name, "component").select("incident_id", "seed_id")
