@@ -1,6 +1,8 @@
 """The corpus pipeline: documents through five stages, each written as Parquet and read again as the next one's input.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Null texts
+count as empty, of repeated rows one stays (stage 2), rows without an id are kept by stages 1 to 3, texts of any length pass
+whole, other columns (of whatever name) are carried along, and an empty table gives none.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm import exact_dedup, ngram_join, quality_classifier, sentencepiece_codec, source_mix
 from emberlog.llm.queries import tokenizer_path
-from emberlog.session import cut, table
+from emberlog.session import cut, free, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, name)
+            free(before)  # the stage before is used up; the input table is left alone
     return docs.drop("ids")
