@@ -92,4 +92,57 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r0 O
        (r0::INT + 2 * r1::INT + 4 * r2::INT + 8 * r3::INT + 16 * r4::INT + 32 * r5::INT + 64 * r6::INT + 128 * r7::INT)::BIGINT AS failed FROM r
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op6_source_mix": OP6, "op7_ngram_join": OP7, "op8_quality_rules": OP8}
+#: CRC-32 by its table, which is made here too.
+OP12 = f"""
+WITH tab AS (
+  SELECT [list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR n IN range(256)] AS t
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, n, xor(4294967295, list_reduce(list_prepend(4294967295, [ascii(x) FOR x IN string_split(conv_id::VARCHAR, '')]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 4 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id), tab
+), rebuilt AS (
+  SELECT c.conv_id, t.p, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 WHERE t.p < c.h
+  UNION ALL SELECT c.conv_id, t.p - c.h + least(c.h, coalesce(b.n, 0)), t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 20 WHERE t.p >= c.h
+), keyed AS (
+  SELECT conv_id, p + 1 AS depth, len(regexp_extract_all(text, '{WORD}')) AS words, string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), nodes AS (
+  SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM keyed GROUP BY k, depth
+), kids AS (
+  SELECT left(k, 32 * (depth - 1)) AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), sums AS (
+  SELECT left(n.k, 32 * d) AS k, count(*) FILTER (kids.n IS NULL) AS n_leaves, sum((n_convs - 1) * words) AS saved FROM (SELECT *, unnest(range(depth + 1)) AS d FROM nodes) n LEFT JOIN kids ON kids.k = n.k GROUP BY 1
+), ends AS (
+  SELECT k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) GROUP BY k
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN sums s ON s.k = n.k LEFT JOIN kids ON kids.k = n.k LEFT JOIN ends e ON e.k = n.k LEFT JOIN nodes p ON n.depth > 0 AND p.k = left(n.k, 32 * (n.depth - 1))
+"""
+
+OP13 = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS (
+  SELECT r, i, md5(b[i + 1:i + 200]) AS x FROM (SELECT r, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY x) AS n FROM w) WHERE n > 1
+), runs AS (
+  SELECT r, min(i) AS a, max(i) + 200 AS z FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM twice)
+  ) GROUP BY r, run
+), gone AS (
+  SELECT r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY r
+), cuts AS (
+  SELECT r, 0 AS z FROM d UNION ALL SELECT r, z FROM runs
+), kept AS (
+  SELECT c.r, string_agg(hex(b[c.z + 1:coalesce(c.a, octet_length(b))]), '' ORDER BY c.z) AS h FROM (
+    SELECT r, z, (SELECT min(a) FROM runs WHERE runs.r = cuts.r AND a >= cuts.z) AS a FROM cuts
+  ) c JOIN d ON d.r = c.r GROUP BY c.r
+)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d JOIN kept ON kept.r = d.r LEFT JOIN gone ON gone.r = d.r
+"""
+
+ORACLES = {"op1_exact_dedup": OP1, "op6_source_mix": OP6, "op7_ngram_join": OP7, "op8_quality_rules": OP8, "op12_prefix_trie": OP12, "op13_suffix_dedup": OP13}
