@@ -7,6 +7,7 @@ of an audit record's node, else the one named to the reader, else null. Lines th
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -97,6 +98,7 @@ def lines(spark: SparkSession, path: str, since: str | None = None) -> DataFrame
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "file string, line_no bigint, line string")
+    raw = raw.where(F.col("_metadata.file_name").rlike(r"^[^/]*?" + re.escape(path.rsplit("/", 1)[-1]) + r"(?:\.\d{1,4}|-\d{8})?(?:\.gz)?$"))  # not x.log.1.bak
     raw = raw.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.regexp_replace("_metadata.file_name", r"\.gz$", "").alias("file"), "value", F.monotonically_increasing_id().alias("_id"))
     splits = raw.groupBy(F.col("_path").alias("_p"), F.col("_block").alias("_b")).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_p").orderBy("_b")) - F.col("_n")
