@@ -1,5 +1,4 @@
-"""Log readers: web access, auth syslog, audit bundles and network sensor records as one events table (S1 to S13; of S7 not key
-types and old values).
+"""Log readers: web access, auth syslog, audit bundles and network sensor records as one events table.
 
 events: ts, layer, raw_ref (file:line), machine, src_ip, pid, ppid, ld (struct). The machine is that of the syslog header or
 of an audit record's node, else the one named to the reader, else null. Lines that do not parse are left out.
@@ -15,11 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.net import canonical_ip, canonical_ips, dash_null, key_values, path_and_query, unhex_text, utc
+from emberlog.sources.auth import TOLD, classified
 
 #: Fields of ld and their types.
 FIELDS = {
     "method": "string", "path": "string", "status": "bigint", "bytes": "bigint", "duration_us": "bigint", "user_agent": "string", "referer": "string", "host": "string",
-    "program": "string", "event": "string", "result": "string", "user": "string", "target_user": "string", "auth_method": "string", "src_user": "string", "group": "string", "gid": "bigint", "changed_attr": "string", "shell": "string", "command": "string", "tty": "string", "repeat": "bigint", "port": "bigint", "uid": "bigint", "euid": "bigint", "auid": "bigint", "ses": "bigint",
+    "program": "string", "event": "string", "result": "string", "user": "string", "target_user": "string", "auth_method": "string", "src_user": "string", "src_uid": "bigint", "group": "string", "gid": "bigint", "changed_attr": "string", "old_value": "string", "new_value": "string", "key_type": "string", "key_fingerprint": "string", "pam_service": "string", "reason": "string", "shell": "string", "command": "string", "tty": "string", "repeat": "bigint", "port": "bigint", "uid": "bigint", "euid": "bigint", "auid": "bigint", "ses": "bigint",
     "syscall": "string", "key": "string", "exe": "string", "comm": "string", "cwd": "string", "exec_args": "string", "success": "string", "session_type": "string", "proctitle": "string", "paths": "array<struct<name:string,nametype:string,item:bigint>>", "serial": "bigint", "record_types": "array<string>", "raw_lines": "array<bigint>",
     "event_type": "string", "flow_id": "string", "tx_id": "string", "sensor_id": "string", "transport_src_ip": "string", "src_port": "bigint", "dest_ip": "string", "dest_port": "bigint", "proto": "string", "xff_status": "string",
     "signature": "string", "signature_id": "string", "severity": "string", "category": "string", "action": "string",
@@ -32,53 +32,6 @@ AUTH_BSD = r"^([A-Z][a-z]{2}) +(\d+) (\d\d:\d\d:\d\d) (\S+) ([^\s:\[]+)(?:\[(\d+
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 UNSET_ID = 4294967295
 
-ACCOUNTS = "useradd|usermod|userdel|groupadd|groupmod|groupdel|gpasswd|passwd|chpasswd|chsh|chfn|chage|adduser|deluser|newusers"
-_U, _UA, _UAP, _AP = {"user": 1}, {"user": 1, "address": 2}, {"user": 1, "address": 2, "port": 3}, {"address": 1, "port": 2}
-#: Auth messages: programs, pattern, event, result, and the groups of its fields. The first that fits counts.
-AUTH: tuple[tuple[str, str, str, str, dict[str, int]], ...] = (
-    ("sshd", r"^Accepted (\S+) for (\S+) from (\S+) port (\d+)", "ssh_accepted", "success", {"auth_method": 1, "user": 2, "address": 3, "port": 4}),
-    ("sshd", r"^Failed (\S+) for (?:invalid user )?(.*?) from (\S+) port (\d+)", "ssh_failed", "failure", {"auth_method": 1, "user": 2, "address": 3, "port": 4}),
-    ("sshd", r"^Invalid user (.*?) from (\S+)(?: port (\d+))?$", "ssh_invalid_user", "failure", _UAP),
-    ("sshd", r"^(?:Connection closed by|Disconnected from) (?:authenticating|invalid) user (.*?) (\S+) port (\d+)", "ssh_auth_fail_close", "failure", _UAP),
-    ("sshd", r"^Disconnecting (?:authenticating|invalid) user (.*?) (\S+) port (\d+): ", "ssh_auth_fail_close", "failure", _UAP),
-    ("sshd", r"^error: maximum authentication attempts exceeded for (?:invalid user )?(.*?) from (\S+) port (\d+)", "ssh_max_auth", "failure", _UAP),
-    ("sshd", r"^(?:Connection closed by|Disconnected from|Connection reset by) ([0-9A-Fa-f:.]+) port (\d+)(?: \[preauth\])?$", "ssh_probe", "failure", _AP),
-    ("sshd", r"^banner exchange: Connection from (\S+) port (\d+):", "ssh_probe", "failure", _AP),
-    ("sshd", r"^(?:error: )?(?:kex_exchange_identification|kex_protocol_error|banner exchange)\b", "ssh_probe", "failure", {}),
-    ("sshd", r"^Did not receive identification string from (\S+)(?: port (\d+))?$", "ssh_probe", "failure", _AP),
-    ("sshd", r"^Unable to negotiate with (\S+) port (\d+)", "ssh_probe", "failure", _AP),
-    ("sshd", r"^(?:Received disconnect|Disconnected) from (?:user (\S+) )?(\S+) port (\d+)", "ssh_disconnect", "info", _UAP),
-    ("sshd", r"^AuthorizedKeysCommand .* failed, status \d+$", "ssh_keys_command", "info", {}),
-    ("sshd", r"^(?:Server listening on |Received signal \d+; terminating\.$|Received SIGHUP; restarting\.$)", "sshd_service", "info", {}),
-    ("sudo", r"^\s*(\S+) : (?:.*(?:command not allowed|NOT in sudoers|incorrect password)[^;]*)(?:.*USER=(\S+))?(?:.*COMMAND=(.*))?", "sudo_denied", "failure", {"src_user": 1, "user": 2, "command": 3}),
-    ("sudo", r"^\s*(\S+) : (?:TTY=(\S+) ;)?.*USER=(\S+) ;.*COMMAND=(.*)$", "sudo_command", "success", {"src_user": 1, "tty": 2, "user": 3, "command": 4}),
-    ("su", r"^Successful su for (\S+) by (\S+)", "su_success", "success", {"user": 1, "src_user": 2}),
-    ("su", r"^FAILED su for (\S+) by (\S+)", "su_failure", "failure", {"user": 1, "src_user": 2}),
-    ("su", r"^- (\S+) ([^:]+):(\S+)$", "su_failure", "failure", {"tty": 1, "src_user": 2, "user": 3}),
-    ("su", r"^.*$", "su_other", "info", {}),
-    ("useradd", r"^new user: name=([^,]+), UID=(\d+), GID=(\d+)(?:, home=[^,]*)?(?:, shell=([^,]+))?", "user_created", "success", {"user": 1, "uid": 2, "gid": 3, "shell": 4}),
-    ("useradd", r"^new user: name=([^,]+)", "user_created", "success", _U),
-    (ACCOUNTS, r"^change user '([^']+)' (UID) from '[^']*' to '(\d+)'", "user_modified", "success", {"user": 1, "changed_attr": 2, "uid": 3}),
-    (ACCOUNTS, r"^change user '([^']+)' (shell) from '[^']*' to '([^']*)'", "user_modified", "success", {"user": 1, "changed_attr": 2, "shell": 3}),
-    (ACCOUNTS, r"^change user '([^']+)' (\S+) from '[^']*' to '", "user_modified", "success", {"user": 1, "changed_attr": 2}),
-    (ACCOUNTS, r"^changed user '([^']+)' (shell) to '([^']*)'", "user_modified", "success", {"user": 1, "changed_attr": 2, "shell": 3}),
-    (ACCOUNTS, r"^delete user '([^']+)'$", "user_deleted", "success", _U),
-    (ACCOUNTS, r"^change user '([^']+)' password$", "password_changed", "success", _U),
-    (ACCOUNTS, r"^password for '([^']+)' changed by '([^']+)'", "password_changed", "success", {"user": 1, "src_user": 2}),
-    ("passwd", r"password changed for (\S+)", "password_changed", "success", _U),
-    (ACCOUNTS, r"^add '([^']+)' to group '([^']+)'", "group_member_added", "success", {"user": 1, "group": 2}),
-    (ACCOUNTS, r"^add '([^']+)' to shadow group '([^']+)'", "gshadow_member_added", "success", {"user": 1, "group": 2}),
-    (ACCOUNTS, r"^user (\S+) added by (\S+) to group (\S+)", "group_member_added", "success", {"user": 1, "src_user": 2, "group": 3}),
-    (ACCOUNTS, r"^delete '([^']+)' from (?:shadow )?group '([^']+)'", "group_member_removed", "success", {"user": 1, "group": 2}),
-    (ACCOUNTS, r"^new group: name=([^,]+)(?:, GID=(\d+))?", "group_created", "success", {"group": 1, "gid": 2}),
-    (ACCOUNTS, r"^(?:removed group|group) '([^']+)'(?: removed.*)?$", "group_deleted", "success", {"group": 1}),
-    (ACCOUNTS, r"^.*$", "account_other", "info", {}),
-    ("pkexec", r"^(\S+): Executing command \[USER=([^\]]*)\](?: \[TTY=([^\]]*)\])?(?: \[CWD=[^\]]*\])?(?: \[COMMAND=(.*)\])?$", "pkexec_command", "success", {"src_user": 1, "user": 2, "tty": 3, "command": 4}),
-    ("pkexec", r"^(\S+): (?:Error|The value)", "pkexec_denied", "failure", {"src_user": 1}),
-    ("systemd-logind", r"^New session \S+ of user (\S+?)\.?$", "session_opened", "success", _U),
-)
-TOLD = ("user", "address", "port", "auth_method", "src_user", "group", "gid", "uid", "changed_attr", "shell", "command", "tty")
-PAM_USER = r"session (opened|closed) for user ([^\s(]+)"
 #: Numbers of system calls on x86_64 (fixed values).
 SYSCALLS = {"2": "open", "42": "connect", "59": "execve", "82": "rename", "87": "unlink", "257": "openat", "263": "unlinkat", "322": "execveat"}
 NETWORK = "timestamp string, event_type string, flow_id string, tx_id string, in_iface string, host string, src_ip string, src_port bigint, dest_ip string, dest_port bigint, proto string, xff string, http struct<hostname:string,url:string,http_method:string,status:bigint,http_user_agent:string,xff:string>, alert struct<signature:string,signature_id:string,category:string,severity:string,action:string>"
@@ -137,18 +90,10 @@ def auth_events(src: DataFrame, year: int, month: int = 12) -> DataFrame:
     rows = src.where(rfc | l.rlike(AUTH_BSD)).select("file", "line_no", F.when(rfc, utc(F.regexp_extract(l, AUTH_RFC, 1))).otherwise(utc(bsd)).alias("ts"), pick(2, 4).alias("host"), pick(3, 5).alias("program"), F.nullif(pick(4, 6), F.lit("")).alias("pid"), pick(5, 7).alias("msg"))
     again = r"^message repeated (\d+) times: \[ ?(.*)\]$"
     rows = rows.withColumns({"repeat": F.regexp_extract("msg", again, 1).try_cast("bigint"), "msg": F.when(F.col("msg").rlike(again), F.regexp_extract("msg", again, 2)).otherwise(F.col("msg"))})
-    msg, none = F.col("msg"), F.lit(None).cast("string")
-    take = lambda p, i: F.nullif(F.regexp_extract(msg, p, i), F.lit("")) if i else none
-
-    def told(event: Column, result: str, **found: Column) -> Column:
-        return F.struct(event.alias("event"), F.lit(result).alias("result"), *(found.get(c, none).alias(c) for c in TOLD))
-
-    pam = F.when(msg.rlike("^pam_unix.*" + PAM_USER), told(F.concat(F.lit("session_"), F.regexp_extract(msg, PAM_USER, 1)), "info", user=F.regexp_extract(msg, PAM_USER, 2)))
-    pam = pam.when(msg.rlike("^pam_unix.*authentication failure"), told(F.lit("pam_failure"), "failure", user=key_values(msg)["user"], address=key_values(msg)["rhost"], tty=key_values(msg)["tty"]))
-    for programs, p, event, result, groups in AUTH:
-        pam = pam.when(F.col("program").rlike(f"^(?:{programs})$") & msg.rlike(p), told(F.lit(event), result, **{c: take(p, i) for c, i in groups.items()}))
-    rows = rows.withColumn("c", pam.otherwise(told(F.lit("other"), "info")))
-    rows = rows.select("file", "line_no", "ts", "host", "program", "pid", "repeat", "c.*").withColumn("src_ip", canonical_ip(F.col("address")))
+    rows = rows.withColumn("c", classified(F.col("program"), F.col("msg")))
+    told = (F.col(f"c.{c}").alias(c) for c in ("event", "result", *TOLD) if c != "repeat")
+    rows = rows.select("file", "line_no", "ts", "host", "program", "pid", F.coalesce("repeat", F.col("c.repeat").try_cast("bigint")).alias("repeat"), *told).withColumn("src_ip", canonical_ip(F.col("address")))
+    rows = rows.withColumns({c: F.col(c).try_cast("bigint") for c in ("port", "uid", "gid", "src_uid")})
     rows = rows.withColumn("session_type", F.when(F.col("tty").rlike("^(?:/dev/)?(?:pts|tty)"), "interactive").when(F.col("tty").isNotNull(), "non_interactive"))
     return as_events(rows.withColumn("machine", F.col("host")), "auth")
 
@@ -157,7 +102,7 @@ def audit_events(src: DataFrame, machine: str | None = None) -> DataFrame:
     """Records of one (file, machine, epoch, serial) make one event, which the line of its first record stands for.
 
     The names that the daemon adds behind a group separator (UID, SYSCALL and so on, in capitals) are read with the rest.
-    The path is that of the file made or used, not its folder's, where there is a choice.
+    The path is the first by item that is not the folder of another one, else the first.
     """
     l = F.translate("line", "\x1d", " ")
     head = r"^(?:node=(\S+) )?type=(\S+) msg=audit\((\d+\.\d+):(\d+)\):(.*)$"
@@ -171,8 +116,8 @@ def audit_events(src: DataFrame, machine: str | None = None) -> DataFrame:
     args = F.transform(F.sequence(F.lit(0), F.greatest(F.coalesce(F.col("x")["argc"].try_cast("int"), F.lit(0)) - 1, F.lit(0))), lambda i: unhex_text(F.col("x")[F.concat(F.lit("a"), i.cast("string"))]))
     calls = F.create_map(*(F.lit(v) for kv in SYSCALLS.items() for v in kv))
     tty = F.col("s")["tty"]
-    named = lambda kinds: F.get(F.filter("paths", lambda x: x["nametype"].isin(*kinds)), F.lit(0))["name"]
-    path = F.coalesce(named(("CREATE", "DELETE")), named(("NORMAL",)), F.get(F.filter("paths", lambda x: F.coalesce(x["nametype"] != "PARENT", F.lit(True))), F.lit(0))["name"], F.get("paths", F.lit(0))["name"])
+    ordered = F.array_sort("paths", lambda a, b: F.signum(F.coalesce(a["item"], F.lit(0)) - F.coalesce(b["item"], F.lit(0))).cast("int"))
+    path = F.coalesce(F.get(F.filter(ordered, lambda x: F.coalesce(x["nametype"] != "PARENT", F.lit(True))), F.lit(0))["name"], F.get(ordered, F.lit(0))["name"])
     rows = g.select(
         "file", "machine", "line_no", F.timestamp_micros((F.col("epoch").cast("decimal(20,6)") * 1_000_000).cast("bigint")).alias("ts"), "serial", number("pid").alias("pid"), number("ppid").alias("ppid"),
         *(number(c).alias(c) for c in ("uid", "euid", "auid", "ses")), F.coalesce(F.col("s")["SYSCALL"], calls[F.col("s")["syscall"]], F.col("s")["syscall"]).alias("syscall"), F.col("s")["UID"].alias("user"), F.nullif(tty, F.lit("(none)")).alias("tty"), unhex_text(F.col("t")["proctitle"]).alias("proctitle"), "paths", path.alias("path"), F.nullif(F.col("s")["key"], F.lit("(null)")).alias("key"),

@@ -55,6 +55,47 @@ AUTH = [
 ]
 
 
+#: Every kind of message, with all the fields that it tells.
+MESSAGES = [
+    ("sshd", "Accepted publickey for root from 9.9.9.9 port 22 ssh2: RSA SHA256:abc", dict(event="ssh_accepted", result="success", user="root", port=22, auth_method="publickey", key_type="RSA", key_fingerprint="SHA256:abc")),
+    ("sshd", "Failed password for invalid user a b from 1.1.1.1 port 9 from 9.9.9.9 port 22 ssh2", dict(event="ssh_failed", user="a b from 1.1.1.1 port 9", port=22, auth_method="password")),
+    ("sshd", "Invalid user bob from 9.9.9.9 port 22", dict(event="ssh_invalid_user", user="bob", port=22)),
+    ("sshd", "Invalid user bob from 9.9.9.9", dict(event="ssh_invalid_user", user="bob", port=None)),
+    ("sshd", "Connection closed by authenticating user root 9.9.9.9 port 22 [preauth]", dict(event="ssh_auth_fail_close", result="failure", user="root", port=22)),
+    ("sshd", "Connection reset by invalid user x y 9.9.9.9 port 22 [preauth]", dict(event="ssh_auth_fail_close", user="x y")),
+    ("sshd", "Disconnecting invalid user x 9.9.9.9 port 22: Too many authentication failures [preauth]", dict(event="ssh_auth_fail_close", user="x")),
+    ("sshd", "error: maximum authentication attempts exceeded for root from 9.9.9.9 port 22 ssh2 [preauth]", dict(event="ssh_max_auth", result="failure", user="root")),
+    ("sshd", "Connection closed by 9.9.9.9 port 22 [preauth]", dict(event="ssh_probe", result="failure", user=None, port=22)),
+    ("sshd", "banner exchange: Connection from 9.9.9.9 port 22: invalid format", dict(event="ssh_probe", port=22)),
+    ("sshd", "Unable to negotiate with 9.9.9.9 port 22: no matching host key type found. Their offer: x [preauth]", dict(event="ssh_probe", port=22)),
+    ("sshd", "Did not receive identification string from 9.9.9.9 port 22", dict(event="ssh_probe", port=22)),
+    ("sshd", "Received disconnect from 9.9.9.9 port 22:11: disconnected by user", dict(event="ssh_disconnect", result="info", port=22)),
+    ("sshd", "Disconnected from user root 9.9.9.9 port 22", dict(event="ssh_disconnect", result="info", user="root", port=22)),
+    ("sshd", "PAM 2 more authentication failures; logname= uid=0 euid=0 tty=ssh ruser= rhost=9.9.9.9  user=root", dict(event="pam_auth_failure", result="failure", user="root", repeat=2, src_uid=0)),
+    ("sshd", "pam_unix(sshd:auth): authentication failure; logname= uid=0 euid=0 tty=ssh ruser= rhost=9.9.9.9  user=root", dict(event="pam_auth_failure", user="root", pam_service="sshd", tty="ssh", src_user=None)),
+    ("sshd", "kex_exchange_identification: Connection closed by remote host", dict(event="ssh_probe", user=None, port=None)),
+    ("sshd", "Server listening on 0.0.0.0 port 22.", dict(event="sshd_service", result="info", port=None)),
+    ("sudo", "pam_unix(sudo:auth): auth could not identify password for [bob]", dict(event="pam_auth_failure", user="bob", src_user="bob", pam_service="sudo", reason="could not identify password")),
+    ("sudo", "pam_unix(sudo:session): session opened for user root(uid=0) by bob(uid=1000)", dict(event="pam_session_opened", result="success", user="root", uid=0, src_user="bob", src_uid=1000, pam_service="sudo")),
+    ("cron", "pam_unix(cron:session): session opened for user root(uid=0) by (uid=0)", dict(event="pam_session_opened", user="root", src_user=None, src_uid=0)),
+    ("su", "pam_systemd(su-l:session): session closed for user root", dict(event="pam_session_closed", result="info", user="root", pam_service="su-l")),
+    ("passwd", "pam_unix(passwd:chauthtok): password changed for bob", dict(event="password_changed", result="success", user="bob")),
+    ("login", "pam_faillock(login:auth): Consecutive login failures for user bob account temporarily locked", dict(event="pam_other", result="info", pam_service="login")),
+    ("systemd-logind", "New session 12 of user bob.", dict(event="session_new", result="info", user="bob", reason="session 12")),
+    ("systemd-logind", "Removed session 12.", dict(event="session_removed", result="info", user=None, reason="session 12")),
+    ("systemd-logind", "Watching system buttons", dict(event="logind_other", result="info")),
+    ("su", "(to root) bob on pts/0", dict(event="su_other", result="info", user=None)),
+    ("usermod", "change user 'bob' home from '/home/bob' to '/root'", dict(event="user_modified", user="bob", changed_attr="home", old_value="/home/bob", new_value="/root", shell=None, uid=None)),
+    ("chsh", "changed user 'bob' shell to '/bin/sh'", dict(event="user_modified", user="bob", changed_attr="shell", old_value=None, new_value="/bin/sh", shell="/bin/sh")),
+    ("gpasswd", "user bob removed by root from group sudo", dict(event="group_member_removed", user="bob", src_user="root", group="sudo")),
+    ("userdel", "removed group 'bob' owned by 'bob'", dict(event="account_other", group=None)),
+    ("groupdel", "removed group 'bob'", dict(event="group_deleted", result="success", group="bob", user=None)),
+    ("chage", "changed password expiry for bob", dict(event="account_other", result="info")),
+    ("pkexec", "bob: Executing command [USER=root] [TTY=/dev/pts/1] [CWD=/] [COMMAND=/bin/sh -c id]", dict(event="pkexec_command", src_user="bob", user="root", tty="/dev/pts/1", command="/bin/sh -c id", session_type="interactive")),
+    ("kernel", "anything", dict(event="other", result="info", user=None)),
+]
+
+
 def _auth(spark, rows):
     return logs.auth_events(spark.createDataFrame([("auth.log", k + 1, f"2024-05-01T10:00:05Z h {p}[7]: {m}") for k, (p, m) in enumerate(rows)], LINES), 2024, 5)
 
@@ -65,6 +106,15 @@ def test_auth_fields(spark):
         assert {c: got[f"auth.log:{k + 1}"][c] for c in want} == want, m
 
 
+def test_every_auth_message(spark):
+    got = {r.raw_ref: r for r in _auth(spark, [(p, m) for p, m, _ in MESSAGES]).collect()}
+    for k, (_, m, want) in enumerate(MESSAGES):
+        r = got[f"auth.log:{k + 1}"]
+        assert {c: r.ld[c] for c in want} == want, m
+        assert r.src_ip == ("9.9.9.9" if "9.9.9.9" in m else None), m
+        assert r.machine == "h"
+
+
 def test_shipped_rules_by_example(spark):
     found = rules.load_rules(str(Path(rules.__file__).parent / "rules"))
     hits = {(int(r.raw_ref.split(":")[1]), r.rule_id) for r in rules.detect(_auth(spark, [(p, m) for p, m, _ in AUTH]), found).collect()}
