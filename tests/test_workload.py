@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from emberlog import logqueries, processqueries, workload  # noqa: F401 (these add to the workload)
+from emberlog import logqueries, processqueries, readerqueries, workload  # noqa: F401 (these add to the workload)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
