@@ -1,8 +1,8 @@
 """The corpus pipeline: documents through five stages, each written as Parquet and read again as the next one's input.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Null texts
-count as empty, of repeated rows one stays (stage 2), rows without an id are kept by stages 1 to 3, texts of any length pass
-whole, other columns (of whatever name) are carried along, and an empty table gives none.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, whatever
+others there are. What happens to nulls, ties, repeated rows and long texts is told by the stages' operators; empty and null
+texts are equal to stage 2, which keeps one of them; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import exact_dedup, ngram_join, quality_classifier, sentencepiece_codec, source_mix
-from emberlog.llm.queries import tokenizer_path
+from emberlog.llm.common import tokenizer_path
 from emberlog.session import cut, free, table
 
 

@@ -9,16 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import exact_dedup, license_scan, ngram_join, prefix_trie, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, source_mix, suffix_dedup, token_alignment, token_counts, url_filters
+from emberlog.llm.common import tokenizer_path
 from emberlog.llm.oracles import ORACLES
 from emberlog.session import table
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 

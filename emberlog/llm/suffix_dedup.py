@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,15 @@ LENGTH, Q, PART = 200, 56, 16
 CHUNK, SLICE, PLACE_BITS = 1 << 19, 1 << 18, 20
 
 _BASE = 0xD1B54A32D192ED03
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUE = np.random.Generator(np.random.PCG64(1913)).integers(1, 1 << 63, 256, dtype=np.uint64)
-_up, _down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(1 << PLACE_BITS, b, np.uint64))), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+@cache
+def _powers(base: int) -> np.ndarray:
+    """Made where texts are hashed, not where the module is only read (8 MB)."""
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(1 << PLACE_BITS, base, np.uint64))), dtype=np.uint64)
+
 
 #: What a row of any round carries: identifiers, the document, first window and number of windows, and its occurrences.
 ROWS = "bucket long, pointer long, id long, mark int, at long, n_windows int, shift int, n int"
@@ -50,11 +58,11 @@ class Bytes:
         self.end = np.cumsum(self.size)
         self.start = self.end - self.size
         self.sums = np.zeros(len(self.raw) + 1, np.uint64)
-        np.cumsum(_VALUE[self.raw] * _up[: len(self.raw)], out=self.sums[1:])
+        np.cumsum(_VALUE[self.raw] * _powers(_BASE)[: len(self.raw)], out=self.sums[1:])
 
     def name(self, start: np.ndarray, stop: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
         """64-bit identifiers of the bytes from start to stop."""
-        return mixed((self.sums[stop] - self.sums[start]) * _down[start] + (np.asarray(salt).astype(np.uint64) << np.uint64(1)) * np.uint64(_VALUE[0] | np.uint64(1)))
+        return mixed((self.sums[stop] - self.sums[start]) * _powers(_INVERSE)[start] + (np.asarray(salt).astype(np.uint64) << np.uint64(1)) * np.uint64(_VALUE[0] | np.uint64(1)))
 
 
 def stretches(b: Bytes) -> tuple[np.ndarray, ...]:
