@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.session import cut
-
 #: Reasons and what they make of a piece of evidence; the worst counts (fixed values).
 CONTEXT, EXCLUDED = ("CONTRADICTING", "EMPTY_RESULT"), ("NO_RAW_REFS", "PROVENANCE_ISSUE", "AMBIGUOUS_RAW_REF", "UNOBSERVED_RAW_REF")
 FATAL = ("UNIT_NOT_TARGET", "INVALID_TECHNIQUE_ID", "REVOKED_OR_DEPRECATED", "NOT_IN_CANDIDATES", "UNIT_EVIDENCE_NOT_CITED", "EMPTY_REASON")
@@ -97,21 +95,27 @@ def renumbered(actions: DataFrame, *tie: str) -> DataFrame:
 def in_order(actions: DataFrame, after: DataFrame, priority: str = "priority") -> DataFrame:
     """actions (incident_id, action_id, priority) with place: each after those it depends on, smallest (priority, id) first.
 
-    after: (incident_id, action_id, needs); needs that are no actions of the case are ignored. All cases take their next
-    action in one round, so rounds are as many as the largest case has actions (cases have at most a few). What a
-    cycle leaves over follows by priority and id.
+    after: (incident_id, action_id, needs); needs that are no actions of the case are ignored. What a cycle leaves over follows by
+    priority and id. One shuffle brings a case together (a case has at most a few dozen actions, one a template), and a fold
+    over its own array takes one action a step. Rows of one id share a place, that of their smallest priority; a null id has no
+    place; actions of a null case are a case of their own.
     """
-    key = ["incident_id", "action_id"]
-    left = cut(actions.select(*key, priority), "actions")
-    need = cut(after.join(left.select("incident_id", F.col("action_id").alias("needs")), ["incident_id", "needs"]).join(left.select(*key), key).where("needs <> action_id").distinct(), "needs")
-    done, place = None, 0
-    while not left.isEmpty():
-        free = left.join(need, key, "left_anti").withColumn("_free", F.lit(0))
-        tail = left.join(free.select("incident_id").distinct(), "incident_id", "left_anti").withColumn("_free", F.lit(1))
-        nth = F.row_number().over(Window.partitionBy("incident_id").orderBy(priority, "action_id"))
-        place += 1
-        taken = cut(free.unionByName(tail).withColumn("_nth", nth).where("_nth = 1").select(*key, F.lit(place).cast("long").alias("place")), "taken")
-        done = taken if done is None else done.unionByName(taken)
-        left = cut(left.join(taken, key, "left_anti"), "left")
-        need = cut(need.join(taken.select("incident_id", F.col("action_id").alias("needs")), ["incident_id", "needs"], "left_anti"), "needs")
-    return actions.join(done, key) if done is not None else actions.withColumn("place", F.lit(None).cast("long"))
+    row = actions.schema.simpleString()
+    a = actions.select("incident_id", F.struct(*(F.col(f"`{c}`") for c in actions.columns)).alias("_row"), F.lit(None).cast(after.select("action_id", "needs").schema.simpleString()).alias("_after"))
+    n = after.select("incident_id", F.lit(None).cast(row).alias("_row"), F.struct("action_id", "needs").alias("_after"))
+    case = a.unionByName(n).groupBy("incident_id").agg(F.collect_list("_row").alias("_rows"), F.collect_list("_after").alias("_needs"))
+    # the ids of a case by priority, each with those of its needs that are in the case
+    ids = F.transform(F.array_sort(F.transform(F.filter("_rows", lambda r: r["action_id"].isNotNull()), lambda r: F.struct(r[priority].alias("p"), r["action_id"].alias("id")))), lambda r: r["id"])
+    case = case.withColumn("_ids", F.array_distinct(ids))
+    needs = lambda i: F.transform(F.filter("_needs", lambda x: (x["action_id"] == i) & (x["needs"] != i) & F.array_contains("_ids", x["needs"])), lambda x: x["needs"])
+    case = case.withColumn("_each", F.transform("_ids", lambda i: F.struct(i.alias("id"), needs(i).alias("needs"))))
+
+    def step(done: Column, _: Column) -> Column:
+        left = F.filter("_each", lambda x: ~F.array_contains(done, x["id"]))
+        free = F.get(F.filter(left, lambda x: F.size(F.array_except(x["needs"], done)) == 0), F.lit(0))
+        return F.when(free.isNotNull(), F.array_append(done, free["id"])).otherwise(F.concat(done, F.transform(left, lambda x: x["id"])))
+
+    kind = f"array<{actions.schema['action_id'].dataType.simpleString()}>"
+    order = F.aggregate("_ids", F.array().cast(kind), step)
+    placed = case.select(order.alias("_order"), F.explode("_rows").alias("_row"))
+    return placed.select("_row.*", F.nullif(F.array_position("_order", F.col("_row.action_id")), F.lit(0)).alias("place"))

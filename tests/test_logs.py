@@ -181,6 +181,19 @@ def test_action_order(spark, sf_dir):
     assert [r.action_id for r in cycle.orderBy("place").collect()] == [3, 1, 2]
 
 
+def test_action_order_of_odd_cases(spark):
+    kinds = "incident_id string, action_id string, priority long, _row int", "incident_id string, action_id string, needs string"
+    # two cycles: what they leave over stands by priority, also what only waits for one of them
+    a = [("i", "a", 1, 0), ("i", "b", 3, 0), ("i", "e", 2, 0), ("i", "f", 5, 0), ("i", "d", 4, 0), ("i", "x", 9, 0), ("j", "b", 1, 1), ("j", "b", 7, 2), ("j", "a", 2, 0), ("j", None, 0, 0), (None, "z", 1, 0)]
+    n = [("i", "a", "b"), ("i", "b", "a"), ("i", "e", "f"), ("i", "f", "e"), ("i", "d", "a"), ("j", "b", "a"), ("j", "b", "a"), ("j", "a", None), ("j", "a", "a"), ("k", "a", "b")]
+    a, n = spark.createDataFrame(a, kinds[0]), spark.createDataFrame(n, kinds[1])
+    out = mapping.in_order(a, n)
+    got = sorted((r["incident_id"] or "", r["place"] or 0, r["action_id"] or "", r["priority"]) for r in out.collect())
+    assert out.columns == [*a.columns, "place"]
+    assert got == [("", 1, "z", 1), ("i", 1, "x", 9), ("i", 2, "a", 1), ("i", 3, "e", 2), ("i", 4, "b", 3), ("i", 5, "d", 4), ("i", 6, "f", 5), ("j", 0, "", 0), ("j", 1, "a", 2), ("j", 2, "b", 1), ("j", 2, "b", 7)]
+    assert mapping.in_order(a.where("action_id = 'none'"), n).count() == 0
+
+
 def test_filters_and_pages(spark, sf_dir):
     e = logqueries.log_events(spark, sf_dir)
     with pytest.raises(ValueError):
