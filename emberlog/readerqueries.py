@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.plans.chain import detect_incidents
 from emberlog.logqueries import log_events
+from emberlog.functions.loosejson import json_items, json_object
 from emberlog.session import table
 from emberlog.sources import logs
 from emberlog.workload import query
@@ -67,3 +68,24 @@ def web_lines(spark, sf_dir):
 def detected_incidents(spark, sf_dir):
     found = detect_incidents(log_events(spark, sf_dir), least=5)
     return found.select("incident_key", "entity", "severity", "priority", "triage_score", "route", "member_count", F.array_join("layers", ",").alias("layers"))
+
+
+#: An object of each event in four broken forms; n small objects in an array that is cut off behind every second event's.
+OBJECT = "concat('\"id\": ', event_id, ', \"kind\": \"', event_type, '\"')"
+NL = "chr(10)"
+BROKEN = f"""CASE event_id % 4 WHEN 0 THEN concat('```json', {NL}, '{{', {OBJECT}, '}}', {NL}, '```') WHEN 1 THEN concat('Answer: {{', {OBJECT}, ', }} as asked') WHEN 2 THEN concat('{{', {OBJECT}, ',', {NL}, '- more: [1, ]', {NL}, '}}') ELSE concat('{{', {OBJECT}) END"""
+ARRAY = """concat('Verdicts: [', array_join(transform(sequence(0, event_id % 5), i -> concat('{"id": "', event_id, '] ', i, '"}')), ', '), CASE WHEN event_id % 2 = 0 THEN ', {"id": "' ELSE '] [1]' END)"""
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 < 3 THEN event_id END AS id, CASE WHEN event_id % 4 < 3 THEN event_type END AS kind FROM events")
+def loose_json_objects(spark, sf_dir):
+    """Each event's object in a broken form, read again."""
+    o = table(spark, sf_dir, "events").select("event_id", json_object(F.expr(BROKEN)).alias("o"))
+    return o.select("event_id", F.try_variant_get("o", "$.id", "bigint").alias("id"), F.try_variant_get("o", "$.kind", "string").alias("kind"))
+
+
+@query("""SELECT event_id, i, concat(event_id, '] ', i) AS id FROM (SELECT event_id, unnest(range(0, event_id % 5 + 1)) AS i FROM events)""")
+def cut_json_items(spark, sf_dir):
+    """Each event's array, cut off or not, read again by items."""
+    items = table(spark, sf_dir, "events").select("event_id", F.posexplode(json_items(F.expr(ARRAY))).alias("i", "item"))
+    return items.select("event_id", F.col("i").cast("long").alias("i"), F.get_json_object("item", "$.id").alias("id"))
