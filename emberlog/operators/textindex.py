@@ -25,10 +25,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.operators.retrieval import K1, B, ranked, tokens
-from emberlog.session import cut
+from emberlog.session import cut, cut_to, free
 
 #: Postings of a block, about; postings of a query's rarest terms that the first bound is made of, about, for each hit wanted.
 BLOCK, FIRST = 512, 20
+#: Terms at most whose statistics are sent to all tasks (some 60 MB).
+TERMS = 500_000
 #: Scores are rounded to 6 places.
 SLACK = 2e-6
 WORD = r"[\p{L}\p{N}_]"
@@ -53,10 +55,15 @@ def search_text(*parts: Column) -> Column:
     return F.concat_ws("\n", observed, F.array_distinct(F.array_compact(F.array(*added))))
 
 
+def share(tf: Column, length: Column, average: Column | float) -> Column:
+    """What a term's count in a document gives, before the weight of the term."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+
+
 @dataclass(frozen=True)
 class TextIndex:
-    blocks: DataFrame  # term, block, top, postings: array of (doc_id, part)
-    terms: DataFrame  # term, df, parts, top
+    blocks: DataFrame  # term, block, top (without idf), postings: array of (doc_id, tf, len)
+    terms: DataFrame  # term, df, parts (blocks), idf, top, average (length of all documents)
     words: Callable[[Column], Column]
     info: dict
     reused: bool
@@ -76,26 +83,33 @@ def build(docs: DataFrame, root: str, identity: dict, words: Callable[[Column],
         reused = False
     if not reused:
         w = d.select("doc_id", words(F.col("text")).alias("w"))
-        counted = w.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
-        counted = cut(counted, "counted")
         average = w.agg(F.avg(F.size("w"))).first()[0] or 1.0
+        counted = w.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("term", "doc_id", "len").agg(F.count("*").cast("int").alias("tf"))
+        counted = cut(counted, "counted")
         stats = counted.groupBy("term").agg(F.count("*").alias("df")).withColumn("parts", F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("df") / BLOCK)))).cast("long"))
+        stats = cut(stats, "stats")
+        # few enough terms go to all tasks, else a join spreads postings by term, where adaptive execution splits frequent ones
+        known = F.broadcast(stats) if stats.count() <= TERMS else stats
+        dealt = counted.join(known, "term").select("term", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("block"), "doc_id", "tf", "len")
+        packed = dealt.groupBy("term", "block").agg(F.max(share(F.col("tf"), F.col("len"), average)).alias("top"), F.collect_list(F.struct("doc_id", "tf", "len")).alias("postings"))
+        cut_to(packed.sortWithinPartitions("term", "block"), f"{path}/blocks")
+        free(counted)
+        tops = spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.max("top").alias("top"))
         idf = F.log(1 + (own["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / average))
-        # a frequent term's postings join its one row of stats; adaptive execution splits them, or sends small stats to all
-        dealt = counted.join(stats, "term").select("term", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("block"), "doc_id", part.alias("part"), "df", "parts")
-        packed = dealt.groupBy("term", "block", "df", "parts").agg(F.max("part").alias("top"), F.collect_list(F.struct("doc_id", "part")).alias("postings"))
-        packed.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
-        written = spark.read.parquet(f"{path}/blocks")
-        written.groupBy("term", "df", "parts").agg(F.max("top").alias("top")).write.mode("overwrite").parquet(f"{path}/terms")
+        cut_to(stats.join(tops, "term").select("term", "df", "parts", idf.alias("idf"), (idf * F.col("top")).alias("top"), F.lit(average).alias("average")), f"{path}/terms")
+        free(stats)
         spark.createDataFrame([(text,)], "info string").coalesce(1).write.mode("overwrite").parquet(f"{path}/info")
-    return TextIndex(spark.read.parquet(f"{path}/blocks").drop("df", "parts"), spark.read.parquet(f"{path}/terms"), words, info, reused)
+    return TextIndex(spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/terms"), words, info, reused)
+
+
+def part() -> Column:
+    return (F.col("idf") * share(F.col("tf"), F.col("len"), F.col("average"))).alias("part")
 
 
 def opened(index: TextIndex, wanted: DataFrame) -> DataFrame:
-    """(query_id, doc_id, part) of all postings of wanted (query_id, term)."""
-    hit = index.blocks.select("term", "postings").join(wanted.select("query_id", "term"), "term")
-    return hit.select("query_id", F.inline("postings"))
+    """(query_id, doc_id, part) of all postings of wanted (query_id, term, idf, average)."""
+    hit = index.blocks.select("term", "postings").join(wanted.select("query_id", "term", "idf", "average"), "term")
+    return hit.select("query_id", "idf", "average", F.inline("postings")).select("query_id", "doc_id", part())
 
 
 def kth(scores: DataFrame, k: int, name: str) -> DataFrame:
@@ -120,20 +134,20 @@ def search(index: TextIndex, queries: DataFrame, k: int = 50, measured: dict | N
     # a query without a bound opens all of its terms
     t = cut(t.join(least, "query_id", "left").withColumn("leads", F.col("least").isNull() | (F.col("rest") >= F.col("least") - SLACK)), "led-terms")
     found = cut(sums(opened(index, t.where("leads"))), "led")
-    follow = t.where("not leads").select("query_id", "term", "parts", "top")
+    follow = t.where("not leads").select("query_id", "term", "parts", "idf", "average", "top")
     most = follow.groupBy("query_id").agg(F.sum("top").alias("most"))
     # the bound from the sums of the leading terms is at least as high
     bound = found.join(kth(found, k, "bound"), "query_id", "left").join(most, "query_id", "left").fillna(0.0, ["most"])
     kept = cut(bound.where(F.col("bound").isNull() | (F.col("score") + F.col("most") >= F.col("bound") - SLACK)).select("query_id", "doc_id", "score", "bound"), "kept")
     # following terms: each document's own block of each, first by the block's best score, then opened
-    place = kept.join(follow.drop("top"), "query_id").select("query_id", "doc_id", "score", "bound", "term", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("block"))
+    place = kept.join(follow.drop("top", "average"), "query_id").select("query_id", "doc_id", "score", "bound", "term", "idf", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("block"))
     tops = place.join(index.blocks.select("term", "block", "top"), ["term", "block"])
-    able = tops.groupBy("query_id", "doc_id", "score", "bound").agg(F.sum("top").alias("most")).where(F.col("bound").isNull() | (F.col("score") + F.col("most") >= F.col("bound") - SLACK))
+    able = tops.groupBy("query_id", "doc_id", "score", "bound").agg(F.sum(F.col("idf") * F.col("top")).alias("most")).where(F.col("bound").isNull() | (F.col("score") + F.col("most") >= F.col("bound") - SLACK))
     able = cut(able.select("query_id", "doc_id"), "able")
-    pairs = able.join(follow, "query_id").select("query_id", "doc_id", "term", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("block"))
+    pairs = able.join(follow, "query_id").select("query_id", "doc_id", "term", "idf", "average", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("block"))
     pairs = cut(pairs, "pairs")
     needed = index.blocks.select("term", "block", "postings").join(pairs.select("term", "block").distinct(), ["term", "block"])
-    more = pairs.join(needed.select("term", F.inline("postings")), ["term", "doc_id"]).select("query_id", "doc_id", "part")
+    more = pairs.join(needed.select("term", F.inline("postings")), ["term", "doc_id"]).select("query_id", "doc_id", part())
     if measured is not None:
         measured["all"] = t.agg(F.sum("df")).first()[0] or 0
         measured["opened"] = (t.where("leads").agg(F.sum("df")).first()[0] or 0) + (needed.agg(F.sum(F.size("postings"))).first()[0] or 0)

@@ -45,15 +45,21 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/emberlog-{name}-{uuid.uuid4().hex}"
+    cut_to(df, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def cut_to(df: DataFrame, path: str) -> None:
+    """Write df as Parquet to path, over what is there; the shuffle files of the write go once it is done."""
+    spark = df.sparkSession
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.mode("overwrite").parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    _folders[out] = path
-    return out
 
 
 def free(*tables: DataFrame) -> None:
