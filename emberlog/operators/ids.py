@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.net import is_global_ip
 from emberlog.operators.burst import clean_signature
-from emberlog.operators.links import SECOND, _side, missing_client_context, sensor_flow
+from emberlog.operators.links import SECOND, _side, flow_groups, missing_client_context
 from emberlog.operators.range_join import range_join
 
 #: Seconds of the three rings around a request (fixed values).
 STRONG, FALLBACK, LONG = 1, 2, 900
 FIELDS = ("method", "path", "status")
+_REQUEST = tuple((f"{c}_b", f"{c}_a") for c in FIELDS)
 
 
 def _found(pairs: DataFrame, ring: Column, status: Column, reason: Column) -> DataFrame:
@@ -22,6 +23,28 @@ def _found(pairs: DataFrame, ring: Column, status: Column, reason: Column) -> Da
     return best.select(F.col("raw_ref_b").alias("raw_ref"), "ring", near.alias("candidates")).select("raw_ref", status.alias("status"), reason.alias("reason"), "candidates")
 
 
+def _close(net: DataFrame, web: DataFrame) -> DataFrame:
+    """(raw_ref, status, reason, candidates) of the records (b) that a web request (a) of the same client is within two seconds of."""
+    one, gap = F.size("candidates") == 1, F.abs(F.col("at_a") - F.col("at_b"))
+    near = range_join(net, web, "at_b", "at_a", FALLBACK * SECOND, (("src_ip_b", "src_ip_a"),))
+    same = F.lit(True)
+    for b, a in _REQUEST:
+        same = same & F.coalesce(F.col(b) == F.col(a), F.lit(False))
+    ring = F.when(same & (gap <= STRONG * SECOND), 1).when(same, 2).when(gap <= STRONG * SECOND, 3).otherwise(4)
+    return _found(
+        near, ring, F.when((F.col("ring") == 1) & one, "strong").when(F.col("ring") == 1, "ambiguous_cluster").otherwise("context_only"),
+        F.when(F.col("ring") == 1, F.when(one, "exact_unique_within_strong_window").otherwise("exact_multiple_within_strong_window"))
+        .when(F.col("ring") == 2, F.when(one, "fallback_candidate").otherwise("fallback_ambiguous")).otherwise("ip_time_only_or_request_mismatch"),
+    )
+
+
+def _sides(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sensor's http records, those with a client as side b, and web requests as side a."""
+    cols = ("src_ip", *(f"ld.{c}" for c in FIELDS))
+    http = events.where("layer = 'network' and ld.event_type = 'http'")
+    return http, _side(http.where("src_ip is not null"), "network", "b", *cols), _side(events, "web", "a", *cols)
+
+
 def correlations(events: DataFrame) -> DataFrame:
     """(raw_ref, status, reason, candidates) for each http record of the sensor.
 
@@ -31,25 +54,10 @@ def correlations(events: DataFrame) -> DataFrame:
     that the wide window is joined for few. Without a client, by a missing forwarded address, the address is ignored and
     nothing is more than context; an invalid or conflicting one matches nothing.
     """
-    cols = ("src_ip", *(f"ld.{c}" for c in FIELDS))
-    http = events.where("layer = 'network' and ld.event_type = 'http'")
-    net, web = _side(http.where("src_ip is not null"), "network", "b", *cols), _side(events, "web", "a", *cols)
-    gap = F.abs(F.col("at_a") - F.col("at_b"))
-    ip, request = (("src_ip_b", "src_ip_a"),), tuple((f"{c}_b", f"{c}_a") for c in FIELDS)
-    one = F.size("candidates") == 1
-
-    near = range_join(net, web, "at_b", "at_a", FALLBACK * SECOND, ip)
-    same = F.lit(True)
-    for b, a in request:
-        same = same & F.coalesce(F.col(b) == F.col(a), F.lit(False))
-    ring = F.when(same & (gap <= STRONG * SECOND), 1).when(same, 2).when(gap <= STRONG * SECOND, 3).otherwise(4)
-    close = _found(
-        near, ring, F.when((F.col("ring") == 1) & one, "strong").when(F.col("ring") == 1, "ambiguous_cluster").otherwise("context_only"),
-        F.when(F.col("ring") == 1, F.when(one, "exact_unique_within_strong_window").otherwise("exact_multiple_within_strong_window"))
-        .when(F.col("ring") == 2, F.when(one, "fallback_candidate").otherwise("fallback_ambiguous")).otherwise("ip_time_only_or_request_mismatch"),
-    )
+    http, net, web = _sides(events)
+    close = _close(net, web)
     left = net.join(close.select(F.col("raw_ref").alias("raw_ref_b")), "raw_ref_b", "left_anti")
-    late = _found(range_join(left, web, "at_b", "at_a", LONG * SECOND, (*ip, *request)), F.lit(5), F.lit("context_only"), F.lit("long_delay_exact"))
+    late = _found(range_join(left, web, "at_b", "at_a", LONG * SECOND, (("src_ip_b", "src_ip_a"), *_REQUEST)), F.lit(5), F.lit("context_only"), F.lit("long_delay_exact"))
     missing = missing_client_context(events.where("layer <> 'network' or src_ip is null")).select("raw_ref", F.col("grade").alias("status"), "reason", "candidates")
     known = close.unionByName(late).unionByName(missing)
     rest = http.join(known.select("raw_ref"), "raw_ref", "left_anti")
@@ -83,20 +91,22 @@ def ids_seeds(events: DataFrame, window_seconds: int = 60) -> tuple[DataFrame, D
     good = a.where("reject_reason is null")
     number = F.col("ld.severity").cast("string").try_cast("int")
     who = F.struct("ts", "raw_ref", "entity", F.col("ld.signature").alias("signature"), F.col("ld.signature_id").cast("string").alias("signature_id"))
-    groups = good.groupBy("group_key").agg(F.min(who).alias("first"), F.min(number).alias("number"), F.count("*").alias("n_alerts"))
-    member = good.select("group_key", "raw_ref")
-    http = member.join(sensor_flow(events), F.col("raw_ref") == F.col("a")).select("group_key", F.col("b").alias("raw_ref")).distinct()
-    graded = http.join(correlations(events), "raw_ref")
-    web = graded.where("status = 'strong'").select("group_key", F.explode("candidates").alias("raw_ref"))
-    refs = member.unionByName(http).unionByName(web).groupBy("group_key").agg(F.array_sort(F.collect_set("raw_ref")).alias("refs"))
-    tied = graded.groupBy("group_key").agg(F.count("*").alias("n_correlated"))
+    member = good.select("group_key", who.alias("who"), number.alias("number"), F.array("raw_ref").alias("refs"))
+    # each record of a flow once, with all its groups; strong ties need the narrow window alone
+    strong = _close(*_sides(events)[1:]).where("status = 'strong'").select("raw_ref", "candidates")
+    http = flow_groups(events, good.select("raw_ref", "group_key").distinct()).join(strong, "raw_ref", "left")
+    http = http.select(F.explode("groups").alias("group_key"), F.concat(F.array("raw_ref"), F.coalesce("candidates", F.array().cast("array<string>"))).alias("refs"))
+    none = lambda c: F.lit(None).cast(member.schema[c].dataType).alias(c)
+    refs = F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("refs")
+    g = member.unionByName(http.select("group_key", none("who"), none("number"), "refs")).groupBy("group_key").agg(
+        F.min("who").alias("first"), F.min("number").alias("number"), F.count("who").alias("n_alerts"), F.count_if(F.col("who").isNull()).alias("n_correlated"), refs)
     named = clean_signature(F.col("first.signature"), F.concat(F.lit("signature_id="), F.col("first.signature_id")))
-    g = groups.join(refs, "group_key").join(tied, "group_key", "left").withColumn("signature", named)
+    g = g.withColumn("signature", named)
     width = F.make_dt_interval(secs=F.lit(window_seconds))
     severity = F.when(F.startswith("signature", F.lit("ET POLICY")), "low").when(F.col("number") == 1, "high").when(F.col("number") == 2, "medium").otherwise("low")
     seeds = g.select(
         F.sha1("group_key").alias("seed_id"), F.lit("src_ip").alias("entity_type"), F.col("first.entity").alias("entity"), F.concat(F.lit("IDS alert: "), "signature").alias("reason"), severity.alias("severity"),
         F.col("first.signature_id").alias("rule_id"), F.array(F.lit("ids")).alias("source"), F.lit("network").alias("layer"), (F.col("first.ts") - width).alias("window_start"), (F.col("first.ts") + width).alias("window_end"),
-        "refs", "n_alerts", F.coalesce("n_correlated", F.lit(0).cast("long")).alias("n_correlated"),
+        "refs", "n_alerts", "n_correlated",
     )
     return seeds, a.where("reject_reason is not null").select("raw_ref", "reject_reason")
