@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,23 +41,62 @@ def mode_of(rows: DataFrame, key: str, value: str) -> DataFrame:
     return n.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(value).alias(value)))[value].alias(value))
 
 
-#: Members whose digest is made at once.
-CHUNK = 1000
+#: Members that one row may hold, and characters of a string on its way to a digest.
+CHUNK, PIECE = 1000, 1 << 20
+
+
+def _streamed(members: DataFrame, key: str, ref: str) -> DataFrame:
+    """(key, incident_id) of keys with any number of members: sorted over all tasks and joined to strings there, which then
+    pass through one hash in their order, a batch at a time, as SHA-1 can't be split."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for k, r in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if not rows or rows[-1][0] != k or size > PIECE:
+                    rows.append((k, []))
+                    size = 0
+                rows[-1][1].append(r)
+                size += len(r) + 1
+            kind = batch.schema.field(0).type
+            yield pa.RecordBatch.from_pydict({key: pa.array([k for k, _ in rows], kind), "first": pa.array([r[0] for _, r in rows], pa.string()), "refs": pa.array(["|".join(r) for _, r in rows], pa.string())})
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, kind = None, None, None
+        for batch in batches:
+            out, kind = [], batch.schema.field(0).type
+            for k, _, refs in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if state and k == last:
+                    state.update(b"|" + refs.encode())
+                    continue
+                if state:
+                    out.append((last, state.hexdigest()[:8]))
+                last, state = k, hashlib.sha1(refs.encode())
+            yield _named(out, key, kind)
+        if state:
+            yield _named([(last, state.hexdigest()[:8])], key, kind)
+
+    kind = members.schema[key].dataType.simpleString()
+    own = members.select(key, F.col(ref).alias("first")).where("first is not null")
+    parts = own.repartitionByRange(key, "first").sortWithinPartitions(key, "first").mapInArrow(strings, f"{key} {kind}, first string, refs string")
+    return parts.repartition(key).sortWithinPartitions(key, "first").mapInArrow(hashed, f"{key} {kind}, incident_id string")
+
+
+def _named(rows: list[tuple], key: str, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({key: pa.array([k for k, _ in rows], kind), "incident_id": pa.array([x for _, x in rows], pa.string())})
 
 
 def digests(members: DataFrame, key: str, ref: str = "ref", shown: int = SHOWN) -> DataFrame:
     """(key, incident_id, member_count, members, oversized) of distinct (key, ref) rows.
 
-    The id covers all members, the list shows the first `shown`. Members are dealt by hash to chunks of about CHUNK,
-    each is sorted and digested by itself, and the chunks' digests are digested again, so no row holds all members; a
-    key with one chunk has the id of its joined members.
+    The id is that of incident_id() over all members, however many; the list shows the first `shown`. The members of a
+    key with more than CHUNK are streamed through the hash, so no row holds them all.
     """
-    n = members.groupBy(key).agg(F.count("*").alias("member_count"))
-    m = members.join(n, key).withColumn("_chunk", F.pmod(F.xxhash64(F.col(ref)), F.ceil(F.col("member_count") / CHUNK)))
-    parts = m.groupBy(key, "member_count", "_chunk").agg(F.sha1(F.array_join(F.array_sort(F.collect_list(ref)), "|")).alias("_part"))
-    every = F.array_sort(F.collect_list(F.struct("_chunk", "_part")))
-    whole = F.when(F.size(every) == 1, every[0]["_part"]).otherwise(F.sha1(F.array_join(F.transform(every, lambda x: x["_part"]), "|")))
-    ids = parts.groupBy(key, "member_count").agg(F.substring(whole, 1, 8).alias("incident_id"))
+    m = members.join(members.groupBy(key).agg(F.count("*").alias("member_count")), key)
+    few = m.where(F.col("member_count") <= CHUNK).groupBy(key, "member_count").agg(incident_id(F.collect_list(ref)).alias("incident_id"))
+    many = m.where(F.col("member_count") > CHUNK)
+    many = many.select(key, "member_count").distinct().join(_streamed(many, key, ref), key)
+    ids = few.unionByName(many)
     first = top_per(members, (key,), F.col(ref), k=shown).groupBy(key).agg(F.array_sort(F.collect_list(ref)).alias("members"))
     return ids.join(first, key).withColumn("oversized", F.col("member_count") > shown)
 
