@@ -46,7 +46,7 @@ def detect_incidents(events: DataFrame, rules: list[dict] | None = None, least:
     events = cut(events, "events")  # rules, sensor and linkers all read it
     seeds, _ = all_seeds(rule_seeds(events, rules if rules is not None else shipped_rules(), WINDOW_SECONDS), ids_seeds(events, WINDOW_SECONDS)[0])
     seeds = cut(aggregated(cut(seeds, "seeds"), least), "seeds")
-    found = triaged(merged(*build_all(cut(all_edges(events), "edges"), events, seeds)))
+    found = triaged(merged(*build_all(cut(all_edges(events, spanning=True), "edges"), events, seeds)))
     found = found.withColumn("incident_key", incident_key(F.col("entity"), F.col("reasons"), F.col("incident_id")))
     return found.where(F.col("priority") <= min_priority) if min_priority else found
 
