@@ -64,3 +64,19 @@ def test_digest_of_many_members(spark):
     got = {r.k: (r.incident_id, r.member_count, len(r.members)) for r in incidents.digests(spark.createDataFrame(rows, "k string, ref string").repartition(5), "k").collect()}
     name = lambda k: hashlib.sha1("|".join(sorted(x for y, x in rows if y == k)).encode()).hexdigest()[:8]
     assert got == {k: (name(k), n, min(n, incidents.SHOWN)) for k, n in sizes.items()}
+
+
+def test_nearest_by_blocks_equals_pairs(spark, monkeypatch):
+    import random
+
+    from emberlog.operators import retrieval
+
+    rng = random.Random(7)
+    rows = [(i, [rng.choice((-1.0, 0.5, 2.0)) for _ in range(3)]) for i in range(300)]  # many equal scores
+    e = spark.createDataFrame(rows, "doc_id long, v array<float>").repartition(3)
+    asked = e.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    odd = e.unionByName(spark.createDataFrame([(1000, [1.0, 2.0])], "doc_id long, v array<float>"))
+    assert retrieval._plain(e, asked) and not retrieval._plain(odd, asked)
+    got = [(r.query_id, r.rank, r.doc_id, r.score) for r in retrieval.nearest(e, asked).collect()]
+    monkeypatch.setattr(retrieval, "_plain", lambda *_: False)
+    assert sorted(got) == sorted((r.query_id, r.rank, r.doc_id, r.score) for r in retrieval.nearest(e, asked).collect()) and len(got) == 150
