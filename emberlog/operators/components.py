@@ -10,13 +10,13 @@ from emberlog.session import cut, free
 
 def _to_roots(up: DataFrame) -> DataFrame:
     """Follow (label, up) until every label points to a root; each turn makes chains a quarter as long."""
-    held = up
+    held, n = up, up.count()
     while True:
         nxt = up.withColumn("before", F.col("up"))
         for _ in range(2):
             above = up.where("label <> up").select(F.col("label").alias("up"), F.col("up").alias("top"))
             nxt = nxt.join(above, "up", "left").select("label", F.coalesce("top", "up").alias("up"), "before")
-        nxt = cut(nxt, "roots")
+        nxt = cut(nxt, "roots", n)
         moved = nxt.where("up <> before").limit(1).count()
         free(held)
         held, up = nxt, nxt.select("label", "up")
@@ -33,14 +33,14 @@ def hooking_rounds(edges: DataFrame) -> list[DataFrame]:
     at least halve, whatever the shape, and the tables shrink alike.
     """
     e, rounds = edges, []
-    while e.limit(1).count():
+    while n := e.count():
         near = e.groupBy("x").agg(F.min("y").alias("y"))
-        hooks = cut(near.select(F.col("x").alias("label"), F.least("x", "y").alias("up")), "hooks")
+        hooks = cut(near.select(F.col("x").alias("label"), F.least("x", "y").alias("up")), "hooks", n)
         up = _to_roots(hooks)
         rounds.append(up)
         left, right = up.select(F.col("label").alias("x"), F.col("up").alias("a")), up.select(F.col("label").alias("y"), F.col("up").alias("b"))
         nxt = e.join(left, "x").join(right, "y").where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
-        nxt = cut(nxt, "edges")
+        nxt = cut(nxt, "edges", n)
         free(e)
         e = nxt
     return rounds
@@ -53,9 +53,11 @@ def connected_components(edges: DataFrame, a: str | Column = "a", b: str | Colum
     is collected but whether edges are left. Self loops give single components; null ends are ignored.
     """
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    e = cut(edges.select(a.alias("x"), b.alias("y")).where("x is not null and y is not null").distinct(), "ends")
-    both = cut(e.where("x <> y").union(e.where("x <> y").select(F.col("y"), F.col("x"))).distinct(), "edges")
-    rounds = hooking_rounds(both)
+    e = cut(edges.select(a.alias("x"), b.alias("y")).where("x is not null and y is not null"), "ends")
+    n = e.count()
+    one = cut(e.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs", n)
+    rounds = hooking_rounds(one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y"))))
+    free(one)
     alone = e.where("x = y").select(F.col("x").alias("vertex"))
     if not rounds:
         return alone.select("vertex", F.col("vertex").alias("component")).distinct()

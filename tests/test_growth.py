@@ -7,6 +7,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from emberlog import session
 from emberlog.operators import ids, incidents, links
 from emberlog.sources.logs import FIELDS
 
@@ -80,3 +81,28 @@ def test_nearest_by_blocks_equals_pairs(spark, monkeypatch):
     got = [(r.query_id, r.rank, r.doc_id, r.score) for r in retrieval.nearest(e, asked).collect()]
     monkeypatch.setattr(retrieval, "_plain", lambda *_: False)
     assert sorted(got) == sorted((r.query_id, r.rank, r.doc_id, r.score) for r in retrieval.nearest(e, asked).collect()) and len(got) == 150
+
+
+@pytest.fixture
+def parts_of(spark, monkeypatch):
+    """Rows of the largest Parquet file of each table that is cut while partitions hold 1000 rows; all rows by table name."""
+    monkeypatch.setattr(session, "PART_ROWS", 1000)
+    seen, write = {}, session.cut_to
+
+    def kept(df, path, rows=0):
+        write(df, path, rows)
+        sizes = spark.read.schema(df.schema).parquet(path).groupBy(F.input_file_name()).count().select("count").collect()
+        seen.setdefault(path.rsplit("/emberlog-", 1)[-1].rsplit("-", 1)[0], []).append(max((r[0] for r in sizes), default=0))
+
+    monkeypatch.setattr(session, "cut_to", kept)
+    return seen
+
+
+def test_components_spread_with_the_edges(spark, parts_of):
+    from emberlog.operators.components import connected_components
+
+    e = spark.range(20_000).select((F.col("id") % 9_000).alias("a"), (-F.col("id") - 1).alias("b"))
+    got = connected_components(e)
+    assert got.count() == 29_000 and got.select("component").distinct().count() == 9_000
+    assert max(parts_of["pairs"] + parts_of["hooks"]) < 2_000  # four partitions, of 5000 and more, before
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
