@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators.range_join import as_of
 from emberlog.operators.scan import dealt, last_of, max_of, running, sum_of
-from emberlog.session import cut
+from emberlog.session import cut, free
 
 #: A serial that falls this far below the largest one so far means a reboot.
 RESET = 1000
@@ -213,15 +213,21 @@ def process_chains(events: DataFrame, most: int = MAX_NODES) -> DataFrame:
     parent_not_observed.
     """
     node = lambda ref: F.struct(F.col(ref).alias("ref"), F.col("pid").alias("pid"), F.col("ppid").alias("ppid"))
-    up = cut(_parent_events(events.where("pid is not null and raw_ref is not null")), "hops")
+    own = cut(events.where("pid is not null and raw_ref is not null").select("raw_ref", "host", "pid", "ppid", "at"), "own")
+    # a row of a chain holds up to `most` nodes, so fewer rows make a partition
+    rows, long = own.count(), most // 4 + 1
+    up = cut(_parent_events(own), "hops", 2 * rows)
+    free(own)
     # line: the nodes that 2**k hops pass, the event itself first; next: where they lead
     line = up.select("raw_ref", F.array(node("raw_ref")).alias("line"), F.col("parent").alias("next"))
-    n = 1
+    n, held = 1, up
     while n < most:
         other = line.select(F.col("raw_ref").alias("next"), F.col("line").alias("more"), F.col("next").alias("then"))
-        grown = line.join(other, "next", "left")
-        line = cut(grown.select("raw_ref", F.when(F.col("more").isNull(), F.col("line")).otherwise(F.concat("line", "more")).alias("line"), F.when(F.col("more").isNotNull(), F.col("then")).alias("next")), "chains")
-        n *= 2
+        grown = line.where("next is not null").join(other, "next", "left")
+        grown = grown.select("raw_ref", F.when(F.col("more").isNull(), F.col("line")).otherwise(F.concat("line", "more")).alias("line"), F.when(F.col("more").isNotNull(), F.col("then")).alias("next"))
+        line = cut(grown.unionByName(line.where("next is null")), "chains", rows * min(2 * n, long))  # chains that have ended stay out of the shuffle
+        free(held)
+        n, held = 2 * n, line
     l = F.slice("line", 1, most)
     at = lambda i: F.get(F.col("l"), i)
     before = lambda i: F.transform(F.slice(F.col("l"), 1, i + 1), lambda x: x["pid"])

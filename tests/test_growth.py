@@ -106,3 +106,18 @@ def test_components_spread_with_the_edges(spark, parts_of):
     assert got.count() == 29_000 and got.select("component").distinct().count() == 9_000
     assert max(parts_of["pairs"] + parts_of["hooks"]) < 2_000  # four partitions, of 5000 and more, before
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_chains_spread_with_the_events(spark, parts_of):
+    from emberlog.operators.lineage import process_chains
+
+    # one line of 8000 processes, the first one a root
+    e = spark.range(8_000).select(F.col("id").cast("string").alias("raw_ref"), F.lit("h").alias("host"), (F.col("id") + 2).alias("pid"), F.when(F.col("id") > 0, F.col("id") + 1).otherwise(0).alias("ppid"), F.col("id").alias("at"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = process_chains(e)
+        sizes = {(r.n, r.stop_reason): r["count"] for r in got.groupBy(F.size("chain").alias("n"), "stop_reason").count().collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sizes == {(n, "parent_pid_zero"): 1 for n in range(1, 32)} | {(32, "depth_limit"): 7_968, (32, "parent_pid_zero"): 1}
+    assert max(parts_of["chains"]) < 1_000  # four partitions of 2000 before
