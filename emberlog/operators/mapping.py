@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.session import cut, free
+
 #: Reasons and what they make of a piece of evidence; the worst counts (fixed values).
 CONTEXT, EXCLUDED = ("CONTRADICTING", "EMPTY_RESULT"), ("NO_RAW_REFS", "PROVENANCE_ISSUE", "AMBIGUOUS_RAW_REF", "UNOBSERVED_RAW_REF")
 FATAL = ("UNIT_NOT_TARGET", "INVALID_TECHNIQUE_ID", "REVOKED_OR_DEPRECATED", "NOT_IN_CANDIDATES", "UNIT_EVIDENCE_NOT_CITED", "EMPTY_REASON")
@@ -40,32 +44,41 @@ def checked_selections(selections: DataFrame, candidates: DataFrame, catalog: Da
     A choice with a fatal error goes; other errors only name cited evidence that does not count. Of a technique that a
     unit chose twice the later choice is DUPLICATE_SELECTION.
     """
-    s = selections.withColumn("technique", F.upper(F.trim(F.coalesce("technique_id", F.lit("")))))
+    chosen = cut(selections, "chosen")
+    n = chosen.count()
+    s = chosen.withColumn("technique", F.upper(F.trim(F.coalesce("technique_id", F.lit("")))))
     known = catalog.select(F.col("technique_id").alias("_t"), (F.coalesce("revoked", F.lit(False)) | F.coalesce("deprecated", F.lit(False))).alias("_gone"))
-    offered = candidates.select(F.col("unit_id").alias("_u"), F.upper(F.trim("technique_id")).alias("_c")).distinct().withColumn("_offered", F.lit(True))
+    # what a unit was offered, and what is wrong with its other citations, is one row a unit: all meet by unit, in one shuffle
+    offered = candidates.groupBy(F.col("unit_id").alias("_u")).agg(F.collect_set(F.upper(F.trim("technique_id"))).alias("_may"))
     own = eligible.select(F.col("incident_id").alias("_i"), F.col("evidence_id").alias("_e"), F.col("status").alias("_status"))
-    s = s.join(known, F.col("technique") == F.col("_t"), "left").join(offered, (F.col("unit_id") == F.col("_u")) & (F.col("technique") == F.col("_c")), "left").join(own, (F.col("incident_id") == F.col("_i")) & (F.col("evidence_id") == F.col("_e")), "left")
-    other = selections.select("unit_id", "nth", "incident_id", "evidence_id", F.explode(F.array_distinct("cited")).alias("_cited")).where("_cited <> evidence_id").drop("evidence_id")
+    other = chosen.select("unit_id", "nth", "incident_id", "evidence_id", F.explode(F.array_distinct("cited")).alias("_cited")).where("_cited <> evidence_id").drop("evidence_id")
     other = other.join(eligible.select("incident_id", F.col("evidence_id").alias("_cited"), "status"), ["incident_id", "_cited"], "left")
     code = F.when(F.col("status").isNull(), "UNKNOWN_EVIDENCE_ID").when(F.col("status") != "target", "EVIDENCE_NOT_MAPPABLE").otherwise("EVIDENCE_OUTSIDE_UNIT")
-    other = other.groupBy(F.col("unit_id").alias("_u2"), F.col("nth").alias("_n2")).agg(F.array_sort(F.collect_set(code)).alias("_others"))
-    s = s.join(other, (F.col("unit_id") == F.col("_u2")) & (F.col("nth") == F.col("_n2")), "left")
+    other = other.where("nth is not null").groupBy(F.col("unit_id").alias("_u2"), "nth").agg(F.array_sort(F.collect_set(code)).alias("codes")).groupBy("_u2").agg(F.map_from_entries(F.collect_list(F.struct("nth", "codes"))).alias("_all"))
+    # a catalog has some hundreds of techniques
+    s = s.join(F.broadcast(known), F.col("technique") == F.col("_t"), "left").join(own, (F.col("incident_id") == F.col("_i")) & (F.col("evidence_id") == F.col("_e")), "left")
+    s = s.join(offered, F.col("unit_id") == F.col("_u"), "left").join(other, F.col("unit_id") == F.col("_u2"), "left")
+    s = s.withColumns({"_offered": F.coalesce(F.array_contains("_may", F.col("technique")), F.lit(False)), "_others": F.col("_all")[F.col("nth")]})
     valid = F.col("technique").rlike(TECHNIQUE_ID) & F.col("_t").isNotNull()
     tests = (
-        ("UNIT_NOT_TARGET", F.coalesce(F.col("_status") != "target", F.lit(True))), ("INVALID_TECHNIQUE_ID", ~valid), ("REVOKED_OR_DEPRECATED", valid & F.coalesce("_gone", F.lit(False))), ("NOT_IN_CANDIDATES", F.col("_offered").isNull()),
+        ("UNIT_NOT_TARGET", F.coalesce(F.col("_status") != "target", F.lit(True))), ("INVALID_TECHNIQUE_ID", ~valid), ("REVOKED_OR_DEPRECATED", valid & F.coalesce("_gone", F.lit(False))), ("NOT_IN_CANDIDATES", ~F.col("_offered")),
         ("UNIT_EVIDENCE_NOT_CITED", ~F.coalesce(F.array_contains("cited", F.col("evidence_id")), F.lit(False))), ("EMPTY_REASON", F.trim(F.coalesce("reason", F.lit(""))) == ""),
     )
-    errors = F.concat(F.array_compact(F.array(*(F.when(test, F.lit(c)) for c, test in tests))), F.coalesce("_others", F.array().cast("array<string>")))
-    s = s.withColumn("errors", errors).withColumn("_ok", ~F.arrays_overlap("errors", F.array(*map(F.lit, FATAL))))
+    assert tuple(c for c, _ in tests) == FATAL
+    s = s.withColumn("_ok", ~reduce(Column.__or__, (test for _, test in tests)))
+    errors = F.concat(F.array_remove(F.array(*(F.when(test, c).otherwise("") for c, test in tests)), ""), F.coalesce("_others", F.array().cast("array<string>")))
     nth = F.row_number().over(Window.partitionBy("unit_id", "technique", "_ok").orderBy("nth"))
     s = s.withColumn("_again", F.col("_ok") & (nth > 1))
-    return s.select(*selections.columns, "technique", F.when(F.col("_again"), F.array_append("errors", F.lit("DUPLICATE_SELECTION"))).otherwise(F.col("errors")).alias("errors"), (F.col("_ok") & ~F.col("_again")).alias("accepted"))
+    out = s.select(*selections.columns, "technique", F.when(F.col("_again"), F.array_append(errors, F.lit("DUPLICATE_SELECTION"))).otherwise(errors).alias("errors"), (F.col("_ok") & ~F.col("_again")).alias("accepted"))
+    out = cut(out, "checked", 4 * n)
+    free(chosen)
+    return out
 
 
 def merged_selections(accepted: DataFrame, catalog: DataFrame) -> DataFrame:
     """(incident_id, technique, evidence_ids, n_units): a technique goes from a unit that chose a sub-technique of it."""
-    parents = accepted.join(catalog.where("parent is not null").select(F.col("technique_id").alias("technique"), "parent"), "technique").select("unit_id", F.col("parent").alias("technique")).distinct()
-    left = accepted.join(parents, ["unit_id", "technique"], "left_anti")
+    parents = accepted.join(F.broadcast(catalog.where("parent is not null").select(F.col("technique_id").alias("technique"), "parent")), "technique").select("unit_id", F.col("parent").alias("technique")).distinct()
+    left = accepted.select("incident_id", "unit_id", "technique", "evidence_id").join(parents, ["unit_id", "technique"], "left_anti")
     return left.groupBy("incident_id", "technique").agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"), F.count_distinct("unit_id").alias("n_units"))
 
 

@@ -121,3 +121,22 @@ def test_chains_spread_with_the_events(spark, parts_of):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sizes == {(n, "parent_pid_zero"): 1 for n in range(1, 32)} | {(32, "depth_limit"): 7_968, (32, "parent_pid_zero"): 1}
     assert max(parts_of["chains"]) < 1_000  # four partitions of 2000 before
+
+
+def test_selections_checked_once_by_unit(spark, parts_of):
+    from emberlog.operators import mapping
+
+    kind = "incident_id long, unit_id long, nth int, technique_id string, evidence_id long, cited array<long>, reason string"
+    odd = [(1, -1, 1, "t1001 ", 7, [7, 8, 9], "r"), (1, -1, 2, "T1001", 7, [7, 5], "r"), (1, -1, None, "T1002", 7, [7, 5], "r"), (1, None, 1, "T1001", 7, [7], "r"), (2, -2, 1, "T1003", 7, [7], "")]
+    many = spark.range(6_000).selectExpr("1L AS incident_id", "id DIV 3 AS unit_id", "CAST(id % 3 AS INT) AS nth", "'T1001' AS technique_id", "7L AS evidence_id", "array(7L) AS cited", "'r' AS reason")
+    chosen = spark.createDataFrame(odd, kind).unionByName(many)
+    catalog = spark.createDataFrame([("T1001", None, False, False), ("T1002", None, True, False), ("T1003", None, False, False)], "technique_id string, parent string, revoked boolean, deprecated boolean")
+    offered = spark.createDataFrame([(-1, " t1001"), (-1, None), (-1, "T1001"), (None, "T1001"), (-2, "T1002")], "unit_id long, technique_id string").unionByName(many.select("unit_id", "technique_id"))
+    status = spark.createDataFrame([(1, 7, "target"), (1, 8, "context"), (1, 9, "target"), (2, 7, "target")], "incident_id long, evidence_id long, status string")
+    got = mapping.checked_selections(chosen, offered, catalog, status)
+    assert {(r.unit_id, r.nth): (tuple(r.errors), r.accepted) for r in got.where("unit_id < 0 or unit_id is null").collect()} == {
+        (-1, 1): (("EVIDENCE_NOT_MAPPABLE", "EVIDENCE_OUTSIDE_UNIT"), True), (-1, 2): (("UNKNOWN_EVIDENCE_ID", "DUPLICATE_SELECTION"), False), (-1, None): (("REVOKED_OR_DEPRECATED", "NOT_IN_CANDIDATES"), False),
+        (None, 1): (("NOT_IN_CANDIDATES",), False), (-2, 1): (("NOT_IN_CANDIDATES", "EMPTY_REASON"), False),
+    }
+    assert got.where("accepted and unit_id >= 0").count() == 2_000
+    assert len(parts_of["checked"]) == 1 and parts_of["checked"][0] < 1_000
