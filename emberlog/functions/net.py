@@ -43,9 +43,9 @@ def bare_ip(text: Column) -> Column:
 
 
 def canonical_ip(text: Column) -> Column:
-    """One spelling for each address, null for anything else. Plain IPv4 never leaves the JVM."""
+    """One spelling for each address, null for anything else. Plain IPv4 is not parsed in Python: it gets nulls, as it is asked for all rows."""
     t = F.nullif(bare_ip(text), F.lit(""))
-    return F.when(t.rlike(IPV4), t).when(t.contains(":"), _canonical(t))
+    return F.when(t.rlike(IPV4), t).otherwise(_canonical(F.when(t.contains(":"), t)))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

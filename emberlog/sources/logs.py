@@ -72,9 +72,13 @@ def _on(rows: DataFrame, machine: str | None) -> DataFrame:
 
 
 def web_events(src: DataFrame, machine: str | None = None) -> DataFrame:
-    g = F.regexp_extract  # one pattern; the optimizer keeps the groups in one projection
-    part = {k: dash_null(g("line", WEB, i)) for i, k in enumerate(("time", "request_id", "client", "peer", "scheme", "host", "request", "status", "bytes", "duration_us", "worker", "referer", "user_agent", "xff"), 1)}
-    rows = src.where(F.col("line").rlike(WEB)).select("file", "line_no", *(c.alias(k) for k, c in part.items()))
+    # the pattern is asked once for all its groups: the ten without white space, then the quoted ones, whose quotes end them
+    plain, quoted = ("time", "request_id", "client", "peer", "scheme", "host", "status", "bytes", "duration_us", "worker"), ("request", "referer", "user_agent", "xff")
+    groups = F.split(F.regexp_replace("line", WEB, '$1 $2 $3 $4 $5 $6 $8 $9 $10 $11 "$7""$12""$13""$14"'), " ", len(plain) + 1)
+    rows = src.where(F.col("line").rlike(WEB)).select("file", "line_no", F.substring_index("line", " ", 1).alias("time"), groups.alias("_p"))
+    rows = rows.withColumn("_q", F.regexp_extract_all(F.get("_p", F.lit(len(plain))), F.lit(_QUOTED), F.lit(1)))
+    part = {k: F.get(c, F.lit(i)) for c, names in (("_p", plain), ("_q", quoted)) for i, k in enumerate(names)} 
+    rows = rows.select("file", "line_no", "time", *(dash_null(c).alias(k) for k, c in part.items() if k != "time"))
     rows = rows.withColumns({"ts": utc(F.col("time")), "src_ip": canonical_ip(F.col("client")), "method": F.upper(F.get(F.split("request", " "), F.lit(0))), "path": path_and_query(F.get(F.split("request", " "), F.lit(1)))})
     return as_events(_on(rows, machine), "web")
 

@@ -140,3 +140,15 @@ def test_selections_checked_once_by_unit(spark, parts_of):
     }
     assert got.where("accepted and unit_id >= 0").count() == 2_000
     assert len(parts_of["checked"]) == 1 and parts_of["checked"][0] < 1_000
+
+
+def test_web_pattern_is_asked_once_for_all_groups(spark):
+    from emberlog.sources import logs
+
+    head = "2024-05-01T00:00:00Z r1 [2001:DB8::1]:443 p https shop"
+    rows = [f'{head} "get /a?q=\\"b HTTP/1.1" 200 12 - 99 "-" "agent \\\\" xff="1.1.1.1"', f'{head} "POST /c" - - - - "" "x\\"y" ', f'{head} "unclosed 200 1 1 1 "-" "-"', f'- {head[21:]} "GET /" 200 1 1 1 "-" "-"']
+    e = logs.web_events(spark.createDataFrame([("w", i, x) for i, x in enumerate(rows)], "file string, line_no long, line string"))
+    assert sorted((r.raw_ref, r.src_ip, r.ld.method, r.ld.path, r.ld.status, r.ld.bytes, r.ld.duration_us, r.ld.host, r.ld.user_agent) for r in e.collect()) == [
+        ("w:0", "2001:db8::1", "GET", '/a?q="b', 200, 12, None, "shop", "agent \\"), ("w:1", "2001:db8::1", "POST", "/c", None, None, None, "shop", 'x"y'),
+    ]
+    assert e._jdf.queryExecution().optimizedPlan().toString().count("xff=") <= 3
