@@ -59,11 +59,19 @@ def _name(token: Column) -> Column:
     return F.nullif(F.substring_index(token, "(", 1), F.lit(""))
 
 
-def pam(msg: Column) -> Column:
-    """Messages of any PAM module, and sshd's count of further failures."""
-    header = r"^pam_\w+\(([^:)]+):\w+\): "
+PAM_HEADER = r"^pam_\w+\(([^:)]+):\w+\): "
+
+
+def pam_values(msg: Column) -> Column:
+    """The name=value pairs of a message that tells of a failure, else null; to be made once, as a column, for many fields."""
+    return F.when(F.contains(msg, F.lit("authentication failure")), key_values(F.regexp_replace(msg, PAM_HEADER, "")))
+
+
+def pam(msg: Column, values: Column | None = None) -> Column:
+    """Messages of any PAM module, and sshd's count of further failures. values: of pam_values(), if they are there."""
+    header = PAM_HEADER
     body = F.regexp_replace(msg, header, "")
-    kv, service = key_values(body), _found(msg, header)
+    kv, service = pam_values(msg) if values is None else values, _found(msg, header)
     who = F.coalesce(F.nullif(kv["ruser"], F.lit("")), F.nullif(kv["logname"], F.lit("")))
     failed = {"user": F.nullif(kv["user"], F.lit("")), "address": F.nullif(kv["rhost"], F.lit("")), "src_user": who, "src_uid": kv["uid"], "tty": F.nullif(kv["tty"], F.lit(""))}
     unknown = _found(body, r"\[([^\]]+)\]$")
@@ -166,7 +174,7 @@ def logind(msg: Column) -> Column:
     )
 
 
-def classified(program: Column, msg: Column) -> Column:
+def classified(program: Column, msg: Column, values: Column | None = None) -> Column:
     """Struct of event, result and the fields of TOLD, as strings. PAM's wording counts whatever the program; what is not known is `other`."""
     by = F.when(program == "sshd", sshd(msg)).when(program == "sudo", sudo(msg)).when(program == "su", su(msg)).when(program == "pkexec", pkexec(msg)).when(program == "systemd-logind", logind(msg)).when(program.isin(*ACCOUNT_PROGRAMS), accounts(msg))
-    return F.coalesce(pam(msg), by, _said("other", "info"))
+    return F.coalesce(pam(msg, values), by, _said("other", "info"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.net import canonical_ip, canonical_ips, dash_null, key_values, path_and_query, unhex_text, utc
-from emberlog.sources.auth import TOLD, classified
+from emberlog.sources.auth import TOLD, classified, pam_values
 
 #: Fields of ld and their types.
 FIELDS = {
@@ -90,11 +90,14 @@ def auth_events(src: DataFrame, year: int, month: int = 12) -> DataFrame:
     m = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(l, AUTH_BSD, 1))
     y = F.when(m - month > 6, year - 1).when(m - month < -6, year + 1).otherwise(year)
     bsd = F.concat(y, F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), F.lpad(F.regexp_extract(l, AUTH_BSD, 2), 2, "0"), F.lit("T"), F.regexp_extract(l, AUTH_BSD, 3), F.lit("Z"))
-    pick = lambda a, b: F.when(rfc, F.regexp_extract(l, AUTH_RFC, a)).otherwise(F.regexp_extract(l, AUTH_BSD, b))
-    rows = src.where(rfc | l.rlike(AUTH_BSD)).select("file", "line_no", F.when(rfc, utc(F.regexp_extract(l, AUTH_RFC, 1))).otherwise(utc(bsd)).alias("ts"), pick(2, 4).alias("host"), pick(3, 5).alias("program"), F.nullif(pick(4, 6), F.lit("")).alias("pid"), pick(5, 7).alias("msg"))
+    # each pattern is asked once for all its groups: only the message may hold blanks, and nothing behind it stays
+    end = r"[\n\r\u0085\u2028\u2029]*"
+    groups = F.when(rfc, F.regexp_replace(l, AUTH_RFC + end, "$2 $3 $4 $5")).otherwise(F.regexp_replace(l, AUTH_BSD + end, "$4 $5 $6 $7"))
+    rows = src.where(rfc | l.rlike(AUTH_BSD)).select("file", "line_no", F.when(rfc, utc(F.substring_index(l, " ", 1))).otherwise(utc(bsd)).alias("ts"), F.split(groups, " ", 4).alias("_p"))
+    rows = rows.select("file", "line_no", "ts", *(F.get("_p", F.lit(i)).alias(c) for i, c in ((0, "host"), (1, "program"))), F.nullif(F.get("_p", F.lit(2)), F.lit("")).alias("pid"), F.get("_p", F.lit(3)).alias("msg"))
     again = r"^message repeated (\d+) times: \[ ?(.*)\]$"
     rows = rows.withColumns({"repeat": F.regexp_extract("msg", again, 1).try_cast("bigint"), "msg": F.when(F.col("msg").rlike(again), F.regexp_extract("msg", again, 2)).otherwise(F.col("msg"))})
-    rows = rows.withColumn("c", classified(F.col("program"), F.col("msg")))
+    rows = rows.withColumn("_kv", pam_values(F.col("msg"))).withColumn("c", classified(F.col("program"), F.col("msg"), F.col("_kv")))
     told = (F.col(f"c.{c}").alias(c) for c in ("event", "result", *TOLD) if c != "repeat")
     rows = rows.select("file", "line_no", "ts", "host", "program", "pid", F.coalesce("repeat", F.col("c.repeat").try_cast("bigint")).alias("repeat"), *told).withColumn("src_ip", canonical_ip(F.col("address")))
     rows = rows.withColumns({c: F.col(c).try_cast("bigint") for c in ("port", "uid", "gid", "src_uid")})

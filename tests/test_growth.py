@@ -152,3 +152,15 @@ def test_web_pattern_is_asked_once_for_all_groups(spark):
         ("w:0", "2001:db8::1", "GET", '/a?q="b', 200, 12, None, "shop", "agent \\"), ("w:1", "2001:db8::1", "POST", "/c", None, None, None, "shop", 'x"y'),
     ]
     assert e._jdf.queryExecution().optimizedPlan().toString().count("xff=") <= 3
+
+
+def test_auth_headers_and_pairs_are_read_once(spark):
+    from emberlog.sources import logs
+
+    rows = ["2024-05-01T00:00:00Z h sshd[7]: pam_unix(sshd:auth): authentication failure; logname= uid=0 euid=0 tty=ssh ruser=r rhost=9.9.9.9  user=u\u2028", "May  2 03:04:05 h su: a  b ", "May 2 h su: x", "2024-05-01T00:00:00Z h x[1]:y"]
+    e = logs.auth_events(spark.createDataFrame([("a", i, x) for i, x in enumerate(rows)], "file string, line_no long, line string"), 2024, 5)
+    assert sorted((r.raw_ref, r.pid, r.machine, r.ld.program, r.ld.event, r.ld.user, r.ld.src_user, r.src_ip) for r in e.collect()) == [
+        ("a:0", 7, "h", "sshd", "pam_auth_failure", "u", "r", "9.9.9.9"), ("a:1", None, "h", "su", "su_other", None, None, None),
+    ]
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(regexp_replace(") <= 3  # 36 before: the pairs of a message were made for each field
