@@ -30,7 +30,8 @@ def violations(cases: DataFrame, calls: DataFrame, command_ips: DataFrame, cited
     ONE_TOOL, NETWORK_UNCHECKED, STOPPED_EARLY. Calls by the system count as attempts, not as the investigator's tools.
     """
     own = ~F.coalesce(F.col("by_system"), F.lit(False))
-    distinct = lambda test, c: F.count_distinct(F.when(test, F.col(c)))
+    # sets of a case's few tools and layers: distinct counts of several columns would copy each call for each of them
+    distinct = lambda test, c: F.size(F.collect_set(F.when(test, F.col(c))))
     did = calls.groupBy("incident_id").agg(
         distinct(own, "tool").alias("tools"), distinct(own & F.col("success"), "tool").alias("good_tools"), distinct(own, "layer").alias("layers"), distinct(F.col("tool").isin(*LOG_TOOLS), "tool").alias("log_tools"),
         F.max(F.col("tool").isin(*AUDIT_TOOLS) | F.coalesce(F.col("layer") == "audit", F.lit(False))).alias("audit"), F.max((F.col("tool") == "fetch_network_log") | F.coalesce(F.col("layer") == "network", F.lit(False))).alias("network"),

@@ -164,3 +164,9 @@ def test_auth_headers_and_pairs_are_read_once(spark):
     ]
     plan = e._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(regexp_replace(") <= 3  # 36 before: the pairs of a message were made for each field
+
+
+def test_gates_copy_no_call(spark, sf_dir):
+    from emberlog import logqueries
+
+    assert "Expand" not in logqueries.termination_gates(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()  # each call five times before
