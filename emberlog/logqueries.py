@@ -319,9 +319,11 @@ r AS (SELECT incident_id, a, ids, []::BIGINT[] AS done FROM c UNION ALL SELECT i
 SELECT l.incident_id, l.action_id, l.priority, list_position(r.done, l.action_id)::BIGINT AS place FROM r JOIN l ON l.incident_id = r.incident_id AND len(r.done) = len(r.a)""")
 def action_order(spark, sf_dir):
     """Lines of an order, each after the one of half its number."""
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("incident_id"), F.col("l_linenumber").cast("long").alias("action_id"), F.col("l_suppkey").alias("priority")).groupBy("incident_id", "action_id").agg(F.min("priority").alias("priority"))
-    after = l.where("action_id > 1").select("incident_id", "action_id", F.floor(F.col("action_id") / 2).alias("needs"))
-    return mapping.in_order(l, after).select("incident_id", "action_id", "priority", "place")
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("incident_id"), F.col("l_linenumber").cast("long").alias("action_id"), F.col("l_suppkey").alias("priority"))
+    # dealt by order, lines need no other shuffle
+    l = l.repartition("incident_id").groupBy("incident_id", "action_id").agg(F.min("priority").alias("priority"))
+    after = F.when(F.col("action_id") > 1, F.array(F.floor(F.col("action_id") / 2)))
+    return mapping.in_order(l.withColumn("after", after), needs="after").select("incident_id", "action_id", "priority", "place")
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -105,30 +106,70 @@ def renumbered(actions: DataFrame, *tie: str) -> DataFrame:
     return own.withColumn("number", F.row_number().over(Window.partitionBy("incident_id").orderBy(F.col("category") != "immediate", "priority", *tie)).cast("long"))
 
 
-def in_order(actions: DataFrame, after: DataFrame, priority: str = "priority") -> DataFrame:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value made once: an optimizer copies a named column to where a lambda uses it, a lambda's variable never."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Actions of a case whose open needs fit the bits of a whole number.
+BITS = 63
+
+
+def in_order(actions: DataFrame, after: DataFrame | None = None, priority: str = "priority", needs: str | None = None) -> DataFrame:
     """actions (incident_id, action_id, priority) with place: each after those it depends on, smallest (priority, id) first.
 
-    after: (incident_id, action_id, needs); needs that are no actions of the case are ignored. What a cycle leaves over follows by
-    priority and id. One shuffle brings a case together (a case has at most a few dozen actions, one a template), and a fold
-    over its own array takes one action a step. Rows of one id share a place, that of their smallest priority; a null id has no
-    place; actions of a null case are a case of their own.
+    after: (incident_id, action_id, needs); instead of it, or beside it, a column of actions (named by `needs`, not returned) may hold
+    an array of what the action needs, so that nothing else is shuffled. Needs that are no actions of the case are ignored. What a
+    cycle leaves over follows by priority and id. One shuffle brings a case together (a case has at most a few dozen actions, one a
+    template). Where priority and id are such an order already, that is it; else a fold over the case's array takes one action a step,
+    with needs and what is done as bits, or as arrays in a case of more than BITS actions. Rows of one id share a place, that of their
+    smallest priority; a null id has no place; actions of a null case are a case of their own.
     """
-    row = actions.schema.simpleString()
-    a = actions.select("incident_id", F.struct(*(F.col(f"`{c}`") for c in actions.columns)).alias("_row"), F.lit(None).cast(after.select("action_id", "needs").schema.simpleString()).alias("_after"))
-    n = after.select("incident_id", F.lit(None).cast(row).alias("_row"), F.struct("action_id", "needs").alias("_after"))
-    case = a.unionByName(n).groupBy("incident_id").agg(F.collect_list("_row").alias("_rows"), F.collect_list("_after").alias("_needs"))
-    # the ids of a case by priority, each with those of its needs that are in the case
+    names = [c for c in actions.columns if c != needs]
+    row = F.struct(*(F.col(f"`{c}`") for c in names))
+    kind = actions.schema["action_id"].dataType.simpleString()
+    told = F.struct("action_id", F.col(f"`{needs}`").alias("needs")) if needs else F.lit(None).cast(f"struct<action_id:{kind},needs:array<{kind}>>")
+    a = actions.select("incident_id", row.alias("_row"), told.alias("_after"))
+    if after is not None:
+        n = after.select("incident_id", F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.struct("action_id", F.array("needs").alias("needs")).alias("_after"))
+        a = a.unionByName(n)
+    case = a.groupBy("incident_id").agg(F.collect_list("_row").alias("_rows"), F.collect_list("_after").alias("_after"))
+    # the ids of a case by priority; what needs what, by their places there
     ids = F.transform(F.array_sort(F.transform(F.filter("_rows", lambda r: r["action_id"].isNotNull()), lambda r: F.struct(r[priority].alias("p"), r["action_id"].alias("id")))), lambda r: r["id"])
     case = case.withColumn("_ids", F.array_distinct(ids))
-    needs = lambda i: F.transform(F.filter("_needs", lambda x: (x["action_id"] == i) & (x["needs"] != i) & F.array_contains("_ids", x["needs"])), lambda x: x["needs"])
-    case = case.withColumn("_each", F.transform("_ids", lambda i: F.struct(i.alias("id"), needs(i).alias("needs"))))
-
-    def step(done: Column, _: Column) -> Column:
-        left = F.filter("_each", lambda x: ~F.array_contains(done, x["id"]))
-        free = F.get(F.filter(left, lambda x: F.size(F.array_except(x["needs"], done)) == 0), F.lit(0))
-        return F.when(free.isNotNull(), F.array_append(done, free["id"])).otherwise(F.concat(done, F.transform(left, lambda x: x["id"])))
-
-    kind = f"array<{actions.schema['action_id'].dataType.simpleString()}>"
-    order = F.aggregate("_ids", F.array().cast(kind), step)
-    placed = case.select(order.alias("_order"), F.explode("_rows").alias("_row"))
-    return placed.select("_row.*", F.nullif(F.array_position("_order", F.col("_row.action_id")), F.lit(0)).alias("place"))
+    at = lambda x: F.array_position("_ids", x).cast("int")
+    pairs = F.flatten(F.transform("_after", lambda x: F.transform(F.coalesce(x["needs"], F.array().cast(f"array<{kind}>")), lambda y: F.struct(at(x["action_id"]).alias("i"), at(y).alias("j")))))
+    case = case.withColumn("_pairs", F.filter(pairs, lambda x: (x["i"] > 0) & (x["j"] > 0) & (x["i"] != x["j"])))
+    places = F.sequence(F.lit(1), F.size("_ids"))
+
+    def by_bits() -> Column:
+        bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i - 1)
+        needed = F.transform(places, lambda i: F.aggregate(F.filter("_pairs", lambda x: x["i"] == i), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x["j"]))))
+        state = lambda done, order, needed: F.named_struct(F.lit("done"), done, F.lit("order"), order, F.lit("needed"), needed)
+
+        def step(s: Column, _: Column) -> Column:
+            open_ = lambda i: s["done"].bitwiseAND(bit(i)) == 0
+            free = F.array_position(F.transform(s["needed"], lambda m, k: open_(k + 1) & (m.bitwiseAND(F.bitwise_not(s["done"])) == 0)), True).cast("int")
+            rest = F.concat(s["order"], F.filter(places, open_))
+            return _let(free, lambda f: F.when(f > 0, state(s["done"].bitwiseOR(bit(f)), F.array_append(s["order"], f), s["needed"])).otherwise(state(F.lit(-1).cast("long"), rest, s["needed"])))
+
+        return F.aggregate("_ids", state(F.lit(0).cast("long"), F.array().cast("array<int>"), needed), step, lambda s: s["order"])
+
+    def by_arrays() -> Column:
+        needed = F.transform(places, lambda i: F.transform(F.filter("_pairs", lambda x: x["i"] == i), lambda x: x["j"]))
+
+        def step(done: Column, _: Column) -> Column:
+            left = F.filter("_each", lambda x: ~F.array_contains(done, x["i"]))
+            free = F.get(F.filter(left, lambda x: F.size(F.array_except(x["needs"], done)) == 0), F.lit(0))
+            return F.when(free.isNotNull(), F.array_append(done, free["i"])).otherwise(F.concat(done, F.transform(left, lambda x: x["i"])))
+
+        return F.aggregate("_ids", F.array().cast("array<int>"), step), F.zip_with(places, needed, lambda i, x: F.struct(i.alias("i"), x.alias("needs")))
+
+    long, each = by_arrays()
+    few = F.size("_ids") <= BITS
+    case = case.withColumn("_each", F.when(~few, each))
+    order = F.when(~F.exists("_pairs", lambda x: x["j"] > x["i"]), places).when(few, by_bits()).otherwise(long)
+    # the order is made for a case, not for each of its rows: what is exploded holds the places
+    place = lambda order, r: F.nullif(F.array_position(order, F.nullif(at(r["action_id"]), F.lit(0))), F.lit(0))
+    placed = _let(order, lambda o: F.transform("_rows", lambda r: F.struct(r.alias("_row"), place(o, r).alias("place"))))
+    return case.select(F.inline(placed)).select("_row.*", "place")

@@ -170,3 +170,32 @@ def test_gates_copy_no_call(spark, sf_dir):
     from emberlog import logqueries
 
     assert "Expand" not in logqueries.termination_gates(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()  # each call five times before
+
+
+def test_action_order_is_made_once_for_a_case(spark, sf_dir):
+    from emberlog import logqueries
+    from emberlog.operators import mapping
+
+    plan = logqueries.action_order(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # before: above the Generate, so again for each row of a case, and lines were grouped twice and joined by a union
+    assert "aggregate(" not in plan.split("Generate")[0] and plan.count("Relation [") == 1 and "Union" not in plan
+    # cases of more actions than a number has bits, and of as many; needs as a column and as a table; two cycles and what waits for one
+    import random
+
+    rng, rows = random.Random(3), []
+    for case, n in (("a", 63), ("b", 64), ("c", 90), ("d", 5), ("e", 1)):
+        rows += [(case, i, rng.randrange(9), [rng.randrange(n + 3) for _ in range(rng.randrange(3))] if n > 1 else None) for i in range(n)]
+    rows += [("f", 1, 1, [2]), ("f", 2, 2, [1]), ("f", 3, 9, [3, None]), ("f", 4, 0, [2])]
+    want = {}
+    for case in "abcdef":
+        left, done = {i: (p, i, set(x or []) - {i, None}) for c, i, p, x in rows if c == case}, []
+        known = set(left)
+        while left:
+            free = [v for v in left.values() if (v[2] & known) <= set(done)]
+            for _, i, _ in [min(free, key=lambda v: v[:2])] if free else sorted(left.values(), key=lambda v: v[:2]):
+                done.append(i)
+                del left[i]
+        want |= {(case, i): k + 1 for k, i in enumerate(done)}
+    e = spark.createDataFrame(rows, "incident_id string, action_id long, priority long, needs array<long>")
+    for out in (mapping.in_order(e, needs="needs"), mapping.in_order(e.drop("needs"), e.select("incident_id", "action_id", F.explode("needs").alias("needs")))):
+        assert out.columns == ["incident_id", "action_id", "priority", "place"] and {(r.incident_id, r.action_id): r.place for r in out.collect()} == want
