@@ -6,6 +6,7 @@ every rule is asked on those. All word lists are data (language.yml, techniques.
 
 from __future__ import annotations
 
+import re
 from functools import cache, reduce
 from pathlib import Path
 
@@ -13,6 +14,8 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.session import spread
+
 #: What a word of a rule is for: words and commands name the technique, context must stand beside them, and a denied
 #: subject takes the technique back.
 ROLES = ("words", "commands", "context", "subject")
@@ -40,10 +43,11 @@ def clauses(text: Column) -> Column:
         t = F.replace(t, F.lit(sign), F.lit("\n"))
     for suffix in own["end_suffixes"]:
         t = F.replace(t, F.lit(suffix), F.lit(suffix + "\n"))
-    # every blank-separated word is looked at by itself: an end word is a cut, a word with a full stop ends a clause
-    words = F.split(F.regexp_replace(t, r"([ \t]*\n)+[ \t]*", " \n "), r"[ \t\r\f]+")
-    marked = F.transform(words, lambda w: F.when(F.lower(w).isin(own["end_words"]), "\n").when(w.endswith("."), F.concat(F.rtrim(w, F.lit(".")), F.lit(" \n"))).otherwise(w))
-    return F.filter(F.transform(F.split(F.array_join(marked, " "), "\n"), F.trim), lambda x: x != "")
+    # blank-separated words have one blank between them, line ends are words; an end word is a cut, full stops behind a word end a clause
+    t = F.regexp_replace(F.replace(t, F.lit("\n"), F.lit(" \n ")), r"[ \t\r\f]++", " ")
+    t = F.regexp_replace(t, rf"(?i)(?<![^ ])(?:{'|'.join(map(re.escape, own['end_words']))})(?![^ ])", "\n")
+    t = F.regexp_replace(t, r"(?<![.])[.]++(?![^ ])", " \n")
+    return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")  # trim alone would take the index as what to trim
 
 
 def denied(clause: Column) -> Column:
@@ -53,7 +57,7 @@ def denied(clause: Column) -> Column:
     words = F.split(low, r"[^\p{L}\p{N}_']+")
     nots = F.exists(F.arrays_zip(words.alias("a"), F.slice(words, 2, F.size(words)).alias("b")), lambda p: (p["a"] == "not") & (F.coalesce(p["b"], F.lit("")) != "only"))
     bare = F.regexp_replace(clause, r"\s+", "")
-    return F.arrays_overlap(words, F.array(*map(F.lit, own["denying_words"]))) | nots | _any([F.contains(bare, F.lit(s)) for s in own["denying_stems"]])
+    return F.arrays_overlap(words, F.array(*map(F.lit, own["denying_words"]))) | nots | bare.rlike("|".join(map(re.escape, own["denying_stems"])))
 
 
 def command_words(clause: Column) -> Column:
@@ -67,13 +71,30 @@ def _asks_help(line: Column, command: str) -> Column:
     return _any([F.contains(after, F.lit(f" {h} ")) for h in _shipped("language.yml")["help_options"]])
 
 
+def _shell(word: str) -> str:
+    return " ".join("".join(c if c.isascii() and (c.isalnum() or c in "_.-") else " " for c in word).split())
+
+
+def _words(rule: dict, role: str) -> list[str]:
+    return list(dict.fromkeys(" ".join(str(x).split()) for x in rule.get(role) or []))
+
+
+def _may_name(rules: list[dict], *texts: str) -> Column:
+    """Whether some rule's word could stand in a clause of the texts: their small letters hold all of its blank-separated parts. Clauses
+    are cut from the text and only lose blanks, so what this leaves out has no findings; a sigma's small letter depends on its place."""
+    wanted = dict.fromkeys(frozenset(p for p in (_shell(w) if role == "commands" else w).lower().split() if not set(p) & set("σς")) for r in rules for role in ROLES for w in _words(r, role))
+    low = F.lower(F.concat_ws("\n", *texts))
+    said = lambda t: _any([reduce(Column.__and__, (F.contains(t, F.lit(p)) for p in sorted(parts)), F.lit(True)) for parts in wanted])
+    return F.exists(F.array(low), said)
+
+
 def _findings(rules: list[dict], low: Column, line: Column) -> Column:
     """One array of (technique_id, role, word, help) for all rules' words that stand in a clause."""
     tests = []
     for r in rules:
         for role in ROLES:
-            for word in dict.fromkeys(" ".join(str(x).split()) for x in r.get(role) or []):
-                shell = " ".join("".join(c if c.isascii() and (c.isalnum() or c in "_.-") else " " for c in word).split())
+            for word in _words(r, role):
+                shell = _shell(word)
                 test, helped = (F.contains(line, F.lit(f" {shell} ")), _asks_help(line, shell)) if role == "commands" else (F.contains(low, F.lit(word.lower())), F.lit(False))
                 said = F.struct(F.lit(r["id"]).alias("technique_id"), F.lit(role).alias("role"), F.lit(word if role == "commands" else word.lower()).alias("word"), helped.alias("help"))
                 tests.append(F.when(test, said))
@@ -85,13 +106,15 @@ def evidence_hits(evidence: DataFrame, rules: list[dict]) -> DataFrame:
 
     A denied clause names nothing, nor does a command whose options ask for help. What the description denies is not
     taken from the event type either; a denied subject takes the technique back for that evidence. Rules are columns of
-    one scan, so nothing is crossed; two sums follow, by clause and by evidence.
+    one scan, so nothing is crossed; two sums follow, by clause and by evidence. Texts that hold no word of any rule are left out
+    before they are cut into clauses, the others are dealt to all tasks; only clauses that name something are asked for denials.
     """
     key = ["incident_id", "evidence_id"]
     both = F.array(*(F.struct(F.lit(k).alias("typed"), clauses(F.col(c)).alias("list")) for k, c in ((False, "description"), (True, "event_type"))))
-    each = evidence.select(*key, F.inline(both)).select(*key, "typed", F.posexplode("list").alias("nth", "clause"))
-    each = each.withColumns({"low": F.lower("clause"), "line": command_words(F.col("clause")), "denied": denied(F.col("clause"))})
-    found = each.select(*key, "typed", "nth", "denied", F.inline(_findings(rules, F.col("low"), F.col("line"))))
+    able = spread(evidence.select(*key, "description", "event_type").where(_may_name(rules, "description", "event_type")), *key)
+    each = able.select(*key, F.inline(both)).select(*key, "typed", F.posexplode("list").alias("nth", "clause"))
+    each = each.withColumns({"low": F.lower("clause"), "line": command_words(F.col("clause")) if any(r.get("commands") for r in rules) else F.lit(" ")})
+    found = each.select(*key, "typed", "nth", "clause", F.inline(_findings(rules, F.col("low"), F.col("line")))).withColumn("denied", denied(F.col("clause")))
     names = F.col("role").isin("words", "commands")
     by_clause = found.groupBy(*key, "typed", "nth", "denied", "technique_id").agg(
         F.collect_set(F.when(names & ~F.col("help"), F.col("word"))).alias("named"), F.max(names & F.col("help")).alias("helped"),

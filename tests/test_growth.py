@@ -199,3 +199,19 @@ def test_action_order_is_made_once_for_a_case(spark, sf_dir):
     e = spark.createDataFrame(rows, "incident_id string, action_id long, priority long, needs array<long>")
     for out in (mapping.in_order(e, needs="needs"), mapping.in_order(e.drop("needs"), e.select("incident_id", "action_id", F.explode("needs").alias("needs")))):
         assert out.columns == ["incident_id", "action_id", "priority", "place"] and {(r.incident_id, r.action_id): r.place for r in out.collect()} == want
+
+
+def test_texts_without_words_are_not_cut_into_clauses(spark):
+    from emberlog.plans import keywords
+
+    # before: trim() took a clause's index for what to trim, so that clause 0 lost a zero at its end
+    text = "no euid=0\tBut yet a.. b.c. ... x\r\n SUID  find ran however .. euid=0"
+    assert [r[0] for r in spark.createDataFrame([(text,), ("euid=0",), (None,)], "t string").select(keywords.clauses(F.col("t"))).collect()] == [["no euid=0", "a", "b.c", "x", "SUID find ran", "euid=0"], ["euid=0"], []]
+    rules = [{"id": "u", "words": ["euid=0", "suid find", "Key"], "commands": ["tar -czf"], "subject": ["ROOT"]}]
+    rows = [("a", text, ""), ("b", "euid=0", None), ("c", "a TAR -czf", "tar   -czf"), ("d", None, "KEY"), ("e", "key. no root", ""), ("f", "key", ""), ("f", "no root", ""), ("g", "suid x, find", ""), ("h", "nothing", "no")]
+    e = spark.createDataFrame([("i", *r) for r in rows], "incident_id string, evidence_id string, description string, event_type string")
+    found = keywords.evidence_hits(e, rules)
+    assert {r.evidence_id: r.keywords for r in found.collect()} == {"a": ["euid=0", "suid find"], "b": ["euid=0"], "c": ["tar -czf"], "d": ["key"]}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    cut, scan = plan.index("regexp_replace(replace("), plan.index("RepartitionByExpression")
+    assert cut < scan < plan.index("Filter exists(")  # texts are left out and dealt to all tasks first
