@@ -112,9 +112,9 @@ def evidence_hits(evidence: DataFrame, rules: list[dict]) -> DataFrame:
     key = ["incident_id", "evidence_id"]
     both = F.array(*(F.struct(F.lit(k).alias("typed"), clauses(F.col(c)).alias("list")) for k, c in ((False, "description"), (True, "event_type"))))
     able = spread(evidence.select(*key, "description", "event_type").where(_may_name(rules, "description", "event_type")), *key)
-    each = able.select(*key, F.inline(both)).select(*key, "typed", F.posexplode("list").alias("nth", "clause"))
+    each = able.select(*key, F.inline(both)).select(*key, "typed", F.posexplode_outer("list").alias("nth", "clause")).where("clause is not null")  # of posexplode() Spark makes a filter that cuts the texts before they are dealt, too
     each = each.withColumns({"low": F.lower("clause"), "line": command_words(F.col("clause")) if any(r.get("commands") for r in rules) else F.lit(" ")})
-    found = each.select(*key, "typed", "nth", "clause", F.inline(_findings(rules, F.col("low"), F.col("line")))).withColumn("denied", denied(F.col("clause")))
+    found = each.select(*key, "typed", "nth", "clause", F.inline_outer(_findings(rules, F.col("low"), F.col("line")))).where("technique_id is not null").withColumn("denied", denied(F.col("clause")))
     names = F.col("role").isin("words", "commands")
     by_clause = found.groupBy(*key, "typed", "nth", "denied", "technique_id").agg(
         F.collect_set(F.when(names & ~F.col("help"), F.col("word"))).alias("named"), F.max(names & F.col("help")).alias("helped"),
