@@ -213,5 +213,24 @@ def test_texts_without_words_are_not_cut_into_clauses(spark):
     found = keywords.evidence_hits(e, rules)
     assert {r.evidence_id: r.keywords for r in found.collect()} == {"a": ["euid=0", "suid find"], "b": ["euid=0"], "c": ["tar -czf"], "d": ["key"]}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    cut, scan = plan.index("regexp_replace(replace("), plan.index("RepartitionByExpression")
+    cut, scan = plan.rindex("regexp_replace(replace("), plan.index("RepartitionByExpression")
     assert cut < scan < plan.index("Filter exists(")  # texts are left out and dealt to all tasks first
+
+
+def test_index_cuts_texts_once_and_in_all_tasks(spark, parts_of, tmp_path):
+    from emberlog.operators import textindex
+    from emberlog.operators.retrieval import tokens
+
+    asked = []
+
+    def words(text):
+        asked.append(text)
+        return tokens(text)
+
+    docs = spark.range(400).coalesce(1).select((F.col("id") % 399).alias("doc_id"), F.when(F.col("id") != 7, F.concat(F.lit("a b a "), F.col("id").cast("string"))).alias("text"))
+    index = textindex.build(docs, str(tmp_path), {"t": 1}, words)
+    assert len(asked) == 1  # twice before, for the average and for the counts
+    assert sorted(parts_of["counted"]) < [400] and index.blocks.select(F.sum(F.size("postings"))).first()[0] == 3 * 399 - 2  # one file of all rows before
+    e = spark.createDataFrame([("A-b1 \u00dc c..9",), ("",), (None,), (" \n-",)], "t string").select(tokens(F.col("t")).alias("w"))
+    assert [r.w for r in e.collect()] == [["a", "b1", "c", "9"], [], None, []]
+    assert index.terms.select("average").distinct().collect() == [(399 * 4 / 400,)]
