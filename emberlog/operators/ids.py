@@ -38,6 +38,13 @@ def _close(net: DataFrame, web: DataFrame) -> DataFrame:
     )
 
 
+def _strong(net: DataFrame, web: DataFrame) -> DataFrame:
+    """(raw_ref, candidates) of the records that are strong in _close(), asked of the narrow window and the same request alone."""
+    near = range_join(net, web, "at_b", "at_a", STRONG * SECOND, (("src_ip_b", "src_ip_a"), *_REQUEST))
+    best = near.groupBy("raw_ref_b").agg(F.collect_set(F.struct("raw_ref_a")).alias("all")).where(F.size("all") == 1)
+    return best.select(F.col("raw_ref_b").alias("raw_ref"), F.transform("all", lambda x: x["raw_ref_a"]).alias("candidates"))
+
+
 def _sides(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sensor's http records, those with a client as side b, and web requests as side a."""
     cols = ("src_ip", *(f"ld.{c}" for c in FIELDS))
@@ -85,21 +92,20 @@ def ids_seeds(events: DataFrame, window_seconds: int = 60) -> tuple[DataFrame, D
     The earliest one (time, then line) stands for it: its entity, signature and the window around it. The group's
     gravest number gives the severity; policy signatures are low. Evidence: the alerts, the sensor's http records of
     their flows, and the web requests that these are strongly tied to. Seeds: seed_id, entity_type, entity, reason,
-    severity, rule_id, source, layer, window_start, window_end, refs, n_alerts, n_correlated.
+    severity, rule_id, source, layer, window_start, window_end, refs, n_alerts, n_correlated, evident (see all_seeds()).
     """
     a = alerts(events)
     good = a.where("reject_reason is null")
     number = F.col("ld.severity").cast("string").try_cast("int")
     who = F.struct("ts", "raw_ref", "entity", F.col("ld.signature").alias("signature"), F.col("ld.signature_id").cast("string").alias("signature_id"))
-    member = good.select("group_key", who.alias("who"), number.alias("number"), F.array("raw_ref").alias("refs"))
-    # each record of a flow once, with all its groups; strong ties need the narrow window alone
-    strong = _close(*_sides(events)[1:]).where("status = 'strong'").select("raw_ref", "candidates")
-    http = flow_groups(events, good.select("raw_ref", "group_key").distinct()).join(strong, "raw_ref", "left")
+    member = good.groupBy("group_key").agg(F.min(who).alias("first"), F.min(number).alias("number"), F.count("*").alias("n_alerts"), F.collect_list("raw_ref").alias("own"))
+    # each record of a flow once, with all its groups
+    http = flow_groups(events, good.select("raw_ref", "group_key")).join(_strong(*_sides(events)[1:]), "raw_ref", "left")
     http = http.select(F.explode("groups").alias("group_key"), F.concat(F.array("raw_ref"), F.coalesce("candidates", F.array().cast("array<string>"))).alias("refs"))
-    none = lambda c: F.lit(None).cast(member.schema[c].dataType).alias(c)
-    refs = F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("refs")
-    g = member.unionByName(http.select("group_key", none("who"), none("number"), "refs")).groupBy("group_key").agg(
-        F.min("who").alias("first"), F.min("number").alias("number"), F.count("who").alias("n_alerts"), F.count_if(F.col("who").isNull()).alias("n_correlated"), refs)
+    # joined by a key of which there is one, so that Spark leaves out the records where neither refs nor n_correlated are asked for
+    met = http.groupBy("group_key").agg(F.flatten(F.collect_list("refs")).alias("met"), F.count("*").alias("n_met"))
+    g = member.join(met, "group_key", "left").withColumn("n_correlated", F.coalesce("n_met", F.lit(0).cast("long")))
+    g = g.withColumn("refs", F.array_sort(F.array_distinct(F.concat("own", F.coalesce("met", F.array().cast("array<string>"))))))
     named = clean_signature(F.col("first.signature"), F.concat(F.lit("signature_id="), F.col("first.signature_id")))
     g = g.withColumn("signature", named)
     width = F.make_dt_interval(secs=F.lit(window_seconds))
@@ -107,6 +113,6 @@ def ids_seeds(events: DataFrame, window_seconds: int = 60) -> tuple[DataFrame, D
     seeds = g.select(
         F.sha1("group_key").alias("seed_id"), F.lit("src_ip").alias("entity_type"), F.col("first.entity").alias("entity"), F.concat(F.lit("IDS alert: "), "signature").alias("reason"), severity.alias("severity"),
         F.col("first.signature_id").alias("rule_id"), F.array(F.lit("ids")).alias("source"), F.lit("network").alias("layer"), (F.col("first.ts") - width).alias("window_start"), (F.col("first.ts") + width).alias("window_end"),
-        "refs", "n_alerts", "n_correlated",
+        "refs", "n_alerts", "n_correlated", F.lit(True).alias("evident"),
     )
     return seeds, a.where("reject_reason is not null").select("raw_ref", "reject_reason")

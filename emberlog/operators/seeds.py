@@ -46,21 +46,26 @@ def rule_seeds(events: DataFrame, rules: list[dict], window_seconds: int = 60) -
     width = window_seconds * 1_000_000
     return s.select(
         F.sha1(F.concat_ws("\x1f", "rule_id", "entity_type", F.coalesce("entity", F.lit("")), F.get("refs", F.lit(0)))).alias("seed_id"), "entity_type", "entity", titles[F.col("rule_id")].alias("reason"), F.col("level").alias("severity"),
-        "rule_id", F.array(F.lit("sigma")).alias("source"), "layer", F.timestamp_micros(F.col("first_at") - width).alias("window_start"), F.timestamp_micros(F.col("last_at") + width).alias("window_end"), "refs",
+        "rule_id", F.array(F.lit("sigma")).alias("source"), "layer", F.timestamp_micros(F.col("first_at") - width).alias("window_start"), F.timestamp_micros(F.col("last_at") + width).alias("window_end"), "refs", F.lit(True).alias("evident"),
     )
 
 
-def reject_reason() -> Column:
-    """Why a seed breaks the contract; null if it keeps it."""
+def reject_reason(evident: Column | None = None) -> Column:
+    """Why a seed breaks the contract; null if it keeps it. evident: whether it has evidence, where that is known without its refs."""
     bad = lambda test: ~F.coalesce(test, F.lit(False))
     return (
         F.when(bad(F.col("entity_type").isin(*ENTITY_TYPES)), "invalid_entity").when(bad(F.col("window_start") <= F.col("window_end")), "invalid_window").when(bad(F.col("layer").isin(*LAYERS)), "invalid_layer")
-        .when(bad((F.size("source") > 0) & (F.size(F.array_except("source", F.array(*map(F.lit, SOURCES)))) == 0)), "invalid_source").when(bad(F.size("refs") > 0), "missing_evidence")
+        .when(bad((F.size("source") > 0) & (F.size(F.array_except("source", F.array(*map(F.lit, SOURCES)))) == 0)), "invalid_source").when(bad(F.size("refs") > 0 if evident is None else evident), "missing_evidence")
     )
 
 
 def all_seeds(*parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The union of seeds from rules and sensors, split in those that keep the contract and the others with their reason."""
+    """The union of seeds from rules and sensors, split in those that keep the contract and the others with their reason.
+
+    A part may tell by a column evident that its seeds have refs, as those of rule_seeds() and ids_seeds() always do; these
+    are then gathered only where something asks for them.
+    """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    s = reduce(DataFrame.unionByName, (p.select(*names) for p in parts)).withColumn("reject_reason", reject_reason())
+    checked = (p.withColumn("reject_reason", reject_reason(F.col("evident") if "evident" in p.columns else None)) for p in parts)
+    s = reduce(DataFrame.unionByName, (p.select(*names, "reject_reason") for p in checked))
     return s.where("reject_reason is null").drop("reject_reason"), s.where("reject_reason is not null")

@@ -49,6 +49,28 @@ def test_alert_groups_without_pairs(flows):
     assert sorted((r.n_alerts, r.n_correlated, r.refs) for r in seeds.collect()) == [(1, 0, ["a3"]), (3, 2, ["a4", "a5", "h4", "h5"]), (3, 3, ["a1", "a2", "h1", "h2", "h3"])]
 
 
+def test_seeds_are_counted_without_their_evidence(spark, flows, sf_dir):
+    from emberlog import logqueries
+    from emberlog.operators import seeds
+
+    plan = logqueries.seeds_of_both(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "collect_" not in plan  # before: all records of a flow met its groups, and refs were gathered to be counted
+    some, _ = ids.ids_seeds(flows)
+    none = some.where("n_alerts = 1").withColumn("refs", F.array().cast("array<string>")).drop("evident")
+    kept, odd = seeds.all_seeds(some, none)
+    assert sorted(r.refs for r in kept.collect()) == sorted(r.refs for r in some.collect()) and [r.reject_reason for r in odd.collect()] == ["missing_evidence"]
+
+
+def test_strong_ties_are_those_of_all_rings(spark):
+    import random
+
+    rng, none = random.Random(5), lambda x: None if rng.random() < 0.1 else x
+    half = lambda x, n: spark.createDataFrame([(none(f"{x}{rng.randrange(n)}"), none(rng.choice("ij")), none(rng.choice("mn")), "p", none(200), rng.randrange(120) * 250_000) for _ in range(n)], ", ".join(f"{c}_{x} {t}" for c, t in (("raw_ref", "string"), ("src_ip", "string"), ("method", "string"), ("path", "string"), ("status", "int"), ("at", "long"))))
+    net, web = half("b", 90).cache(), half("a", 60).cache()
+    want = sorted((r.raw_ref, r.candidates) for r in ids._close(net, web).where("status = 'strong' and raw_ref is not null").collect())
+    assert want and sorted((r.raw_ref, r.candidates) for r in ids._strong(net, web).where("raw_ref is not null").collect()) == want
+
+
 def test_spanning_edges_connect_the_same(spark, flows):
     few = {(r.a, r.b) for r in links.spanning_flow(flows).collect()}
     assert few <= PAIRS
