@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterable
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog.operators.range_join import as_of
-from emberlog.operators.scan import dealt, last_of, max_of, running, sum_of
 from emberlog.session import cut, free
 
 #: A serial that falls this far below the largest one so far means a reboot.
@@ -20,6 +22,9 @@ CHUNK = 8192
 #: A parent may be seen so many microseconds after its child; processes 0 and 1 end a chain; orphans go to 1 (fixed values).
 SLACK, ROOTS, ORPHAN = 2_000_000, (0, 1), 1
 MAX_NODES = 32
+#: What an instance's number counts within, and a known parent other than the one of orphans.
+INSTANCE = ("host", "epoch", "pid")
+REAL = lambda: F.when(F.col("ppid") != ORPHAN, F.col("ppid"))
 
 #: The effect of a run of serials on (epochs so far, largest serial): pieces (upper end of the largest serial before,
 #: epochs added, largest serial after, null where it stays as it was), by upper end.
@@ -53,6 +58,21 @@ def after(pieces: Pieces, serial: float) -> Pieces:
     return out
 
 
+def summed(serials: Iterable[float]) -> Pieces:
+    """The effect of a run. Once it leaves one largest serial, whatever was before, the rest of it is the same for all pieces."""
+    left, pieces = iter(serials), [(END, 0, None)]
+    for s in left:
+        pieces = after(pieces, s)
+        if all(p[2] is not None and p[2] == pieces[0][2] for p in pieces):
+            break
+    else:
+        return pieces
+    more, top = 0, pieces[0][2]
+    for s in left:
+        more, top = (more + 1, s) if top - s > RESET else (more, max(top, s))
+    return [(upto, added + more, top) for upto, added, _ in pieces]
+
+
 def through(pieces: Pieces, epoch: int, top: float) -> tuple[int, float]:
     """(epoch, largest serial) after a run; no serial so far is minus infinity."""
     _, added, to = pieces[bisect_left([p[0] for p in pieces], top)]
@@ -88,7 +108,7 @@ def _row(host, chunk: int, p: Pieces) -> pd.DataFrame:
 
 def _summary(pdf: pd.DataFrame) -> pd.DataFrame:
     serials = pdf.sort_values("_id")["serial"].dropna()
-    return _row(pdf["host"].iloc[0], pdf["chunk"].iloc[0], reduce(after, map(float, serials), [(END, 0, None)]))
+    return _row(pdf["host"].iloc[0], pdf["chunk"].iloc[0], summed(map(float, serials)))
 
 
 def _composed(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -122,63 +142,101 @@ def states(runs: DataFrame) -> DataFrame:
     return grouped.groupBy("host", "group").cogroup(before.groupBy("host", "group")).applyInPandas(_incoming_after, schema)
 
 
-def boot_epochs(events: DataFrame) -> DataFrame:
-    """events (host, at, serial, raw_ref and more) with epoch: how often the serial has fallen more than RESET below the
-    largest one since the last such fall. Rows count in the order (at, serial, raw_ref); those without serial change nothing.
+def numbered_epochs(events: DataFrame, counting: str = "true") -> tuple[DataFrame, DataFrame]:
+    """boot_epochs() of the counting rows with _id, the place of a row in the order by host, time, serial and reference, and the table that it is made of.
 
     Chunks of CHUNK rows are summed up side by side: what a chunk does is a step function of the largest serial before
     it, with at most RESET + 2 steps for whole serials. These are composed in order, which gives the state before each
     chunk, and the chunks are gone through once more from there.
     """
     order = ("at", F.coalesce("serial", F.lit(-1)), "raw_ref")
-    rows = events.repartitionByRange("host", *order).sortWithinPartitions("host", *order).withColumn("_id", F.monotonically_increasing_id())
+    read = cut(events, "read")  # ranges are found by a pass of its own over what is dealt, and filters would work out columns again
+    rows = read.where(counting).repartitionByRange("host", *order).sortWithinPartitions("host", *order).withColumn("_id", F.monotonically_increasing_id())
     rows = cut(rows.withColumn("chunk", F.floor(F.col("_id") / CHUNK)), "sorted")
+    free(read)
     serials = rows.select("host", "chunk", "_id", F.col("serial").cast("double").alias("serial"))
     before = states(cut(serials.groupBy("host", "chunk").applyInPandas(_summary, PIECES), "runs"))
 
-    def numbered(part: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        part, out = part.sort_values("_id"), []
-        epoch, top = int(state["epoch"].iloc[0]), float(state["top"].iloc[0])
-        for s in part["serial"]:
-            if s == s:
+    def numbered(part: pa.Table, state: pa.Table) -> pa.Table:
+        part, out = part.sort_by("_id"), []
+        epoch, top = state["epoch"][0].as_py(), state["top"][0].as_py()
+        for s in part["serial"].cast(pa.float64(), safe=False).to_pylist():
+            if s is not None and s == s:
                 epoch, top = (epoch + 1, s) if top - s > RESET else (epoch, max(top, s))
             out.append(epoch)
-        return pd.DataFrame({"_id": part["_id"], "epoch": out})
+        return part.drop_columns(["chunk"]).append_column("epoch", pa.array(out, pa.int64()))
+
+    schema = T.StructType([*(f for f in rows.schema if f.name != "chunk"), T.StructField("epoch", T.LongType())])
+    return rows.groupBy("host", "chunk").cogroup(before.groupBy("host", "chunk")).applyInArrow(numbered, schema), rows
+
 
-    found = serials.groupBy("host", "chunk").cogroup(before.groupBy("host", "chunk")).applyInPandas(numbered, "_id long, epoch long")
-    return rows.join(found, "_id").drop("_id", "chunk")
+def boot_epochs(events: DataFrame) -> DataFrame:
+    """events (host, at, serial, raw_ref and more) with epoch: how often the serial has fallen more than RESET below the
+    largest one since the last such fall. Rows count in the order (at, serial, raw_ref); those without serial change nothing.
+    """
+    return numbered_epochs(events)[0].drop("_id")
 
 
 def instance_events(events: DataFrame) -> DataFrame:
     """boot_epochs() of the events with a process id, with seq: the process id's instance.
 
     A process id whose parent changes is a new instance, but not when it goes to 1 (an orphan). Unknown parents never
-    split. Only window functions; a busy process id spreads over several tasks.
+    split. Instances are counted within parts of the order by host and time, so a busy process id spreads over several
+    tasks; what its earlier parts come to is added from carried().
     """
-    keys, order = ("host", "epoch", "pid"), ("at", F.coalesce("serial", F.lit(-1)), "raw_ref")
-    rows = dealt(boot_epochs(events.where("pid is not null")), keys, order)
-    real = F.when(F.col("ppid") != ORPHAN, F.col("ppid"))
-    rank = F.struct("at", F.coalesce("serial", F.lit(-1)).alias("s"), "raw_ref")
-    seen = running(rows, keys, order, {"_real": last_of(real, rank), "_orphan": max_of(F.when(F.col("ppid") == ORPHAN, 1))}, inclusive=False)
-    new = real.isNotNull() & ((F.col("_real") != real) | (F.col("_real").isNull() & (F.coalesce("_orphan", F.lit(0)) == 1)))
-    split = cut(seen.withColumn("_new", F.when(F.coalesce(new, F.lit(False)), 1).otherwise(0).cast("long")).drop("_real", "_orphan"), "split")
-    return running(split, keys, order, {"seq": sum_of(F.col("_new"))}).drop("_new", "_part")
+    numbered, before = numbered_epochs(events, "pid is not null")
+    rows = cut(numbered.withColumn("_part", F.shiftrightunsigned("_id", 33)), "epochs")  # the range that a row was dealt to
+    free(before)
+    line = Window.partitionBy(*INSTANCE, "_part").orderBy("_id")
+    past = line.rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumns({"_real": F.last(REAL(), ignorenulls=True).over(past), "_orphan": F.max(F.when(F.col("ppid") == ORPHAN, 1)).over(past)})
+    new = REAL().isNotNull() & ((F.col("_real") != REAL()) | (F.col("_real").isNull() & F.col("_orphan").isNotNull()))
+    seq = F.sum(F.when(F.coalesce(new, F.lit(False)), 1).otherwise(0).cast("long")).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = seen.withColumns({"seq": seq, "_begun": F.coalesce(REAL(), F.col("_real")).isNotNull()}).drop("_real", "_orphan")
+    seen = cut(seen, "split")
+    free(rows)
+    more = cut(carried(seen), "carried")
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*INSTANCE, "_part")))
+    late = F.coalesce("_before", F.lit(0)) + F.when(F.col("_begun"), F.coalesce("_shift", F.lit(0))).otherwise(0)
+    return seen.join(more, same, "left").withColumn("seq", F.col("seq") + late).drop("_id", "_part", "_begun", *more.columns)
+
+
+def carried(seen: DataFrame) -> DataFrame:
+    """(_of_host, _of_epoch, _of_pid, _of__part, _before, _shift) for parts of process ids that began in an earlier part: the
+    instances before the part, and by how much its first known parent adds to them other than it seems from the part alone.
+
+    Only epochs that cross a border are looked at: one for each border at most, which is why they may be broadcast.
+    """
+    over = seen.groupBy(F.col("host").alias("_host"), F.col("epoch").alias("_epoch")).agg(F.min("_part").alias("_low"), F.max("_part").alias("_high")).where("_low < _high")
+    known, orphan = F.when(REAL().isNotNull(), F.col("_id")), F.when(F.col("ppid") == ORPHAN, F.col("_id"))
+    parts = seen.join(F.broadcast(over), F.col("host").eqNullSafe(F.col("_host")) & (F.col("epoch") == F.col("_epoch")), "left_semi").groupBy(*INSTANCE, "_part").agg(
+        F.min(known).alias("_first_at"), F.min(orphan).alias("_orphan_at"), F.min_by(REAL(), known).alias("_first"), F.max_by(REAL(), known).alias("_last"), F.max("seq").alias("_own"))
+    past = Window.partitionBy(*INSTANCE).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"_parent": F.last("_last", ignorenulls=True).over(past), "_adopted": F.max(F.col("_orphan_at").isNotNull()).over(past)})
+    seems = F.coalesce(F.col("_orphan_at") < F.col("_first_at"), F.lit(False))
+    new = F.when(F.col("_parent").isNotNull(), F.col("_parent") != F.col("_first")).otherwise(F.coalesce("_adopted", F.lit(False)) | seems)
+    parts = parts.withColumn("_shift", F.when(F.col("_first").isNotNull(), new.cast("long") - seems.cast("long")).otherwise(0))
+    parts = parts.withColumn("_before", F.coalesce(F.sum(F.col("_own") + F.col("_shift")).over(past), F.lit(0)))
+    return parts.where("_shift <> 0 or _before <> 0").select(*(F.col(k).alias(f"_of_{k}") for k in (*INSTANCE, "_part")), "_before", "_shift")
 
 
 def instances(rows: DataFrame) -> DataFrame:
     """(host, epoch, pid, seq, ppid, first_at, last_at, first_ref, n_events) of instance_events()."""
-    real = F.max(F.when(F.col("ppid") != ORPHAN, F.col("ppid")))
+    real = F.max(REAL())
     return rows.groupBy("host", "epoch", "pid", "seq").agg(
         F.coalesce(real, F.max("ppid")).alias("ppid"), F.min("at").alias("first_at"), F.max("at").alias("last_at"),
         F.min(F.struct("at", F.coalesce("serial", F.lit(-1)).alias("s"), "raw_ref"))["raw_ref"].alias("first_ref"), F.count("*").alias("n_events"),
     )
 
 
+def _has_parent() -> Column:
+    return F.col("ppid").isNotNull() & ~F.col("ppid").isin(*ROOTS) & (F.col("ppid") != F.col("pid"))
+
+
 def parents(found: DataFrame) -> DataFrame:
     """instances() with parent_seq: of the instances of the parent's process id on the same machine and in the same epoch, the
     latest that began at most SLACK after the child. Roots and processes that are their own parent have none."""
-    has = F.col("ppid").isNotNull() & ~F.col("ppid").isin(*ROOTS) & (F.col("ppid") != F.col("pid"))
-    sides = found.select(F.struct("host", "epoch", "pid", "seq").alias("_me"), *found.columns, F.when(has, F.col("ppid")).alias("_up"))
+    sides = found.select(F.struct("host", "epoch", "pid", "seq").alias("_me"), *found.columns, F.when(_has_parent(), F.col("ppid")).alias("_up"))
     right = found.select(F.col("host").alias("p_host"), F.col("epoch").alias("p_epoch"), F.col("pid").alias("p_pid"), F.col("seq").alias("parent_seq"), F.col("first_at").alias("p_at"))
     keys = (("host", "p_host"), ("epoch", "p_epoch"), ("_up", "p_pid"))
     return as_of(sides, right, "_me", "first_at", "p_at", keys, "parent_seq", SLACK).select(*found.columns, "parent_seq")
@@ -186,13 +244,22 @@ def parents(found: DataFrame) -> DataFrame:
 
 def lineage_edges(events: DataFrame) -> DataFrame:
     """(a, b): for each instance with a known parent its first event b, and the parent's last event a at or before it, else the parent's first one."""
-    rows = cut(instance_events(events), "instances")
-    linked = parents(cut(instances(rows), "instances")).where("parent_seq is not null")
-    right = rows.select(F.col("host").alias("r_host"), F.col("epoch").alias("r_epoch"), F.col("pid").alias("r_pid"), F.col("seq").alias("r_seq"), F.col("at").alias("r_at"), F.struct(F.coalesce("serial", F.lit(-1)).alias("s"), "raw_ref").alias("r_ref"))
+    rows = instance_events(events)
+    found = cut(instances(rows), "instances")
+    child = found.where(_has_parent()).select("host", "epoch", "ppid", "first_at", "first_ref")
+    right = found.select(F.col("host").alias("p_host"), F.col("epoch").alias("p_epoch"), F.col("pid").alias("p_pid"), F.col("seq").alias("parent_seq"), F.col("first_at").alias("p_at"), F.col("first_ref").alias("parent_first"), F.col("n_events").alias("parent_events"))
+    linked = as_of(child, right, "first_ref", "first_at", "p_at", (("host", "p_host"), ("epoch", "p_epoch"), ("ppid", "p_pid")), "parent_seq", SLACK)
+    linked = cut(linked.where("parent_seq is not null").select(*child.columns, "parent_seq", "parent_first", "parent_events"), "linked")
+    free(found)
+    # a parent of one event needs no search, and only the others' events are searched
+    many = linked.where("parent_events > 1").drop("parent_events")
+    sought = cut(many.select(F.col("host").alias("s_host"), F.col("epoch").alias("s_epoch"), F.col("ppid").alias("s_pid"), F.col("parent_seq").alias("s_seq")).distinct(), "sought")
+    own = rows.join(sought, (F.col("host") == F.col("s_host")) & (F.col("epoch") == F.col("s_epoch")) & (F.col("pid") == F.col("s_pid")) & (F.col("seq") == F.col("s_seq")), "left_semi")
+    right = own.select(F.col("host").alias("r_host"), F.col("epoch").alias("r_epoch"), F.col("pid").alias("r_pid"), F.col("seq").alias("r_seq"), F.col("at").alias("r_at"), F.struct(F.coalesce("serial", F.lit(-1)).alias("s"), "raw_ref").alias("r_ref"))
     keys = (("host", "r_host"), ("epoch", "r_epoch"), ("ppid", "r_pid"), ("parent_seq", "r_seq"))
-    hit = as_of(linked, right, "first_ref", "first_at", "r_at", keys, "r_ref")
-    first = instances(rows).select("host", "epoch", F.col("pid").alias("ppid"), F.col("seq").alias("parent_seq"), F.col("first_ref").alias("parent_first"))
-    return hit.join(first, ["host", "epoch", "ppid", "parent_seq"]).select(F.coalesce("r_ref.raw_ref", "parent_first").alias("a"), F.col("first_ref").alias("b"))
+    hit = as_of(many, cut(right, "sought"), "first_ref", "first_at", "r_at", keys, "r_ref")
+    pair = lambda a: (a.alias("a"), F.col("first_ref").alias("b"))
+    return hit.select(*pair(F.coalesce("r_ref.raw_ref", "parent_first"))).unionByName(linked.where("parent_events <= 1").select(*pair(F.col("parent_first"))))
 
 
 def _parent_events(events: DataFrame) -> DataFrame:

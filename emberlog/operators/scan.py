@@ -42,7 +42,12 @@ def running(rows: DataFrame, keys: tuple[str, ...], order: tuple, specs: dict[st
     last = Window.currentRow if inclusive else -1
     line = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     out = rows.withColumns({n: f(v).over(line) for n, (f, v, _, _) in specs.items()})
-    totals = rows.groupBy(*keys, "_part").agg(*(t.alias(n) for n, (_, _, t, _) in specs.items()))
+    # a key that goes on behind a border is the largest one of its part, so totals are made of these alone
+    ends = rows.groupBy("_part").agg(F.max(F.struct(*(F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)))).alias("_end")).select("_end.*").distinct()
+    ended = F.lit(True)
+    for i, k in enumerate(keys):
+        ended = ended & F.col(k).eqNullSafe(F.col(f"_e{i}"))
+    totals = rows.join(F.broadcast(ends), ended, "left_semi").groupBy(*keys, "_part").agg(*(t.alias(n) for n, (_, _, t, _) in specs.items()))
     by = Window.partitionBy(*keys)
     totals = totals.withColumn("_parts", F.count("*").over(by)).where("_parts > 1")
     step = by.orderBy("_part")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators import lineage
-from emberlog.session import table
+from emberlog.session import cut, table
 from emberlog.workload import query
 
 #: An audit record of each event; serials fall by almost 5,000 now and then, and by up to 1,500 in between.
@@ -41,7 +41,7 @@ def boot_epochs(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {INSTANCES} SELECT host, epoch, pid, seq, ppid, first_at, last_at, first_ref, n_events, parent_seq FROM par")
 def process_instances(spark, sf_dir):
-    return lineage.parents(lineage.instances(lineage.instance_events(audit(spark, sf_dir))))
+    return lineage.parents(cut(lineage.instances(lineage.instance_events(audit(spark, sf_dir))), "instances"))
 
 
 @query(f"""WITH RECURSIVE {INSTANCES}, w AS (SELECT g.host, g.epoch, g.pid, g.seq, q.us, g.raw_ref, coalesce(q.serial, -1) AS s FROM g JOIN q USING (host, epoch, pid, j))

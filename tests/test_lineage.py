@@ -81,6 +81,7 @@ def test_step_functions(seed):
     rng = random.Random(seed)
     runs = [[float(rng.randrange(0, 6000, 1 + 99 * (seed % 2))) for _ in range(rng.randrange(0, 40))] for _ in range(6)]
     pieces = [reduce(lineage.after, r, [(lineage.END, 0, None)]) for r in runs]
+    assert pieces == [lineage.summed(r) for r in runs]
     whole = reduce(lineage.composed, pieces)
     for start in [-lineage.END, *(rng.uniform(-100, 8000) for _ in range(200)), *(s + d for r in runs for s in r[:5] for d in (0, 1000, 1001))]:
         epoch, top = 0, start
@@ -108,6 +109,31 @@ def test_lineage(spark, monkeypatch, chunk):
     assert {tuple(r) for r in lineage.lineage_edges(df).collect()} == fold_edges(want)
 
 
+@pytest.mark.parametrize(("falls", "seed"), [(True, 1), (False, 2), (False, 3)])
+def test_instances_over_parts(spark, falls, seed):
+    """Twelve parts of the order, with epochs that end often and one that never ends, so that process ids lie in many parts."""
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(ref):
+        asked.add(1)
+        return ref
+
+    rows = [r if falls else (*r[:2], None if r[2] is None else k, *r[3:]) for k, r in enumerate(made(400, seed))]
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        want, df = fold_instances(rows), spark.createDataFrame(rows, SCHEMA).repartition(5).withColumn("raw_ref", costly("raw_ref"))
+        assert {r.raw_ref: (r.host, r.epoch, r.pid, r.seq) for r in lineage.instance_events(df).collect()} == {e[3]: k for k, x in want.items() for e in x["events"]}
+        assert asked.value == len(rows)  # before: events were worked out twice, for the ranges and for the rows
+        assert {tuple(r) for r in lineage.lineage_edges(df).collect()} == fold_edges(want)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert lineage.boot_epochs(none).count() == lineage.instance_events(none).count() == lineage.lineage_edges(none).count() == 0
