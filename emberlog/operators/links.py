@@ -160,8 +160,52 @@ def audit_lineage(events: DataFrame) -> DataFrame:
     return lineage_edges(audit).select("a", "b", F.lit("audit_lineage").alias("kind"))
 
 
+def _spanning(events: DataFrame, left: DataFrame, right: DataFrame, width: int, kind: str, *keys: str) -> DataFrame:
+    """Some of the pairs (a of left, b of right) with equal keys, of no two known, different machines, at most `width` apart, that
+    connect the same references: about one for each row, where all pairs grow with the rows of a window.
+
+    In a stretch of `width` all rows of both sides are linked, so each meets the other side's first one there. Links into the next
+    stretch start at a side's last row and end at the other's first, as these are nearest; a row whose own stretch has no other side meets
+    the nearest one of the next and of the one before, too.
+    """
+    alone = lambda x: F.struct(F.lit(x).alias("sort"), F.lit("").alias("host"))
+
+    def side(rows: DataFrame, x: str, one: int, every: int) -> DataFrame:
+        # machines that are known meet their own, rows without one meet all
+        machine = F.col(f"machine_{x}")
+        hosts = F.array_compact(F.array(F.when(machine.isNotNull(), F.struct(F.lit(0).alias("sort"), machine.alias("host"))), F.when(machine.isNull(), alone(one)), alone(every))) if "machine" in events.columns else F.array(alone(0))
+        rows = rows.where(F.col(f"at_{x}").isNotNull() & F.col(f"raw_ref_{x}").isNotNull()).select(*(F.col(f"{k}_{x}").alias(k) for k in keys), F.col(f"at_{x}").alias("at"), F.col(f"raw_ref_{x}").alias("ref"), F.lit(x).alias("side"), F.inline(hosts))
+        return rows.dropna(subset=list(keys)) if keys else rows
+
+    rows = side(left, "a", 1, 2).unionByName(side(right, "b", 2, 1)).withColumns({"stretch": F.floor(F.col("at") / width), "own": F.struct("at", "ref")})
+    by = [*keys, "sort", "host", "stretch"]
+    of = lambda f, x: f(F.when(F.col("side") == x, F.col("own")))
+    tops = rows.groupBy(*by).agg(*(of(f, x).alias(f"{n}_{x}") for x in "ab" for n, f in (("first", F.min), ("last", F.max))))
+    beside = lambda step, n, name: tops.select(*by[:-1], (F.col("stretch") - step).alias("stretch"), *(F.col(f"{n}_{x}").alias(f"{name}_{x}") for x in "ab"))
+    tops = tops.join(beside(1, "first", "next"), by, "left").join(beside(-1, "last", "before"), by, "left")
+    other = lambda n: F.when(F.col("side") == "a", F.col(f"{n}_b")).otherwise(F.col(f"{n}_a"))
+    mine = lambda n: F.when(F.col("side") == "a", F.col(f"{n}_a")).otherwise(F.col(f"{n}_b"))
+    met = rows.join(tops, by).select("at", "ref", "side", "own", *(other(n).alias(n) for n in ("first", "next", "before")), mine("first").alias("own_first"), mine("last").alias("own_last"))
+    no_other = F.col("first").isNull()
+    after = F.when((no_other | (F.col("own") == F.col("own_last"))) & (F.col("next.at") - F.col("at") <= width), F.col("next"))
+    ahead = F.when((no_other | (F.col("own") == F.col("own_first"))) & (F.col("at") - F.col("before.at") <= width), F.col("before"))
+    found = met.select("ref", "side", F.explode_outer(F.array_compact(F.array(F.col("first"), after, ahead))).alias("x")).where("x is not null")
+    a = F.col("side") == "a"
+    return found.select(F.when(a, F.col("ref")).otherwise(F.col("x.ref")).alias("a"), F.when(a, F.col("x.ref")).otherwise(F.col("ref")).alias("b"), F.lit(kind).alias("kind"))
+
+
+def spanning_web_system(events: DataFrame) -> DataFrame:
+    """Some of web_system()'s links that connect the same references."""
+    return _spanning(events, _side(events, "web", "a"), _side(events.where(F.col("ld.uid") == WEB_UID), "system", "b"), 5 * SECOND, "web_system")
+
+
+def spanning_system_auth(events: DataFrame) -> DataFrame:
+    """Some of system_auth()'s links, of which there are all pairs of an hour, that connect the same references."""
+    return _spanning(events, _side(events, "system", "a", "pid"), _side(events, "auth", "b", "pid"), 3600 * SECOND, "system_auth", "pid")
+
+
 #: Linkers that may be replaced where only what hangs together and the kinds of a component count.
-SPANNING: dict[str, Callable[[DataFrame], DataFrame]] = {"sensor_flow": spanning_flow}
+SPANNING: dict[str, Callable[[DataFrame], DataFrame]] = {"sensor_flow": spanning_flow, "web_system": spanning_web_system, "system_auth": spanning_system_auth}
 
 
 def all_edges(events: DataFrame, names: tuple[str, ...] | None = None, spanning: bool = False) -> DataFrame:

@@ -13,6 +13,8 @@ from emberlog.plans.rules import detect
 
 #: Fixed values of the seed contract.
 ENTITY_TYPES, LAYERS, SOURCES = ("src_ip", "pid", "ppid"), ("web", "network", "system", "auth"), ("sigma", "anomaly", "ids")
+#: Rules of a layer that are asked in one scan; the time that more of them take grows faster than their number.
+ASKED = 3
 SCHEMA = "seed_id string, entity_type string, entity string, reason string, severity string, rule_id string, source array<string>, layer string, window_start timestamp, window_end timestamp, refs array<string>"
 
 
@@ -34,14 +36,20 @@ def rule_seeds(events: DataFrame, rules: list[dict], window_seconds: int = 60) -
     kinds = {r["id"]: (r.get("title", r["id"]), (r.get("aggregation") or {}).get("seconds"), (r.get("aggregation") or {}).get("min_count", 5)) for r in rules}
     titles = F.create_map(*(F.lit(x) for k, (title, _, _) in kinds.items() for x in (k, title)))
     wanted = F.create_map(*(x for r in rules for x in (F.lit(r["id"]), F.array(*map(F.lit, r.get("entity") or [])).cast("array<string>"))))
-    hits = detect(events, rules)
-    hits = hits.withColumn("e", entity_of(F.col("layer"), wanted[F.col("rule_id")])).select("rule_id", "level", "layer", F.col("e.type").alias("entity_type"), F.col("e.value").alias("entity"), "raw_ref", micros("ts").alias("at"))
     keys = ("rule_id", "level", "layer", "entity_type", "entity")
-    single = [k for k, (_, seconds, _) in kinds.items() if not seconds]
-    parts = [hits.where(F.col("rule_id").isin(single)).select(*keys, F.col("at").alias("first_at"), F.col("at").alias("last_at"), F.array("raw_ref").alias("refs"))]
+
+    def hits(own: list[dict]) -> DataFrame:
+        """Hits of some rules: those of a kind are asked together, so that no rule is asked again for another kind's seeds."""
+        layers = [[r for r in own if r["layer"] == x] for x in dict.fromkeys(r["layer"] for r in own)]
+        found = reduce(DataFrame.unionByName, (detect(events, x[k : k + ASKED]) for x in layers for k in range(0, len(x), ASKED)))
+        found = found.withColumn("e", entity_of(F.col("layer"), wanted[F.col("rule_id")]))
+        return found.select("rule_id", "level", "layer", F.col("e.type").alias("entity_type"), F.col("e.value").alias("entity"), "raw_ref", micros("ts").alias("at"))
+
+    of = lambda *kind: [r for r in rules if kinds[r["id"]][1:] in kind]
+    single = of(*{k[1:] for k in kinds.values() if not k[1]})
+    parts = [hits(single).select(*keys, F.col("at").alias("first_at"), F.col("at").alias("last_at"), F.array("raw_ref").alias("refs"))] if single else []
     for seconds, least in sorted({(s, m) for _, s, m in kinds.values() if s}):
-        own = [k for k, (_, s, m) in kinds.items() if (s, m) == (seconds, least)]
-        parts.append(bursts(hits.where(F.col("rule_id").isin(own)), keys, "at", "raw_ref", seconds * 1_000_000, least).select(*keys, "first_at", "last_at", "refs"))
+        parts.append(bursts(hits(of((seconds, least))), keys, "at", "raw_ref", seconds * 1_000_000, least).select(*keys, "first_at", "last_at", "refs"))
     s = reduce(DataFrame.unionByName, parts)
     width = window_seconds * 1_000_000
     return s.select(

@@ -12,7 +12,7 @@ from emberlog.operators.incidents import build_all, incident_key, merged, triage
 from emberlog.operators.links import all_edges
 from emberlog.operators.seeds import all_seeds, rule_seeds
 from emberlog.plans.rules import load_rules
-from emberlog.session import cut
+from emberlog.session import cut, measured
 
 #: Seeds of a low or medium level need so many hits (fixed value).
 LEAST = 5
@@ -43,10 +43,11 @@ def detect_incidents(events: DataFrame, rules: list[dict] | None = None, least:
 
     The key stays the same from run to run while entity and reasons do. With min_priority, less urgent ones are left out.
     """
-    events = cut(events, "events")  # rules, sensor and linkers all read it
-    seeds, _ = all_seeds(rule_seeds(events, rules if rules is not None else shipped_rules(), WINDOW_SECONDS), ids_seeds(events, WINDOW_SECONDS)[0])
-    seeds = cut(aggregated(cut(seeds, "seeds"), least), "seeds")
-    found = triaged(merged(*build_all(cut(all_edges(events, spanning=True), "edges"), events, seeds)))
+    with measured(events.sparkSession):
+        events = cut(events, "events")  # rules, sensor and linkers all read it
+        seeds, _ = all_seeds(rule_seeds(events, rules if rules is not None else shipped_rules(), WINDOW_SECONDS), ids_seeds(events, WINDOW_SECONDS)[0])
+        seeds = cut(aggregated(cut(seeds, "seeds"), least), "seeds")
+        found = cut(triaged(merged(*build_all(cut(all_edges(events, spanning=True), "edges"), events, seeds))), "found")
     found = found.withColumn("incident_key", incident_key(F.col("entity"), F.col("reasons"), F.col("incident_id")))
     return found.where(F.col("priority") <= min_priority) if min_priority else found
 

@@ -125,4 +125,5 @@ def detect(events: DataFrame, rules: list[dict], layer_col: str = "layer") -> Da
         own = {"seconds": None, "min_count": 5} | r.get("aggregation", {})
         told = F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["level"]).alias("level"), F.lit(own["seconds"]).cast("long").alias("seconds"), F.lit(own["min_count"]).cast("long").alias("min_count"))
         hits.append(F.when((layer == r["layer"]) & F.expr(condition(r, f"_said.r{k}")), told))
-    return df.withColumn("_hit", F.explode(F.array_compact(F.array(*hits)))).select(*events.columns, "_hit.*")
+    # of explode() Spark makes a filter that asks every rule a second time
+    return df.withColumn("_hit", F.explode_outer(F.array_compact(F.array(*hits)))).where("_hit is not null").select(*events.columns, "_hit.*")

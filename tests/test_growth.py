@@ -256,3 +256,62 @@ def test_index_cuts_texts_once_and_in_all_tasks(spark, parts_of, tmp_path):
     e = spark.createDataFrame([("A-b1 \u00dc c..9",), ("",), (None,), (" \n-",)], "t string").select(tokens(F.col("t")).alias("w"))
     assert [r.w for r in e.collect()] == [["a", "b1", "c", "9"], [], None, []]
     assert index.terms.select("average").distinct().collect() == [(399 * 4 / 400,)]
+
+
+def test_spanning_pairs_of_a_window_connect_the_same(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for layer in ("web", "system", "auth"):
+        for i in range(70):
+            at = rng.choice((rng.randrange(0, 5 * 3600), 5 * rng.randrange(720), 3600 * rng.randrange(5))) * 1_000_000 + rng.choice((0, 0, 1, 999_999))
+            rows.append((None if rng.random() < 0.03 else f"{layer}:{rng.randrange(60)}", layer, None if rng.random() < 0.05 else at, rng.choice((None, 1, 2, 3, 4, 5, 6)), rng.choice((None, "m1", "m2")), rng.choice((33, 33, 0, None))))
+    e = spark.createDataFrame(rows, "raw_ref string, layer string, us long, pid long, machine string, uid long").select("raw_ref", "layer", F.timestamp_micros("us").alias("ts"), "pid", "machine", F.struct("uid").alias("ld")).cache()
+
+    def told(edges):
+        up = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            up[max(root(a), root(b))] = min(root(a), root(b))
+        return {x: root(x) for x in up}
+
+    for events in (e, e.drop("machine"), e.where("machine is null"), e.where("pid = 1 or layer = 'web'")):
+        for name in ("web_system", "system_auth"):
+            every, few = ({(r.a, r.b) for r in links.all_edges(events, (name,), spanning=s).collect()} for s in (False, True))
+            assert few <= every and told(few) == told(every), name
+    n = 60
+    many = spark.range(2 * n).select(F.concat(F.lit("r"), "id").alias("raw_ref"), F.when(F.col("id") < n, "system").otherwise("auth").alias("layer"), F.timestamp_seconds(F.col("id") % n).alias("ts"), F.lit(7).alias("pid"))
+    assert links.all_edges(many, ("system_auth",)).count() == n * n and links.all_edges(many, ("system_auth",), spanning=True).count() == 2 * n - 1
+
+
+def test_the_chain_broadcasts_by_measured_sizes(spark, sf_dir, monkeypatch):
+    from emberlog.logqueries import log_events
+    from emberlog.plans import chain
+
+    seen, write, guessed = [], session.cut_to, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def kept(df, path, rows=0):
+        seen.append((spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold")))
+        write(df, path, rows)
+
+    monkeypatch.setattr(session, "cut_to", kept)
+    found = chain.detect_incidents(log_events(spark, sf_dir).limit(50), rules=chain.shipped_rules()[:2])
+    assert seen and set(seen) == {("-1", guessed)}
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == guessed and not spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # all its joins are done within
+
+
+def test_a_rule_is_asked_once(spark, sf_dir):
+    from emberlog.logqueries import log_events
+    from emberlog.operators import seeds
+
+    rule = lambda x, **more: {"id": x, "level": "low", "layer": "system", "detection": {"s": {"exec_args|contains": f"word{x}"}, "condition": "s"}, **more}
+    own = [rule("a"), rule("b"), rule("c", aggregation={"seconds": 5, "min_count": 2}), rule("d", aggregation={"seconds": 6, "min_count": 2})]
+    plan = seeds.rule_seeds(log_events(spark, sf_dir), own)._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f"word{x}") for x in "abcd"] == [1] * 4
